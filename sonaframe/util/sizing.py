@@ -1,0 +1,32 @@
+"""Size checks that gate broadcasts and driver-side collection.
+
+A side is broadcast (or collected into a literal map) only after a bounded
+count proves it small; otherwise the caller falls back to a shuffle join and
+AQE may still switch to a broadcast from runtime statistics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_LITERAL_ROWS = 10_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has no more than ``max_rows`` rows (reads at most max_rows+1)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when the row count is proven below ``max_rows``."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def collect_bounded(df: DataFrame, max_rows: int = DEFAULT_LITERAL_ROWS):
+    """Collect a small table (codebook, vocabulary); refuse if it is not small."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"table has more than {max_rows} rows; use the join path")
+    return rows
