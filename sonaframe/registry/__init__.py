@@ -5,6 +5,6 @@ from .base import REGISTRY, register, table  # noqa: F401
 
 def load_all() -> dict:
     # importing the modules fills REGISTRY
-    from . import scans  # noqa: F401
+    from . import filters, scans  # noqa: F401
 
     return REGISTRY
