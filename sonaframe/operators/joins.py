@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util.sizing import DEFAULT_LITERAL_ROWS, checked_broadcast, has_at_most
+from ..util.rank import global_row_number
+from ..util.sizing import DEFAULT_LITERAL_ROWS, checked_broadcast, collect_bounded, has_at_most
 
 REASON_NOT_IN = "not_in"
 
@@ -82,8 +83,8 @@ def optional_feature(items: DataFrame, features: DataFrame, key: str, length_col
 
 # J7 ---------------------------------------------------------------------------
 
-def _vocab_map(vocab: DataFrame, k: str, v: str) -> Column:
-    rows = vocab.select(k, v).collect()
+def _vocab_map(vocab: DataFrame, k: str, v: str, max_rows: int = DEFAULT_LITERAL_ROWS) -> Column:
+    rows = collect_bounded(vocab.select(k, v), max_rows)
     return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
 
 
@@ -102,7 +103,7 @@ def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Seq
     if policy not in ("reject", "unk", "drop"):
         raise ValueError(policy)
     if has_at_most(vocab, literal_rows):
-        m = _vocab_map(vocab, symbol_col, id_col)
+        m = _vocab_map(vocab, symbol_col, id_col, literal_rows)
         looked = F.transform(F.col(tokens_col), lambda t: F.try_element_at(m, t))
         unk_id = F.try_element_at(m, F.lit(unk_symbol))
         return _finish_encode(df.withColumn("_ids", looked), tokens_col, policy, unk_id, out_col)
@@ -137,8 +138,7 @@ def _encode_by_join(df, tokens_col, vocab, key_cols, symbol_col, id_col, policy,
     per_row = per_row.select(*keys, F.transform("_s", lambda s: s["_id"]).alias("_ids"))
     out = df.join(per_row, keys, "left").withColumn(
         "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
-    return _finish_encode(out, tokens_col, "drop" if policy == "drop" else
-                          ("unk" if policy == "unk" else "reject"), F.lit(None), out_col)
+    return _finish_encode(out, tokens_col, policy, F.lit(None), out_col)
 
 
 def vocab_decode(df: DataFrame, ids_col: str, vocab: DataFrame, symbol_col: str = "symbol",
@@ -150,10 +150,9 @@ def vocab_decode(df: DataFrame, ids_col: str, vocab: DataFrame, symbol_col: str
 
 def symbol_vocabulary(symbols: DataFrame, symbol_col: str = "symbol") -> DataFrame:
     """Sorted distinct symbols with id = rank from 0."""
-    from pyspark.sql import Window
     d = symbols.select(F.col(symbol_col).alias("symbol")).distinct()
-    # the vocabulary is small by construction (a symbol set); one ordered task is bounded
-    return d.select("symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).cast("int").alias("id"))
+    ranked = global_row_number(d, ["symbol"], "_rn")
+    return ranked.select("symbol", (F.col("_rn") - 1).cast("int").alias("id"))
 
 
 # J8 ---------------------------------------------------------------------------
