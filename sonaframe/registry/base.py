@@ -37,4 +37,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def r6(c: Column | str) -> Column:
     """Round to 6 places as ``floor(x·1e6 + 0.5) / 1e6`` (same doubles as the SQL twin)."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.floor(x * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0)
+    # large magnitudes stay as they are (floor would leave the 64-bit range)
+    return F.when(F.abs(x) < F.lit(1e12), F.floor(x * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0)).otherwise(x)

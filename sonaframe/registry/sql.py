@@ -66,4 +66,4 @@ def md5_unit(expr: str, seed: int = 42) -> str:
 
 def r6(x: str) -> str:
     """Same rounding as ``registry.base.r6``: identical double arithmetic in both engines."""
-    return f"(floor(({x}) * 1000000.0 + 0.5) / 1000000.0)"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * 1000000.0 + 0.5) / 1000000.0 ELSE ({x}) END)"
