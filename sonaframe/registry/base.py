@@ -35,7 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str) -> Column:
-    """Round to 6 places as ``floor(x·1e6 + 0.5) / 1e6`` (same doubles as the SQL twin)."""
+    """Round to 6 places as ``floor(x·1e6 + 0.5) / 1e6``, or to 7 significant digits
+    from 1e6 up; the SQL twin does the same double arithmetic."""
     x = F.col(c) if isinstance(c, str) else c
-    # large magnitudes stay as they are (floor would leave the 64-bit range)
-    return F.when(F.abs(x) < F.lit(1e12), F.floor(x * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0)).otherwise(x)
+    small = F.floor(x * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0)
+    # |x| >= 1e6: 7 significant digits (mantissa rounded, then scaled back)
+    k = F.floor(F.log10(F.abs(x)))
+    scale = F.pow(F.lit(10.0), k)
+    big = F.floor(x / scale * F.lit(1000000.0) + F.lit(0.5)) / F.lit(1000000.0) * scale
+    return F.when(F.abs(x) < F.lit(1e6), small).otherwise(big)

@@ -66,4 +66,6 @@ def md5_unit(expr: str, seed: int = 42) -> str:
 
 def r6(x: str) -> str:
     """Same rounding as ``registry.base.r6``: identical double arithmetic in both engines."""
-    return f"(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * 1000000.0 + 0.5) / 1000000.0 ELSE ({x}) END)"
+    k = f"floor(log10(abs({x})))"
+    return (f"(CASE WHEN abs({x}) < 1e6 THEN floor(({x}) * 1000000.0 + 0.5) / 1000000.0 "
+            f"ELSE floor(({x}) / pow(10.0, {k}) * 1000000.0 + 0.5) / 1000000.0 * pow(10.0, {k}) END)")
