@@ -56,16 +56,28 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str],
                       name: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1..n following ``order_cols`` (which must be a total order).
 
-    Plan: one range exchange on the order key, one hash exchange on the
-    partition id for the in-partition number, and an aggregate of one row per
-    partition that is broadcast back (bounded by ``num_partitions``).
+    Plan: one range exchange on the full order key, a sort inside each
+    partition, ``monotonically_increasing_id`` (partition id in the upper
+    bits, in-partition index in the lower 33 bits), then a reliable
+    checkpoint into the session's checkpoint folder.  The checkpoint pins the
+    partition assignment: range bounds come from sampling, and two
+    recomputations of the exchange are not guaranteed to agree, while the
+    counts per partition and the rows must come from the same assignment.
+    The offsets table has one row per partition (broadcast, bounded by the
+    partition count).
     """
+    from ..session import ensure_checkpoint_dir
+
     order = [_as_col(c) for c in order_cols]
     n = _num_partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_lrn", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
+    pid = F.shiftright(F.col("_mid"), 33)
+    local = ranged.withColumn("_pid", pid).withColumn(
+        "_lrn", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + F.lit(1))
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a single-task window over it is bounded
     offsets = counts.select(
         "_pid",
@@ -76,4 +88,59 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str],
     )
     out = local.join(F.broadcast(offsets), "_pid").withColumn(
         name, (F.col("_off") + F.col("_lrn")).cast("long"))
-    return out.drop("_pid", "_lrn", "_off")
+    return out.drop("_pid", "_lrn", "_off", "_mid")
+
+
+DEFAULT_BLOCK_ROWS = 1_000_000
+
+_SCAN_OPS = {"min": F.min, "max": F.max, "sum": F.sum}
+
+
+def global_scan(df: DataFrame, order_cols: Sequence[Column | str], value: Column | str,
+                op: str = "sum", name: str = "scan", rn_col: str = "rn",
+                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Inclusive running ``op`` (sum/min/max) of ``value`` along a global order.
+
+    Rows get ``rn`` (1..n) from ``global_row_number`` and fall into blocks of
+    ``block_rows`` consecutive positions.  Each block runs its own window
+    (blocks are equal-sized, so no task is larger than one block); block
+    totals (n / block_rows rows) are scanned once and carried in by a
+    broadcast whose size is bounded by that count.  With no ``order_cols``
+    the frame must already carry its numbering in ``rn_col``.
+    """
+    agg = _SCAN_OPS[op]
+    v = _as_col(value)
+    if order_cols:
+        ranked = global_row_number(df.withColumn("_v", v), order_cols, rn_col)
+    else:
+        ranked = df.withColumn("_v", v)
+    ranked = ranked.withColumn("_blk", F.floor((F.col(rn_col) - 1) / F.lit(block_rows)).cast("long"))
+    w_in = Window.partitionBy("_blk").orderBy(rn_col).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranked.withColumn("_run", agg("_v").over(w_in))
+    totals = ranked.groupBy("_blk").agg(agg("_v").alias("_tot"))
+    # n / block_rows rows: one ordered task over them is bounded
+    carry = totals.select(
+        "_blk", agg("_tot").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    out = running.join(F.broadcast(carry), "_blk", "left")
+    if op == "sum":
+        combined = F.coalesce(F.col("_carry"), F.lit(0)) + F.col("_run")
+    elif op == "min":
+        combined = F.least(F.col("_carry"), F.col("_run"))
+    else:
+        combined = F.greatest(F.col("_carry"), F.col("_run"))
+    return out.withColumn(name, combined).drop("_v", "_blk", "_run", "_carry")
+
+
+def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
+                name: str = "pos", rn_col: str = "_grn") -> DataFrame:
+    """1-based position inside each group without a window per group.
+
+    One global numbering over (group, order) and the first number of each
+    group (a grouped ``min``, partially aggregated) joined back.  A hot group
+    is spread over many range partitions instead of one task; the join back
+    is on the group key, whose skew AQE splits.
+    """
+    ranked = global_row_number(df, [*group_cols, *order_cols], rn_col)
+    starts = ranked.groupBy(*group_cols).agg(F.min(rn_col).alias("_start"), F.count(F.lit(1)).alias("_gsize"))
+    out = ranked.join(starts, list(group_cols), "inner")
+    return out.withColumn(name, (F.col(rn_col) - F.col("_start") + 1).cast("long")).drop("_start")
