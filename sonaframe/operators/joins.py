@@ -91,14 +91,15 @@ def _vocab_map(vocab: DataFrame, k: str, v: str, max_rows: int = DEFAULT_LITERAL
 def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Sequence[str],
                  symbol_col: str = "symbol", id_col: str = "id", policy: str = "reject",
                  unk_symbol: str = "UNK", out_col: str = "ids",
-                 literal_rows: int = DEFAULT_LITERAL_ROWS) -> DataFrame:
+                 literal_rows: int = 256) -> DataFrame:
     """Symbols → ids.
 
     policy ``reject``: an unknown symbol rejects the row (``reject_reason``
     = 'not_in', ids null); ``unk``: unknown → id of ``unk_symbol``; ``drop``:
     unknown symbols are removed.  A vocabulary of at most ``literal_rows``
-    rows becomes a literal map evaluated inside codegen (no shuffle);
-    a larger one is joined on the exploded symbols.
+    rows (a phone symbol set) becomes a literal map evaluated inside codegen
+    (no shuffle; map lookups scan the keys, so this is kept small); a larger
+    one is joined on the exploded symbols.
     """
     if policy not in ("reject", "unk", "drop"):
         raise ValueError(policy)
@@ -127,6 +128,10 @@ def _finish_encode(df: DataFrame, tokens_col: str, policy: str, unk_id: Column,
 
 def _encode_by_join(df, tokens_col, vocab, key_cols, symbol_col, id_col, policy, unk_symbol, out_col):
     keys = list(key_cols)
+    # hash-partition the compact rows once: explode and the broadcast join keep
+    # that partitioning, so regrouping by the row key and joining back need no
+    # further exchange of the exploded rows
+    df = df.repartition(*keys)
     ex = df.select(*keys, F.posexplode(F.col(tokens_col)).alias("_pos", "_sym"))
     v = checked_broadcast(vocab.select(F.col(symbol_col).alias("_sym"), F.col(id_col).alias("_id")))
     looked = ex.join(v, "_sym", "left")
