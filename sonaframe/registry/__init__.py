@@ -5,6 +5,6 @@ from .base import REGISTRY, register, table  # noqa: F401
 
 def load_all() -> dict:
     # importing the modules fills REGISTRY
-    from . import aggs, arrays, filters, joins, lexicon, scans, signal, streaming, text, windows  # noqa: F401
+    from . import aggs, arrays, filters, joins, lexicon, plans, scans, signal, streaming, text, windows  # noqa: F401
 
     return REGISTRY
