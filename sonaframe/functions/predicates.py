@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # The punctuation set whose all-member segments are dropped.
 PUNCT_SET = "!?…,.- "
-PUNCT_ONLY_RE = r"^[!?…,.\- ]*$"
+PUNCT_ONLY_RE = r"^[!?…,.\- ]*\z"
 
 
 def c_(c: Column | str) -> Column:
@@ -51,7 +51,7 @@ def is_full(*cols: Column | str) -> Column:
 def _strip_char(c: Column, ch: str) -> Column:
     import re
     e = re.escape(ch) if ch != "\n" else r"\n"
-    return F.regexp_replace(c, f"^{e}+|{e}+$", "")
+    return F.regexp_replace(c, f"^{e}+|{e}+\\z", "")
 
 
 def clean_path(c: Column | str) -> Column:

@@ -109,19 +109,19 @@ def collapse_punct(c: Column | str) -> Column:
 
 
 def strip_newlines(c: Column | str) -> Column:
-    return F.regexp_replace(c_(c), r"^\n+|\n+$", "")
+    return F.regexp_replace(c_(c), r"^\n+|\n+\z", "")
 
 
 def first_clause(c: Column | str) -> Column:
     """Text before the first split mark, whitespace-stripped."""
-    return F.regexp_replace(F.regexp_extract(c_(c), f"^({_ncls(SPLITS)}*)", 1), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_extract(c_(c), f"^({_ncls(SPLITS)}*)", 1), r"^\s+|\s+\z", "")
 
 
 def ensure_final_mark(c: Column | str, lang: Column | str | None = None) -> Column:
     """Append '.' (English) or '。' when the last character is not a split mark."""
     x = c_(c)
     mark = F.lit(".") if lang is None else F.when(c_(lang) == "en", F.lit(".")).otherwise(F.lit("。"))
-    ends = x.rlike(_cls(SPLITS) + "$")
+    ends = x.rlike(_cls(SPLITS) + "\\z")
     return F.when(ends | (F.length(x) == 0), x).otherwise(F.concat(x, mark))
 
 
@@ -144,13 +144,13 @@ def prepare_target(c: Column | str, lang: Column | str | None = None) -> Column:
 def split_sentences(c: Column | str) -> Column:
     """T3: '……'→'。', '——'→'，', ensure a final mark, cut after every split mark."""
     x = F.replace(F.replace(c_(c), F.lit("……"), F.lit("。")), F.lit("——"), F.lit("，"))
-    x = F.when(x.rlike(_cls(SPLITS) + "$") | (F.length(x) == 0), x).otherwise(F.concat(x, F.lit("。")))
+    x = F.when(x.rlike(_cls(SPLITS) + "\\z") | (F.length(x) == 0), x).otherwise(F.concat(x, F.lit("。")))
     return F.regexp_extract_all(x, F.lit(f"{_ncls(SPLITS)}*{_cls(SPLITS)}"), 0)
 
 
 def not_punct_only(arr: Column, chars: str = PUNCT7) -> Column:
     """Drop array items made only of ``chars`` (an empty item too)."""
-    return F.filter(arr, lambda s: ~s.rlike(f"^{_cls(chars)}*$"))
+    return F.filter(arr, lambda s: ~s.rlike(f"^{_cls(chars)}*\\z"))
 
 
 def cut_four(c: Column | str) -> Column:
@@ -199,7 +199,7 @@ def cut_fifty(c: Column | str, limit: int = 50) -> Column:
 def cut_on_stop(c: Column | str, mark: str = "。") -> Column:
     """Strip the mark at both ends, split on it (the mark is lost), drop punctuation-only pieces."""
     e = re.escape(mark)
-    x = F.regexp_replace(strip_newlines(c), f"^{e}+|{e}+$", "")
+    x = F.regexp_replace(strip_newlines(c), f"^{e}+|{e}+\\z", "")
     return not_punct_only(F.split(x, e, -1))
 
 
@@ -215,7 +215,7 @@ def cut_punct(c: Column | str) -> Column:
     # removed by the marks-only filter below, as in the reference
     pieces = F.split(x, f"(?<={p})", -1)
     pieces = F.transform(pieces, lambda s: F.replace(s, F.lit(PROTECT), F.lit(".")))
-    return F.filter(pieces, lambda s: ~s.rlike(f"^{p}*$"))
+    return F.filter(pieces, lambda s: ~s.rlike(f"^{p}*\\z"))
 
 
 def cut_custom(c: Column | str, punc: str) -> Column:
@@ -434,13 +434,13 @@ def normalize_spacing(c: Column | str) -> Column:
     x = F.regexp_replace(c_(c), r"\p{Z}+(" + p + ")", "$1")
     x = F.regexp_replace(x, "(" + p + r")(\p{L})", "$1 $2")
     x = F.regexp_replace(x, r"\p{Z}+", " ")
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, r"^\s+|\s+\z", "")
 
 
 # T21 ---------------------------------------------------------------------------------
 
 def whitespace_tokens(c: Column | str) -> Column:
-    x = F.regexp_replace(c_(c), r"^\s+|\s+$", "")
+    x = F.regexp_replace(c_(c), r"^\s+|\s+\z", "")
     return F.filter(F.split(x, r"\s+", -1), lambda t: t != "")
 
 

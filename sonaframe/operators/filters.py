@@ -50,13 +50,13 @@ def rejected(df: DataFrame, name: str = "reject_reason") -> DataFrame:
 
 def clean_words(c: Column | str) -> Column:
     """Trim, lower, split on whitespace, keep all-letter words, join by one space."""
-    words = F.split(F.lower(F.regexp_replace(c_(c), r"^\s+|\s+$", "")), r"\s+", -1)
-    return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")), " ")
+    words = F.split(F.lower(F.regexp_replace(c_(c), r"^\s+|\s+\z", "")), r"\s+", -1)
+    return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}+\z")), " ")
 
 
 def clean_lines(df: DataFrame, line_col: str = "line", out_col: str = "text") -> DataFrame:
     """drop blank lines, then clean; a line that cleans to '' is kept."""
-    return df.where(~F.col(line_col).rlike(r"^\s*$")).withColumn(out_col, clean_words(line_col))
+    return df.where(~F.col(line_col).rlike(r"^\s*\z")).withColumn(out_col, clean_words(line_col))
 
 
 # F2 ---------------------------------------------------------------------------

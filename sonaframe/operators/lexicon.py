@@ -79,7 +79,7 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
     letters = _letter_map(lexicon)
     o = F.col(word_col)
     t = tokens.withColumn("_w", F.lower(o))
-    t = t.withColumn("_stem", F.when(F.col("_w").rlike("^[a-z]+'s$"),
+    t = t.withColumn("_stem", F.when(F.col("_w").rlike("^[a-z]+'s\\z"),
                                      F.expr("substring(_w, 1, length(_w) - 2)")))
     t = t.join(lex, t["_w"] == lex["_lw"], "left").drop("_lw")
     stem_lex = checked_broadcast(lexicon.select(F.col("word").alias("_sw"), F.col("phones").alias("_slex")))
@@ -90,7 +90,7 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
     else:
         t = t.withColumn("_name", F.lit(None).cast("array<string>"))
     w = F.col("_w")
-    title = o.rlike(r"^\p{Lu}\p{Ll}*$")
+    title = o.rlike(r"^\p{Lu}\p{Ll}*\z")
     stem = F.col("_stem")
     stem_phones = (F.when((F.length(stem) > 1) & F.col("_slex").isNotNull(), F.col("_slex"))
                     .when(F.length(stem) <= 3, spell(stem, letters)))

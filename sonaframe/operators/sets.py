@@ -51,7 +51,7 @@ def upsample_small(df: DataFrame, min_num: int = 100) -> DataFrame:
 # U4 ---------------------------------------------------------------------------
 
 def _next_path(path_col):
-    stem = F.regexp_replace(path_col, r"\.[^./]*$", "")
+    stem = F.regexp_replace(path_col, r"\.[^./]*\z", "")
     return F.concat(stem, F.lit("_00.wav"))
 
 

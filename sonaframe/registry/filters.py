@@ -84,7 +84,7 @@ def _gated(spark, sf):
                          F.col("n_chars").alias("n_sem"))
     from ..sources.tables import parse_phoneme_lines
     ph = parse_phoneme_lines(derive.phoneme_lines(docs, table(spark, sf, "labels")))
-    return gate_training_pairs(tokens, ph, key="item_name", phon_key="name", known_re=r"^[a-z']+$",
+    return gate_training_pairs(tokens, ph, key="item_name", phon_key="name", known_re=r"^[a-z']+\z",
                                hz=25, max_sec=54, min_ps=3, max_ps=25)
 
 
