@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as E
@@ -16,7 +17,7 @@ SQLS = E.oracle_sql()
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, (float, np.floating)):
         return None if math.isnan(v) else round(float(v), 6)
