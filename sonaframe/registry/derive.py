@@ -33,21 +33,27 @@ def phoneme_lines(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Phoneme TSV lines for labelled documents; low-quality ones get a later duplicate.
 
     ``name<TAB>words<TAB>[len, len, ...]<TAB>text`` with ``line_no = 2·doc_id``;
-    the duplicate (``2·doc_id + 1``) carries the reversed word list and must win.
+    the duplicate (``2·doc_id + 1``) carries the reversed word list and must
+    win; a toxic, high-quality document gets a malformed later line that must
+    be dropped.  One pass: the words are extracted once per document and the
+    up to three lines are exploded from that row.
     """
-    j = docs.join(labels, "doc_id")
-    words = doc_words()
+    j = docs.select("doc_id", "text").join(labels.select("doc_id", "quality", "toxic"), "doc_id")
+    j = j.select("doc_id", "quality", "toxic", doc_words().alias("w"),
+                 F.regexp_replace(F.col("text"), r"[\n\t]", " ").alias("norm"))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".wav"))
-    w2p = F.concat(F.lit("["), F.array_join(F.transform(words, lambda w: F.length(w).cast("string")), ", "), F.lit("]"))
-    norm = F.regexp_replace(F.col("text"), r"[\n\t]", " ")
-    first = j.select((F.col("doc_id") * 2).alias("line_no"),
-                     F.concat_ws("\t", name, F.array_join(words, " "), w2p, norm).alias("line"))
-    dup = j.where(F.col("quality") == 0).select(
+    w = F.col("w")
+    w2p = F.concat(F.lit("["), F.array_join(F.transform(w, lambda x: F.length(x).cast("string")), ", "), F.lit("]"))
+    first = F.struct((F.col("doc_id") * 2).alias("line_no"),
+                     F.concat_ws("\t", name, F.array_join(w, " "), w2p, F.col("norm")).alias("line"))
+    dup = F.when(F.col("quality") == 0, F.struct(
         (F.col("doc_id") * 2 + 1).alias("line_no"),
-        F.concat_ws("\t", name, F.array_join(F.reverse(words), " "), F.lit("None"), F.concat(F.lit("v2 "), norm)).alias("line"))
-    bad = j.where((F.col("toxic") == 1) & (F.col("quality") == 1)).select(
-        (F.col("doc_id") * 2 + 1).alias("line_no"), F.concat_ws("\t", name, F.lit("x")).alias("line"))
-    return first.unionByName(dup).unionByName(bad)
+        F.concat_ws("\t", name, F.array_join(F.reverse(w), " "), F.lit("None"),
+                    F.concat(F.lit("v2 "), F.col("norm"))).alias("line")))
+    bad = F.when((F.col("toxic") == 1) & (F.col("quality") == 1), F.struct(
+        (F.col("doc_id") * 2 + 1).alias("line_no"), F.concat_ws("\t", name, F.lit("x")).alias("line")))
+    lines = F.filter(F.array(first, dup, bad), lambda x: x.isNotNull())
+    return j.select(F.explode(lines).alias("l")).select("l.line_no", "l.line")
 
 
 def token_rows(lineitem: DataFrame) -> DataFrame:
