@@ -75,6 +75,11 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
     ('spelled'); ``stem's`` → the stem's phones plus S / AH0 Z / Z
     ('possessive'); anything else 'oov' with null phones.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(lexicon.sparkSession)
+    # the merged lexicon feeds two joins, a size check and the letter map:
+    # write it once so it is built once (it is a dictionary, not corpus data)
+    lexicon = lexicon.select("word", "phones").checkpoint(eager=True)
     lex = checked_broadcast(lexicon.select(F.col("word").alias("_lw"), F.col("phones").alias("_lex")))
     letters = _letter_map(lexicon)
     o = F.col(word_col)
