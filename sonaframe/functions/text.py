@@ -305,15 +305,45 @@ def ordered_replace(c: Column | str, rules: Sequence[tuple[str, str]]) -> Column
     return x
 
 
+def _class_chars(pattern: str) -> str:
+    """The characters of a plain ``[...]`` class (escapes resolved)."""
+    body = pattern[1:-1]
+    out, i = [], 0
+    while i < len(body):
+        if body[i] == "\\" and i + 1 < len(body):
+            out.append(body[i + 1])
+            i += 2
+        else:
+            out.append(body[i])
+            i += 1
+    return "".join(dict.fromkeys(out))
+
+
+def replace_symbols(c: Column | str, rules: Sequence[tuple[str, str]]) -> Column:
+    """Replace single characters by words in one pass: the text is cut into
+    runs of ordinary characters and single rule characters, and only the
+    latter are looked up.  Equal to the sequential replaces when no target
+    contains a source character (true for the symbol table)."""
+    src = "".join(a for a, _ in rules)
+    k = _cls(src)
+    m = F.create_map(*[F.lit(x) for a, b in rules for x in (a, b)])
+    parts = F.regexp_extract_all(c_(c), F.lit(f"{k}|{_ncls(src)}+"), 0)
+    return F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(m, t), t)), "")
+
+
 def strip_specials(c: Column | str, zh: bool = True) -> Column:
     """The sentence splitter's special-character removal (zh also drops
-    spaces), then unit words, symbol words and the post pass (adds ``-``, ``=``)."""
+    spaces), then unit words, symbol words and the post pass (adds ``-``, ``=``).
+
+    Removals are ``translate`` deletions (one hash lookup per character); the
+    unit words keep their order (``m`` before ``mm``); the symbol words are
+    one tokenising pass."""
     x = c_(c)
     if zh:
-        x = F.regexp_replace(F.replace(x, F.lit(" "), F.lit("")), ZH_SPECIALS_RE, "")
+        x = F.translate(x, " " + _class_chars(ZH_SPECIALS_RE), "")
     x = ordered_replace(x, MEASURE_WORDS)
-    x = ordered_replace(x, ZH_SYMBOL_WORDS)
-    return F.regexp_replace(x, ZH_SPECIALS_POST_RE, "")
+    x = replace_symbols(x, ZH_SYMBOL_WORDS)
+    return F.translate(x, _class_chars(ZH_SPECIALS_POST_RE), "")
 
 
 # T15 --------------------------------------------------------------------------------
@@ -356,18 +386,23 @@ def nsw_counts(c: Column | str, classes: Sequence[str] | None = None) -> Column:
     """``map<class, count>`` of matches per class (classes overlap)."""
     x = c_(c)
     chosen = [(k, p) for k, p in NSW_PATTERNS if classes is None or k in classes]
-    return F.create_map(*[v for k, p in chosen for v in (F.lit(k), F.regexp_count(x, F.lit(p)).cast("long"))])
+    counts = F.create_map(*[v for k, p in chosen for v in (F.lit(k), F.regexp_count(x, F.lit(p)).cast("long"))])
+    zeros = F.create_map(*[v for k, _ in chosen for v in (F.lit(k), F.lit(0).cast("long"))])
+    # every class needs a digit: one scan for a digit spares the other patterns
+    return F.when(x.rlike(r"\d"), counts).otherwise(zeros)
 
 
 def nsw_first_match(c: Column | str) -> Column:
     """T15 first-match-wins: ``map<class, count>`` where each class only sees
     the text left after removing the earlier classes' matches (rule order)."""
-    x = c_(c)
+    x0 = c_(c)
+    x = x0
     parts = []
     for k, p in NSW_PATTERNS:
         parts += [F.lit(k), F.regexp_count(x, F.lit(p)).cast("long")]
         x = F.regexp_replace(x, p, " ")
-    return F.create_map(*parts)
+    zeros = F.create_map(*[v for k, _ in NSW_PATTERNS for v in (F.lit(k), F.lit(0).cast("long"))])
+    return F.when(x0.rlike(r"\d"), F.create_map(*parts)).otherwise(zeros)
 
 
 # T16 / T17 / T19 / T20 ------------------------------------------------------------------
