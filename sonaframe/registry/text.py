@@ -96,7 +96,29 @@ def q_cut_four(spark, sf):
     return _docs(spark, sf).select("doc_id", *_joined(T.cut_four("text"), "pieces"))
 
 
-@register("cut_fifty")
+FIFTY_SQL = f"""
+WITH r AS (SELECT doc_id, {STRIP_NL} AS raw FROM documents),
+s0 AS (SELECT doc_id, raw, replace(replace(raw, '……', '。'), '——', '，') AS t FROM r),
+s1 AS (SELECT doc_id, raw, CASE WHEN regexp_matches(t, '{SPL}$') OR length(t) = 0 THEN t ELSE t || '。' END AS t FROM s0),
+s AS (SELECT doc_id, raw, regexp_extract_all(t, '{NSPL}*{SPL}', 0) AS s FROM s1),
+f AS (SELECT doc_id, raw, s, list_reduce(s, lambda acc, x:
+        CASE WHEN length(split_part(acc, chr(2), 2) || x) > 50
+             THEN CASE WHEN split_part(acc, chr(2), 1) = '' THEN '' ELSE split_part(acc, chr(2), 1) || chr(1) END
+                  || split_part(acc, chr(2), 2) || x || chr(2)
+             ELSE split_part(acc, chr(2), 1) || chr(2) || split_part(acc, chr(2), 2) || x END, chr(2)) AS st
+      FROM s),
+o AS (SELECT doc_id, raw, s,
+             list_concat(CASE WHEN split_part(st, chr(2), 1) = '' THEN []::VARCHAR[] ELSE string_split(split_part(st, chr(2), 1), chr(1)) END,
+                         CASE WHEN split_part(st, chr(2), 2) = '' THEN []::VARCHAR[] ELSE [split_part(st, chr(2), 2)] END) AS out
+      FROM f),
+m AS (SELECT doc_id, CASE WHEN len(s) < 2 THEN [raw]
+             ELSE list_filter(CASE WHEN len(out) > 1 AND length(out[-1]) < 50
+                                   THEN list_concat(out[1:len(out) - 2], [out[-2] || out[-1]]) ELSE out END,
+                              lambda p: NOT regexp_matches(p, '^{P7}*$')) END AS p FROM o)
+SELECT doc_id, array_to_string(p, chr(10)) AS pieces, CAST(len(p) AS BIGINT) AS n_pieces FROM m"""
+
+
+@register("cut_fifty", FIFTY_SQL)
 def q_cut_fifty(spark, sf):
     return _docs(spark, sf).select("doc_id", *_joined(T.cut_fifty("text"), "pieces"))
 
@@ -147,7 +169,29 @@ def q_cut_custom(spark, sf):
     return _docs(spark, sf).select("doc_id", T.cut_custom("text", CUSTOM_MARKS).alias("text"))
 
 
-@register("merge_short")
+MERGE_SQL = f"""
+WITH r AS (SELECT doc_id, regexp_replace(regexp_replace({STRIP_NL}, '(\\d)\\.(\\d)', '\\1{T.PROTECT}\\2', 'g'),
+                                         '(\\d)\\.(\\d)', '\\1{T.PROTECT}\\2', 'g') AS t FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(t, '{NCP}*{CP}|{NCP}+$', 0),
+                                                lambda s: replace(s, '{T.PROTECT}', '.')),
+                                 lambda s: NOT regexp_matches(s, '^{CP}*$')) AS p FROM r),
+f AS (SELECT doc_id, p, list_reduce(p, lambda acc, x:
+        CASE WHEN length(split_part(acc, chr(2), 2) || x) >= 5
+             THEN CASE WHEN split_part(acc, chr(2), 1) = '' THEN '' ELSE split_part(acc, chr(2), 1) || chr(1) END
+                  || split_part(acc, chr(2), 2) || x || chr(2)
+             ELSE split_part(acc, chr(2), 1) || chr(2) || split_part(acc, chr(2), 2) || x END, chr(2)) AS st
+      FROM p),
+o AS (SELECT doc_id, p, CASE WHEN split_part(st, chr(2), 1) = '' THEN []::VARCHAR[]
+                             ELSE string_split(split_part(st, chr(2), 1), chr(1)) END AS out,
+             split_part(st, chr(2), 2) AS cur FROM f),
+m AS (SELECT doc_id, CASE WHEN len(p) < 2 THEN p
+                          WHEN cur = '' THEN out
+                          WHEN len(out) = 0 THEN [cur]
+                          ELSE list_concat(out[1:len(out) - 1], [out[-1] || cur]) END AS pieces FROM o)
+SELECT doc_id, array_to_string(pieces, chr(10)) AS pieces, CAST(len(pieces) AS BIGINT) AS n_pieces FROM m"""
+
+
+@register("merge_short", MERGE_SQL)
 def q_merge_short(spark, sf):
     return _docs(spark, sf).select("doc_id", *_joined(T.merge_short(T.cut_punct("text"), 5), "pieces"))
 
@@ -240,7 +284,28 @@ def q_nsw_first_match(spark, sf):
     return d.select("doc_id", *[F.col("m")[k].alias(k) for k, _ in T.NSW_PATTERNS])
 
 
-@register("language_route")
+RUN_RE2 = (r"(\p{Han}[\p{Han}\s\p{P}\d]*|[\p{Hiragana}\p{Katakana}][\p{Hiragana}\p{Katakana}\p{Han}\s\p{P}\d]*"
+           r"|\p{Hangul}[\p{Hangul}\s\p{P}\d]*|[\p{Latin}\d][\p{Latin}\s\p{P}\d]*)")
+ROUTE_SQL = f"""
+WITH r AS (SELECT doc_id, text, regexp_extract_all(text, {q(RUN_RE2)}, 0) AS runs FROM documents),
+s AS (SELECT doc_id, text, runs,
+             list_transform(runs, lambda x: CASE WHEN regexp_matches(x, '^\\p{{Han}}') THEN 'zh'
+                                                 WHEN regexp_matches(x, '^[\\p{{Hiragana}}\\p{{Katakana}}]') THEN 'ja'
+                                                 WHEN regexp_matches(x, '^\\p{{Hangul}}') THEN 'ko' ELSE 'en' END) AS langs
+      FROM r),
+ex AS (SELECT doc_id, runs, langs, unnest(generate_series(1, len(runs))) AS i FROM s)
+SELECT doc_id, 'auto' AS mode, CAST(i - 1 AS BIGINT) AS seg_no, runs[i] AS text,
+       CASE WHEN langs[i] = 'ko' THEN 'zh' ELSE langs[i] END AS lang FROM ex
+UNION ALL
+SELECT doc_id, 'zh', CAST(i - 1 AS BIGINT), runs[i], CASE WHEN langs[i] = 'en' THEN 'en' ELSE 'zh' END FROM ex
+UNION ALL
+SELECT doc_id, 'en', CAST(0 AS BIGINT),
+       regexp_replace(array_to_string(list_filter(runs, lambda x, j: langs[j] = 'en'), ' '), ' {{2,}}', ' ', 'g'), 'en' FROM s
+UNION ALL
+SELECT doc_id, 'all_ja', CAST(0 AS BIGINT), regexp_replace(text, ' {{2,}}', ' ', 'g'), 'ja' FROM documents"""
+
+
+@register("language_route", ROUTE_SQL)
 def q_language_route(spark, sf):
     d = _docs(spark, sf)
     out = []
