@@ -324,11 +324,17 @@ def replace_symbols(c: Column | str, rules: Sequence[tuple[str, str]]) -> Column
     runs of ordinary characters and single rule characters, and only the
     latter are looked up.  Equal to the sequential replaces when no target
     contains a source character (true for the symbol table)."""
-    src = "".join(a for a, _ in rules)
+    src = "".join(dict.fromkeys(a for a, _ in rules))
     k = _cls(src)
     m = F.create_map(*[F.lit(x) for a, b in rules for x in (a, b)])
-    parts = F.regexp_extract_all(c_(c), F.lit(f"{k}|{_ncls(src)}+"), 0)
-    return F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(m, t), t)), "")
+
+    def tokenized(v: Column) -> Column:
+        parts = F.regexp_extract_all(v, F.lit(f"{k}|{_ncls(src)}+"), 0)
+        return F.array_join(F.transform(parts, lambda t: F.coalesce(F.try_element_at(m, t), t)), "")
+
+    # a translate deletion is a cheap test for "holds a rule character":
+    # texts without one skip the tokenizer
+    return let(c_(c), lambda v: F.when(F.length(F.translate(v, src, "")) != F.length(v), tokenized(v)).otherwise(v))
 
 
 def strip_specials(c: Column | str, zh: bool = True) -> Column:
