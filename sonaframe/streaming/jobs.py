@@ -23,6 +23,18 @@ from ..session import ensure_checkpoint_dir
 from ..sources.labels import parse_label_lines
 
 
+def as_instant(c) -> F.Column:
+    """Event time as a TIMESTAMP instant, independent of the session time zone.
+
+    The tables store wall-clock ``TIMESTAMP_NTZ`` values meant as UTC; a plain
+    cast would read them in the session zone.  Epoch micros of the wall clock
+    rebuild the instant exactly."""
+    col = F.col(c) if isinstance(c, str) else c
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              col.cast("timestamp_ntz"))
+    return F.timestamp_micros(micros)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's (shared) checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
@@ -72,8 +84,7 @@ def _overwrite_sink(path: str):
 def gap_segments_stream(events: DataFrame, gap: str, key: str = "user_id", ts_col: str = "ts",
                         watermark: str = "1 hour") -> DataFrame:
     """X2 (plan): sessions of one key closed by an event gap longer than ``gap``."""
-    ts = F.col(ts_col).cast("timestamp")
-    e = events.withColumn("_ts", ts).withWatermark("_ts", watermark)
+    e = events.withColumn("_ts", as_instant(ts_col)).withWatermark("_ts", watermark)
     s = e.groupBy(F.col(key), F.session_window("_ts", gap).alias("sw")).agg(F.count(F.lit(1)).alias("n_events"))
     return s.select(key, F.unix_micros(F.col("sw.start")).alias("start_us"),
                     F.unix_micros(F.col("sw.end")).alias("end_us"), "n_events")
@@ -100,7 +111,7 @@ def gap_segments_batch(events: DataFrame, gap_seconds: int, key: str = "user_id"
     of the key is at least ``gap``; segment end = last event + gap (as a
     session window).  Window per key ordered by time."""
     from pyspark.sql import Window
-    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    us = F.unix_micros(as_instant(ts_col))
     w = Window.partitionBy(key).orderBy(us)
     e = events.withColumn("_us", us).withColumn("_prev", F.lag("_us").over(w))
     e = e.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= gap_seconds * 1_000_000), 1).otherwise(0))
@@ -170,7 +181,7 @@ def stream_turns_until_exit(spark: SparkSession, source_dir: str, output_dir: st
 def reject_counts_stream(gated: DataFrame, window: str = "1 hour", ts_col: str = "ts",
                          reason_col: str = "reject_reason", watermark: str = "1 hour") -> DataFrame:
     """X4 (plan): running counts per time window and reject reason."""
-    e = gated.withColumn("_ts", F.col(ts_col).cast("timestamp")).withWatermark("_ts", watermark)
+    e = gated.withColumn("_ts", as_instant(ts_col)).withWatermark("_ts", watermark)
     g = e.groupBy(F.window("_ts", window).alias("w"), F.coalesce(F.col(reason_col), F.lit("kept")).alias("reason"))
     return g.agg(F.count(F.lit(1)).alias("n")).select(
         F.unix_micros(F.col("w.start")).alias("window_start_us"), "reason", "n")
