@@ -1,7 +1,8 @@
 """Array and number column functions.
 
-Built on Spark's higher-order array functions, evaluated per row inside
-codegen; random choices are md5-derived uniforms of the row id.
+Built on Spark's higher-order array functions, evaluated per row on the JVM
+(interpreted, outside whole-stage codegen); random choices are md5-derived
+uniforms of the row id.
 """
 
 from __future__ import annotations

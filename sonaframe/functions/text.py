@@ -1,8 +1,9 @@
 """Text column functions.
 
 Every function maps Columns to a Column built from Spark SQL expressions
-(regexp, translate, higher-order array functions), so they run inside
-whole-stage codegen; none collects or explodes.  Functions returning several
+(regexp, translate, higher-order array functions), so they run on the JVM
+(higher-order functions interpreted, the rest in whole-stage codegen); none
+collects or explodes.  Functions returning several
 pieces return ``array<string>``.
 """
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 KEPT = "kept"
@@ -131,7 +131,3 @@ def eval_summary(log: DataFrame, run_cols: Sequence[str] = (), step_col: str = "
         F.min(F.when(saved, F.col("eval_loss"))).alias("best_eval_loss"),
         F.sum("eval_samples").alias("eval_samples"),
         F.avg("loss").alias("mean_train_loss"))
-
-
-def metric_col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c

@@ -97,7 +97,7 @@ def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Seq
     policy ``reject``: an unknown symbol rejects the row (``reject_reason``
     = 'not_in', ids null); ``unk``: unknown → id of ``unk_symbol``; ``drop``:
     unknown symbols are removed.  A vocabulary of at most ``literal_rows``
-    rows (a phone symbol set) becomes a literal map evaluated inside codegen
+    rows (a phone symbol set) becomes a literal map evaluated in a JVM expression
     (no shuffle; map lookups scan the keys, so this is kept small); a larger
     one is joined on the exploded symbols.
     """

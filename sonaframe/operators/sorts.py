@@ -92,7 +92,7 @@ def newest_by_epoch_step(df: DataFrame, name_col: str, group_cols: Sequence[str]
 
 
 def digits_number(c: Column | str) -> Column:
-    """All digits of the name joined, as a number (0 when there are none)."""
+    """All digits of the name joined, as a number (null when there are none; the reference fails)."""
     x = F.col(c) if isinstance(c, str) else c
     d = F.regexp_replace(x, r"\D", "")
     return F.when(d == "", F.lit(None)).otherwise(d.try_cast("decimal(38,0)"))

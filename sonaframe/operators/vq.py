@@ -1,7 +1,7 @@
 """Vector quantisation over embedding tables.
 
 A codebook (K codes × D dims) is small and bounded; it is collected after a
-size check and applied to every row as a literal array inside codegen, so
+size check and applied to every row as a literal array in a JVM expression, so
 assigning vectors to codes needs neither a join nor a shuffle.  Per-code
 statistics are one grouped aggregate with one sum per dimension (partial
 aggregation map side), never an explode of all coordinates.  Iterative

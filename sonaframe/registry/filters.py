@@ -10,9 +10,6 @@ from ..sources import corpus
 from . import derive, sql
 from .base import r6, register, table
 
-DOC_WORDS_SPARK = derive.doc_words
-
-
 @register("clean_lines", f"""
 WITH {sql.DOC_LINES}
 SELECT doc_id, line_no,

@@ -90,18 +90,28 @@ def gap_segments_stream(events: DataFrame, gap: str, key: str = "user_id", ts_co
                     F.unix_micros(F.col("sw.end")).alias("end_us"), "n_events")
 
 
+def _append_sink(path: str):
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+    return write_batch
+
+
 def stream_gap_segments(spark: SparkSession, source_dir: str, output_dir: str, gap: str = "30 minutes",
-                        glob: str = "events*.parquet", schema: T.StructType | None = None) -> str:
+                        glob: str = "events*.parquet", schema: T.StructType | None = None,
+                        mode: str = "complete", watermark: str = "1 hour") -> str:
     """Run the session-window job over the event files; returns the output path.
 
-    Complete mode keeps one state row per open session; each batch
-    overwrites the output table from the executors.
+    mode ``append`` (an endless stream): a session is written once the
+    watermark passes its end and its state is then dropped.  mode
+    ``complete`` (a finite replay): every batch rewrites all sessions, so
+    the last ones are written too; state keeps every session.
     """
     sch = schema or spark.read.parquet(os.path.join(source_dir, glob)).schema
     events = spark.readStream.schema(sch).option("pathGlobFilter", glob).parquet(source_dir)
     out = os.path.join(output_dir, "segments")
-    writer = (gap_segments_stream(events, gap).writeStream.outputMode("complete")
-              .foreachBatch(_overwrite_sink(out)).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
+    sink = _overwrite_sink(out) if mode == "complete" else _append_sink(out)
+    writer = (gap_segments_stream(events, gap, watermark=watermark).writeStream.outputMode(mode)
+              .foreachBatch(sink).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
     _run(writer)
     return out
 
