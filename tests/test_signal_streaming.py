@@ -47,9 +47,11 @@ def test_slicer_edges(spark, name, arr, expect_clips):
         assert 0 <= c["start"] < c["end"] <= len(arr)
 
 
-def test_spectrum_matches_numpy(spark):
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_spectrum_matches_numpy(spark, chunk):
     y = np.sin(np.arange(40) / 3.0)
-    spec = S.frame_spectrum(_signal_df(spark, {1: y}), n_fft=8, hop=2, win=8).orderBy("frame").collect()
+    spec = S.frame_spectrum(_signal_df(spark, {1: y}), n_fft=8, hop=2, win=8,
+                            chunk_frames=chunk).orderBy("frame").collect()
     pad = (8 - 2) // 2
     yp = np.pad(y, (pad, pad), mode="reflect")
     win = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(8) / 8)
