@@ -133,6 +133,11 @@ def map_language(df: DataFrame, lang_col: str = "lang", out_col: str = "lang_cod
     return with_reason(out, F.when(F.col(out_col).isNull(), F.lit(REASON_LANGUAGE)))
 
 
+def map_inference_language(df: DataFrame, lang_col: str = "lang", out_col: str = "lang_code") -> DataFrame:
+    """F8 at inference: display names and codes, including ``all_*`` and ``auto``."""
+    return map_language(df, lang_col, out_col, INFER_LANGUAGES)
+
+
 # F10 --------------------------------------------------------------------------
 
 def default_group_fill(df: DataFrame, cols: Sequence[str], defaults: Sequence[str | None]) -> DataFrame:

@@ -54,6 +54,18 @@ def step_done(output: DataFrame, min_lines: int = 2) -> bool:
     return output.limit(min_lines).count() >= min_lines
 
 
+def step_files_done(spark, path: str, min_lines: int = 2, min_bytes: int = 31) -> bool:
+    """J3 for a merged text output: done when it has ``min_lines`` lines and
+    ``min_bytes`` bytes (file sizes come from the listing, content unread)."""
+    try:
+        size = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                .agg(F.sum("length")).first()[0]) or 0
+        lines = spark.read.text(path).limit(min_lines).count()
+    except Exception:  # noqa: BLE001 - no output yet
+        return False
+    return lines >= min_lines and size >= min_bytes
+
+
 def require_upstream(items: DataFrame, upstream: DataFrame, key: str,
                      upstream_key: str | None = None) -> DataFrame:
     """Items whose upstream feature exists."""

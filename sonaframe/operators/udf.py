@@ -108,7 +108,9 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType,
 
 # D3 ---------------------------------------------------------------------------
 
-def apply_per_signal(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
+def apply_per_signal(df: DataFrame, key: str | list[str], fn: Callable[[pd.DataFrame], pd.DataFrame],
                      schema: str | T.StructType) -> DataFrame:
-    """D3: ``fn`` over each item's rows (one item = one group)."""
-    return df.groupBy(key).applyInPandas(fn, schema)
+    """D3: ``fn`` over each item's rows (one item, or one bounded chunk of an
+    item, per group)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.groupBy(*keys).applyInPandas(fn, schema)

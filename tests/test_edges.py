@@ -109,3 +109,17 @@ def test_label_edits(spark):
                                "key long, op string, new_text string, break_sec double")
     out = sorted((r["key"], r["part"], r["path"], r["text"], r["n_samples"]) for r in U.apply_label_edits(lab, ed).collect())
     assert out == [(1, 0, "a.wav", "new ", 64000), (2, 0, "b.wav", "two", 16000), (2, 1, "b_00.wav", "two", 48000)]
+
+
+def test_step_files_done_and_inference_languages(spark, tmp_path):
+    from sonaframe.operators.joins import step_files_done
+    out = str(tmp_path / "merged")
+    assert not step_files_done(spark, out)
+    spark.createDataFrame([("a" * 20,), ("b" * 20,)], "value string").coalesce(1).write.text(out)
+    assert step_files_done(spark, out)
+    small = str(tmp_path / "small")
+    spark.createDataFrame([("a",), ("b",)], "value string").coalesce(1).write.text(small)
+    assert not step_files_done(spark, small)          # two lines but under 31 bytes
+    df = spark.createDataFrame([("多语种混合",), ("英文",), ("fr",)], "lang string")
+    got = [(r["lang_code"], r["reject_reason"]) for r in FL.map_inference_language(df).collect()]
+    assert got == [("auto", None), ("en", None), (None, "unsupported_language")]
