@@ -86,9 +86,11 @@ def _gated(spark, sf):
 
 
 @register("quality_gate", QUALITY_SQL + """
-SELECT item_name, n_sem, n_phon, reject_reason FROM g""")
+SELECT item_name, n_sem, CAST(n_phon AS DOUBLE) AS n_phon, reject_reason FROM g""")
 def q_quality_gate(spark, sf):
-    return _gated(spark, sf).select("item_name", "n_sem", "n_phon", "reject_reason")
+    # n_phon is null for unmatched items: returned as double so both sides share one dtype
+    return _gated(spark, sf).select("item_name", "n_sem", F.col("n_phon").cast("double").alias("n_phon"),
+                                    "reject_reason")
 
 
 @register("build_training_set", QUALITY_SQL + """

@@ -14,12 +14,12 @@ def _doc_name(prefix="doc", suffix=""):
 
 
 @register("pair_join", """
-SELECT d.doc_id, l.doc_id IS NOT NULL AS matched, l.quality
+SELECT d.doc_id, l.doc_id IS NOT NULL AS matched, CAST(l.quality AS DOUBLE) AS quality
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q_pair_join(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("name"), "quality")
-    return J.pair_join(d, lab, "doc_id", "name").select("doc_id", "matched", "quality")
+    return J.pair_join(d, lab, "doc_id", "name").select("doc_id", "matched", F.col("quality").cast("double"))
 
 
 @register("key_intersection", """
@@ -93,14 +93,15 @@ def _conv_words(spark, sf):
 @register("vocab_encode", f"""
 WITH {VOCAB_SQL}
 SELECT cw.conv_id, cw.turn,
-       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.n, 0) AS BIGINT) END AS n_ids,
-       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.s, 0) AS BIGINT) END AS ids_sum,
+       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.n, 0) AS DOUBLE) END AS n_ids,
+       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.s, 0) AS DOUBLE) END AS ids_sum,
        CASE WHEN coalesce(a.n_known, 0) <> coalesce(a.n, 0) THEN 'not_in' END AS reject_reason
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode(spark, sf):
     out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"], policy="reject")
-    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"),
+    # rejected rows have no ids: counts are returned as double so both sides share one dtype
+    return out.select("conv_id", "turn", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("double").alias("n_ids"),
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).cast("double").alias("ids_sum"),
                       "reject_reason")
 
 

@@ -33,7 +33,7 @@ def q_scan_label_list(spark, sf):
 @register("scan_phoneme_tsv", f"""
 WITH {sql.PHONEME_TABLE}
 SELECT name, array_to_string(phones, ' ') AS phones, CAST(len(phones) AS BIGINT) AS n_phones,
-       CASE WHEN word2ph IS NULL THEN NULL ELSE CAST(coalesce(list_sum(word2ph), 0) AS BIGINT) END AS word2ph_sum,
+       CASE WHEN word2ph IS NULL THEN NULL ELSE CAST(coalesce(list_sum(word2ph), 0) AS DOUBLE) END AS word2ph_sum,
        norm_text
 FROM phonemes""")
 def q_scan_phoneme_tsv(spark, sf):
@@ -41,7 +41,7 @@ def q_scan_phoneme_tsv(spark, sf):
     ph = tables.parse_phoneme_lines(lines)
     return ph.select(
         "name", F.array_join("phones", " ").alias("phones"), F.size("phones").cast("long").alias("n_phones"),
-        F.aggregate("word2ph", F.lit(0).cast("long"), lambda a, x: a + x).alias("word2ph_sum"),
+        F.aggregate("word2ph", F.lit(0).cast("long"), lambda a, x: a + x).cast("double").alias("word2ph_sum"),
         "norm_text")
 
 
