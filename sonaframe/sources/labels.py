@@ -47,6 +47,12 @@ def parse_label_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     )
 
 
+def split_label_fields(df: DataFrame, line_col: str = "line", sep: str = "|") -> DataFrame:
+    """S1, lenient loader: every line split into ``fields`` (any count, no check)."""
+    import re
+    return df.withColumn("fields", F.split(F.col(line_col), re.escape(sep), -1))
+
+
 def read_label_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Read and parse label list files."""
     return parse_label_lines(read_lines(spark, paths))

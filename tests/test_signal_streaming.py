@@ -74,3 +74,19 @@ def test_streams_equal_batch_twins(spark):
     ev = spark.read.parquet(f"{sf}/events.parquet")
     b2 = {tuple(r) for r in gap_segments_batch(ev, 6 * 3600).select("user_id", "start_us", "end_us", "n_events").collect()}
     assert s2 == b2
+
+
+def test_ingest_stream_restart_skips_done_files(spark, tmp_path):
+    from sonaframe.streaming import stream_ingest_labels
+    inp, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a.wav|s|en|hi",), ("b.wav|s|fr|salut",), ("bad|line",)], "value string") \
+        .coalesce(1).write.text(inp)
+    stream_ingest_labels(spark, inp, out)
+    first = spark.read.parquet(out + "/accepted").count(), spark.read.parquet(out + "/rejected").count()
+    assert first == (1, 2)
+    stream_ingest_labels(spark, inp, out)              # same checkpoint: nothing new to process
+    again = spark.read.parquet(out + "/accepted").count(), spark.read.parquet(out + "/rejected").count()
+    assert again == first
+    spark.createDataFrame([("c.wav|s|EN|more",)], "value string").coalesce(1).write.mode("append").text(inp)
+    stream_ingest_labels(spark, inp, out)              # only the new file is read
+    assert spark.read.parquet(out + "/accepted").count() == 2
