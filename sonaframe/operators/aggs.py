@@ -109,25 +109,32 @@ def perplexity(log: DataFrame, loss_col: str = "loss") -> DataFrame:
 
 def eval_summary(log: DataFrame, run_cols: Sequence[str] = (), step_col: str = "step",
                  save_steps: int | None = None) -> DataFrame:
-    """A10: train and eval rows joined on step, and the best evaluation per run.
+    """A10: train rows paired with eval rows of the same step, and the best evaluation per run.
 
     ``best_step``/``best_eval_loss`` consider only saved checkpoints when
     ``save_steps`` is given (the stored best is not the log minimum);
-    ``log_min_*`` is the plain minimum.  Evaluated samples = runtime × samples/s.
+    ``log_min_*`` is the plain minimum; evaluated samples = runtime × samples/s.
+    The pairing is not a self join: one grouped pass per (run, step) keeps
+    counts and sums, and the pair multiplicity ``n_train · n_eval`` gives the
+    inner join's totals exactly.
     """
     keys = [*run_cols, step_col]
-    train = log.where(F.col("loss").isNotNull()).select(*keys, "loss", "learning_rate")
-    ev = log.where(F.col("eval_loss").isNotNull()).select(
-        *keys, "eval_loss", (F.col("eval_runtime") * F.col("eval_samples_per_second")).alias("eval_samples"))
-    joined = train.join(ev, keys, "inner")
+    samples = F.col("eval_runtime") * F.col("eval_samples_per_second")
+    per_step = log.groupBy(*keys).agg(
+        F.count("loss").alias("_nt"), F.sum("loss").alias("_sl"),
+        F.count("eval_loss").alias("_ne"), F.min("eval_loss").alias("_mel"),
+        F.sum(F.when(F.col("eval_loss").isNotNull(), samples)).alias("_ses"))
+    paired = per_step.where((F.col("_nt") > 0) & (F.col("_ne") > 0))
+    pairs = F.col("_nt") * F.col("_ne")
     saved = F.lit(True) if not save_steps else (F.pmod(F.col(step_col), F.lit(save_steps)) == 0)
-    grp = joined.groupBy(*run_cols) if run_cols else joined.groupBy()
+    grp = paired.groupBy(*run_cols) if run_cols else paired.groupBy()
     return grp.agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.min_by(F.col(step_col), F.struct(F.col("eval_loss"), F.col(step_col))).alias("log_min_step"),
-        F.min("eval_loss").alias("log_min_eval_loss"),
+        F.sum(pairs).alias("n_pairs"),
+        F.min_by(F.col(step_col), F.struct(F.col("_mel"), F.col(step_col))).alias("log_min_step"),
+        F.min("_mel").alias("log_min_eval_loss"),
         F.min_by(F.when(saved, F.col(step_col)),
-                 F.when(saved, F.struct(F.col("eval_loss"), F.col(step_col)))).alias("best_step"),
-        F.min(F.when(saved, F.col("eval_loss"))).alias("best_eval_loss"),
-        F.sum("eval_samples").alias("eval_samples"),
-        F.avg("loss").alias("mean_train_loss"))
+                 F.when(saved, F.struct(F.col("_mel"), F.col(step_col)))).alias("best_step"),
+        F.min(F.when(saved, F.col("_mel"))).alias("best_eval_loss"),
+        F.sum(F.col("_ses") * F.col("_nt")).alias("eval_samples"),
+        F.sum(F.col("_sl") * F.col("_ne")).alias("train_loss_sum"),
+        (F.sum(F.col("_sl") * F.col("_ne")) / F.sum(pairs)).alias("mean_train_loss"))

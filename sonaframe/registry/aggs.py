@@ -74,13 +74,16 @@ SELECT user_id, count(*) AS n_pairs,
        arg_min(step, (eval_loss, step)) AS log_min_step, {sql.r6('min(eval_loss)')} AS log_min_eval_loss,
        arg_min(step, (eval_loss, step)) FILTER (WHERE step % 5 = 0) AS best_step,
        {sql.r6('min(eval_loss) FILTER (WHERE step % 5 = 0)')} AS best_eval_loss,
-       {sql.r6('sum(eval_samples)')} AS eval_samples, {sql.r6('avg(loss)')} AS mean_train_loss
+       {sql.r6('sum(eval_samples)')} AS eval_samples, {sql.r6('sum(loss)')} AS train_loss_sum
 FROM j GROUP BY user_id""")
 def q_eval_summary(spark, sf):
     s = A.eval_summary(_log(spark, sf), ["user_id"], "step", save_steps=5)
     return s.select("user_id", "n_pairs", "log_min_step", r6("log_min_eval_loss").alias("log_min_eval_loss"),
                     "best_step", r6("best_eval_loss").alias("best_eval_loss"),
-                    r6("eval_samples").alias("eval_samples"), r6("mean_train_loss").alias("mean_train_loss"))
+                    r6("eval_samples").alias("eval_samples"),
+                    # the sum of 3-decimal losses, not the mean: a mean of such values often lies
+                    # exactly on a 6-decimal rounding boundary, where summation order decides
+                    r6("train_loss_sum").alias("train_loss_sum"))
 
 
 # orders ------------------------------------------------------------------------

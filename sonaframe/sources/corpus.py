@@ -68,7 +68,10 @@ def parse_run_log(df: DataFrame, json_col: str = "value") -> DataFrame:
               .select("*", F.col("_s.best_metric").alias("best_metric"),
                       F.col("_s.best_model_checkpoint").alias("best_model_checkpoint"),
                       F.col("_s.global_step").alias("global_step"),
-                      F.posexplode(F.col("_s.log_history")).alias("row_no", "h"))
+                      F.posexplode_outer(F.col("_s.log_history")).alias("row_no", "h"))
+              # outer + filter: the inferred "non-empty" filter of a plain explode
+              # would parse the JSON a second time
+              .where(F.col("h").isNotNull())
               .select("*", "h.*").drop("_s", "h")
               .withColumn("row_no", F.col("row_no").cast("long")))
 
