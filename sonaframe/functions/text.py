@@ -16,6 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# ASCII whitespace as Java regex \s sees it (a btrim needs no regex scan)
+WS = " \t\n\x0b\f\r"
+
 from .predicates import c_
 
 # Sentence split marks.
@@ -110,19 +113,29 @@ def collapse_punct(c: Column | str) -> Column:
 
 
 def strip_newlines(c: Column | str) -> Column:
-    return F.regexp_replace(c_(c), r"^\n+|\n+\z", "")
+    """Python ``strip("\\n")`` (a ``btrim``, no regex)."""
+    return F.btrim(c_(c), F.lit("\n"))
+
+
+def ends_with_any(c: Column, chars: str) -> Column:
+    """Last character is one of ``chars`` (constant time, no regex scan)."""
+    return F.substring(c, -1, 1).isin(*list(chars)) & (F.length(c) > 0)
+
+
+def starts_with_any(c: Column, chars: str) -> Column:
+    return F.substring(c, 1, 1).isin(*list(chars)) & (F.length(c) > 0)
 
 
 def first_clause(c: Column | str) -> Column:
     """Text before the first split mark, whitespace-stripped."""
-    return F.regexp_replace(F.regexp_extract(c_(c), f"^({_ncls(SPLITS)}*)", 1), r"^\s+|\s+\z", "")
+    return F.btrim(F.regexp_extract(c_(c), f"^({_ncls(SPLITS)}*)", 1), F.lit(WS))
 
 
 def ensure_final_mark(c: Column | str, lang: Column | str | None = None) -> Column:
     """Append '.' (English) or '。' when the last character is not a split mark."""
     x = c_(c)
     mark = F.lit(".") if lang is None else F.when(c_(lang) == "en", F.lit(".")).otherwise(F.lit("。"))
-    ends = x.rlike(_cls(SPLITS) + "\\z")
+    ends = ends_with_any(x, SPLITS)
     return F.when(ends | (F.length(x) == 0), x).otherwise(F.concat(x, mark))
 
 
@@ -130,7 +143,7 @@ def ensure_leading_mark(c: Column | str, lang: Column | str | None = None) -> Co
     """Prefix a mark when the text starts with no mark and its first clause is under 4 characters."""
     x = c_(c)
     mark = F.lit(".") if lang is None else F.when(c_(lang) == "en", F.lit(".")).otherwise(F.lit("。"))
-    starts = x.rlike("^" + _cls(SPLITS))
+    starts = starts_with_any(x, SPLITS)
     need = ~starts & (F.length(first_clause(x)) < 4) & (F.length(x) > 0)
     return F.when(need, F.concat(mark, x)).otherwise(x)
 
@@ -145,8 +158,10 @@ def prepare_target(c: Column | str, lang: Column | str | None = None) -> Column:
 def split_sentences(c: Column | str) -> Column:
     """T3: '……'→'。', '——'→'，', ensure a final mark, cut after every split mark."""
     x = F.replace(F.replace(c_(c), F.lit("……"), F.lit("。")), F.lit("——"), F.lit("，"))
-    x = F.when(x.rlike(_cls(SPLITS) + "\\z") | (F.length(x) == 0), x).otherwise(F.concat(x, F.lit("。")))
-    return F.regexp_extract_all(x, F.lit(f"{_ncls(SPLITS)}*{_cls(SPLITS)}"), 0)
+    x = F.when(ends_with_any(x, SPLITS) | (F.length(x) == 0), x).otherwise(F.concat(x, F.lit("。")))
+    # the text now ends with a mark: split after every mark (lookbehind) and
+    # drop the empty piece after the last one; linear, no backtracking
+    return F.filter(F.split(x, f"(?<={_cls(SPLITS)})", -1), lambda p: p != "")
 
 
 def not_punct_only(arr: Column, chars: str = PUNCT7) -> Column:
@@ -476,13 +491,13 @@ def normalize_spacing(c: Column | str) -> Column:
     x = F.regexp_replace(c_(c), r"\p{Z}+(" + p + ")", "$1")
     x = F.regexp_replace(x, "(" + p + r")(\p{L})", "$1 $2")
     x = F.regexp_replace(x, r"\p{Z}+", " ")
-    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+    return F.btrim(x, F.lit(WS))
 
 
 # T21 ---------------------------------------------------------------------------------
 
 def whitespace_tokens(c: Column | str) -> Column:
-    x = F.regexp_replace(c_(c), r"^\s+|\s+\z", "")
+    x = F.btrim(c_(c), F.lit(WS))
     return F.filter(F.split(x, r"\s+", -1), lambda t: t != "")
 
 

@@ -11,6 +11,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# ASCII whitespace as Java regex \s sees it (a btrim needs no regex scan)
+WS = " \t\n\x0b\f\r"
+
 from ..functions.predicates import c_, is_blank
 from ..util.rank import global_row_number, md5_bucket, md5_key
 
@@ -50,7 +53,7 @@ def rejected(df: DataFrame, name: str = "reject_reason") -> DataFrame:
 
 def clean_words(c: Column | str) -> Column:
     """Trim, lower, split on whitespace, keep all-letter words, join by one space."""
-    words = F.split(F.lower(F.regexp_replace(c_(c), r"^\s+|\s+\z", "")), r"\s+", -1)
+    words = F.split(F.lower(F.btrim(c_(c), F.lit(WS))), r"\s+", -1)
     return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}+\z")), " ")
 
 

@@ -60,7 +60,7 @@ def read_label_list(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 def strip_ws(c: Column) -> Column:
     """Python ``str.strip()`` for ASCII whitespace."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def format_label_line(path: Column | str = "path", speaker: Column | str = "speaker",
