@@ -286,9 +286,8 @@ def map_chars_zh(c: Column | str) -> Column:
 def normalize_en(c: Column | str) -> Column:
     """English normalisation: marks to ``,`` and ``'``, accents stripped
     (explicit Latin table), only ``[ A-Za-z'.,?!-]`` kept, then i.e./e.g. spelled."""
-    x = F.regexp_replace(c_(c), "[;:：，；]", ",")
-    x = F.regexp_replace(x, "[\"’]", "'")
-    x = F.translate(x, "。！？", ".!?")
+    # one-to-one marks: translate (a hash lookup per character, no regex)
+    x = F.translate(c_(c), ";:：，；\"’。！？", ",,,,,''.!?")
     x = F.translate(x, ACCENT_FROM, ACCENT_TO)
     x = F.regexp_replace(x, r"[^ A-Za-z'.,?!\-]", "")
     x = F.regexp_replace(x, r"(?i)i\.e\.", "that is")
