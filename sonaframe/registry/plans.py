@@ -16,7 +16,8 @@ from ..plans.text_table import build_text_table
 from ..plans.utterances import prepare_utterances
 from ..sources.corpus import explode_lines
 from ..streaming.jobs import scratch_dir
-from . import derive
+from . import derive, sql
+from .windows import BOUNDED_SQL
 from .base import register, table
 from .joins import _vocab
 from .signal import signals
@@ -40,22 +41,57 @@ def q_build_text_table(spark, sf):
                    F.col("reject_reason").alias("tsv")))
 
 
-@register("plan_batches")
+PLAN_SQL = f"""
+WITH r0 AS (SELECT doc_id, CAST(floor(n_chars / 1000.0 / 2.0) AS BIGINT) AS f,
+                   row_number() OVER (ORDER BY n_chars / 1000.0, doc_id) AS rn, len({sql.DOC_WORDS}) AS seq_len
+            FROM documents),
+b AS (SELECT doc_id, seq_len,
+             CAST(rn + least(0, min(f - rn) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS bucket
+      FROM r0),
+g1 AS (SELECT *, row_number() OVER (ORDER BY bucket, {sql.md5_key('doc_id', 0)}, doc_id) AS grn FROM b),
+g2 AS (SELECT *, CAST(floor((grn - 1) / (greatest(least(8, floor((SELECT count(*) FROM documents) / 4)), 1) * 2)) AS BIGINT) AS grp
+       FROM g1),
+g3 AS (SELECT *, CAST(row_number() OVER (ORDER BY {sql.md5_key('grp', 0)}, grp, grn) - 1 AS BIGINT) AS order_pos FROM g2),
+nn AS (SELECT count(*) AS n FROM documents),
+x AS (SELECT g3.*, nn.n, unnest(generate_series(0, CAST(floor((ceil(nn.n / 2) * 2 - 1 - g3.order_pos) / nn.n) AS BIGINT))) AS k
+      FROM g3, nn)
+SELECT doc_id, bucket, grp AS "group", CAST(order_pos + k * n AS BIGINT) AS pos,
+       CAST((order_pos + k * n) % 2 AS BIGINT) AS rank, CAST(floor((order_pos + k * n) / 2) AS BIGINT) AS local_idx,
+       CAST(max(seq_len) OVER (PARTITION BY grp) AS BIGINT) AS width,
+       CAST(max(seq_len) OVER (PARTITION BY grp) AS BIGINT) AS padded_len
+FROM x"""
+
+
+@register("plan_batches", PLAN_SQL)
 def q_plan_batches(spark, sf):
     d = table(spark, sf, "documents").select(
         "doc_id", (F.col("n_chars") / 1000.0).alias("sec"), derive.doc_words().alias("words"))
     items = d.select("doc_id", "sec", F.transform("words", lambda w: F.length(w)).alias("seq"))
     p = plan_batches(items, "doc_id", "sec", "seq", batch_size=8, replicas=2)
-    return p.select("doc_id", "bucket", "group", "pos", "rank", "local_idx", "width",
+    return p.select("doc_id", "bucket", "group", "pos", "rank", "local_idx", F.col("width").cast("long"),
                     F.size("padded").cast("long").alias("padded_len"))
 
 
-@register("plan_bounded_batches")
+BOUNDED_PLAN_SQL = f"""
+WITH {BOUNDED_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {sql.md5_key('doc_id', 0)}, doc_id) - 1 AS r,
+             count(*) OVER (PARTITION BY bucket) AS n FROM bb),
+t AS (SELECT *, n + ((16 - n % 16) % 16) AS target FROM r),
+x AS (SELECT bucket, doc_id, r, n, unnest(generate_series(0, CAST(floor((target - 1 - r) / n) AS BIGINT))) AS k FROM t),
+y AS (SELECT bucket, doc_id, CAST(r + k * n AS BIGINT) AS padded_pos, CAST((r + k * n) % 2 AS BIGINT) AS replica,
+             CAST(floor(floor((r + k * n) / 2) / 8) AS BIGINT) AS batch_in_bucket FROM x),
+w AS (SELECT doc_id, len({sql.DOC_WORDS}) AS seq_len FROM documents)
+SELECT y.doc_id, y.bucket, y.padded_pos, y.replica, y.batch_in_bucket,
+       max(w.seq_len) OVER (PARTITION BY y.bucket, y.batch_in_bucket, y.replica) AS width
+FROM y JOIN w ON y.doc_id = w.doc_id"""
+
+
+@register("plan_bounded_batches", BOUNDED_PLAN_SQL)
 def q_plan_bounded_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars", derive.doc_words().alias("words"))
     items = d.select("doc_id", "n_chars", F.transform("words", lambda w: F.length(w)).alias("seq"))
     p = plan_bounded_batches(items, "doc_id", "n_chars", "seq", batch_size=8, replicas=2)
-    return p.select("doc_id", "bucket", "padded_pos", "replica", "batch_in_bucket", "width")
+    return p.select("doc_id", "bucket", "padded_pos", "replica", "batch_in_bucket", F.col("width").cast("long"))
 
 
 @register("quantize_corpus")
@@ -94,10 +130,17 @@ def _count_marks(row: dict) -> dict:
     return {"n_marks": sum(ch in ",.?!" for ch in text)}
 
 
-@register("map_batches")
+@register("map_batches", """
+SELECT doc_id,
+       CASE WHEN contains(text, '|') THEN NULL
+            ELSE CAST(length(text) - length(regexp_replace(text, '[,.?!]', '', 'g')) AS DOUBLE) END AS n_marks,
+       contains(text, '|') AS failed
+FROM documents""")
 def q_map_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return map_batches(d, _count_marks, T.StructType([T.StructField("n_marks", T.LongType())]), "doc_id")
+    out = map_batches(d, _count_marks, T.StructType([T.StructField("n_marks", T.LongType())]), "doc_id")
+    # the error text carries a traceback; the check compares whether the row failed
+    return out.select("doc_id", F.col("n_marks").cast("double"), F.col("error").isNotNull().alias("failed"))
 
 
 
