@@ -17,6 +17,7 @@ from ..plans.utterances import prepare_utterances
 from ..sources.corpus import explode_lines
 from ..streaming.jobs import scratch_dir
 from . import derive, sql
+from .text import normalize_en_sql
 from .windows import BOUNDED_SQL
 from .base import register, table
 from .joins import _vocab
@@ -31,13 +32,37 @@ def _symbol_vocab(spark, sf):
     return symbol_vocabulary(b)
 
 
-@register("build_text_table")
+TOKEN_SQL = "regexp_extract_all(lower(norm), '[a-z'']+|[,.?!\\-]', 0)"
+TEXT_TABLE_SQL = f"""
+WITH {sql.LABEL_LINES},
+q AS (SELECT line, string_split(line, '|') AS parts FROM label_lines),
+acc AS (SELECT string_split(parts[1], '/')[-1] AS name,
+               replace(replace(parts[4], '%', '-'), '￥', ',') AS text
+        FROM q WHERE len(parts) = 4 AND parts[3] IN ('en', 'fr', 'de', 'es')),
+rej1 AS (SELECT line AS name, CASE WHEN len(parts) <> 4 THEN 'field_count' ELSE 'unsupported_language' END AS reason
+         FROM q WHERE len(parts) <> 4 OR parts[3] NOT IN ('en', 'fr', 'de', 'es') OR parts[3] IS NULL),
+nrm AS (SELECT name, {normalize_en_sql('text')} AS norm FROM acc),
+tok AS (SELECT name, norm, {TOKEN_SQL} AS toks FROM nrm),
+vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z'']+|[,.?!\\-]', 0)) AS symbol FROM benchmark),
+unk AS (SELECT tok.name, count(*) AS n_unknown
+        FROM (SELECT name, unnest(toks) AS w FROM tok) t JOIN tok USING (name)
+        WHERE w NOT IN (SELECT symbol FROM vocab) GROUP BY tok.name)
+SELECT tok.name, CAST(len(toks) AS DOUBLE) AS n_ids,
+       concat_ws(chr(9), tok.name, array_to_string(toks, ' '), 'None', norm) AS tsv
+FROM tok LEFT JOIN unk ON tok.name = unk.name WHERE unk.name IS NULL
+UNION ALL
+SELECT tok.name, NULL, 'not_in' FROM tok JOIN unk ON tok.name = unk.name
+UNION ALL
+SELECT name, NULL, reason FROM rej1"""
+
+
+@register("build_text_table", TEXT_TABLE_SQL)
 def q_build_text_table(spark, sf):
     lines = derive.label_lines(table(spark, sf, "documents"))
     tbl, rej = build_text_table(lines, _symbol_vocab(spark, sf),
                                 mapping={"en": "en", "fr": "en", "de": "en", "es": "en"})
-    return tbl.select("name", F.size("ids").cast("long").alias("n_ids"), "tsv").unionByName(
-        rej.select(F.col("line").alias("name"), F.lit(None).cast("long").alias("n_ids"),
+    return tbl.select("name", F.size("ids").cast("double").alias("n_ids"), "tsv").unionByName(
+        rej.select(F.col("line").alias("name"), F.lit(None).cast("double").alias("n_ids"),
                    F.col("reject_reason").alias("tsv")))
 
 

@@ -208,6 +208,15 @@ def q_map_chars_zh(spark, sf):
     return _docs(spark, sf).select("doc_id", T.map_chars_zh("text").alias("text"))
 
 
+def normalize_en_sql(x: str) -> str:
+    """The English normaliser as one DuckDB expression over ``x``."""
+    marks = "regexp_replace(regexp_replace(" + x + ", '[;:：，；]', ',', 'g'), " + q('["’]') + ", " + q("'") + ", 'g')"
+    t = "translate(" + marks + ", '。！？', '.!?')"
+    t = "regexp_replace(" + _translate_sql(t, T.ACCENT_FROM, T.ACCENT_TO) + ", " + q("[^ A-Za-z'.,?!\\-]") + ", '', 'g')"
+    return ("regexp_replace(regexp_replace(" + t + ", " + q("i\\.e\\.") + ", 'that is', 'gi'), "
+            + q("e\\.g\\.") + ", 'for example', 'gi')")
+
+
 @register("normalize_en", f"""
 WITH a AS (SELECT doc_id, translate(regexp_replace(regexp_replace(text, '[;:：，；]', ',', 'g'), '["’]', '''', 'g'), '。！？', '.!?') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace({_translate_sql('t', T.ACCENT_FROM, T.ACCENT_TO)}, '[^ A-Za-z''.,?!\\-]', '', 'g') AS t FROM a)
