@@ -125,7 +125,22 @@ def q_quantize_corpus(spark, sf):
     return tokens
 
 
-@register("prepare_dialogue")
+DIALOGUE_SQL = """
+WITH lines AS (SELECT conv_id, turn, CAST(unnest(generate_series(0, len(p) - 1)) AS BIGINT) AS line_no, unnest(p) AS line
+               FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS p FROM conversations)),
+cl AS (SELECT conv_id, turn, line_no,
+              array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), '\\s+'),
+                                          lambda w: regexp_matches(w, '^\\p{L}+$')), ' ') AS text
+       FROM lines WHERE NOT regexp_matches(line, '^\\s*$')),
+k AS (SELECT *, md5(conv_id || ':' || turn || ':' || line_no || ':42') AS rid FROM cl),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(rid || ':42'), rid) AS rn, count(*) OVER () AS n FROM k),
+t AS (SELECT *, CASE WHEN rn <= ceil(n * 0.1) THEN 'val' ELSE 'train' END AS split,
+             list_filter(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '') AS tk
+      FROM r)
+SELECT conv_id, turn, line_no, split, CAST(512 AS BIGINT) AS width, CAST(least(len(tk), 512) AS BIGINT) AS n_real FROM t"""
+
+
+@register("prepare_dialogue", DIALOGUE_SQL)
 def q_prepare_dialogue(spark, sf):
     lines = explode_lines(table(spark, sf, "conversations"), "text", keep=["conv_id", "turn"])
     out = prepare_dialogue(lines, ["conv_id", "turn", "line_no"], _vocab(spark, sf), "line")
