@@ -17,6 +17,7 @@ from ..plans.utterances import prepare_utterances
 from ..sources.corpus import explode_lines
 from ..streaming.jobs import scratch_dir
 from . import derive, sql
+from ..functions.text import PROTECT as T_PROTECT
 from .text import normalize_en_sql
 from .windows import BOUNDED_SQL
 from .base import register, table
@@ -148,7 +149,50 @@ def q_prepare_dialogue(spark, sf):
                       F.aggregate("attention", F.lit(0), lambda a, x: a + x).cast("long").alias("n_real"))
 
 
-@register("prepare_utterances")
+def _utterances_sql() -> str:
+    from . import text as RT
+    spl, nspl, p7 = RT.SPL, RT.NSPL, RT.P7
+    cp, ncp, prot = RT.CP, RT.NCP, T_PROTECT
+    mark = "CASE WHEN lang = 'en' THEN '.' ELSE '。' END"
+    return f"""
+WITH a AS (SELECT doc_id, lang,
+                  regexp_replace(regexp_replace(text, '^\\n+|\\n+$', '', 'g'), '({p7}){p7}+', '\\1', 'g') AS t FROM documents),
+b AS (SELECT doc_id, lang,
+             CASE WHEN NOT regexp_matches(t, '^{spl}') AND length(t) > 0
+                       AND length(regexp_replace(regexp_extract(t, '^({nspl}*)', 1), '^\\s+|\\s+$', '', 'g')) < 4
+                  THEN {mark} || t ELSE t END AS target FROM a),
+c AS (SELECT doc_id, lang,
+             regexp_replace(regexp_replace(regexp_replace(target, '^\\n+|\\n+$', '', 'g'),
+                            '(\\d)\\.(\\d)', '\\1{prot}\\2', 'g'), '(\\d)\\.(\\d)', '\\1{prot}\\2', 'g') AS t FROM b),
+p AS (SELECT doc_id, lang,
+             list_filter(list_filter(list_transform(regexp_extract_all(t, '{ncp}*{cp}|{ncp}+$', 0),
+                                                    lambda s: replace(s, '{prot}', '.')),
+                                     lambda s: NOT regexp_matches(s, '^{cp}*$')),
+                         lambda s: NOT (s IS NULL OR s IN ('', ' ', chr(10)))) AS p FROM c),
+f AS (SELECT doc_id, lang, p, list_reduce(p, lambda acc, x:
+        CASE WHEN length(split_part(acc, chr(2), 2) || x) >= 5
+             THEN CASE WHEN split_part(acc, chr(2), 1) = '' THEN '' ELSE split_part(acc, chr(2), 1) || chr(1) END
+                  || split_part(acc, chr(2), 2) || x || chr(2)
+             ELSE split_part(acc, chr(2), 1) || chr(2) || split_part(acc, chr(2), 2) || x END, chr(2)) AS st FROM p),
+o AS (SELECT doc_id, lang, p, CASE WHEN split_part(st, chr(2), 1) = '' THEN []::VARCHAR[]
+                                   ELSE string_split(split_part(st, chr(2), 1), chr(1)) END AS out,
+             split_part(st, chr(2), 2) AS cur FROM f),
+m AS (SELECT doc_id, lang, list_filter(CASE WHEN len(p) < 2 THEN p WHEN cur = '' THEN out WHEN len(out) = 0 THEN [cur]
+                                            ELSE list_concat(out[1:len(out) - 1], [out[-1] || cur]) END,
+                                       lambda s: regexp_matches(s, '[\\p{{L}}\\p{{N}}]')) AS ps FROM o),
+e AS (SELECT doc_id, lang, CAST(unnest(generate_series(0, len(ps) - 1)) AS BIGINT) AS piece_no, unnest(ps) AS piece FROM m),
+g AS (SELECT doc_id, piece_no,
+             CASE WHEN regexp_matches(piece, '{spl}$') OR length(piece) = 0 THEN piece ELSE piece || {mark} END AS piece FROM e),
+r AS (SELECT doc_id, piece_no, regexp_extract_all(piece, {RT.q(RT.RUN_RE2)}, 0) AS runs FROM g),
+x AS (SELECT doc_id, piece_no, runs, unnest(generate_series(1, len(runs))) AS i FROM r)
+SELECT doc_id, piece_no, CAST(i - 1 AS BIGINT) AS seg_no, runs[i] AS seg_text,
+       CASE WHEN regexp_matches(runs[i], '^\\p{{Han}}') THEN 'zh'
+            WHEN regexp_matches(runs[i], '^[\\p{{Hiragana}}\\p{{Katakana}}]') THEN 'ja'
+            WHEN regexp_matches(runs[i], '^\\p{{Hangul}}') THEN 'zh' ELSE 'en' END AS seg_lang
+FROM x"""
+
+
+@register("prepare_utterances", _utterances_sql())
 def q_prepare_utterances(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     u = prepare_utterances(d, "text", "lang", how="punct", mode="auto")
