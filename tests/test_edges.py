@@ -123,3 +123,22 @@ def test_step_files_done_and_inference_languages(spark, tmp_path):
     df = spark.createDataFrame([("多语种混合",), ("英文",), ("fr",)], "lang string")
     got = [(r["lang_code"], r["reject_reason"]) for r in FL.map_inference_language(df).collect()]
     assert got == [("auto", None), ("en", None), (None, "unsupported_language")]
+
+
+def test_one_click_skips_finished_steps(spark, tmp_path):
+    from sonaframe.plans.one_click import one_click
+    from sonaframe.registry import derive
+    from sonaframe.registry.plans import _symbol_vocab
+    from sonaframe.registry.signal import signals
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    args = (derive.label_lines(docs), _symbol_vocab(spark, sf), signals(spark, sf).select("signal_id", "pos", "v"),
+            spark.read.parquet(f"{sf}/embeddings.parquet"))
+    out = str(tmp_path / "oc")
+    first = {r["step"]: r for r in one_click(spark, out, *args, k=4, iters=1).collect()}
+    assert not any(r["skipped"] for r in first.values())
+    again = {r["step"]: r for r in one_click(spark, out, *args, k=4, iters=1).collect()}
+    # a step counts as done when its output holds at least two rows (the reference's rule)
+    assert all(r["skipped"] == (first[k]["n_rows"] >= 2) for k, r in again.items())
+    assert again["semantic"]["skipped"] and again["normalized"]["skipped"]
+    assert {k: r["n_rows"] for k, r in again.items()} == {k: r["n_rows"] for k, r in first.items()}
