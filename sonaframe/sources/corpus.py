@@ -53,7 +53,11 @@ def item_durations(df: DataFrame, bytes_col: str = "length", sampling_rate: int
 
 def read_item_listing(spark: SparkSession, path: str, glob: str = "*",
                       sampling_rate: int = 32000, hop_length: int = 640) -> DataFrame:
-    """List files with their byte size; the content column is never read."""
+    """List files with their byte size; the content column is never read.
+
+    Spark's file source skips zero-byte files, so an empty file is not
+    listed (a real 16-bit WAV file always holds its header bytes).
+    """
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", "true").load(path)
           .select(F.col("path"), F.col("length")))
@@ -78,7 +82,8 @@ def parse_run_log(df: DataFrame, json_col: str = "value") -> DataFrame:
 
 def read_run_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Run-state JSON files (one document per file) → history rows."""
-    df = spark.read.option("wholetext", "true").text(paths if isinstance(paths, str) else list(paths))
+    # the keyword matters: text() would reset an earlier .option("wholetext", ...)
+    df = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     return parse_run_log(df.withColumn("source_file", F.col("_metadata.file_path")), "value")
 
 

@@ -65,3 +65,37 @@ def test_layered_lexicon(spark):
     assert got["cat's"] == (["HOT", "Z"], "possessive")
     assert got["dog's"] == (["D", "AO1", "G", "Z"], "possessive")
     assert got["zzzzzz"] == (None, "oov") and got[","] == ([","], "literal")
+
+
+def test_item_listing_run_log_and_label_json_files(spark, tmp_path):
+    import json
+    from sonaframe.sources import corpus
+    wav = tmp_path / "wav"
+    wav.mkdir()
+    (wav / "a.wav").write_bytes(b"\0" * 64000)       # 1 s at 32 kHz, 16-bit
+    (wav / "b.wav").write_bytes(b"\0" * 44)          # header only
+    (wav / "notes.txt").write_text("skip me")
+    listing = {r["name"]: r for r in corpus.read_item_listing(spark, str(wav), "*.wav").collect()}
+    assert set(listing) == {"a.wav", "b.wav"}
+    assert listing["a.wav"]["duration"] == 1.0 and listing["a.wav"]["frames"] == 50
+    assert listing["b.wav"]["frames"] == 0 and listing["b.wav"]["duration"] < 0.001
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    state = {"best_metric": 4.2493, "best_model_checkpoint": "results/checkpoint-310", "epoch": 10.0, "global_step": 310,
+             "log_history": [{"epoch": 0.3, "grad_norm": 1.5, "learning_rate": 5e-5, "loss": 6.5108, "step": 10},
+                             {"epoch": 0.3, "eval_loss": 4.8732, "eval_runtime": 8.07, "eval_samples_per_second": 3.2,
+                              "eval_steps_per_second": 0.5, "step": 10}]}
+    (logs / "trainer_state.json").write_text(json.dumps(state, indent=2))
+    rows = sorted(corpus.read_run_log(spark, str(logs)).collect(), key=lambda r: r["row_no"])
+    assert [r["step"] for r in rows] == [10, 10] and rows[0]["loss"] == 6.5108 and rows[1]["eval_loss"] == 4.8732
+    assert rows[0]["eval_loss"] is None and rows[1]["best_metric"] == 4.2493
+
+    jl = tmp_path / "labels.jsonl"
+    jl.write_text('{"text": "你好", "wav_path": "a.wav"}\n{"text": "hi", "wav_path": "b.wav"}\nnot json\n', encoding="utf-8")
+    got = sorted((r["path"], r["text"]) for r in labels.read_label_json(spark, str(jl)).collect() if r["path"])
+    assert got == [("a.wav", "你好"), ("b.wav", "hi")]
+    out = str(tmp_path / "json_out")
+    labels.write_json(spark.createDataFrame([("a.wav", "你好")], "wav_path string, text string"), out)
+    back = labels.read_label_json(spark, out).collect()
+    assert back[0]["text"] == "你好" and back[0]["path"] == "a.wav"
