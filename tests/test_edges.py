@@ -142,3 +142,32 @@ def test_one_click_skips_finished_steps(spark, tmp_path):
     assert all(r["skipped"] == (first[k]["n_rows"] >= 2) for k, r in again.items())
     assert again["semantic"]["skipped"] and again["normalized"]["skipped"]
     assert {k: r["n_rows"] for k, r in again.items()} == {k: r["n_rows"] for k, r in first.items()}
+
+
+def test_small_helpers(spark):
+    import numpy as np
+    from sonaframe.functions import text as TX
+    from sonaframe.operators import signal as S
+    from sonaframe.operators import vq as V
+    df = spark.range(10).withColumnRenamed("id", "k")
+    assert [r["k"] for r in O.keyset_page(df, "k", 3, 4).collect()] == [4, 5, 6, 7]
+    assert O.next_index(0, 4, 10) == 4 and O.next_index(8, 4, 10) == 8
+    assert O.previous_index(2, 4) == 0 and O.previous_index(8, 4) == 4
+    sel = spark.createDataFrame([(1,), (3,)], "k long")
+    assert sorted(r["k"] for r in U.invert_selection(df, sel, "k").collect()) == [0, 2, 4, 5, 6, 7, 8, 9]
+    sig = spark.createDataFrame([(1, 0, 2.0), (1, 1, -1.0)], "signal_id long, pos long, v double")
+    out = {r["pos"]: r for r in S.slice_blend(sig).collect()}
+    # peak 2 > 1: divided once, then divided by the old peak again in the blend
+    assert np.isclose(out[0]["v_out"], (2.0 / 2) / 2 * (0.9 * 0.25) + 0.75 * (2.0 / 2))
+    w = spark.createDataFrame([(["a", "b", "c"], [1, 2]), (["a"], [2]), (["a"], None)], "phones array<string>, word2ph array<int>")
+    assert [r["reject_reason"] for r in D.check_word2ph(w).collect()] == [None, "word2ph_sum", None]
+    cb = spark.createDataFrame([(0, [0.0, 0.0], 0.0)], "code int, vec array<double>, cluster_size double")
+    assert V.expire_codes(spark.range(1), cb, "id", "vec", threshold=0).collect()[0]["vec"] == [0.0, 0.0]
+    t = spark.createDataFrame([("2023年5月1日 8:30 50%",)], "t string")
+    m = t.select(TX.nsw_first_match("t").alias("m")).first()["m"]
+    assert m["date"] == 1 and m["time"] == 1 and m["percentage"] == 1 and m["number"] == 0   # numbers consumed earlier
+    conv = spark.createDataFrame([("abc",)], "t string")
+    mapping = [("a", "x"), ("b", "y")]
+    r = conv.select(TX.convert_script("t", mapping).alias("f")).first()["f"]
+    back = spark.createDataFrame([(r,)], "t string").select(TX.convert_script("t", mapping, reverse=True).alias("b")).first()["b"]
+    assert r == "xyc" and back == "abc"
