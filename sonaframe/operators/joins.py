@@ -153,8 +153,10 @@ def _encode_by_join(df, tokens_col, vocab, key_cols, symbol_col, id_col, policy,
     per_row = looked.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
     per_row = per_row.select(*keys, F.transform("_s", lambda s: s["_id"]).alias("_ids"))
+    # no exploded rows: an empty token array gives [], a null one stays null (as the literal path)
     out = df.join(per_row, keys, "left").withColumn(
-        "_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+        "_ids", F.when(F.col(tokens_col).isNull(), F.lit(None).cast("array<int>"))
+                 .otherwise(F.coalesce("_ids", F.array().cast("array<int>"))))
     return _finish_encode(out, tokens_col, policy, F.lit(None), out_col)
 
 

@@ -171,3 +171,25 @@ def test_small_helpers(spark):
     r = conv.select(TX.convert_script("t", mapping).alias("f")).first()["f"]
     back = spark.createDataFrame([(r,)], "t string").select(TX.convert_script("t", mapping, reverse=True).alias("b")).first()["b"]
     assert r == "xyc" and back == "abc"
+
+
+@pytest.mark.parametrize("policy", ["reject", "unk", "drop"])
+def test_vocab_paths_agree(spark, policy):
+    from sonaframe.operators.joins import symbol_vocabulary, vocab_encode
+    toks = spark.createDataFrame([(1, ["a", "b", "zz"]), (2, ["b"]), (3, []), (4, None), (5, ["zz", "a"])],
+                                 "k long, t array<string>")
+    vocab = symbol_vocabulary(spark.createDataFrame([("a",), ("b",), ("UNK",)], "symbol string"))
+    lit = {r["k"]: (r["ids"], r["reject_reason"] if policy == "reject" else None)
+           for r in vocab_encode(toks, "t", vocab, ["k"], policy=policy).collect()}
+    joined = {r["k"]: (r["ids"], r["reject_reason"] if policy == "reject" else None)
+              for r in vocab_encode(toks, "t", vocab, ["k"], policy=policy, literal_rows=0).collect()}
+    assert set(lit) == set(joined) == {1, 2, 3, 4, 5}
+    for k in (1, 2, 3, 4, 5):
+        assert lit[k] == joined[k], (k, lit[k], joined[k])
+    assert lit[2][0] == [2]                                   # ids: UNK=0, a=1, b=2
+    if policy == "unk":
+        assert lit[1][0] == [1, 2, 0]
+    if policy == "drop":
+        assert lit[5][0] == [1]
+    if policy == "reject":
+        assert lit[1] == (None, "not_in") and lit[2] == ([2], None)
