@@ -101,3 +101,17 @@ def test_frame_rms_block_path_matches_numpy(spark):
         ref = np_rms(arr, 8, 2)
         assert [f for f, _ in mine] == list(range(len(ref)))
         assert np.allclose([x for _, x in mine], ref)
+
+
+def test_peak_gate_nan_and_spectrum_filterbank(spark):
+    sig = spark.createDataFrame([(1, 0, 0.5), (1, 1, float("nan")), (2, 0, 3.0), (3, 0, 1.0)],
+                                "signal_id long, pos long, v double")
+    reasons = {r["signal_id"]: r["reject_reason"] for r in S.peak_gate(sig).collect()}
+    assert reasons == {1: "nan", 2: "peak", 3: None}
+    y = np.cos(np.arange(30) / 2.0)
+    basis = np.abs(np.random.default_rng(1).normal(size=(3, 5)))      # 3 bands over 5 rfft bins (n_fft 8)
+    spec = S.frame_spectrum(_signal_df(spark, {1: y}), n_fft=8, hop=2, win=8, mel_basis=basis, log=True,
+                            chunk_frames=4).orderBy("frame").collect()
+    plain = S.frame_spectrum(_signal_df(spark, {1: y}), n_fft=8, hop=2, win=8).orderBy("frame").collect()
+    ref = np.log(np.maximum(np.array([r["mag"] for r in plain]) @ basis.T, 1e-5))
+    assert np.allclose(np.array([r["mag"] for r in spec]), ref)
