@@ -193,3 +193,15 @@ def test_vocab_paths_agree(spark, policy):
         assert lit[5][0] == [1]
     if policy == "reject":
         assert lit[1] == (None, "not_in") and lit[2] == ([2], None)
+
+
+def test_default_group_and_empty_catalog(spark):
+    from sonaframe.operators.joins import catalog_reconcile
+    df = spark.createDataFrame([("p", "", "en"), ("p", "t", "en")], "path string, text string, lang string")
+    with pytest.raises(ValueError):
+        FL.default_group_fill(df, ["path", "text", "lang"], ["d.wav", "", "en"])   # incomplete defaults
+    out = [tuple(r) for r in FL.default_group_fill(df, ["path", "text", "lang"], ["d.wav", "dt", "zh"]).collect()]
+    assert ("d.wav", "dt", "zh", True) in out and ("p", "t", "en", False) in out
+    empty = spark.createDataFrame([], "locale string, key string, value string")
+    std = spark.createDataFrame([("k1",)], "key string")
+    assert catalog_reconcile(empty, std).count() == 0
