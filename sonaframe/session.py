@@ -39,8 +39,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; it is used as
-    is.  Only when nothing is configured (local tests) a scratch folder is
-    created, so local runs can still cut lineage with ``checkpoint()``.
+    is.  Only when nothing is configured and the master is local (tests) a
+    scratch folder is created; on a cluster an unset folder is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -53,7 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
-    # unset: only local tests get here, a cluster always names a shared folder
+    master = sc.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        # executors would each write to a disk of their own
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
     local_dir = tempfile.mkdtemp(prefix="sona-ckpt-")
     sc.setCheckpointDir(local_dir)
     return local_dir
