@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import contaminated
+from .neardup import near_duplicates
+from .packing import pack
+from .passages import cut_passages
 from .quality import fit_quality, score_quality
 from .shared import doc_texts, table
 
@@ -35,3 +39,27 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_quality(docs, table(spark, sf_dir, "labels"), train=crc_of_id() % 5 != 0)
     return score_quality(docs, model).select(
         "doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@_query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; the row with doc_id = class_id is the one to keep."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_contaminated")
+def op9_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and the share of its shingles."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op6_repeated_passages")
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the passages that an earlier document holds."""
+    return cut_passages(doc_texts(table(spark, sf_dir, "documents")))
+
+
+@_query("op5_pack_sequences")
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` (one place for the call and its schema)."""
-    return df.mapInArrow(fn, schema)
-
-
 def append_columns(df: DataFrame, column: str,
                    make: Callable[[], Callable[[list], list[pa.Array]]],
                    fields: Sequence[T.StructField]) -> DataFrame:
@@ -71,3 +66,48 @@ def doc_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Bits of the map that stands for a set of ids; 2 MB whatever the size of the set.
+ID_BITS = 24
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def id_map(ids: DataFrame, column: str) -> np.ndarray:
+    """A map of ``2 ** ID_BITS`` bits that has every id of ``ids`` (and by chance others).
+
+    It keeps rows that surely need no join out of the shuffle; its size does
+    not grow with the set, a full map only lets more rows through.
+    """
+    def bits(batches):
+        words = np.zeros(1 << (ID_BITS - 6), np.uint64)
+        for b in batches:
+            s = np.unique(_slots(b.column(0).to_numpy(zero_copy_only=False)))
+            np.bitwise_or.at(words, s >> 6, np.uint64(1) << (s & 63).astype(np.uint64))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(words[some].view(np.int64), pa.int64())],
+                                         names=["word", "bits"])
+
+    rows = ids.select(F.col(column).cast("long")).where(f"{column} is not null").mapInArrow(bits, "word int, bits long") \
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    out = np.zeros(1 << (ID_BITS - 6), np.uint64)
+    for r in rows:
+        out[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+    return out
+
+
+def in_map(df: DataFrame, column: str, words: np.ndarray, found: bool = True) -> DataFrame:
+    """Rows of ``df`` whose id is in the map, or with ``found=False`` the others (null ids are not in it)."""
+    def keep(batches):
+        for b in batches:
+            ids = b.column(b.schema.names.index(column))
+            s = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            hit = (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit &= ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(hit == found))
+
+    return df.mapInArrow(keep, df.schema)
