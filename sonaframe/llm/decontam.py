@@ -109,9 +109,9 @@ def _item_sketches(items: DataFrame, bounds: list[int], hashes: int, k: int) ->
 
 
 def _value_map(sketches: DataFrame) -> np.ndarray:
-    slot = F.shiftrightunsigned("v", 64 - MAP_BITS)
-    rows = sketches.select(F.explode("vals").alias("v")).select(
-        F.shiftright(slot, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit")) \
+    slot = f"shiftrightunsigned(v, {64 - MAP_BITS})"
+    rows = sketches.select(F.explode("vals").alias("v")).selectExpr(
+        f"cast(shiftright({slot}, 6) as int) as word", f"shiftleft(1L, cast({slot} & 63 as int)) as bit") \
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** (MAP_BITS - 6) rows at most
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     for r in rows:

@@ -64,8 +64,9 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def common_runs(x: np.ndarray, y: np.ndarray, k: int = 5) -> list[tuple[int, int, int]]:
     """Runs of ``k`` or more equal words, from left to right in ``x``: (start in x, start in y, words).
 
-    A run starts at the first shingle not yet in one, and goes to the place
-    in ``y`` where it is longest.
+    A run starts at the first shingle not yet in one, goes to the place in
+    ``y`` where it is longest, and is drawn out to the left as far as words
+    are equal (so that it may overlap the run before it).
     """
     sx, sy = shingles(x, k), shingles(y, k)
     if len(x) < k or len(y) < k:
@@ -86,7 +87,10 @@ def common_runs(x: np.ndarray, y: np.ndarray, k: int = 5) -> list[tuple[int, int
             length = int(diff[0]) if len(diff) else m
             if length > best[0]:
                 best = (length, int(j))
-        runs.append((i, best[1], best[0] + k - 1))
+        m = min(i, best[1])
+        diff = np.flatnonzero(x[i - m: i][::-1] != y[best[1] - m: best[1]][::-1])
+        back = int(diff[0]) if len(diff) else m
+        runs.append((i - back, best[1] - back, best[0] + k - 1 + back))
         h = int(np.searchsorted(hits, i + best[0]))
     return runs
 
@@ -113,7 +117,7 @@ def repeats(x: np.ndarray, y: np.ndarray, min_words: int, threshold: float, gap:
         if group:
             p = group[-1]
             dx, dy = r[0] - p[0] - p[2], r[1] - p[1] - p[2]
-            if not (-5 < dx <= gap and -5 < dy <= gap and r[1] > p[1]):
+            if not (-8 <= dx <= gap and -8 <= dy <= gap and r[0] + r[2] > p[0] + p[2] and r[1] > p[1]):
                 close(group)
                 group = []
         group.append(r)
