@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contaminated
+from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
+from .pages import extract_pages
 from .passages import cut_passages
 from .quality import fit_quality, score_quality
 from .shared import doc_texts, table
@@ -63,3 +65,15 @@ def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_page_text")
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@_query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License and rights notices of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
