@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import contaminated
+from .kdshards import kd_shards
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
@@ -77,3 +78,9 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License and rights notices of every document."""
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@_query("op4_kd_shards")
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8)
