@@ -2,16 +2,17 @@
 
 Test items are short and documents may be long, so that the Jaccard
 similarity of the two whole sets says nothing.  Items are partitioned by
-their number of shingles (bounds that grow by half).  For each partition a
-document is cut into blocks as long as the partition's bound; two
-neighbouring blocks are a window, so an item of the partition that stands in
-the document lies whole in one window, and its containment of ``threshold``
-is a Jaccard similarity of at least 0.27 with that window.  Windows and items
-get ``hashes`` MinHash values, each a band of its own: at 0.27, 32 of them
-miss an item with a probability of 0.00005.
-
-1. Items are sketched in Spark; their band values mark a bit map of fixed
-   size, which goes to every task.
+their number of shingles, and for each partition windows slide over the
+document in steps of ``STEP`` shingles: windows of W (16, 32, 64, ...)
+shingles serve the items of at most W - 3 that are too long for the windows
+half as long.  Such an item lies whole in some window, and a containment of
+0.8 is a Jaccard similarity of at least 0.36 with it.  Windows and items get
+``hashes`` MinHash values, each a band of its own: at 0.36, 16 of them miss
+an item with a probability of 0.0008, at whole containment of 0.00002.  Items of at most five shingles are
+searched by each shingle, which misses none.
+
+1. Items are sketched in Spark; their band values mark a Bloom filter of
+   fixed size, which goes to every task.
 2. One pass over the documents keeps those with a window whose band value is
    marked, with these values and the document's shingle set.
 3. Spark joins the values with the items' and verifies each pair by the exact
@@ -37,15 +38,20 @@ from .shared import cut, doc_texts, written
 from .words import WordHashes, mixed, shingles, words_of
 
 MAP_BITS = 24
+STEP = 4
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Shifts that take three slots of the filter from a value.
+_SHIFTS = (40, 16, 0)
 
 
-def partition_bounds(largest: int) -> list[int]:
-    """Largest shingle counts of the partitions: 8, 12, 18, ... up to one that holds ``largest``."""
-    out = [8]
-    while out[-1] < largest:
-        out.append(out[-1] * 3 // 2)
-    return out
+def window_of(n: int) -> int:
+    """Length of the windows that serve an item of ``n`` shingles; 1 for single shingles."""
+    if n <= 5:
+        return 1
+    w = 4 * STEP
+    while n > w - STEP + 1:
+        w *= 2
+    return w
 
 
 @lru_cache(maxsize=2)
@@ -54,64 +60,78 @@ def _odd(hashes: int, seed: int = 5) -> np.ndarray:
     return g.integers(1, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _values(lows: np.ndarray, bound: int) -> np.ndarray:
-    """Band values (hashes x windows) that differ between hash functions and partitions."""
-    salt = mixed(np.arange(1, len(lows) + 1, dtype=np.uint64) * _FOLD + np.uint64(bound))
-    return mixed(lows ^ salt[:, None])
-
-
-def item_values(s: np.ndarray, bound: int, hashes: int) -> np.ndarray:
-    return _values((s[None, :] * _odd(hashes)[:, None]).min(axis=1, keepdims=True), bound)[:, 0]
-
-
-def window_values(s: np.ndarray, bounds: list[int], hashes: int) -> np.ndarray:
-    """Distinct band values of all windows of a document's shingles, for all partitions."""
-    odd, out = _odd(hashes)[:, None], []
-    size = max(1 << 14, bounds[-1])
-    lows: list[list[np.ndarray]] = [[] for _ in bounds]
-    # block minima over parts of a very long text, so that memory stays small; parts end at block ends
-    for c, bound in enumerate(bounds):
-        step = size // bound * bound
-        for i in range(0, len(s), step):
-            part = s[None, i: i + step] * odd
-            lows[c].append(np.minimum.reduceat(part, np.arange(0, part.shape[1], bound), axis=1))
-    for c, bound in enumerate(bounds):
-        low = np.concatenate(lows[c], axis=1)
-        if low.shape[1] > 1:
-            low = np.minimum(low[:, :-1], low[:, 1:])
-        out.append(_values(low, bound).ravel())
-    return np.unique(np.concatenate(out))
-
-
-def _slot(v: np.ndarray) -> np.ndarray:
-    return (v >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-
-
-def _item_sketches(items: DataFrame, bounds: list[int], hashes: int, k: int) -> DataFrame:
+@lru_cache(maxsize=64)
+def _salts(hashes: int, window: int) -> np.ndarray:
+    return mixed(np.arange(1, hashes + 1, dtype=np.uint64) * _FOLD + np.uint64(window))
+
+
+def item_values(s: np.ndarray, hashes: int) -> np.ndarray:
+    """Band values of an item's distinct shingles."""
+    w = window_of(len(s))
+    if w == 1:
+        return mixed(s)
+    return mixed((s[:, None] * _odd(hashes)).min(axis=0) ^ _salts(hashes, w))
+
+
+def window_values(s: np.ndarray, windows: list[int], hashes: int, part: int = 1 << 14) -> np.ndarray:
+    """Band values of all windows (of the given lengths) of a document's shingles; neighbours with equal values give one."""
+    out = [mixed(s)] if 1 in windows else []
+    longest = max(windows)
+    if longest > 1:
+        odd = _odd(hashes)
+        if len(s) % STEP:
+            s = np.concatenate([s, np.repeat(s[-1:], STEP - len(s) % STEP)])
+        lows = []
+        for i in range(0, len(s), part):  # parts of a very long text, so that memory stays small
+            low = s[i: i + part: STEP, None] * odd
+            for j in range(1, STEP):
+                np.minimum(low, s[i + j: i + part: STEP, None] * odd, out=low)
+            lows.append(low)
+        low, w = np.concatenate(lows) if len(lows) > 1 else lows[0], STEP
+        while w < longest:
+            # windows twice as long; a text shorter than that is one window
+            half = w // STEP
+            low = np.minimum(low[:-half], low[half:]) if len(low) > half else low.min(axis=0, keepdims=True)
+            w *= 2
+            if w in windows:
+                new = np.ones(low.shape, bool)
+                new[1:] = low[1:] != low[:-1]
+                out.append(mixed((low ^ _salts(hashes, w))[new]))
+    return np.concatenate(out)
+
+
+def _marked(v: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The distinct values that the filter holds."""
+    for shift in _SHIFTS:
+        at = ((v >> np.uint64(shift)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        v = v[(marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    return np.unique(v)
+
+
+def _item_sketches(items: DataFrame, hashes: int, k: int) -> DataFrame:
     def sketch(batches):
         words = WordHashes()
-        edge = np.array(bounds)
         for b in batches:
-            ids, vals, sets, sizes = [], [], [], []
+            ids, vals, sets, wide = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.unique(shingles(words.of(words_of(t)), k))
                 if len(s):
                     ids.append(i)
-                    vals.append(item_values(s, int(edge[np.searchsorted(edge, len(s))]), hashes).view(np.int64))
+                    vals.append(item_values(s, hashes).view(np.int64))
                     sets.append(s.tobytes())
-                    sizes.append(len(s))
-            flat = np.concatenate(vals) if vals else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * hashes, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(sets, pa.binary()), pa.array(sizes, pa.int64())],
-                                             names=["item_id", "vals", "items", "n_item"])
+                    wide.append((len(s), window_of(len(s))))
+            ends = np.cumsum([0] + [len(v) for v in vals])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(vals or [np.zeros(0, np.int64)]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(sets, pa.binary()), pa.array([n for n, _ in wide], pa.int64()),
+                                              pa.array([w for _, w in wide], pa.int64())], names=["item_id", "vals", "items", "n_item", "wide"])
 
-    return items.mapInArrow(sketch, "item_id long, vals array<long>, items binary, n_item long")
+    return items.mapInArrow(sketch, "item_id long, vals array<long>, items binary, n_item long, wide long")
 
 
 def _value_map(sketches: DataFrame) -> np.ndarray:
-    slot = f"shiftrightunsigned(v, {64 - MAP_BITS})"
-    rows = sketches.select(F.explode("vals").alias("v")).selectExpr(
-        f"cast(shiftright({slot}, 6) as int) as word", f"shiftleft(1L, cast({slot} & 63 as int)) as bit") \
+    slots = ", ".join(f"shiftrightunsigned(v, {x}) & {(1 << MAP_BITS) - 1}" for x in _SHIFTS)
+    rows = sketches.select(F.explode("vals").alias("v")).selectExpr(f"explode(array({slots})) as slot").selectExpr(
+        "cast(shiftright(slot, 6) as int) as word", "shiftleft(1L, cast(slot & 63 as int)) as bit") \
         .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # 2 ** (MAP_BITS - 6) rows at most
     out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     for r in rows:
@@ -119,7 +139,7 @@ def _value_map(sketches: DataFrame) -> np.ndarray:
     return out
 
 
-def _marked_documents(docs: DataFrame, marks: np.ndarray, bounds: list[int], hashes: int, k: int) -> DataFrame:
+def _marked_documents(docs: DataFrame, marks: np.ndarray, windows: list[int], hashes: int, k: int) -> DataFrame:
     def search(batches):
         words = WordHashes()
         for b in batches:
@@ -128,9 +148,7 @@ def _marked_documents(docs: DataFrame, marks: np.ndarray, bounds: list[int], has
                 s = shingles(words.of(words_of(t)), k)
                 if not len(s):
                     continue
-                v = window_values(s, bounds, hashes)
-                at = _slot(v)
-                v = v[(marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+                v = _marked(window_values(s, windows, hashes), marks)
                 if len(v):
                     ids.append(i)
                     vals.append(v.view(np.int64))
@@ -142,20 +160,17 @@ def _marked_documents(docs: DataFrame, marks: np.ndarray, bounds: list[int], has
     return docs.mapInArrow(search, "doc_id long, vals array<long>, shingles binary")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, hashes: int = 32,
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: int = 5, hashes: int = 16,
                  item_col: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_item (shingles of the item), n_shared (of them in the document), containment."""
     items = doc_texts(items, item_col).select(F.col("doc_id").alias("item_id"), "text").where("item_id is not null")
     docs = doc_texts(docs).where("doc_id is not null")
 
-    longest = items.agg(F.max(F.length("text"))).first()[0] or 0
-    # a word and its gap take two characters at least
-    sketches = cut(_item_sketches(items, partition_bounds(longest // 2 + 1), hashes, k))
-    largest = sketches.agg(F.max("n_item")).first()[0]
-    if largest is None:
+    sketches = cut(_item_sketches(items, hashes, k))
+    windows = [r["wide"] for r in sketches.select("wide").distinct().collect()]  # lengths double, so there are few
+    if not windows:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_item long, n_shared long, containment double")
-    bounds = partition_bounds(largest)
-    marked = written(_marked_documents(docs, _value_map(sketches), bounds, hashes, k))
+    marked = written(_marked_documents(docs, _value_map(sketches), windows, hashes, k))
     values = sketches.select("item_id", F.explode("vals").alias("v"))
     pairs = marked.select("doc_id", F.explode("vals").alias("v")).distinct().join(values, "v").select("doc_id", "item_id").distinct()
     both = pairs.join(sketches.select("item_id", "items", "n_item"), "item_id").join(marked.select("doc_id", "shingles"), "doc_id") \
