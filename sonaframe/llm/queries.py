@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .covertree import top_inner_products
 from .decontam import contaminated
 from .kdshards import kd_shards
+from .knlm import score_texts
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
@@ -98,3 +99,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products of every vector whose id is divisible by 20."""
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64)
+
+
+@_query("op8_kneser_ney")
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and Kneser-Ney score of every document; the fold crc32(doc_id) mod 7 = 2 is not learnt from."""
+    return score_texts(table(spark, sf_dir, "documents"), folds=7, fold=2)
