@@ -192,8 +192,9 @@ def _axes(x: np.ndarray, rank: int, seed: int) -> np.ndarray:
     return np.pad(axes, ((0, 0), (0, rank - axes.shape[1]))).astype(np.float32)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, block: int = 512) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` (1 when the score reaches ``threshold``)."""
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, block: int = 512,
+                  score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """``docs`` with its score and prediction (1 when the score reaches ``threshold``)."""
     def make():
         slots = TokenSlots()
 
@@ -204,4 +205,4 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
 
         return work
 
-    return append_columns(docs, "text", make, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return append_columns(docs, "text", make, [T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
