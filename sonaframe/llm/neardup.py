@@ -11,12 +11,15 @@
    probability of their weighted Jaccard similarity.
 3. Texts with the same words are one node.  Nodes that agree in a band share
    a bucket.  In a bucket every node is compared with the smallest one, so a
-   bucket of any size gives one pair a node.  Buckets that still hold several
-   components go on: small ones with all pairs between components, larger
-   ones with further centres, until no bucket has an unseen pair between
-   components.
+   bucket of any size gives one pair a node.
 4. Pairs meet both whole texts and are verified by weighted Jaccard
    similarity; links are clustered by connected components.
+5. Buckets that still hold several components go on.  What two texts have in
+   common is at most what each shares with any other open text, so that a
+   text whose own edits weigh too much can have no partner.  The others meet
+   across components: in small buckets as pairs, in larger ones in blocks,
+   whose similarities are matrix products inside a task, which gives a star
+   for each component and never the pairs.
 
 Edge cases: null texts are read as empty.  Texts without a word are grouped
 only with equal texts; texts of under five words are one shingle.  Rows that
@@ -39,8 +42,9 @@ from .shared import cut, doc_texts, id_map, in_map, written
 from .words import WordHashes, mixed, shingles, words_of
 
 IDF_SLOTS = 1 << 16
-_DRAWS = 1 << 14
-_PART = 4096
+_DRAW_BITS = 14
+_DRAWS = 1 << _DRAW_BITS
+_PART = 1024
 
 
 def word_frequencies(docs: DataFrame, slots: int = IDF_SLOTS) -> np.ndarray:
@@ -90,34 +94,41 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 @lru_cache(maxsize=2)
-def _draws(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random draws of the sampler: for each sample a table by a shingle's slot of 1/r, beta, r, ln c - r + r * beta."""
+def _draws(samples: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Random draws of the sampler, for each sample a table by a shingle's slot: 1/r, beta, r, ln c - r + r * beta."""
     g = np.random.default_rng(seed)
     r, c = g.gamma(2.0, 1.0, (2, samples, _DRAWS))
     beta = g.random((samples, _DRAWS))
-    odd = g.integers(1, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.stack([1 / r, beta, r, np.log(c) - r + r * beta], axis=-1).astype(np.float32), odd
+    odd = g.integers(1, 1 << 31, (samples, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    at = (np.arange(samples, dtype=np.uint32) * np.uint32(_DRAWS))[:, None]
+    return (odd, at, *(x.astype(np.float32).ravel() for x in (1 / r, beta, r, np.log(c) - r + r * beta)))
 
 
 def samples_of(s: np.ndarray, w: np.ndarray, samples: int, seed: int = 11) -> np.ndarray:
     """One consistent weighted sample (a hash of shingle and level) for each of ``samples``."""
-    table, odd = _draws(samples, seed)
+    odd, at, inv, beta, r, top = _draws(samples, seed)
     best = np.full(samples, np.inf, np.float32)
     out = np.zeros(samples, np.uint64)
     rows = np.arange(samples)
     lw = np.log(w)
+    slot = (s >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(s), _PART):
-        h = s[i: i + _PART]
-        at = ((h[None, :] * odd[:, None]) >> np.uint64(50)).astype(np.int64)
-        d = table[rows[:, None], at]
-        t = np.floor(lw[None, i: i + _PART] * d[..., 0] + d[..., 1])
-        a = d[..., 3] - d[..., 2] * t
+        d = slot[i: i + _PART] * odd
+        d >>= np.uint32(32 - _DRAW_BITS)
+        d += at
+        t = inv.take(d, mode="clip")
+        t *= lw[i: i + _PART]
+        t += beta.take(d, mode="clip")
+        np.floor(t, out=t)
+        a = r.take(d, mode="clip")
+        a *= t
+        np.subtract(top.take(d, mode="clip"), a, out=a)
         m = a.argmin(axis=1)
         low = a[rows, m]
         new = low < best
         best = np.where(new, low, best)
         level = t[rows, m].astype(np.int64).astype(np.uint64)
-        out = np.where(new, mixed(h[m] + level * np.uint64(0x9E3779B97F4A7C15)), out)
+        out = np.where(new, mixed(s[i + m] + level * np.uint64(0x9E3779B97F4A7C15)), out)
     return out
 
 
@@ -179,27 +190,115 @@ def verified_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
     return both.mapInArrow(verify, "a long, b long, similarity double")
 
 
-def _next_pairs(buckets: DataFrame, comp: DataFrame, round_no: int, small: int, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs between components that are still unseen in a bucket, and the buckets left after them.
+def _shared_weights(nodes: DataFrame, known: DataFrame, idf: np.ndarray, k: int) -> DataFrame:
+    """(node, weight, shared): the weight of each text, and of its shingles that another of ``nodes`` has too."""
+    def spread(batches):
+        words = WordHashes()
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s, w = weighted_shingles(words.of(words_of(t)), idf, k)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), d)), pa.array(w.astype(np.float64))],
+                                                 names=["shingle", "node", "w"])
+
+    texts = in_map(known, "doc_id", id_map(nodes, "node")).join(nodes, F.col("doc_id") == F.col("node")).select("doc_id", "text")
+    rows = texts.mapInArrow(spread, "shingle long, node long, w double")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("w").alias("w"))
+    facts = alone.select("node", F.when(F.col("node") == F.col("other"), F.col("w")).otherwise(0.0).alias("own"), F.lit(0.0).alias("w")).unionByName(
+        rows.groupBy("node").agg(F.sum("w").alias("w")).select("node", F.lit(0.0).alias("own"), "w"))
+    return facts.groupBy("node").agg(F.sum("w").alias("weight"), (F.sum("w") - F.sum("own")).alias("shared"))
+
+
+def _common_part(threshold: float) -> float:
+    """A similarity of t takes a common weight of t / (1 + t) of the sum of both weights."""
+    return threshold / (1 + threshold) * (1 - 1e-5)
+
+
+def _open_rows(buckets: DataFrame, comp: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, comp, weight, shared, n) of nodes that may have a partner in another component of their bucket."""
+    rows = cut(buckets.join(weights, "node").join(comp, F.col("id") == F.col("node"), "left").select(
+        "bucket", "node", "weight", "shared", F.coalesce("component", "node").alias("comp")))
+    lightest = cut(rows.groupBy("bucket").agg(F.min("weight").alias("lightest")))
+    rows = cut(rows.join(lightest, "bucket").where(
+        F.col("shared") >= _common_part(threshold) * (F.col("weight") + F.col("lightest"))).drop("lightest"))
+    size = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+               .where("lo <> hi").select("bucket", "n"))
+    return cut(rows.join(size, "bucket"))
+
 
-    A bucket of at most ``small`` open nodes gives all its pairs between
-    components (under ``small`` a node) and is done.  In a larger one about
-    ``centres`` nodes become centres, meet every node of another component,
-    and leave it; the others stay for the next round.
+def _small_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Possible pairs (a, b) between components of small buckets."""
+    left = rows.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "weight", "shared")])
+    return rows.join(left, "bucket").where((F.col("node_a") < F.col("node")) & (F.col("comp") != F.col("comp_a")) & (
+        F.least("shared", "shared_a") >= _common_part(threshold) * (F.col("weight") + F.col("weight_a")))) \
+        .select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def similar_stars(nodes: list[int], side: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Of the links between nodes of side 0 and 1 (or 2, which is both) a tree for each connected part.
+
+    ``sets`` holds for each node its shingles, their weights and their counts.
     """
-    rows = buckets.join(comp, F.col("id") == F.col("node"), "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("comp"))
-    size = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rows = cut(rows.join(size.select("bucket", "n"), "bucket"))
-    pick = F.pmod(F.xxhash64("node", F.lit(round_no)), F.ceil(F.col("n") / centres)) == 0
-    left = rows.where((F.col("n") <= small) | pick).select("bucket", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    pairs = rows.join(left, "bucket").where("comp <> ca").where((F.col("n") > small) | (F.col("a") < F.col("node"))) \
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    return pairs, rows.where((F.col("n") > small) & ~pick).select("bucket", "node")
+    # a shingle that stands twice is two features, so that common weights are sums over equal features
+    keys, weights, owner = [], [], []
+    for i, (s, w, tf) in enumerate(sets):
+        for j in range(1, int(tf.max(initial=0)) + 1):
+            some = tf >= j
+            keys.append(mixed(s[some] + np.uint64(j)) if j > 1 else s[some])
+            weights.append((w[some] / tf[some]).astype(np.float32))
+            owner.append(np.full(int(some.sum()), i))
+    keys, weights, owner = np.concatenate(keys), np.concatenate(weights), np.concatenate(owner)
+    total = np.bincount(owner, weights=weights, minlength=len(nodes))
+    _, first, number, times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    twice = times[number] > 1
+    column = (np.cumsum(times > 1) - 1)[number[twice]]
+    row, weight = owner[twice], weights[first][times > 1]
+    common = np.zeros((len(nodes), len(nodes)))
+    for lo in range(0, len(weight), 4096):
+        m = np.zeros((len(nodes), min(4096, len(weight) - lo)), np.float32)
+        here = (column >= lo) & (column < lo + 4096)
+        m[row[here], column[here] - lo] = 1
+        common += (m * weight[lo: lo + 4096]) @ m.T
+    like = common >= (threshold - 1e-6) * (total[:, None] + total[None, :] - common)
+    like &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
+    np.fill_diagonal(like, False)
+    label, links, seen = np.array(nodes), [], np.zeros(len(nodes), bool)
+    for i in np.argsort(label):
+        if seen[i]:
+            continue
+        seen[i], todo = True, [i]
+        while todo:
+            for j in np.flatnonzero(like[todo.pop()] & ~seen):
+                seen[j] = True
+                links.append((int(label[i]), int(label[j])))
+                todo.append(j)
+    return links
+
+
+def _block_links(rows: DataFrame, known: DataFrame, idf: np.ndarray, threshold: float, k: int, block: int) -> DataFrame:
+    """(a, b): links in large buckets; a bucket is dealt into blocks of about ``block`` nodes, and each pair of blocks is a group."""
+    blocks = F.ceil(F.col("n") / block)
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine")
+    spread = rows.select("bucket", "node", mine, F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("other")).select(
+        "bucket", "node", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    some = in_map(known, "doc_id", id_map(rows.select("node").distinct(), "node"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        words = WordHashes()
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        side = np.array([2 if x == y else int(m == y) for m in group.column("mine").to_pylist()])
+        sets = []
+        for t in group.column("text").to_pylist():
+            h = words.of(words_of(t))
+            sets.append((*weighted_shingles(h, idf, k), np.unique(shingles(h, k), return_counts=True)[1]))
+        links = similar_stars(group.column("node").to_pylist(), side, sets, threshold)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return spread.join(some, F.col("doc_id") == F.col("node")).select("bucket", "x", "y", "mine", "node", "text") \
+        .groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 9, rows: int = 3,
-                    small: int = 24, centres: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    small: int = 24, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest id of its class), n_words.
 
     At a similarity of 0.8 three rows and nine bands miss a pair with a
@@ -219,21 +318,17 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     wanted = found.select(F.col("node").alias("doc_id")).distinct()
     known = written(in_map(texts, "doc_id", id_map(wanted, "doc_id")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
     links = cut(verified_links(pairs, known, idf, threshold, k).select("a", "b"))
-    seen, open_, round_no = pairs, found.where("n > 2 and node <> centre").select("bucket", "node"), 0
     comp = connected_components(links)
-    while True:
-        round_no += 1
-        more, open_ = _next_pairs(open_, comp, round_no, small, centres)
-        more = cut(more.join(seen, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            if open_.isEmpty():
-                break
-            continue
-        new = cut(verified_links(more, known, idf, threshold, k).select("a", "b"))
-        seen = seen.unionByName(more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = connected_components(links)
+    rest = found.where("n > 2 and node <> centre").select("bucket", "node").join(comp, F.col("id") == F.col("node"), "left") \
+        .select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    mixed_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    rest = cut(rest.join(mixed_, "bucket").select("bucket", "node"))
+    weights = _shared_weights(rest.select("node").distinct(), known, idf, k)
+    open_ = _open_rows(rest, comp, weights, threshold)
+    more = cut(_small_pairs(open_.where(F.col("n") <= small), threshold).join(pairs, ["a", "b"], "left_anti"))
+    some = in_map(known, "doc_id", id_map(more.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+    links = links.unionByName(verified_links(more, some, idf, threshold, k).select("a", "b")) \
+        .unionByName(_block_links(open_.where(F.col("n") > small), known, idf, threshold, k, block))
     tied = same.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     comp = connected_components(links.unionByName(tied))
     return sig.join(nodes.select("key", "node"), "key", "left").join(comp, F.col("id") == F.col("node"), "left").select(

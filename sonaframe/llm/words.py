@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import xxhash
@@ -14,20 +15,24 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for up to ``most`` words of one task."""
+    """Word -> place in a list of 64-bit hashes, remembered for about ``most`` words of one task."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
+        self.hashes = array("Q")
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        at = self[word] = len(self.hashes) - 1
+        return at
 
     def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        if len(self) >= self.most:
+            self.clear()
+            self.hashes = array("Q")
+        at = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return np.frombuffer(self.hashes, np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:

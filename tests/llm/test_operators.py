@@ -87,7 +87,7 @@ def test_near_duplicate_chain_in_one_bucket(spark):
             if a < b and neardup.weighted_jaccard(sets[a], sets[b]) >= 0.8:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs, small=2, centres=2).collect()}
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs, small=2, block=5).collect()}
     assert got == {i: find(i) for i in sets}
 
 
