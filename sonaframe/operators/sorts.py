@@ -32,10 +32,14 @@ def rank_in_batch(df: DataFrame, batch_col: str, len_col: str, id_col: str,
 # O2 ---------------------------------------------------------------------------
 
 def page(df: DataFrame, order_cols: Sequence[str], index: int, batch: int) -> DataFrame:
-    """O2: rows ``[index, index + batch)`` of the order (0-based)."""
-    ranked = global_row_number(df, list(order_cols), "_rn")
-    return ranked.where((F.col("_rn") > F.lit(index)) & (F.col("_rn") <= F.lit(index + batch))) \
-                 .withColumn("row_index", (F.col("_rn") - 1).cast("long")).drop("_rn")
+    """O2: rows ``[index, index + batch)`` of the order (0-based).
+
+    A sort with an offset and a limit; only the page's own rows are numbered.
+    For deep pages use ``keyset_page``.
+    """
+    rows = df.orderBy(*order_cols).offset(index).limit(batch)
+    w = Window.orderBy(*order_cols)  # at most ``batch`` rows
+    return rows.withColumn("row_index", (F.row_number().over(w) - 1 + F.lit(index)).cast("long"))
 
 
 def next_index(index: int, batch: int, n: int) -> int:
@@ -70,7 +74,7 @@ def natural_key(c: Column | str) -> Column:
 
 
 def natural_sort(df: DataFrame, col: str, id_col: str, out_col: str = "rank") -> DataFrame:
-    ranked = global_row_number(df.withColumn("_nk", natural_key(col)), ["_nk", col, id_col], out_col)
+    ranked = global_row_number(df.withColumn("_nk", natural_key(col)), ["_nk", col, id_col], out_col, key=[id_col])
     return ranked.drop("_nk")
 
 

@@ -161,24 +161,33 @@ def _softmax_parts(df: DataFrame, group_cols: Sequence[str], x: str, name: str)
             .drop("_mx", "_e", "_den")
 
 
-def _kth_value(ranked: DataFrame, group_cols: Sequence[str], x: str, pos: str, k: Column) -> DataFrame:
-    """Per group the value at position k (or the last one when the group is shorter)."""
-    return ranked.where(F.col(pos) <= k).groupBy(*group_cols).agg(F.min(x).alias("_kth"))
+def _cum_in_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], value: str,
+                  name: str, item_col: str, block_rows: int) -> DataFrame:
+    """Inclusive running sum of ``value`` inside each group along ``order``, and the position ``_pos`` from 0.
 
+    A group is summed in blocks of ``block_rows`` positions, each a window of
+    its own, plus the totals of the group's blocks before (one row a block).
+    No sum ever crosses groups, so equal groups give equal sums.
+    """
+    g = list(group_cols)
+    ranked = rank_within(df, g, order, "_pos", rn_col="_grn").drop("_grn", "_gsize") \
+        .withColumn("_pos", F.col("_pos") - 1).withColumn("_blk", F.floor(F.col("_pos") / F.lit(block_rows)))
+    inside = Window.partitionBy(*g, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*g).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranked.groupBy(*g, "_blk").agg(F.sum(value).alias("_tot")).withColumn(
+        "_carry", F.coalesce(F.sum("_tot").over(before), F.lit(0.0))).drop("_tot")
+    return ranked.withColumn("_run", F.sum(value).over(inside)).join(totals, [*g, "_blk"]) \
+        .withColumn(name, F.col("_carry") + F.col("_run")).drop("_run", "_carry", "_blk")
 
-def _cum_in_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], value: str,
-                  name: str, block_rows: int) -> DataFrame:
-    """Inclusive running sum of ``value`` inside each group along ``order``.
 
-    A global running sum minus the running sum just before the group's first
-    row, so a hot group spreads over blocks."""
-    sc = global_scan(df, [*[F.col(g) for g in group_cols], *order], F.col(value), "sum", "_gcum",
-                     rn_col="_rn", block_rows=block_rows)
-    starts = sc.groupBy(*group_cols).agg(F.min_by(F.col("_gcum") - F.col(value), F.col("_rn")).alias("_base"),
-                                         F.min("_rn").alias("_first"))
-    return (sc.join(starts, list(group_cols)).withColumn(name, F.col("_gcum") - F.col("_base"))
-              .withColumn("_pos", (F.col("_rn") - F.col("_first")).cast("long"))
-              .drop("_gcum", "_base", "_first"))
+def _at_most(frame: DataFrame, group_cols: Sequence[str], x: str, k: int) -> DataFrame:
+    """Rows whose ``x`` is not below the k-th largest of their group (ties kept).
+
+    ``rank() <= k`` is a limit that Spark applies in every partition before
+    the exchange, so a hot group sends k rows and ties from each.
+    """
+    w = Window.partitionBy(*group_cols).orderBy(F.col(x).desc())
+    return frame.withColumn("_rank", F.rank().over(w)).where(F.col("_rank") <= F.lit(k)).drop("_rank")
 
 
 def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logit_col: str,
@@ -200,16 +209,18 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
     order = [F.col(x).desc(), F.col(item_col)]
 
     def topk(frame: DataFrame, k: int) -> DataFrame:
-        ranked = rank_within(frame.where(F.col(x).isNotNull()), g, order, "_kp").drop("_grn")
-        kk = F.least(F.greatest(F.lit(k), F.lit(min_tokens_to_keep)), F.col("_gsize")) if not inclusive \
-            else F.least(F.lit(k), F.col("_gsize"))
-        kth = ranked.where(F.col("_kp") <= kk).groupBy(*g).agg(F.min(x).alias("_kth"))
-        j = frame.join(kth, g, "left")
-        return j.withColumn(x, F.when(F.col(x) >= F.col("_kth"), F.col(x))).drop("_kth")
-
-    def topp(frame: DataFrame, shifted: bool) -> DataFrame:
+        kk = k if inclusive else max(k, min_tokens_to_keep)
+        return _at_most(frame.where(F.col(x).isNotNull()), g, x, kk)
+
+    def topp(frame: DataFrame, shifted: bool, cut: bool) -> DataFrame:
         sm = _softmax_parts(frame, g, x, "_p")
-        cum = _cum_in_group(sm, g, [F.col(x).desc_nulls_last(), F.col(item_col)], "_p", "_cum", block_rows)
+        down = [F.col(x).desc_nulls_last(), F.col(item_col)]
+        if cut:  # a group is bounded by the top-k cut: one window
+            w = Window.partitionBy(*g).orderBy(*down)
+            cum = sm.withColumn("_cum", F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+                    .withColumn("_pos", F.row_number().over(w) - 1)
+        else:
+            cum = _cum_in_group(sm, g, down, "_p", "_cum", item_col, block_rows)
         if shifted:
             before = F.col("_cum") - F.col("_p")
             keep = (F.col("_pos") == 0) | (before <= F.lit(top_p))
@@ -217,7 +228,7 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
                 keep = keep | (F.col("_pos") <= F.lit(min_tokens_to_keep))
         else:
             keep = (F.col("_pos") == 0) | (F.col("_cum") <= F.lit(top_p))
-        return cum.withColumn(x, F.when(keep & F.col(x).isNotNull(), F.col(x))).drop("_p", "_cum", "_pos", "_rn")
+        return cum.withColumn(x, F.when(keep & F.col(x).isNotNull(), F.col(x))).drop("_p", "_cum", "_pos")
 
     if not inclusive:
         if temperature != 1.0:
@@ -225,10 +236,10 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
         if top_k > 0:
             d = topk(d, top_k)
         if top_p < 1.0:
-            d = topp(d, shifted=True)
+            d = topp(d, shifted=True, cut=top_k > 0)
     else:
         if top_p is not None and top_p < 1.0:
-            d = topp(d, shifted=False)
+            d = topp(d, shifted=False, cut=False)
         d = d.withColumn(x, F.col(x) / F.lit(max(temperature, 1e-5)))
         if top_k:
             d = topk(d, top_k)
@@ -238,12 +249,8 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
 
 def top_k_keep_ties(df: DataFrame, group_cols: Sequence[str], score_col: str, k: int,
                     item_col: str) -> DataFrame:
-    """Rows whose score is ≥ the k-th largest of their group (ties kept,
-    same as ``rank() <= k``); the k-th value comes from a skew-safe rank."""
-    g = list(group_cols)
-    ranked = rank_within(df, g, [F.col(score_col).desc(), F.col(item_col)], "_kp")
-    kth = ranked.where(F.col("_kp") <= F.lit(k)).groupBy(*g).agg(F.min(score_col).alias("_kth"))
-    return df.join(kth, g).where(F.col(score_col) >= F.col("_kth")).drop("_kth")
+    """Rows whose score is ≥ the k-th largest of their group (ties kept)."""
+    return _at_most(df.where(F.col(score_col).isNotNull()), list(group_cols), score_col, k)
 
 
 # W11 --------------------------------------------------------------------------
@@ -252,8 +259,13 @@ def latest_n_per_group(df: DataFrame, group_col: str, order_col: str, name_col:
                        protect_suffix: str = "_0.pth") -> DataFrame:
     """Keep the newest ``n`` of each group; names ending in the protected
     suffix are never deleted.  Adds ``keep`` (bool)."""
-    prot = F.col(name_col).endswith(protect_suffix)
-    cand = df.where(~prot)
-    ranked = rank_within(cand, [group_col], [F.col(order_col).desc(), F.col(name_col).desc()], "_from_newest")
-    judged = ranked.withColumn("keep", F.col("_from_newest") <= F.lit(n)).drop("_from_newest", "_gsize", "_grn")
-    return judged.unionByName(df.where(prot).withColumn("keep", F.lit(True)))
+    prot = F.coalesce(F.col(name_col).endswith(protect_suffix), F.lit(False))
+    newest = Window.partitionBy(group_col).orderBy(F.col(order_col).desc(), F.col(name_col).desc())
+    # the limit is applied in every partition before the exchange; n rows a group are left
+    top = df.where(~prot).select(group_col, order_col, name_col).withColumn("_n", F.row_number().over(newest)) \
+        .where(F.col("_n") <= F.lit(n)).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate((group_col, order_col, name_col))])
+    same = F.lit(True)
+    for i, c in enumerate((group_col, order_col, name_col)):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    marked = df.join(top.withColumn("_top", F.lit(True)), same, "left")
+    return marked.withColumn("keep", prot | F.coalesce(F.col("_top"), F.lit(False))).drop("_0", "_1", "_2", "_top")

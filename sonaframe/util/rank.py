@@ -5,16 +5,19 @@ cannot reproduce.  Every random choice here is an order by
 ``md5(concat(cast(id as string), ':', seed))`` instead, which Spark and DuckDB
 compute identically and which does not depend on partitioning.
 
-``global_row_number`` numbers rows 1..n in a total order without moving the
-table into one task: rows are range partitioned on the full order key (ties
-are split by the key's last column, so one hot value cannot pile into one
-task), numbered inside each partition, and shifted by the row counts of the
+``number_rows`` numbers rows 1..n in a total order without moving the table
+into one task: rows are range partitioned on the full order key (ties are
+split by the key's last column, so one hot value cannot pile into one task),
+numbered inside each partition, and shifted by the row counts of the
 partitions before them.  The offset table has one row per partition, so its
 broadcast is bounded by the partition count, not by the data.
+``global_row_number`` does this on the order key alone and joins the numbers
+back, so that wide rows are neither sorted nor written.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,15 +49,13 @@ def md5_bucket(*parts: Column | str, seed: int | str = 42, buckets: int = 100) -
     return F.floor(md5_unit(*parts, seed=seed) * F.lit(buckets)).cast("long")
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+#: Rows of an order key that one range partition may hold.
+PARTITION_ROWS = 2_000_000
 
 
-def global_row_number(df: DataFrame, order_cols: Sequence[Column | str],
-                      name: str = "rn", num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1..n following ``order_cols`` (which must be a total order).
+def number_rows(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn",
+                num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``name`` = 1..n following ``order_cols`` (a total order, but for rows that are equal).
 
     Plan: one range exchange on the full order key, a sort inside each
     partition, ``monotonically_increasing_id`` (partition id in the upper
@@ -63,19 +64,20 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str],
     partition assignment: range bounds come from sampling, and two
     recomputations of the exchange are not guaranteed to agree, while the
     counts per partition and the rows must come from the same assignment.
-    The offsets table has one row per partition (broadcast, bounded by the
-    partition count).
+    All columns of ``df`` are written there, so pass narrow frames.  The
+    number of partitions follows the number of rows; below the session's
+    shuffle partitions adaptive execution may merge them.
     """
     from ..session import ensure_checkpoint_dir
 
     order = [_as_col(c) for c in order_cols]
-    n = _num_partitions(df, num_partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
-    pid = F.shiftright(F.col("_mid"), 33)
-    local = ranged.withColumn("_pid", pid).withColumn(
+    if num_partitions is None:
+        wanted = -(-df.count() // PARTITION_ROWS)
+        num_partitions = wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) else None
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    ranged = ranged.sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    local = ranged.withColumn("_pid", F.shiftright(F.col("_mid"), 33)).withColumn(
         "_lrn", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + F.lit(1))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: a single-task window over it is bounded
@@ -91,6 +93,40 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str],
     return out.drop("_pid", "_lrn", "_off", "_mid")
 
 
+_DIRECTION = re.compile(r" (ASC|DESC) NULLS (FIRST|LAST)'>$")
+
+
+def _has_direction(c: Column | str) -> bool:
+    """Whether an order column carries a sort direction and so is no value to select."""
+    return not isinstance(c, str) and bool(_DIRECTION.search(str(c)))
+
+
+def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn",
+                      num_partitions: int | None = None, key: Sequence[str] | None = None) -> DataFrame:
+    """Add ``name`` = 1..n following ``order_cols`` (which must be a total order).
+
+    Only the order columns (and ``key``, columns that identify a row, where
+    they are fewer) are numbered, see ``number_rows``; the numbers are joined
+    back to the rows on the key, or else on the order columns.
+    Columns with a sort direction cannot serve as a key: then, and when the
+    frame has no other columns, the whole frame is numbered.
+    """
+    if any(_has_direction(c) for c in order_cols):
+        return number_rows(df, order_cols, name, num_partitions)
+    names = [c if isinstance(c, str) else f"_o{i}" for i, c in enumerate(order_cols)]
+    wide = df.withColumns({n: c for n, c in zip(names, order_cols) if not isinstance(c, str)})
+    by = list(key or names)
+    if set(df.columns) <= {*by, *names}:
+        return number_rows(wide, names, name, num_partitions).select(*df.columns, name)
+    numbers = number_rows(wide.select(*dict.fromkeys([*by, *names])), names, name, num_partitions) \
+        .select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(by)], name)
+    same = None
+    for i, n in enumerate(by):
+        part = wide[n].eqNullSafe(numbers[f"_k{i}"])
+        same = part if same is None else same & part
+    return wide.join(numbers, same).select(*df.columns, name)
+
+
 DEFAULT_BLOCK_ROWS = 1_000_000
 
 _SCAN_OPS = {"min": F.min, "max": F.max, "sum": F.sum}

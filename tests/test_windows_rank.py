@@ -85,3 +85,37 @@ def test_top_k_keep_ties_and_nucleus(spark):
                                                     block_rows=2).collect())
     # softmax(3,2,1,0) ≈ .64,.24,.09,.03: shifted keeps the first above p, inclusive does not
     assert a == [0, 1] and b == [0]
+
+
+def test_equal_groups_get_equal_nucleus(spark):
+    """The kept rows of a group do not depend on the groups before it."""
+    df = spark.range(60_000).select(F.floor(F.col("id") / 3).alias("g"), (F.col("id") % 3).alias("item"), F.lit(1.0).alias("x"))
+    for k in (0, 3):
+        kept = W.nucleus_filter(df, ["g"], "item", "x", top_k=k, top_p=1 / 3, block_rows=2)
+        sizes = kept.groupBy("g").count().groupBy("count").count().collect()
+        assert len(sizes) == 1 and sizes[0][1] == 20_000
+
+
+def test_numbering_carries_no_payload(spark):
+    df = spark.createDataFrame([(i, "p" * i, None if i % 4 else i) for i in range(50)], "id long, payload string, k long")
+    got = global_row_number(df, ["k", "id"], "rn")
+    ref = got.withColumn("ref", F.row_number().over(Window.orderBy("k", "id")))
+    assert got.count() == 50 and ref.where(F.col("rn") != F.col("ref")).count() == 0
+    scans = [line for line in got._jdf.queryExecution().logical().toString().splitlines() if "RDD" in line and "payload" not in line]
+    assert scans  # the checkpointed frame holds the order key alone
+
+
+def test_page_past_the_end(spark):
+    from sonaframe.operators.sorts import page
+    df = spark.range(10)
+    assert [r["row_index"] for r in page(df, ["id"], 8, 5).collect()] == [8, 9]
+    assert page(df, ["id"], 20, 5).count() == 0
+
+
+def test_silence_runs_across_blocks(spark):
+    from sonaframe.operators.signal import silence_runs
+    quiet = [0, 1, 2, 3, 4, 5, 6, 9, 12, 13, 20, 21, 22, 23, 24, 25, 26, 27, 28]
+    df = spark.createDataFrame([(s, f, 0.0 if f in quiet else 1.0) for s in (1, 2) for f in range(30)], "signal_id long, frame long, rms double")
+    for block in (1, 2, 3, 5, 100):
+        got = sorted((r["start"], r["end"], r["length"]) for r in silence_runs(df, block_frames=block).where("signal_id = 2").collect())
+        assert got == [(0, 6, 7), (9, 9, 1), (12, 13, 2), (20, 28, 9)]
