@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util.rank import global_row_number
+from ..util.rank import number_rows
 from .shared import cut
 
 BINS = 1024
@@ -202,7 +202,7 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
                                             _Node(2 * n.node + 1, n.shards - n.shards // 2, 0, n.first + n.shards // 2))]
     names = _values(points, [(n.node, n.first) for n in leaves] or [(1, 0)], "node bigint, shard int")
     placed = points.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", "shard", "t", "r")
-    numbered = cut(global_row_number(placed, ["shard", "t", "r", "doc_id"], "n"))
+    numbered = cut(number_rows(placed, ["shard", "t", "r", "doc_id"], "n"))
     starts = numbered.groupBy("shard").agg(F.min("n").alias("start"))  # one row a shard
     return numbered.join(F.broadcast(starts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("n") - F.col("start")).cast("long").alias("slot"),

@@ -12,17 +12,17 @@
 3. Such pairs meet both whole texts.  Common runs of words, joined over small
    edits while the shingles of the joined stretch keep an exact Jaccard
    similarity of ``threshold``, count as a repeat from ``min_words`` words on.
-4. Bands that are still outside any repeat may hide a repeat that is spread
-   over several partners: for these stretches all windows of ``min_words``
-   words are compared exactly, again by the smallest id.
+4. Bands that are still outside any repeat may hide one with another partner
+   than the smallest id: around them longer windows are compared exactly,
+   again by the smallest id, which then holds the whole window.
 5. Repeats are clustered by connected components of their documents.  Of a
    passage the copy in the smallest doc_id stays; it is cut from the others.
 
 Edge cases: null texts are empty; texts of under ``min_words`` words have no
 passage.  A passage that repeats only inside one document stays.  Equal
 documents lose the text in all but the smallest id.  Rows with a null doc_id
-take no part and stay as they are; rows that repeat a doc_id are one document
-and are cut alike when their texts are equal to the smallest text of the id, else they stay.
+take no part and stay as they are; rows that repeat a doc_id with the same
+text are cut alike, with other texts each by its own repeats.
 """
 
 from __future__ import annotations
@@ -34,20 +34,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, doc_texts, id_map, in_map, written
+from .shared import cut, doc_texts, id_map, in_map, mapped, written
 from .words import WORD, WordHashes, mixed, shingles, words_of
 
 WINDOW = 16
 _FOLD, _FOLD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _sliding(v: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over every ``window`` neighbours (a power of two), by doubling."""
+    w = 1
+    while w < window:
+        v = best(v[:-w], v[w:])
+        w *= 2
+    return v
+
+
 def minima(s: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the distinct smallest shingles of all windows of ``s``."""
+    """Positions of all shingles that are the smallest of some window of ``s``."""
     if len(s) < window:
         return np.zeros(0, np.int64)
     v = s * _FOLD2
-    at = np.lib.stride_tricks.sliding_window_view(v, window).argmin(axis=1) + np.arange(len(v) - window + 1)
-    return at[np.append(True, at[1:] != at[:-1])]
+    low = _sliding(v, window, np.minimum)
+    edge = np.zeros(window - 1, np.uint64)
+    # no window has a minimum above any of its values: a value is one's minimum when it equals the largest of these minima
+    return np.flatnonzero(_sliding(np.concatenate([edge, low, edge]), window, np.maximum) == v)
 
 
 def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,13 +137,17 @@ def repeats(x: np.ndarray, y: np.ndarray, min_words: int, threshold: float, gap:
     return out
 
 
-def _band_rows(texts: DataFrame) -> DataFrame:
+def _band_rows(texts: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
+    """(band, doc_id, first, last) of all texts, or only of bands in the map ``repeated``."""
     def run(batches):
         words = WordHashes()
         for b in batches:
             ids, vals, starts, ends = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v, a, e = bands(shingles(words.of(words_of(t))))
+                if repeated is not None:
+                    some = mapped(v, repeated)
+                    v, a, e = v[some], a[some], e[some]
                 ids.append(np.full(len(v), i))
                 vals.append(v)
                 starts.append(a)
@@ -145,82 +160,76 @@ def _band_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "band long, doc_id long, first int, last int")
 
 
-def _partners(rows: DataFrame) -> DataFrame:
-    """Rows of values in several documents, with the smallest of these as ``keeper``."""
-    low = cut(rows.groupBy("band").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("top")).where("keeper <> top").drop("top"))
-    # both sides come fresh to the join, so that Spark can split a band which very many documents hold
-    return rows.join(low, "band")
+def _keepers(rows: DataFrame) -> DataFrame:
+    """(band, keeper): bands in several documents, and the smallest id of these."""
+    return cut(rows.groupBy("band").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("top")).where("keeper <> top").drop("top"))
 
 
 def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: float) -> DataFrame:
-    """doc_id, keeper, first, last (words, inclusive) of the repeats of each pair."""
-    side = pairs.join(known, "doc_id").withColumnRenamed("text", "x")
-    both = side.join(known.select(F.col("doc_id").alias("keeper"), F.col("text").alias("y")), "keeper").select("doc_id", "keeper", "x", "y")
+    """doc_id, of (hash of its text), keeper, first, last (words, inclusive) of the repeats of each pair."""
+    mine = in_map(known, "doc_id", id_map(pairs, "doc_id"))
+    theirs = in_map(known, "doc_id", id_map(pairs, "keeper"))
+    side = pairs.join(mine, "doc_id").withColumnRenamed("text", "x")
+    both = side.join(theirs.select(F.col("doc_id").alias("keeper"), F.col("text").alias("y")), "keeper").select("doc_id", "of", "keeper", "x", "y")
 
     def run(batches):
         words, last, wy = WordHashes(), None, None
         for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for d, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if k != last:
-                    last, wy = k, words.of(words_of(y))
-                out += [(d, k, a, e - 1) for a, e in repeats(words.of(words_of(x)), wy, min_words, threshold)]
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
-                                             names=["doc_id", "keeper", "first", "last"])
+            out: list[tuple[int, int, int, int, int]] = []
+            for d, of, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if y is not last:
+                    last, wy = y, words.of(words_of(y))
+                out += [(d, of, k, a, e - 1) for a, e in repeats(words.of(words_of(x)), wy, min_words, threshold)]
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "of", "keeper", "first", "last"])
 
-    return both.mapInArrow(run, "doc_id long, keeper long, first int, last int")
+    return both.mapInArrow(run, "doc_id long, of long, keeper long, first long, last long")
 
 
-def _window_rows(open_: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
-    """All windows of ``min_words`` words that hold an open band, as (band, doc_id, first, last)."""
-    spots = open_.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("at"))  # of one text, so bounded by it
+def _window_rows(spots: DataFrame, known: DataFrame, min_words: int, step: int = 10) -> DataFrame:
+    """(band, doc_id): hashes of windows of ``min_words - step`` words that start at a band, or up to ``min_words``
+    before it in steps of ``step``.  A run of ``min_words`` words around the band holds one of them whole."""
+    at = spots.groupBy("doc_id").agg(F.collect_set("first").alias("at"))  # of one text, so bounded by it
+    size = min_words - step
 
     def run(batches):
         words = WordHashes()
         for b in batches:
-            vals, ids, starts = [], [], []
-            for d, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            vals, ids = [], []
+            for d, t, at in zip(*(b.column(i).to_pylist() for i in range(3))):
                 h = words.of(words_of(t))
-                n = len(h) - min_words + 1
-                if n <= 0:
+                if len(h) < size:
                     continue
-                near = np.zeros(n + 1, np.int64)
-                for s in at:
-                    a, e = max(0, s["last"] - min_words + 1), min(n, s["first"] + 1)
-                    if a < e:
-                        near[a] += 1
-                        near[e] -= 1
-                p = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                vals.append(shingles(h, min_words)[p].view(np.int64))
-                ids.append(np.full(len(p), d))
-                starts.append(p)
+                p = (np.array(at)[:, None] - np.arange(0, min_words, step)[None, :]).ravel()
+                p = np.unique(p[(p >= 0) & (p + size <= len(h))])
+                vals.append(shingles(h, size)[p].view(np.int64))
+                ids.append(np.full(len(p), d, np.int64))
             if vals:
-                s = np.concatenate(starts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals), pa.int64()), pa.array(np.concatenate(ids).astype(np.int64), pa.int64()),
-                                                  pa.array(s, pa.int32()), pa.array(s + (min_words - 1), pa.int32())],
-                                                 names=["band", "doc_id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals)), pa.array(np.concatenate(ids))], names=["band", "doc_id"])
 
-    return spots.join(known, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "band long, doc_id long, first int, last int")
+    return at.join(known, "doc_id").select("doc_id", "text", "at").mapInArrow(run, "band long, doc_id long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Repeats (doc_id, keeper, first, last) that are to go, and the texts (doc_id, text) of all documents in them."""
+def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -> DataFrame:
+    """Repeats (doc_id, of, keeper, first, last) that are to go; ``of`` is the hash of the text that they belong to."""
     texts = doc_texts(docs).where("doc_id is not null")
-    rows = cut(_partners(_band_rows(texts)).select("band", "doc_id", "keeper", "first", "last"))
-    wanted = rows.select("doc_id").distinct()
-    known = written(in_map(texts, "doc_id", id_map(wanted, "doc_id")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    pairs = rows.where("doc_id <> keeper").select("doc_id", "keeper").distinct()
+    low = _keepers(_band_rows(texts))
+    # unrepeated bands do not leave the task; both sides come fresh to the join, so that Spark can split a band of very many documents
+    rows = written(_band_rows(texts, id_map(low, "band")).join(low, "band").select("band", "doc_id", "keeper", "first", "last"))
+    known = written(in_map(texts, "doc_id", id_map(rows, "doc_id")).withColumn("of", F.xxhash64("text")))
+    pairs = cut(rows.where("doc_id <> keeper").select("doc_id", "keeper").distinct())
     found = cut(_verified(pairs, known, min_words, threshold))
-    # bands outside any repeat of their document
+    # bands outside any repeat of some document; the keeper of a band needs no other partner for it
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("first").alias("f"), F.col("last").alias("l"))).alias("spans"))  # of one text
     inside = F.exists("spans", lambda s: (s["f"] <= F.col("first")) & (F.col("last") <= s["l"]))
-    open_ = rows.join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("doc_id", "first", "last").distinct()
-    more = cut(_partners(_window_rows(open_, known, min_words)).where("doc_id <> keeper").select("doc_id", "keeper").distinct()
+    open_ = cut(rows.where("doc_id <> keeper").join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("band").distinct())
+    spots = rows.select("band", "doc_id", "first").join(open_, "band", "left_semi")
+    windows = written(_window_rows(spots, in_map(known, "doc_id", id_map(spots, "doc_id")), min_words))
+    more = cut(windows.join(_keepers(windows), "band").where("doc_id <> keeper").select("doc_id", "keeper").distinct()
                .join(pairs, ["doc_id", "keeper"], "left_anti"))
     if not more.isEmpty():
         found = cut(found.unionByName(_verified(more, known, min_words, threshold)).distinct())
-    return found, known
+    return found
 
 
 def cut_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -> DataFrame:
@@ -228,17 +237,15 @@ def cut_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -
 
     ``cluster`` is the smallest id of the documents tied by repeats.
     """
-    found, known = repeated_passages(docs, min_words, threshold)
+    found = repeated_passages(docs, min_words, threshold)
     comp = connected_components(found.select(F.col("doc_id").alias("a"), F.col("keeper").alias("b")))
-    spans = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__spans"),  # of one text
-                                        F.sort_array(F.collect_set("keeper")).alias("__partners"))
-    info = comp.select(F.col("id").alias("doc_id"), F.col("component").alias("__cluster")).join(spans, "doc_id", "left") \
-        .join(known.select("doc_id", F.xxhash64("text").alias("__of")), "doc_id").withColumnRenamed("doc_id", "__id")
-    info = cut(info)
+    spans = found.groupBy("doc_id", "of").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("__spans"),  # of one text
+                                              F.sort_array(F.collect_set("keeper")).alias("__partners")).withColumnRenamed("of", "__of")
+    info = cut(comp.select(F.col("id").alias("doc_id"), F.col("component").alias("__cluster")).join(spans, "doc_id", "left").withColumnRenamed("doc_id", "__id"))
     marks = id_map(info, "__id")
     docs = docs.drop("n_removed", "cluster", "partners").withColumn("doc_id", F.col("doc_id").cast("long"))
-    hit = in_map(docs, "doc_id", marks).join(info, F.col("doc_id") == F.col("__id"), "left")
-    hit = hit.withColumn("__spans", F.when(F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__of"), F.col("__spans")))
+    mine = F.col("__of").isNull() | (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__of"))
+    hit = in_map(docs, "doc_id", marks).join(info, (F.col("doc_id") == F.col("__id")) & mine, "left")
     out = [*docs.columns, "n_removed", "cluster", "partners"]
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType()), T.StructField("cluster", T.LongType()),
                            T.StructField("partners", T.ArrayType(T.LongType()))])

@@ -100,13 +100,18 @@ def id_map(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def mapped(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Whether the map has each id."""
+    s = _slots(ids)
+    return (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def in_map(df: DataFrame, column: str, words: np.ndarray, found: bool = True) -> DataFrame:
     """Rows of ``df`` whose id is in the map, or with ``found=False`` the others (null ids are not in it)."""
     def keep(batches):
         for b in batches:
             ids = b.column(b.schema.names.index(column))
-            s = _slots(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            hit = (words[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1) == 1
+            hit = mapped(ids.fill_null(0).to_numpy(zero_copy_only=False), words)
             hit &= ids.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(hit == found))
 
