@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Every character that ``str.isspace`` counts as white space, as ``str.split`` and ``str.strip`` do.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 # The punctuation set whose all-member segments are dropped.
 PUNCT_SET = "!?…,.- "
 PUNCT_ONLY_RE = r"^[!?…,.\- ]*\z"

@@ -16,9 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ASCII whitespace as Java regex \s sees it (a btrim needs no regex scan)
-WS = " \t\n\x0b\f\r"
-
+from .predicates import BLANKS as WS
 from .predicates import c_
 
 # Sentence split marks.
@@ -91,7 +89,7 @@ FULLWIDTH_FROM, FULLWIDTH_TO = _fullwidth_tables()
 def _accent_tables() -> tuple[str, str]:
     """Latin letters whose NFD form is an ASCII letter plus combining marks."""
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
         ch = chr(cp)
         d = unicodedata.normalize("NFD", ch)
         base = "".join(x for x in d if unicodedata.category(x) != "Mn")
@@ -497,7 +495,7 @@ def normalize_spacing(c: Column | str) -> Column:
 
 def whitespace_tokens(c: Column | str) -> Column:
     x = F.btrim(c_(c), F.lit(WS))
-    return F.filter(F.split(x, r"\s+", -1), lambda t: t != "")
+    return F.filter(F.split(x, f"[{WS}]+", -1), lambda t: t != "")
 
 
 def truncate_pad(arr: Column | str, width: int = 512, pad: int | str = 0) -> Column:

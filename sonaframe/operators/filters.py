@@ -11,10 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# ASCII whitespace as Java regex \s sees it (a btrim needs no regex scan)
-WS = " \t\n\x0b\f\r"
-
-from ..functions.predicates import c_, is_blank
+from ..functions.predicates import BLANKS, c_, is_blank
 from ..util.rank import global_row_number, md5_bucket, md5_key
 
 # Language spellings accepted for training and their codes.
@@ -53,13 +50,13 @@ def rejected(df: DataFrame, name: str = "reject_reason") -> DataFrame:
 
 def clean_words(c: Column | str) -> Column:
     """Trim, lower, split on whitespace, keep all-letter words, join by one space."""
-    words = F.split(F.lower(F.btrim(c_(c), F.lit(WS))), r"\s+", -1)
+    words = F.split(F.lower(F.btrim(c_(c), F.lit(BLANKS))), f"[{BLANKS}]+", -1)
     return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}+\z")), " ")
 
 
 def clean_lines(df: DataFrame, line_col: str = "line", out_col: str = "text") -> DataFrame:
     """drop blank lines, then clean; a line that cleans to '' is kept."""
-    return df.where(~F.col(line_col).rlike(r"^\s*\z")).withColumn(out_col, clean_words(line_col))
+    return df.where(F.btrim(F.col(line_col), F.lit(BLANKS)) != "").withColumn(out_col, clean_words(line_col))
 
 
 # F2 ---------------------------------------------------------------------------

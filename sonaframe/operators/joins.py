@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..util.rank import global_row_number
-from ..util.sizing import DEFAULT_LITERAL_ROWS, checked_broadcast, collect_bounded, has_at_most
 
 REASON_NOT_IN = "not_in"
 
@@ -58,12 +59,13 @@ def step_files_done(spark, path: str, min_lines: int = 2, min_bytes: int = 31) -
     """J3 for a merged text output: done when it has ``min_lines`` lines and
     ``min_bytes`` bytes (file sizes come from the listing, content unread)."""
     try:
-        size = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-                .agg(F.sum("length")).first()[0]) or 0
-        lines = spark.read.text(path).limit(min_lines).count()
-    except Exception:  # noqa: BLE001 - no output yet
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        size = files.agg(F.sum("length")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
-    return lines >= min_lines and size >= min_bytes
+    return size >= min_bytes and spark.read.text(path).limit(min_lines).count() >= min_lines
 
 
 def require_upstream(items: DataFrame, upstream: DataFrame, key: str,
@@ -95,76 +97,58 @@ def optional_feature(items: DataFrame, features: DataFrame, key: str, length_col
 
 # J7 ---------------------------------------------------------------------------
 
-def _vocab_map(vocab: DataFrame, k: str, v: str, max_rows: int = DEFAULT_LITERAL_ROWS) -> Column:
-    rows = collect_bounded(vocab.select(k, v), max_rows)
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
+def lookup_arrays(df: DataFrame, arr_col: str, entries: DataFrame, key_col: str, value_col: str, out_col: str) -> DataFrame:
+    """``arr_col`` with every element replaced by its value in ``entries`` (null when it has none), for tables of any size.
 
-
-def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Sequence[str],
+    The result depends on the array alone, so equal arrays are looked up
+    once, keyed by a digest of their content; rows need no key of their own
+    and may repeat.  Spark picks the join with ``entries`` by its size.
+    """
+    digest = F.sha2(F.to_json(F.struct(F.col(arr_col).alias("a"))), 256)
+    rows = df.withColumn("_digest", F.when(F.col(arr_col).isNotNull(), digest))
+    arrays = rows.where("_digest is not null").select("_digest", F.col(arr_col).alias("_a")).dropDuplicates(["_digest"])
+    table = entries.select(F.col(key_col).alias("_key"), F.col(value_col).alias("_value"))
+    kind = table.schema["_value"].dataType
+    looked = arrays.select("_digest", F.posexplode("_a").alias("_pos", "_key")).join(table, "_key", "left")
+    values = looked.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_s")) \
+        .select("_digest", F.transform("_s", lambda x: x["_value"]).alias("_values"))
+    none = F.array().cast(T.ArrayType(kind))
+    return rows.join(values, "_digest", "left").withColumn(out_col, F.when(
+        F.col("_digest").isNotNull(), F.coalesce("_values", none))).drop("_digest", "_values")
+
+
+def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Sequence[str] | None = None,
                  symbol_col: str = "symbol", id_col: str = "id", policy: str = "reject",
-                 unk_symbol: str = "UNK", out_col: str = "ids",
-                 literal_rows: int = 256) -> DataFrame:
+                 unk_symbol: str = "UNK", out_col: str = "ids", literal_rows: int | None = None) -> DataFrame:
     """Symbols → ids.
 
     policy ``reject``: an unknown symbol rejects the row (``reject_reason``
     = 'not_in', ids null); ``unk``: unknown → id of ``unk_symbol``; ``drop``:
-    unknown symbols are removed.  A vocabulary of at most ``literal_rows``
-    rows (a phone symbol set) becomes a literal map evaluated in a JVM expression
-    (no shuffle; map lookups scan the keys, so this is kept small); a larger
-    one is joined on the exploded symbols.
+    unknown symbols are removed.  Vocabularies of every size take the same
+    way (``lookup_arrays``); null token arrays give null ids.  ``key_cols``
+    and ``literal_rows`` are kept for callers and have no effect.
     """
     if policy not in ("reject", "unk", "drop"):
         raise ValueError(policy)
-    if has_at_most(vocab, literal_rows):
-        m = _vocab_map(vocab, symbol_col, id_col, literal_rows)
-        looked = F.transform(F.col(tokens_col), lambda t: F.try_element_at(m, t))
-        unk_id = F.try_element_at(m, F.lit(unk_symbol))
-        return _finish_encode(df.withColumn("_ids", looked), tokens_col, policy, unk_id, out_col)
-    return _encode_by_join(df, tokens_col, vocab, key_cols, symbol_col, id_col, policy,
-                           unk_symbol, out_col)
-
-
-def _finish_encode(df: DataFrame, tokens_col: str, policy: str, unk_id: Column,
-                   out_col: str) -> DataFrame:
+    out = lookup_arrays(df, tokens_col, vocab, symbol_col, id_col, "_ids")
     ids = F.col("_ids")
-    unknown = F.exists(ids, lambda x: x.isNull())
     if policy == "reject":
-        out = df.withColumn(out_col, F.when(~unknown, ids)).withColumn(
+        unknown = F.exists(ids, lambda x: x.isNull())
+        out = out.withColumn(out_col, F.when(~unknown, ids)).withColumn(
             "reject_reason", F.when(unknown, F.lit(REASON_NOT_IN)))
     elif policy == "unk":
-        out = df.withColumn(out_col, F.transform(ids, lambda x: F.coalesce(x, unk_id)))
+        unk = vocab.where(F.col(symbol_col) == unk_symbol).select(F.max(id_col)).scalar()
+        # a scalar subquery cannot sit inside a lambda
+        out = out.withColumn("_unk", unk).withColumn(out_col, F.transform("_ids", lambda x: F.coalesce(x, F.col("_unk")))).drop("_unk")
     else:
-        out = df.withColumn(out_col, F.filter(ids, lambda x: x.isNotNull()))
+        out = out.withColumn(out_col, F.filter(ids, lambda x: x.isNotNull()))
     return out.drop("_ids")
 
 
-def _encode_by_join(df, tokens_col, vocab, key_cols, symbol_col, id_col, policy, unk_symbol, out_col):
-    keys = list(key_cols)
-    # hash-partition the compact rows once: explode and the broadcast join keep
-    # that partitioning, so regrouping by the row key and joining back need no
-    # further exchange of the exploded rows
-    df = df.repartition(*keys)
-    ex = df.select(*keys, F.posexplode(F.col(tokens_col)).alias("_pos", "_sym"))
-    v = checked_broadcast(vocab.select(F.col(symbol_col).alias("_sym"), F.col(id_col).alias("_id")))
-    looked = ex.join(v, "_sym", "left")
-    if policy == "unk":
-        unk = vocab.where(F.col(symbol_col) == unk_symbol).select(F.max(id_col)).scalar()
-        looked = looked.withColumn("_id", F.coalesce("_id", unk))
-    per_row = looked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    per_row = per_row.select(*keys, F.transform("_s", lambda s: s["_id"]).alias("_ids"))
-    # no exploded rows: an empty token array gives [], a null one stays null (as the literal path)
-    out = df.join(per_row, keys, "left").withColumn(
-        "_ids", F.when(F.col(tokens_col).isNull(), F.lit(None).cast("array<int>"))
-                 .otherwise(F.coalesce("_ids", F.array().cast("array<int>"))))
-    return _finish_encode(out, tokens_col, policy, F.lit(None), out_col)
-
-
 def vocab_decode(df: DataFrame, ids_col: str, vocab: DataFrame, symbol_col: str = "symbol",
                  id_col: str = "id", out_col: str = "symbols") -> DataFrame:
-    """J7 inverse: ids → symbols (unknown id → null); vocabulary must be small."""
-    m = _vocab_map(vocab, id_col, symbol_col)
-    return df.withColumn(out_col, F.transform(F.col(ids_col), lambda i: F.try_element_at(m, i)))
+    """J7 inverse: ids → symbols (unknown id → null)."""
+    return lookup_arrays(df, ids_col, vocab, id_col, symbol_col, out_col)
 
 
 def symbol_vocabulary(symbols: DataFrame, symbol_col: str = "symbol") -> DataFrame:
@@ -177,20 +161,15 @@ def symbol_vocabulary(symbols: DataFrame, symbol_col: str = "symbol") -> DataFra
 # J8 ---------------------------------------------------------------------------
 
 def catalog_reconcile(catalog: DataFrame, standard: DataFrame, locale_col: str = "locale",
-                      key_col: str = "key", value_col: str = "value",
-                      max_locales: int = 10_000) -> DataFrame:
+                      key_col: str = "key", value_col: str = "value") -> DataFrame:
     """Every locale gets exactly the standard keys; a missing key takes value = key.
 
-    The locale list is small (one per language) and is collected after a
-    size check, then attached to the standard keys as an array literal; the
-    catalog side is an ordinary equi join.
+    The distinct locales (languages) become one array, which is exploded next
+    to each standard key; the catalog side is an ordinary equi join.
     """
-    locs = [r[0] for r in catalog.select(locale_col).distinct().limit(max_locales + 1).collect()]
-    if len(locs) > max_locales:
-        raise ValueError("too many locales")
+    locales = catalog.select(F.sort_array(F.collect_set(locale_col))).scalar()
     std = standard.select(F.col(key_col).alias("key")).distinct()
-    wanted = std.select("key", F.explode(F.array(*[F.lit(x) for x in sorted(locs)]) if locs
-                                         else F.array().cast("array<string>")).alias("locale"))
+    wanted = std.withColumn("_locales", locales).select("key", F.explode("_locales").alias("locale"))
     cat = catalog.select(F.col(locale_col).alias("locale"), F.col(key_col).alias("key"),
                          F.col(value_col).alias("value"))
     return wanted.join(cat, ["locale", "key"], "left").select(

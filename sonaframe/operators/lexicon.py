@@ -3,10 +3,11 @@
 Layers: a base dictionary (a later line of the same word wins), a second
 dictionary that only adds missing words (its first line wins), and a hot
 list that overrides both (its later line wins).  A few words are deleted
-from the merged lexicon.  Lookup is a join of the words against the merged
-lexicon (broadcast only after a size check), plus a second join for the stem
-of a possessive; short unknown words are spelled from a letter map that is
-collected as a literal (it holds single characters only).
+from the merged lexicon.  The distinct words of a corpus are joined
+with the merged lexicon, and once more for the stem of a possessive; the
+result is then joined to the words' occurrences.  Spark picks each join by
+the tables' sizes.  Short unknown words are spelled from a map of the
+lexicon's single letters.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..util.sizing import checked_broadcast, collect_bounded
-
 # Words removed from the merged lexicon.
 DELETED_WORDS = ("ae", "ai", "ar", "ios", "hud", "os")
 # Phone classes that decide the possessive ending.
@@ -28,26 +27,20 @@ SIBILANT_END = ("S", "Z", "SH", "ZH", "CH", "JH")
 def build_lexicon(base: DataFrame, extra: DataFrame | None = None, hot: DataFrame | None = None,
                   deleted: Sequence[str] = DELETED_WORDS) -> DataFrame:
     """Merge layers of ``word, phones array<string>, line_no`` into ``word, phones``."""
-    parts = [base.select(F.lower("word").alias("word"), "phones",
-                         F.struct(F.lit(1).alias("l"), (-F.col("line_no")).alias("o")).alias("prio"))]
-    if extra is not None:
-        parts.append(extra.select(F.lower("word").alias("word"), "phones",
-                                  F.struct(F.lit(2).alias("l"), F.col("line_no").alias("o")).alias("prio")))
-    if hot is not None:
-        parts.append(hot.select(F.lower("word").alias("word"), "phones",
-                                F.struct(F.lit(0).alias("l"), (-F.col("line_no")).alias("o")).alias("prio")))
-    allrows = parts[0]
-    for p in parts[1:]:
-        allrows = allrows.unionByName(p)
-    allrows = allrows.where(~F.col("word").isin(*deleted))
-    return allrows.groupBy("word").agg(F.min_by("phones", "prio").alias("phones"))
+    # hot list, base, extra: the first layer that has a word gives its phones
+    best = None
+    for rank, (layer, pick) in enumerate(((hot, F.max_by), (base, F.max_by), (extra, F.min_by))):
+        if layer is None:
+            continue
+        words = layer.select(F.lower("word").alias("word"), "phones", "line_no").where(~F.col("word").isin(*deleted))
+        one = words.groupBy("word").agg(pick("phones", "line_no").alias("phones")).withColumn("_rank", F.lit(rank))
+        best = one if best is None else best.unionByName(one)
+    return best.groupBy("word").agg(F.min_by("phones", "_rank").alias("phones"))
 
 
 def _letter_map(lexicon: DataFrame) -> Column:
-    rows = collect_bounded(lexicon.where(F.length("word") == 1).select("word", "phones"), 10_000)
-    if not rows:
-        return F.create_map().cast("map<string,array<string>>")
-    return F.create_map(*[x for r in rows for x in (F.lit(r["word"]), F.array(*[F.lit(p) for p in r["phones"]]))])
+    """Single letters of the lexicon as one map (an alphabet), for every row."""
+    return lexicon.where(F.length("word") == 1).select(F.map_from_entries(F.collect_list(F.struct("word", "phones")))).scalar()
 
 
 def spell(word: Column, letters: Column) -> Column:
@@ -75,25 +68,21 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
     ('spelled'); ``stem's`` → the stem's phones plus S / AH0 Z / Z
     ('possessive'); anything else 'oov' with null phones.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(lexicon.sparkSession)
-    # the merged lexicon feeds two joins, a size check and the letter map:
-    # write it once so it is built once (it is a dictionary, not corpus data)
-    lexicon = lexicon.select("word", "phones").checkpoint(eager=True)
-    lex = checked_broadcast(lexicon.select(F.col("word").alias("_lw"), F.col("phones").alias("_lex")))
-    letters = _letter_map(lexicon)
-    o = F.col(word_col)
-    t = tokens.withColumn("_w", F.lower(o))
+    lexicon = lexicon.select("word", "phones")
+    o = F.col("_o")
+    # a corpus has far fewer words than tokens: look up each spelling once
+    t = tokens.select(F.col(word_col).alias("_o")).distinct().withColumn("_w", F.lower("_o"))
     t = t.withColumn("_stem", F.when(F.col("_w").rlike("^[a-z]+'s\\z"),
                                      F.expr("substring(_w, 1, length(_w) - 2)")))
-    t = t.join(lex, t["_w"] == lex["_lw"], "left").drop("_lw")
-    stem_lex = checked_broadcast(lexicon.select(F.col("word").alias("_sw"), F.col("phones").alias("_slex")))
-    t = t.join(stem_lex, t["_stem"] == stem_lex["_sw"], "left").drop("_sw")
+    t = t.join(lexicon.select(F.col("word").alias("_w"), F.col("phones").alias("_lex")), "_w", "left")
+    t = t.join(lexicon.select(F.col("word").alias("_stem"), F.col("phones").alias("_slex")), "_stem", "left")
     if names is not None:
-        nm = checked_broadcast(names.select(F.lower("word").alias("_nw"), F.col("phones").alias("_name")))
-        t = t.join(nm, t["_w"] == nm["_nw"], "left").drop("_nw")
+        t = t.join(names.select(F.lower("word").alias("_w"), F.col("phones").alias("_name")), "_w", "left")
     else:
         t = t.withColumn("_name", F.lit(None).cast("array<string>"))
+    # a scalar subquery cannot sit inside a lambda
+    t = t.withColumn("_letters", _letter_map(lexicon))
+    letters = F.col("_letters")
     w = F.col("_w")
     title = o.rlike(r"^\p{Lu}\p{Ll}*\z")
     stem = F.col("_stem")
@@ -113,7 +102,8 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
                .when(stem.isNotNull(), "possessive"))
     out = t.withColumn("phones", phones).withColumn(
         "source", F.when(F.col("phones").isNull(), F.lit("oov")).otherwise(source))
-    return out.drop("_w", "_stem", "_lex", "_slex", "_name")
+    found = out.select("_o", "phones", "source")
+    return tokens.join(found, F.col(word_col).eqNullSafe(F.col("_o")), "left").drop("_o")
 
 
 def sentence_phones(looked: DataFrame, key_cols: Sequence[str], pos_col: str = "pos") -> DataFrame:

@@ -1,62 +1,36 @@
 """Vector quantisation over embedding tables.
 
-A codebook (K codes × D dims) is small and bounded; it is collected after a
-size check and applied to every row as a literal array in a JVM expression, so
-assigning vectors to codes needs neither a join nor a shuffle.  Per-code
-statistics are one grouped aggregate with one sum per dimension (partial
-aggregation map side), never an explode of all coordinates.  Iterative
+A codebook (K codes × D dims) is a model: its rows are sent to every task as
+one float64 matrix, and a batch of vectors is assigned by the matrix product
+``x² − 2xc + c²``.  Codes that come within rounding of the smallest distance
+are compared again by exact left-to-right sums, so ties go to the lowest
+code.  A codebook of more than ``MAX_CODEBOOK_BYTES`` is not sent whole: its
+blocks meet the vectors in a join and the block minima are compared.
+Per-code sums are added up in each task before they are shuffled.  Iterative
 k-means re-collects the K×D means each round, so the lineage of a round is
-one scan, one aggregate and a literal.
+one scan, one aggregate and a matrix.
+
+Vectors that are null, hold nulls or differ in length from the codebook get a
+null code and take no part in sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import let
 from ..util.rank import md5_key
-from ..util.sizing import collect_bounded
-
-MAX_CODEBOOK_CELLS = 1_000_000
-
-
-def codebook_rows(codebook: DataFrame, code_col: str = "code", vec_col: str = "vec") -> list[tuple[int, list[float]]]:
-    """Collect a codebook sorted by code (size-checked)."""
-    rows = collect_bounded(codebook.select(code_col, vec_col), 100_000)
-    out = sorted((int(r[0]), [float(x) for x in r[1]]) for r in rows)
-    cells = sum(len(v) for _, v in out)
-    if cells > MAX_CODEBOOK_CELLS:
-        raise ValueError("codebook too large for the literal path")
-    return out
-
-
-def _lit_matrix(rows: Sequence[tuple[int, Sequence[float]]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in v]) for _, v in rows])
-
-
-def sq_dist(a: Column, b: Column) -> Column:
-    """Sum of squared differences, accumulated left to right in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
 
-def nearest_code_col(vec: Column, rows: Sequence[tuple[int, Sequence[float]]]) -> Column:
-    """J9 as a column: code with the smallest squared distance (lowest code on ties)."""
-    codes = F.array(*[F.lit(c) for c, _ in rows])
-    # first position of the minimum → the lowest code (rows are sorted by code)
-    return F.element_at(codes, nearest_pos(vec, _lit_matrix(rows)))
-
-
-def _dist_to(v: Column):
-    return lambda c: sq_dist(v, c)
-
-
-def nearest_pos(vec: Column, mat: Column) -> Column:
-    """1-based position of the nearest row of ``mat`` (distances computed once)."""
-    return let(F.transform(mat, _dist_to(vec)),
-               lambda d: F.array_position(d, F.array_min(d)).cast("int"))
+#: Codebooks up to this size are sent to every task.
+MAX_CODEBOOK_BYTES = 256 << 20
+#: Codes of one block of a larger codebook.
+BLOCK_CODES = 4096
+_ROWS = 1024
 
 
 def as_double_vec(c: Column | str) -> Column:
@@ -64,63 +38,178 @@ def as_double_vec(c: Column | str) -> Column:
     return F.transform(x, lambda v: v.cast("double"))
 
 
+def codebook_matrix(codebook: DataFrame, code_col: str = "code", vec_col: str = "vec") -> tuple[np.ndarray, np.ndarray]:
+    """Codes (ascending) and their vectors."""
+    rows = codebook.select(F.col(code_col).cast("int"), as_double_vec(vec_col)).orderBy(code_col).collect()
+    return np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+
+
+def codebook_bytes(codebook: DataFrame, vec_col: str = "vec") -> int:
+    return (codebook.agg(F.sum(F.size(vec_col).cast("long"))).first()[0] or 0) * 8
+
+
+def exact_distances(x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, summed from left to right in double."""
+    d = (x - m) ** 2
+    return np.cumsum(d, axis=1)[:, -1] if d.shape[1] else np.zeros(len(d))
+
+
+def nearest(x: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row of ``m`` nearest to each row of ``x`` (the first of equals), and its squared distance."""
+    where, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+    mm = (m * m).sum(1)
+    for lo in range(0, len(x), _ROWS):
+        part = x[lo: lo + _ROWS]
+        xx = (part * part).sum(1)
+        d = xx[:, None] - 2 * (part @ m.T) + mm[None, :]
+        best = d.argmin(axis=1)
+        slack = 1e-9 * (xx + mm.max()) + 1e-300
+        near = d <= (d[np.arange(len(part)), best] + slack)[:, None]
+        for i in np.flatnonzero(near.sum(1) > 1):
+            c = np.flatnonzero(near[i])
+            best[i] = c[exact_distances(np.broadcast_to(part[i], (len(c), part.shape[1])), m[c]).argmin()]
+        where[lo: lo + len(part)] = best
+        dist[lo: lo + len(part)] = exact_distances(part, m[best])
+    return where, dist
+
+
+def _vectors(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are vectors of ``dim`` numbers, and their values."""
+    rows = column.to_pylist()
+    ok = [i for i, v in enumerate(rows) if v is not None and len(v) == dim and None not in v]
+    return np.array(ok, np.int64), np.array([rows[i] for i in ok], np.float64).reshape(len(ok), dim)
+
+
+def _append(df: DataFrame, vec_col: str, dim: int, fields: Sequence[T.StructField],
+            work: Callable[[np.ndarray], Sequence[Sequence]]) -> DataFrame:
+    """``df`` with columns computed from its vectors, null where there is none."""
+    new = {f.name for f in fields}
+    kept = [f for f in df.schema.fields if f.name not in new]
+    kinds = [pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.int32() if isinstance(f.dataType, T.IntegerType)
+             else pa.list_(pa.int32() if isinstance(f.dataType.elementType, T.IntegerType) else pa.float64()) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = _vectors(b.column(b.schema.names.index(vec_col)), dim)
+            out = []
+            for values, kind in zip(work(x), kinds):
+                full = [None] * b.num_rows
+                for i, v in zip(at.tolist(), values):
+                    full[i] = v
+                out.append(pa.array(full, kind))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index(f.name)) for f in kept] + out,
+                                             names=[f.name for f in kept] + [f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType([*kept, *fields]))
+
+
+def _with_codes(df: DataFrame, codebook: DataFrame, vec_col: str, code_col: str, cb_vec_col: str,
+                out_col: str, dist_col: str | None = None) -> DataFrame:
+    if codebook_bytes(codebook, cb_vec_col) > MAX_CODEBOOK_BYTES:
+        out = _by_blocks(df, codebook, vec_col, code_col, cb_vec_col, out_col, dist_col or "_dist")
+        return out if dist_col else out.drop("_dist")
+    codes, m = codebook_matrix(codebook, code_col, cb_vec_col)
+    fields = [T.StructField(out_col, T.IntegerType())] + ([T.StructField(dist_col, T.DoubleType())] if dist_col else [])
+
+    def work(x):
+        if not len(m):
+            return [[None] * len(x)] * len(fields)
+        at, dist = nearest(x, m)
+        return [codes[at].tolist(), dist.tolist()][: len(fields)]
+
+    return _append(df, vec_col, m.shape[1], fields, work)
+
+
+def _by_blocks(df: DataFrame, codebook: DataFrame, vec_col: str, code_col: str, cb_vec_col: str, out_col: str, dist_col: str) -> DataFrame:
+    """The same for a codebook of any size: each distinct vector meets one row for each block of codes."""
+    blocks = codebook.select(F.floor(F.col(code_col) / BLOCK_CODES).alias("_block"), F.col(code_col).cast("int").alias("c"),
+                             as_double_vec(cb_vec_col).alias("v")).groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("_codes"))
+    numbers = codebook.select(F.collect_set(F.floor(F.col(code_col) / BLOCK_CODES))).scalar()
+    rows = df.withColumn("_key", F.sha2(F.to_json(F.struct(F.col(vec_col).alias("v"))), 256))
+    distinct = rows.select("_key", as_double_vec(vec_col).alias("_x")).dropDuplicates(["_key"]).withColumn("_blocks", numbers) \
+        .select("_key", "_x", F.explode("_blocks").alias("_block"))
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for key, x, codes in zip(*(c.to_pylist() for c in b.columns)):
+                m = np.array([c["v"] for c in codes], np.float64)
+                if x is not None and None not in x and len(x) == m.shape[1]:
+                    at, dist = nearest(np.array([x]), m)
+                    out.append((key, float(dist[0]), codes[int(at[0])]["c"]))
+            cols = list(zip(*out)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32())],
+                                             names=["_key", "d", "c"])
+
+    best = distinct.join(blocks, "_block").select("_key", "_x", "_codes").mapInArrow(work, "_key string, d double, c int") \
+        .groupBy("_key").agg(F.min(F.struct("d", "c")).alias("_best"))
+    return rows.drop(out_col, dist_col).join(best, "_key", "left").withColumn(out_col, F.col("_best.c")).withColumn(dist_col, F.col("_best.d")).drop("_key", "_best")
+
+
 def nearest_code(vectors: DataFrame, codebook: DataFrame, vec_col: str = "vec",
                  code_col: str = "code", cb_vec_col: str = "vec", out_col: str = "code") -> DataFrame:
     """Every vector's nearest code."""
-    rows = codebook_rows(codebook, code_col, cb_vec_col)
-    return vectors.withColumn(out_col, nearest_code_col(as_double_vec(vec_col), rows))
+    return _with_codes(vectors, codebook, vec_col, code_col, cb_vec_col, out_col)
 
 
 def sample_codebook(vectors: DataFrame, id_col: str, vec_col: str, k: int, seed: int = 0) -> DataFrame:
-    """K vectors chosen by md5 order of the id (a seeded sample; the limit is the feature)."""
-    picked = vectors.select(id_col, as_double_vec(vec_col).alias("vec"),
-                            md5_key(id_col, seed=seed).alias("_h")).orderBy("_h", id_col).limit(k)
-    from ..util.rank import global_row_number
-    ranked = global_row_number(picked, ["_h", id_col], "_r")
-    return ranked.select((F.col("_r") - 1).cast("int").alias("code"), "vec")
+    """K vectors chosen by md5 order of the id (a seeded sample; the limit is the feature).
+
+    With fewer than ``k`` vectors they are taken again in the same order, so
+    that there are always ``k`` codes.
+    """
+    picked = vectors.where(F.col(vec_col).isNotNull()).select(id_col, as_double_vec(vec_col).alias("vec"), md5_key(id_col, seed=seed).alias("_h")) \
+        .orderBy("_h", id_col).limit(k)
+    rows = picked.orderBy("_h", id_col).collect()  # at most k rows of a model
+    schema = T.StructType([T.StructField("code", T.IntegerType()), T.StructField("vec", T.ArrayType(T.DoubleType()))])
+    return vectors.sparkSession.createDataFrame([(i, rows[i % len(rows)]["vec"]) for i in range(k)] if rows else [], schema)
 
 
 def code_sums(assigned: DataFrame, dim: int, vec_col: str = "vec", code_col: str = "code") -> DataFrame:
-    """Per code: count and per-dimension sums as ``sum_vec`` (one aggregate, D sums)."""
-    v = as_double_vec(vec_col)
-    aggs = [F.sum(F.get(v, i)).alias(f"_s{i}") for i in range(dim)]
-    g = assigned.groupBy(code_col).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    return g.select(F.col(code_col).alias("code"), "n",
-                    F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias("sum_vec"))
+    """Per code: count and per-dimension sums as ``sum_vec``, added up in each task first."""
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            at, x = _vectors(b.column(1), dim)
+            codes = b.column(0).to_pylist()
+            own = np.array([codes[i] if codes[i] is not None else -1 for i in at], np.int64)
+            for c in np.unique(own[own >= 0]).tolist():
+                s = sums.setdefault(c, np.zeros(dim + 1))
+                s[0] += (own == c).sum()
+                s[1:] += x[own == c].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([int(s[0]) for s in sums.values()], pa.int64()),
+                                          pa.array([s[1:].tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["code", "n", "s"])
+
+    parts = assigned.select(code_col, vec_col).mapInArrow(add, "code int, n long, s array<double>")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"), *[F.sum(F.get("s", i)).alias(f"_s{i}") for i in range(dim)]) \
+        .select("code", "n", F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias("sum_vec"))
 
 
 # A12 ------------------------------------------------------------------------------
 
 def kmeans_step(vectors: DataFrame, codebook: DataFrame, dim: int, vec_col: str = "vec") -> DataFrame:
     """One Lloyd round: assign, average; an empty cluster keeps its old mean."""
-    rows = codebook_rows(codebook)
-    assigned = vectors.select(nearest_code_col(as_double_vec(vec_col), rows).alias("code"),
-                              as_double_vec(vec_col).alias("vec"))
-    sums = code_sums(assigned, dim)
+    data = vectors.select(F.col(vec_col).alias("vec"))
+    sums = code_sums(nearest_code(data, codebook), dim)
+    old = codebook.select("code", as_double_vec("vec").alias("vec"))
     means = sums.select("code", F.transform("sum_vec", lambda s: s / F.col("n")).alias("mean"), "n")
-    spark = vectors.sparkSession
-    old = spark.createDataFrame([(c, v) for c, v in rows], "code int, vec array<double>")
     return old.join(means, "code", "left").select(
         "code", F.coalesce(F.col("mean"), F.col("vec")).alias("vec"),
         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 
-def kmeans_fit(vectors: DataFrame, id_col: str, vec_col: str, k: int, iters: int = 10,
-               seed: int = 0, max_rows: int | None = None) -> DataFrame:
-    """Lloyd's k-means from md5-sampled means.  ``max_rows`` optionally
-    limits the training rows (the reference uses the first 500); default is
-    the whole table."""
-    data = vectors
-    if max_rows is not None:
-        data = vectors.orderBy(id_col).limit(max_rows)
-    dim = len(data.select(vec_col).first()[0])
-    cb = sample_codebook(data, id_col, vec_col, k, seed)
-    spark = vectors.sparkSession
+def kmeans_fit(vectors: DataFrame, id_col: str, vec_col: str, k: int, iters: int = 10, seed: int = 0) -> DataFrame:
+    """Lloyd's k-means over the whole table, from md5-sampled means; always ``k`` codes."""
+    data = vectors.select(id_col, as_double_vec(vec_col).alias("vec"))
+    first = data.where("vec is not null").first()
+    cb = sample_codebook(data, id_col, "vec", k, seed)
+    if first is None:
+        return cb.withColumn("n", F.lit(0).cast("long"))
+    spark, dim = vectors.sparkSession, len(first["vec"])
     for _ in range(iters):
-        nxt = kmeans_step(data, cb, dim, vec_col)
         # the K×D means come back as a literal table: each round's lineage stays short
-        cb = spark.createDataFrame([(int(r["code"]), [float(x) for x in r["vec"]], int(r["n"]))
-                                    for r in collect_bounded(nxt, 100_000)],
+        rows = kmeans_step(data, cb, dim).collect()
+        cb = spark.createDataFrame([(int(r["code"]), [float(x) for x in r["vec"]], int(r["n"])) for r in rows],
                                    "code int, vec array<double>, n long")
     return cb
 
@@ -134,10 +223,7 @@ def codebook_update(vectors: DataFrame, codebook: DataFrame, dim: int, decay: fl
     cs = d·cs + (1−d)·count; avg = d·avg + (1−d)·sum;
     smoothed = (cs + ε) / (Σcs + K·ε) · Σcs; centroid = avg / smoothed.
     """
-    rows = codebook_rows(codebook)
-    assigned = vectors.select(nearest_code_col(as_double_vec(vec_col), rows).alias("code"),
-                              as_double_vec(vec_col).alias("vec"))
-    sums = code_sums(assigned, dim)
+    sums = code_sums(nearest_code(vectors.select(F.col(vec_col).alias("vec")), codebook), dim)
     d = F.lit(decay)
     j = codebook.join(sums, "code", "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
@@ -163,8 +249,7 @@ def expire_codes(vectors: DataFrame, codebook: DataFrame, id_col: str, vec_col:
     has code, vec, cluster_size."""
     if threshold <= 0:
         return codebook
-    k = len(codebook_rows(codebook))
-    sample = sample_codebook(vectors, id_col, vec_col, k, seed).withColumnRenamed("vec", "_new")
+    sample = sample_codebook(vectors, id_col, vec_col, codebook.count(), seed).withColumnRenamed("vec", "_new")
     j = codebook.join(sample, "code", "left")
     dead = F.col("cluster_size") < F.lit(threshold)
     return j.select("code", F.when(dead & F.col("_new").isNotNull(), F.col("_new")).otherwise(F.col("vec")).alias("vec"),
@@ -175,47 +260,48 @@ def expire_codes(vectors: DataFrame, codebook: DataFrame, id_col: str, vec_col:
 
 def commit_loss(vectors: DataFrame, codebook: DataFrame, vec_col: str = "vec") -> DataFrame:
     """Mean squared difference between each vector and its code (one row)."""
-    rows = codebook_rows(codebook)
-    mat = _lit_matrix(rows)
-    v = vectors.select(as_double_vec(vec_col).alias("_v"))
-    per = F.transform(mat, _dist_to(F.col("_v")))
-    best = let(per, lambda d: F.array_min(d))
-    return v.agg(F.avg(best / F.size("_v")).alias("commit_loss"))
+    d = _with_codes(vectors.select(F.col(vec_col).alias("vec")), codebook, "vec", "code", "vec", "_code", "_d")
+    return d.agg(F.avg(F.col("_d") / F.size("vec")).alias("commit_loss"))
 
 
 def rvq_encode(vectors: DataFrame, codebooks: Sequence[DataFrame], vec_col: str = "vec",
                n_q: int | None = None, start: int = 0) -> DataFrame:
     """Residual VQ: per layer the nearest code of the residual, then
-    subtract that code.  Adds ``codes`` (array<int>), ``quantized`` and
-    ``layer_losses`` (mean squared residual error per layer).  Each layer is
-    its own projection, so a residual is computed once per layer."""
-    layers = list(codebooks)[start: (start + n_q) if n_q else None]
-    books = [codebook_rows(cb) for cb in layers]
-    df = vectors.withColumn("_res", as_double_vec(vec_col)) \
-                .withColumn("quantized", F.transform("_res", lambda x: F.lit(0.0))) \
-                .withColumn("codes", F.array().cast("array<int>")) \
-                .withColumn("layer_losses", F.array().cast("array<double>"))
-    for rows in books:
-        mat = _lit_matrix(rows)
-        code_list = F.array(*[F.lit(c) for c, _ in rows])
-        df = df.withColumn("_pos", nearest_pos(F.col("_res"), mat))
-        df = df.withColumn("_q", F.element_at(mat, F.col("_pos")))
-        df = (df.withColumn("codes", F.concat("codes", F.array(F.element_at(code_list, F.col("_pos")))))
-                .withColumn("layer_losses", F.concat("layer_losses",
-                                                     F.array(sq_dist(F.col("_res"), F.col("_q")) / F.size("_res"))))
-                .withColumn("quantized", F.zip_with("quantized", "_q", lambda a, b: a + b))
-                .withColumn("_res", F.zip_with("_res", "_q", lambda a, b: a - b)))
-    return df.drop("_res", "_pos", "_q")
+    subtract that code.  Adds ``quantized``, ``codes`` (array<int>) and
+    ``layer_losses`` (mean squared residual error per layer)."""
+    books = [codebook_matrix(cb) for cb in list(codebooks)[start: (start + n_q) if n_q else None]]
+    first = vectors.where(F.col(vec_col).isNotNull()).select(F.size(vec_col)).first()
+    dim = books[0][1].shape[1] if books else (first[0] if first else 0)
+
+    def work(x):
+        res, quantized = x.copy(), np.zeros_like(x)
+        codes, losses = np.zeros((len(x), len(books)), np.int64), np.zeros((len(x), len(books)))
+        for layer, (own, m) in enumerate(books):
+            at, dist = nearest(res, m) if len(x) else (np.zeros(0, np.int64), np.zeros(0))
+            codes[:, layer], losses[:, layer] = own[at], dist / max(dim, 1)
+            quantized += m[at]
+            res -= m[at]
+        return [quantized.tolist(), codes.tolist(), losses.tolist()]
+
+    double = T.ArrayType(T.DoubleType())
+    return _append(vectors, vec_col, dim, [T.StructField("quantized", double), T.StructField("codes", T.ArrayType(T.IntegerType())),
+                                           T.StructField("layer_losses", double)], work)
 
 
 def rvq_decode(df: DataFrame, codebooks: Sequence[DataFrame], codes_col: str = "codes") -> DataFrame:
-    """R10 decode: the sum of every layer's code vector."""
-    books = [codebook_rows(cb) for cb in codebooks]
-    out = None
-    for layer, rows in enumerate(books):
-        mat = _lit_matrix(rows)
-        code_list = F.array(*[F.lit(c) for c, _ in rows])
-        pos = F.array_position(code_list, F.get(F.col(codes_col), layer)).cast("int")
-        vec = F.element_at(mat, pos)
-        out = vec if out is None else F.zip_with(out, vec, lambda a, b: a + b)
-    return df.withColumn("decoded", out)
+    """R10 decode: the sum of every layer's code vector; null where a code is unknown."""
+    books = [codebook_matrix(cb) for cb in codebooks]
+    places = [{int(c): i for i, c in enumerate(codes)} for codes, _ in books]
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != "decoded"], T.StructField("decoded", T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in schema.fields[:-1]]
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for codes in b.column(b.schema.names.index(codes_col)).to_pylist():
+                at = [p.get(c) for p, c in zip(places, codes)] if codes is not None and len(codes) >= len(books) else [None]
+                out.append(None if None in at else sum(m[i] for i, (_, m) in zip(at, books)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index(n)) for n in names] + [pa.array(out, pa.list_(pa.float64()))],
+                                             names=[*names, "decoded"])
+
+    return df.mapInArrow(run, schema)

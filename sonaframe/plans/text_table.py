@@ -39,7 +39,7 @@ def build_text_table(lines: DataFrame, vocab: DataFrame, line_col: str = "line",
     ok = accepted(parsed).withColumn(
         "text", F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("-")), F.lit("￥"), F.lit(",")))
     fe = apply_frontend(ok.drop("reject_reason"), "text", "lang_code")
-    enc = vocab_encode(fe, "phones", vocab, ["name"], policy="reject")
+    enc = vocab_encode(fe, "phones", vocab, policy="reject")
     table = accepted(enc).select(
         "name", "phones", "ids", "norm_text",
         tsv_line("name", F.array_join("phones", " "), F.lit("None"), "norm_text").alias("tsv"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as R
 from ..operators import vq as V
+from ..util.rank import global_row_number
 from . import sql
 from .base import r6, register, table
 
@@ -18,6 +19,17 @@ def _ints(arr):
 LINE_LENS = "list_transform(string_split(text, chr(10)), lambda l: CAST(length(l) AS BIGINT))"
 
 
+BATCH_SQL = """
+bt AS (SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY n_chars, doc_id) - 1) / 64) AS BIGINT) AS batch FROM documents)"""
+
+
+def _batches(spark, sf, lens):
+    """Batches of 64 documents of similar length, so a window over a batch is a small task."""
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    ranked = global_row_number(d, ["n_chars", "doc_id"], "_rn")
+    return lens.join(ranked.select("doc_id", F.floor((F.col("_rn") - 1) / 64).alias("batch")), "doc_id")
+
+
 def _line_lens(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", "source",
@@ -25,15 +37,15 @@ def _line_lens(spark, sf):
 
 
 @register("pad_batch", f"""
-WITH l AS (SELECT doc_id, source, {LINE_LENS} AS lens FROM documents),
-w AS (SELECT *, max(len(lens)) OVER (PARTITION BY source) AS width FROM l)
+WITH {BATCH_SQL},
+l AS (SELECT doc_id, batch, {LINE_LENS} AS lens FROM documents JOIN bt USING (doc_id)),
+w AS (SELECT *, max(len(lens)) OVER (PARTITION BY batch) AS width FROM l)
 SELECT doc_id, CAST(width AS BIGINT) AS width, CAST(2 * (floor(width / 2) + 1) AS BIGINT) AS even_width,
        array_to_string(list_concat(lens, list_transform(range(greatest(width - len(lens), 0)), lambda i: 0)), ' ') AS padded
 FROM w""")
 def q_pad_batch(spark, sf):
     lens = _line_lens(spark, sf)
-    # a batch is bounded by the batch size, so a window per batch is a small task
-    w = lens.withColumn("width", F.max(F.size("lens")).over(Window.partitionBy("source")))
+    w = _batches(spark, sf, lens).withColumn("width", F.max(F.size("lens")).over(Window.partitionBy("batch")))
     return w.select("doc_id", F.col("width").cast("long").alias("width"),
                     R.even_width(F.col("width")).cast("long").alias("even_width"),
                     _ints(R.pad_right("lens", F.col("width"), 0)).alias("padded"))
@@ -52,30 +64,31 @@ def q_length_mask(spark, sf):
 
 
 @register("eos_shift", f"""
-WITH l AS (SELECT doc_id, source, {LINE_LENS} AS lens FROM documents),
-w AS (SELECT *, max(len(lens)) OVER (PARTITION BY source) AS width FROM l),
+WITH {BATCH_SQL},
+l AS (SELECT doc_id, batch, {LINE_LENS} AS lens FROM documents JOIN bt USING (doc_id)),
+w AS (SELECT *, max(len(lens)) OVER (PARTITION BY batch) AS width FROM l),
 f AS (SELECT doc_id, width, list_transform(range(width + 1), lambda i: CASE WHEN i < len(lens) THEN lens[i + 1] ELSE 1024 END) AS fl FROM w)
 SELECT doc_id, array_to_string(list_slice(fl, 1, width), ' ') AS y_in, array_to_string(list_slice(fl, 2, width + 1), ' ') AS target
 FROM f""")
 def q_eos_shift(spark, sf):
     lens = _line_lens(spark, sf)
-    w = lens.withColumn("width", F.max(F.size("lens")).over(Window.partitionBy("source")))
+    w = _batches(spark, sf, lens).withColumn("width", F.max(F.size("lens")).over(Window.partitionBy("batch")))
     s = R.eos_shift("lens", F.size("lens"), F.col("width"), 1024)
     return w.select("doc_id", _ints(s["y_in"]).alias("y_in"), _ints(s["target"]).alias("target"))
 
 
 @register("repeat_expand", """
-WITH e AS (SELECT vec_id, list_transform(range(1, 6), lambda i: vec_id + i) AS vals,
-                  list_transform(embedding[1:5], lambda x: CAST(floor(abs(x) * 10) AS INTEGER)) AS cnt FROM embeddings)
-SELECT vec_id, array_to_string(flatten(list_transform(range(1, 6), lambda i: list_transform(range(cnt[i]), lambda k: vals[i]))), ' ') AS expanded,
-       CASE WHEN list_sum(cnt) <> 5 THEN 'count_mismatch' END AS reject_reason
+WITH e AS (SELECT vec_id, len(embedding) AS n, list_transform(range(1, len(embedding) + 1), lambda i: vec_id + i) AS vals,
+                  list_transform(embedding, lambda x: CAST(floor(abs(x) * 10) AS INTEGER)) AS cnt FROM embeddings)
+SELECT vec_id, array_to_string(flatten(list_transform(range(1, n + 1), lambda i: list_transform(range(cnt[i]), lambda k: vals[i]))), ' ') AS expanded,
+       CASE WHEN list_sum(cnt) <> n THEN 'count_mismatch' END AS reject_reason
 FROM e""")
 def q_repeat_expand(spark, sf):
     e = table(spark, sf, "embeddings").select(
-        "vec_id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("vec_id") + i).alias("vals"),
-        F.transform(F.slice("embedding", 1, 5), lambda x: F.floor(F.abs(x) * 10).cast("int")).alias("cnt"))
+        "vec_id", F.size("embedding").alias("n"), F.transform("embedding", lambda x, i: F.col("vec_id") + i + 1).alias("vals"),
+        F.transform("embedding", lambda x: F.floor(F.abs(x) * 10).cast("int")).alias("cnt"))
     return e.select("vec_id", _ints(R.repeat_expand("vals", "cnt")).alias("expanded"),
-                    R.repeat_expand_check("vals", "cnt", F.lit(5)).alias("reject_reason"))
+                    R.repeat_expand_check("vals", "cnt", F.col("n")).alias("reject_reason"))
 
 
 @register("intersperse", f"""
@@ -222,55 +235,72 @@ def q_commit_loss(spark, sf):
     return V.commit_loss(_emb(spark, sf), _cb(spark, sf)).select(r6("commit_loss").alias("commit_loss"))
 
 
+def _long(df, *keys):
+    """One row for each dimension of ``vec``, from 1."""
+    return df.select(*keys, F.posexplode("vec").alias("d", "value")).select(
+        *keys, (F.col("d") + 1).cast("long").alias("d"), r6("value").alias("value"))
+
+
 @register("kmeans_step", f"""
 WITH {ASSIGN_SQL},
-m AS (SELECT code, count(*) AS n, avg(v[1]) AS m0, avg(v[2]) AS m1 FROM av GROUP BY code)
-SELECT cb.code, CAST(coalesce(m.n, 0) AS BIGINT) AS n, {sql.r6('coalesce(m.m0, cb.vec[1])')} AS m0,
-       {sql.r6('coalesce(m.m1, cb.vec[2])')} AS m1
-FROM cb LEFT JOIN m ON cb.code = m.code""")
+m AS (SELECT code, d, count(*) AS n, avg(v[d]) AS m FROM av, range(1, 65) r(d) GROUP BY code, d)
+SELECT cb.code, CAST(coalesce(m.n, 0) AS BIGINT) AS n, d.d, {sql.r6('coalesce(m.m, cb.vec[d.d])')} AS value
+FROM cb CROSS JOIN range(1, 65) d(d) LEFT JOIN m ON cb.code = m.code AND m.d = d.d""")
 def q_kmeans_step(spark, sf):
-    st = V.kmeans_step(_emb(spark, sf), _cb(spark, sf), 64)
-    return st.select("code", "n", r6(F.get("vec", 0)).alias("m0"), r6(F.get("vec", 1)).alias("m1"))
-
-
-@register("kmeans_fit")
+    return _long(V.kmeans_step(_emb(spark, sf), _cb(spark, sf), 64), "code", "n")
+
+
+def kmeans_sql(src: str, k: int, iters: int, seed: int, name: str) -> str:
+    """Lloyd rounds over ``src`` (vec_id, v), unrolled; the last round is ``{name}`` (code, vec, n)."""
+    out = [f"""
+{name}_0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY {sql.md5_key('vec_id', seed)}, vec_id) - 1 AS INTEGER) AS code, v AS vec, 0 AS n
+           FROM {src} ORDER BY {sql.md5_key('vec_id', seed)}, vec_id LIMIT {k})"""]
+    for i in range(iters):
+        c, last = f"{name}_{i}", i == iters - 1
+        out.append(f"""
+{name}_a{i} AS MATERIALIZED (SELECT e.vec_id, arg_min(c.code, ({dist_sql('e.v', 'c.vec')}, c.code)) AS code FROM {src} e, {c} c GROUP BY e.vec_id),
+{name}_m{i} AS MATERIALIZED (SELECT code, d, avg(v[d]) AS m, count(*) AS n FROM {name}_a{i} JOIN {src} USING (vec_id), range(1, 65) r(d) GROUP BY code, d),
+{name if last else f'{name}_{i + 1}'} AS MATERIALIZED (SELECT c.code, list(coalesce(m.m, c.vec[r.d]) ORDER BY r.d) AS vec, CAST(coalesce(max(m.n), 0) AS BIGINT) AS n
+           FROM {c} c CROSS JOIN range(1, 65) r(d) LEFT JOIN {name}_m{i} m ON m.code = c.code AND m.d = r.d GROUP BY c.code)""")
+    return ",".join(out)
+
+
+@register("kmeans_fit", f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),{kmeans_sql('e', 16, 10, 0, 'fit')}
+SELECT code, n, d, {sql.r6('vec[d]')} AS value FROM fit, range(1, 65) r(d)""")
 def q_kmeans_fit(spark, sf):
-    fit = V.kmeans_fit(table(spark, sf, "embeddings"), "vec_id", "embedding", k=16, iters=10, seed=0)
-    return fit.select("code", "n", r6(F.get("vec", 0)).alias("m0"))
+    return _long(V.kmeans_fit(table(spark, sf, "embeddings"), "vec_id", "embedding", k=16, iters=10, seed=0), "code", "n")
 
 
 @register("codebook_update", f"""
 WITH {ASSIGN_SQL},
-s AS (SELECT code, count(*) AS n, sum(v[1]) AS s0, sum(v[2]) AS s1 FROM av GROUP BY code),
-u AS (SELECT cb.code, 0.99 * 0.0 + 0.01 * coalesce(s.n, 0) AS cs,
-             0.99 * cb.vec[1] + 0.01 * coalesce(s.s0, 0.0) AS a0, 0.99 * cb.vec[2] + 0.01 * coalesce(s.s1, 0.0) AS a1
-      FROM cb LEFT JOIN s ON cb.code = s.code),
+n AS (SELECT code, count(*) AS n FROM av GROUP BY code),
+s AS (SELECT code, d, sum(v[d]) AS s FROM av, range(1, 65) r(d) GROUP BY code, d),
+u AS (SELECT cb.code, 0.99 * 0.0 + 0.01 * coalesce(n.n, 0) AS cs, cb.vec FROM cb LEFT JOIN n ON cb.code = n.code),
 t AS (SELECT sum(cs) AS total, count(*) AS k FROM u)
-SELECT code, {sql.r6('cs')} AS cluster_size,
-       {sql.r6('a0 / ((cs + 1e-5) / (total + k * 1e-5) * total)')} AS c0,
-       {sql.r6('a1 / ((cs + 1e-5) / (total + k * 1e-5) * total)')} AS c1
-FROM u, t""")
+SELECT u.code, r.d, {sql.r6('cs')} AS cluster_size,
+       {sql.r6('(0.99 * u.vec[r.d] + 0.01 * coalesce(s.s, 0.0)) / ((cs + 1e-5) / (total + k * 1e-5) * total)')} AS value
+FROM u CROSS JOIN t CROSS JOIN range(1, 65) r(d) LEFT JOIN s ON s.code = u.code AND s.d = r.d""")
 def q_codebook_update(spark, sf):
     cb = _cb(spark, sf).withColumn("cluster_size", F.lit(0.0)).withColumn("embed_avg", F.col("vec"))
     up = V.codebook_update(_emb(spark, sf), cb, 64)
-    return up.select("code", r6("cluster_size").alias("cluster_size"), r6(F.get("vec", 0)).alias("c0"),
-                     r6(F.get("vec", 1)).alias("c1"))
+    return _long(up.withColumn("cluster_size", r6("cluster_size")), "code", "cluster_size")
 
 
 @register("expire_codes", f"""
 WITH {ASSIGN_SQL},
 {cb_sql(16, 1, 'cb2')},
 n AS (SELECT code, count(*) AS n FROM av GROUP BY code)
-SELECT cb.code, coalesce(n.n, 0) < 2 AS expired,
-       {sql.r6('CASE WHEN coalesce(n.n, 0) < 2 THEN cb2.vec[1] ELSE cb.vec[1] END')} AS v0
-FROM cb LEFT JOIN n ON cb.code = n.code LEFT JOIN cb2 ON cb.code = cb2.code""")
+SELECT cb.code, coalesce(n.n, 0) < 2 AS expired, r.d,
+       {sql.r6('CASE WHEN coalesce(n.n, 0) < 2 THEN cb2.vec[r.d] ELSE cb.vec[r.d] END')} AS value
+FROM cb CROSS JOIN range(1, 65) r(d) LEFT JOIN n ON cb.code = n.code LEFT JOIN cb2 ON cb.code = cb2.code""")
 def q_expire_codes(spark, sf):
     emb = _emb(spark, sf)
     cb = _cb(spark, sf)
     counts = V.nearest_code(emb, cb).groupBy("code").agg(F.count(F.lit(1)).cast("double").alias("cluster_size"))
     cbs = cb.join(counts, "code", "left").withColumn("cluster_size", F.coalesce("cluster_size", F.lit(0.0)))
     ex = V.expire_codes(table(spark, sf, "embeddings"), cbs, "vec_id", "embedding", 2, seed=1)
-    return ex.select("code", "expired", r6(F.get("vec", 0)).alias("v0"))
+    return _long(ex, "code", "expired")
 
 
 @register("rvq_encode", f"""
@@ -285,13 +315,13 @@ r1 AS (SELECT e.vec_id, a1.k1, e.v, c1.vec AS q1,
 d2 AS (SELECT r1.vec_id, c2.code, {dist_sql('r1.r', 'c2.vec')} AS dist FROM r1, c2),
 a2 AS (SELECT vec_id, arg_min(code, (dist, code)) AS k2, min(dist) AS dist2 FROM d2 GROUP BY vec_id)
 SELECT r1.vec_id, r1.k1 AS code1, a2.k2 AS code2, {sql.r6('a2.dist2 / 64')} AS loss2,
-       {sql.r6('r1.q1[1] + c2.vec[1]')} AS q0
-FROM r1 JOIN a2 USING (vec_id) JOIN c2 ON c2.code = a2.k2""")
+       d.d, {sql.r6('r1.q1[d.d] + c2.vec[d.d]')} AS value
+FROM range(1, 65) d(d), r1 JOIN a2 USING (vec_id) JOIN c2 ON c2.code = a2.k2""")
 def q_rvq_encode(spark, sf):
     emb = _emb(spark, sf)
     c1 = _cb(spark, sf, 8, 0)
     c2 = _cb(spark, sf, 8, 2).withColumn("vec", F.transform("vec", lambda x: x * 0.5))
     enc = V.rvq_encode(emb, [c1, c2])
     dec = V.rvq_decode(enc, [c1, c2])
-    return dec.select("vec_id", F.get("codes", 0).alias("code1"), F.get("codes", 1).alias("code2"),
-                      r6(F.get("layer_losses", 1)).alias("loss2"), r6(F.get("decoded", 0)).alias("q0"))
+    return _long(dec.select("vec_id", F.get("codes", 0).alias("code1"), F.get("codes", 1).alias("code2"),
+                            r6(F.get("layer_losses", 1)).alias("loss2"), F.col("decoded").alias("vec")), "vec_id", "code1", "code2", "loss2")

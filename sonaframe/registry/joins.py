@@ -75,9 +75,15 @@ vocab AS (SELECT symbol, CAST(row_number() OVER (ORDER BY symbol) - 1 AS INTEGER
           FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{sql.WORD_RE.replace("'", "''")}', 0)) AS symbol
                 FROM benchmark UNION SELECT 'UNK')),
 cw AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '{sql.WORD_RE.replace("'", "''")}', 0) AS words FROM conversations),
-ex AS (SELECT conv_id, turn, unnest(words) AS w FROM cw),
-lk AS (SELECT ex.conv_id, ex.turn, v.id FROM ex LEFT JOIN vocab v ON ex.w = v.symbol),
-agg AS (SELECT conv_id, turn, count(*) AS n, count(id) AS n_known, sum(id) AS s FROM lk GROUP BY conv_id, turn)"""
+ex AS (SELECT conv_id, turn, unnest(generate_series(1, len(words))) AS p, unnest(words) AS w FROM cw),
+lk AS (SELECT ex.conv_id, ex.turn, ex.p, v.id FROM ex LEFT JOIN vocab v ON ex.w = v.symbol),
+agg AS (SELECT conv_id, turn, count(*) AS n, count(id) AS n_known, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS known,
+               string_agg(CAST(coalesce(id, (SELECT id FROM vocab WHERE symbol = 'UNK')) AS VARCHAR), ' ' ORDER BY p) AS all_ids
+        FROM lk GROUP BY conv_id, turn)"""
+
+
+def _text_of(ids):
+    return F.array_join(F.transform(ids, lambda x: x.cast("string")), " ")
 
 
 def _vocab(spark, sf):
@@ -94,55 +100,49 @@ def _conv_words(spark, sf):
 WITH {VOCAB_SQL}
 SELECT cw.conv_id, cw.turn,
        CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.n, 0) AS DOUBLE) END AS n_ids,
-       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN CAST(coalesce(a.s, 0) AS DOUBLE) END AS ids_sum,
+       CASE WHEN coalesce(a.n_known, 0) = coalesce(a.n, 0) THEN coalesce(a.known, '') END AS ids,
        CASE WHEN coalesce(a.n_known, 0) <> coalesce(a.n, 0) THEN 'not_in' END AS reject_reason
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode(spark, sf):
     out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"], policy="reject")
     # rejected rows have no ids: counts are returned as double so both sides share one dtype
     return out.select("conv_id", "turn", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("double").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).cast("double").alias("ids_sum"),
-                      "reject_reason")
+                      _text_of("ids").alias("ids"), "reject_reason")
 
 
 @register("vocab_encode_unk", f"""
 WITH {VOCAB_SQL}
 SELECT cw.conv_id, cw.turn, CAST(coalesce(a.n, 0) AS BIGINT) AS n_ids,
-       CAST(coalesce(a.s, 0) + (coalesce(a.n, 0) - coalesce(a.n_known, 0)) * (SELECT id FROM vocab WHERE symbol = 'UNK') AS BIGINT) AS ids_sum
+       coalesce(a.all_ids, '') AS ids
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode_unk(spark, sf):
     out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"], policy="unk")
-    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"))
+    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), _text_of("ids").alias("ids"))
 
 
 @register("vocab_encode_drop_join", f"""
 WITH {VOCAB_SQL}
-SELECT cw.conv_id, cw.turn, CAST(coalesce(a.n_known, 0) AS BIGINT) AS n_ids, CAST(coalesce(a.s, 0) AS BIGINT) AS ids_sum
+SELECT cw.conv_id, cw.turn, CAST(coalesce(a.n_known, 0) AS BIGINT) AS n_ids, coalesce(a.known, '') AS ids
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode_drop_join(spark, sf):
-    # literal_rows=0 forces the join path used for large vocabularies
-    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"],
-                         policy="drop", literal_rows=0)
-    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids_sum"))
+    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), policy="drop")
+    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), _text_of("ids").alias("ids"))
 
 
 @register("vocab_decode", f"""
 WITH {VOCAB_SQL},
-dec AS (SELECT ex.conv_id, ex.turn, count(v.id) AS n FROM ex JOIN vocab v ON ex.w = v.symbol GROUP BY 1, 2)
-SELECT cw.conv_id, cw.turn, CAST(coalesce(dec.n, 0) AS BIGINT) AS n_symbols
+dec AS (SELECT ex.conv_id, ex.turn, string_agg(ex.w, ' ' ORDER BY ex.p) AS s FROM ex JOIN vocab v ON ex.w = v.symbol GROUP BY 1, 2)
+SELECT cw.conv_id, cw.turn, coalesce(dec.s, '') AS symbols
 FROM cw LEFT JOIN dec ON cw.conv_id = dec.conv_id AND cw.turn = dec.turn""")
 def q_vocab_decode(spark, sf):
     v = _vocab(spark, sf)
     enc = J.vocab_encode(_conv_words(spark, sf), "words", v, ["conv_id", "turn"], policy="drop")
     dec = J.vocab_decode(enc, "ids", v, out_col="symbols")
-    return dec.select("conv_id", "turn", F.size(F.filter("symbols", lambda s: s.isNotNull())).cast("long")
-                      .alias("n_symbols"))
+    return dec.select("conv_id", "turn", F.array_join("symbols", " ").alias("symbols"))
 
 
 @register("catalog_reconcile", """
-WITH cat AS (SELECT lang AS locale, source || '#' || CAST(least(floor(log10(n_chars)), 3) AS BIGINT) AS key,
+WITH cat AS (SELECT lang AS locale, source || '#' || n_chars AS key,
                     CAST(count(*) AS VARCHAR) AS value
              FROM documents GROUP BY 1, 2),
 std AS (SELECT DISTINCT key FROM cat WHERE locale = 'en'),
@@ -152,8 +152,7 @@ FROM locs l CROSS JOIN std s LEFT JOIN cat c ON c.locale = l.locale AND c.key =
 def q_catalog_reconcile(spark, sf):
     d = table(spark, sf, "documents")
     cat = d.groupBy(F.col("lang").alias("locale"),
-                    F.concat(F.col("source"), F.lit("#"),
-                             F.least(F.floor(F.log10("n_chars")), F.lit(3)).cast("string")).alias("key")) \
+                    F.concat(F.col("source"), F.lit("#"), F.col("n_chars").cast("string")).alias("key")) \
         .agg(F.count(F.lit(1)).cast("string").alias("value"))
     std = cat.where(F.col("locale") == "en").select("key")
     return J.catalog_reconcile(cat, std)

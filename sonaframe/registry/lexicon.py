@@ -22,16 +22,16 @@ def _layers(spark, sf):
     b = table(spark, sf, "benchmark").select(
         "item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("p", "word"))
     base = b.select("word", F.split(F.upper("word"), "", -1).alias("phones"),
-                    (F.col("item_id") * 100000 + F.col("p") + 1).alias("line_no"))
-    letters = spark.createDataFrame([(ch, [ch.upper()], -1) for ch in string.ascii_lowercase],
-                                    "word string, phones array<string>, line_no long")
+                    F.struct(F.col("item_id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("p").alias("c")).alias("line_no"))
+    letters = spark.createDataFrame([(ch, [ch.upper()], (-1, 0, 0)) for ch in string.ascii_lowercase],
+                                    "word string, phones array<string>, line_no struct<a:long,b:long,c:int>")
     c = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("p", "word"))
     extra = c.select("word", F.array("word").alias("phones"),
-                     (F.col("conv_id") * 1000000 + F.col("turn") * 10000 + F.col("p") + 1).alias("line_no"))
+                     F.struct(F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("p").alias("c")).alias("line_no"))
     hot = b.where(F.col("word").startswith("th")).select(
         "word", F.array(F.lit("HOT"), F.col("word")).alias("phones"),
-        (F.col("item_id") * 100000 + F.col("p") + 1).alias("line_no"))
+        F.struct(F.col("item_id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("p").alias("c")).alias("line_no"))
     names = table(spark, sf, "nation").select(F.lower("n_name").alias("word"),
                                               F.array(F.lit("NAME"), F.upper("n_name")).alias("phones"))
     return L.build_lexicon(base.unionByName(letters), extra, hot), names
@@ -40,12 +40,12 @@ def _layers(spark, sf):
 @register("lexicon_lookup", f"""
 WITH bw AS (SELECT item_id, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS w
             FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM benchmark)),
-base AS (SELECT w AS word, string_split(upper(w), '') AS phones, 1 AS l, -(item_id * 100000 + p) AS o FROM bw
-         UNION ALL SELECT chr(96 + CAST(i AS INTEGER)), [upper(chr(96 + CAST(i AS INTEGER)))], 1, 1 FROM range(1, 27) t(i)),
+base AS (SELECT w AS word, string_split(upper(w), '') AS phones, 1 AS l, [-item_id, 0, -p] AS o FROM bw
+         UNION ALL SELECT chr(96 + CAST(i AS INTEGER)), [upper(chr(96 + CAST(i AS INTEGER)))], 1, [1, 0, 0] FROM range(1, 27) t(i)),
 cw AS (SELECT conv_id, turn, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS w
        FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+', 0) AS ws FROM conversations)),
-extra AS (SELECT w AS word, [w] AS phones, 2 AS l, conv_id * 1000000 + turn * 10000 + p AS o FROM cw),
-hot AS (SELECT w AS word, ['HOT', w] AS phones, 0 AS l, -(item_id * 100000 + p) AS o FROM bw WHERE starts_with(w, 'th')),
+extra AS (SELECT w AS word, [w] AS phones, 2 AS l, [conv_id, turn, p] AS o FROM cw),
+hot AS (SELECT w AS word, ['HOT', w] AS phones, 0 AS l, [-item_id, 0, -p] AS o FROM bw WHERE starts_with(w, 'th')),
 lex AS (SELECT word, arg_min(phones, (l, o)) AS phones
         FROM (SELECT * FROM base UNION ALL SELECT * FROM extra UNION ALL SELECT * FROM hot)
         WHERE word NOT IN ('ae', 'ai', 'ar', 'ios', 'hud', 'os') GROUP BY word),

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import joins as J
-from ..util.sizing import collect_bounded
 from . import sql
 from .base import register, table
 
@@ -248,7 +247,7 @@ def q_convert_script(spark, sf):
     r = table(spark, sf, "region")
     pairs = n.join(r, n.n_regionkey == r.r_regionkey).select(
         "n_nationkey", F.substring("n_name", 1, 1).alias("f"), F.substring("r_name", 1, 1).alias("t"))
-    rows = collect_bounded(pairs.orderBy("n_nationkey"), 10_000)
+    rows = pairs.orderBy("n_nationkey").collect()  # pairs of letters: an alphabet
     mapping = [(x["f"], x["t"]) for x in rows]
     d = _docs(spark, sf)
     return d.select("doc_id", T.convert_script("text", mapping).alias("forward"),
@@ -373,21 +372,21 @@ unk AS (SELECT id FROM vocab WHERE symbol = 'UNK'),
 tok AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+'),
                                    lambda t: t <> '') AS toks FROM documents),
 ex AS (SELECT doc_id, unnest(toks) AS w, unnest(generate_series(1, len(toks))) AS pos FROM tok),
-ids AS (SELECT ex.doc_id, sum(coalesce(v.id, (SELECT id FROM unk))) AS s, count(*) AS n
+ids AS (SELECT ex.doc_id, string_agg(CAST(coalesce(v.id, (SELECT id FROM unk)) AS VARCHAR), ' ' ORDER BY ex.pos) AS s, count(*) AS n
         FROM ex LEFT JOIN vocab v ON ex.w = v.symbol WHERE ex.pos <= 512 GROUP BY ex.doc_id)
 SELECT t.doc_id, CAST(512 AS BIGINT) AS width, CAST(coalesce(i.n, 0) AS BIGINT) AS n_real,
-       CAST(coalesce(i.s, 0) AS BIGINT) AS ids_sum
+       coalesce(i.s, '') AS ids
 FROM tok t LEFT JOIN ids i ON t.doc_id = i.doc_id""")
 def q_tokenize_pad(spark, sf):
     from .joins import _vocab
-    d = _docs(spark, sf).select("doc_id", T.whitespace_tokens(F.lower("text")).alias("toks"))
-    enc = J.vocab_encode(d, "toks", _vocab(spark, sf), ["doc_id"], policy="unk")
+    d = _docs(spark, sf).select("doc_id", F.slice(T.whitespace_tokens(F.lower("text")), 1, 512).alias("toks"))
+    # only the tokens that stay are looked up
+    enc = J.vocab_encode(d, "toks", _vocab(spark, sf), policy="unk")
     pad = -1
     padded = T.truncate_pad("ids", 512, pad)
     return enc.select("doc_id", F.size(padded).cast("long").alias("width"),
                       F.size(F.filter(padded, lambda x: x != pad)).cast("long").alias("n_real"),
-                      F.aggregate(F.filter(padded, lambda x: x != pad), F.lit(0).cast("long"),
-                                  lambda a, x: a + x).alias("ids_sum"))
+                      F.array_join(F.transform(F.filter(padded, lambda x: x != pad), lambda x: x.cast("string")), " ").alias("ids"))
 
 
 

@@ -20,13 +20,22 @@ REASON_FIELD_COUNT = "field_count"
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Text files as ``(source_file, line_no, line)``.
 
-    ``line_no`` increases in file order (it is not dense); it orders
-    duplicates for "last line wins" rules.
+    ``line_no`` orders lines as they would be read one file after another:
+    by the place of the path in ``paths``, the file's name, the start of the
+    split in the file, and the row of the split.  (Spark packs files into
+    partitions by size, so that a row number alone is not in file order.)
+    It orders duplicates for "last line wins" rules and is not dense.
     """
-    df = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    given = [paths] if isinstance(paths, str) else list(paths)
+    df = spark.read.text(given)
+    file = F.col("_metadata.file_path")
+    place = F.lit(len(given))
+    for i, p in reversed(list(enumerate(given))):
+        place = F.when(F.contains(file, F.lit(p.rstrip("/"))), F.lit(i)).otherwise(place)
     return df.select(
-        F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("line_no"),
+        file.alias("source_file"),
+        F.struct(place.alias("place"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                 F.monotonically_increasing_id().alias("row")).alias("line_no"),
         F.col("value").alias("line"),
     )
 
@@ -65,13 +74,27 @@ def strip_ws(c: Column) -> Column:
 
 def format_label_line(path: Column | str = "path", speaker: Column | str = "speaker",
                       lang: Column | str = "lang", text: Column | str = "text") -> Column:
-    """``path|speaker|LANG|text``; language upper-cased, line stripped."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in (path, speaker, lang, text)]
+    """``path|speaker|LANG|text``; language upper-cased, line stripped.
+
+    A null field is empty, and a line break inside a field becomes a space,
+    so that a record is always one line of four fields.
+    """
+    cols = [F.regexp_replace(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), r"[\r\n]+", " ")
+            for c in (path, speaker, lang, text)]
     return strip_ws(F.concat_ws("|", cols[0], cols[1], F.upper(cols[2]), cols[3]))
 
 
-def write_label_list(df: DataFrame, out_path: str, mode: str = "overwrite") -> None:
-    df.select(format_label_line().alias("value")).write.mode(mode).text(out_path)
+def label_line_reason(path: str = "path", speaker: str = "speaker", lang: str = "lang", text: str = "text") -> Column:
+    """``field_count`` for a record that a label line cannot hold (a ``|`` inside a field), else null."""
+    bars = [F.coalesce(F.contains(F.col(c), F.lit("|")), F.lit(False)) for c in (path, speaker, lang, text)]
+    return F.when(bars[0] | bars[1] | bars[2] | bars[3], F.lit(REASON_FIELD_COUNT))
+
+
+def write_label_list(df: DataFrame, out_path: str, mode: str = "overwrite") -> DataFrame:
+    """Write the records that a label line can hold; returns the others with ``reject_reason``."""
+    reason = label_line_reason()
+    df.where(reason.isNull()).select(format_label_line().alias("value")).write.mode(mode).text(out_path)
+    return df.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull())
 
 
 def parse_label_json(df: DataFrame, json_col: str = "value", text_key: str = "text",

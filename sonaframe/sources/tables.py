@@ -73,10 +73,9 @@ def read_token_tsv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def tsv_line(*cols: Column | str) -> Column:
-    """Tab-joined line; array columns are space-joined first."""
-    out = []
-    for c in cols:
-        out.append(F.col(c) if isinstance(c, str) else c)
+    """Tab-joined line; a null field is empty, a tab or line break inside a field becomes a space."""
+    out = [F.regexp_replace(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")), r"[\t\r\n]+", " ")
+           for c in cols]
     return F.concat_ws("\t", *out)
 
 
@@ -84,17 +83,30 @@ def join_spaces(c: Column | str) -> Column:
     return F.array_join(F.col(c) if isinstance(c, str) else c, " ")
 
 
+def print_list(c: Column | str) -> Column:
+    """A printed list of numbers, ``[3, 1, 2]``, or ``None``; ``parse_word2ph`` reads it back."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.concat(F.lit("["), F.array_join(x.cast("array<string>"), ", "), F.lit("]")), F.lit("None"))
+
+
 def write_tsv(df: DataFrame, out_path: str, header: bool = False,
-              mode: str = "overwrite") -> None:
-    """Write a TSV without quoting; array columns are space-joined first.
+              mode: str = "overwrite", printed: Sequence[str] = ("word2ph",)) -> None:
+    """Write a TSV without quoting, one line a row.
 
-    With ``header`` every part file starts with the header line, which is what
-    ``read_token_tsv`` (CSV reader, ``header=True``) expects per file.
+    Array columns in ``printed`` are written as printed lists, other array
+    columns are space-joined.  With ``header`` every part file starts with the
+    header line, which is what ``read_token_tsv`` expects per file.
     """
     cols = []
     for f in df.schema.fields:
         c = F.col(f.name)
-        cols.append((join_spaces(c) if isinstance(f.dataType, T.ArrayType) else c.cast("string")).alias(f.name))
-    (df.select(*cols).write.mode(mode)
-       .option("sep", "\t").option("header", header).option("quote", "")
-       .option("escapeQuotes", False).csv(out_path))
+        if isinstance(f.dataType, T.ArrayType):
+            c = print_list(c) if f.name in printed else join_spaces(c)
+        cols.append(c)
+    line = tsv_line(*cols).alias("value")
+    if not header:
+        df.select(line).write.mode(mode).text(out_path)
+        return
+    text = [F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\t\r\n]+", " ").alias(n) for c, n in zip(cols, df.columns)]
+    (df.select(*text).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "")
+       .option("escapeQuotes", False).option("emptyValue", "").csv(out_path))
