@@ -281,6 +281,17 @@ def map_chars_zh(c: Column | str) -> Column:
     return F.regexp_replace(x, "[^一-龥" + re.escape(ZH_KEEP_PUNCT) + "]+", "")
 
 
+# Mark replacements of the Japanese front end.
+JA_MARKS = {"：": ",", "；": ",", "，": ",", "。": ".", "！": "!", "？": "?", "\n": ".", "·": ",", "、": ",", "...": "…"}
+
+
+def map_marks_ja(tokens: Column | str, known_re: str) -> Column:
+    """T10, Japanese: marks replaced one to one; a token that is then not of ``known_re`` (the symbol set) is ``UNK``."""
+    marks = F.create_map(*[F.lit(x) for pair in JA_MARKS.items() for x in pair])
+    mapped = F.transform(c_(tokens), lambda t: F.coalesce(F.try_element_at(marks, t), t))
+    return F.transform(mapped, lambda t: F.when(t.rlike(known_re), t).otherwise(F.lit("UNK")))
+
+
 def normalize_en(c: Column | str) -> Column:
     """English normalisation: marks to ``,`` and ``'``, accents stripped
     (explicit Latin table), only ``[ A-Za-z'.,?!-]`` kept, then i.e./e.g. spelled."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import traceback
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -40,25 +40,29 @@ def registered_languages() -> list[str]:
 
 
 def apply_frontend(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                   fallback: str = "en") -> DataFrame:
+                   fallback: str = "en", frontends: Mapping[str, Frontend] | None = None) -> DataFrame:
     """``norm_text`` and ``phones`` by language.
 
+    ``frontends``: language code -> front end; without it the registered ones
+    are used.
+
     An unregistered language is processed as ``fallback`` with the text
     replaced by a single space, as the reference does.
     """
-    if fallback not in _FRONTENDS:
+    use = dict(_FRONTENDS if frontends is None else frontends)
+    if fallback not in use:
         raise ValueError(f"fallback front end {fallback!r} is not registered")
     lang = F.col(lang_col)
-    known = lang.isin(*_FRONTENDS.keys())
+    known = F.coalesce(lang.isin(*use), F.lit(False))
     text = F.when(known, F.col(text_col)).otherwise(F.lit(" "))
     eff_lang = F.when(known, lang).otherwise(F.lit(fallback))
     norm = None
-    for code, fe in _FRONTENDS.items():
+    for code, fe in use.items():
         branch = fe.normalize(text)
         norm = F.when(eff_lang == code, branch) if norm is None else norm.when(eff_lang == code, branch)
     out = df.withColumn("front_lang", eff_lang).withColumn("norm_text", norm)
     phones = None
-    for code, fe in _FRONTENDS.items():
+    for code, fe in use.items():
         branch = fe.tokenize(F.col("norm_text"))
         phones = F.when(F.col("front_lang") == code, branch) if phones is None else \
             phones.when(F.col("front_lang") == code, branch)
@@ -78,9 +82,13 @@ def check_word2ph(df: DataFrame, phones_col: str = "phones", word2ph_col: str =
 # D2 ---------------------------------------------------------------------------
 
 def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType,
-                key_col: str) -> DataFrame:
+                key_col: str, batch_fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """Apply ``fn`` to every row (as a dict) inside Arrow batches.
 
+    ``batch_fn`` does the same for a whole batch at once (one output row for
+    each row, in order); rows go one by one through ``fn`` only in batches
+    where it raises.
+
     A row whose call raises is kept with ``error`` set (the output fields
     null), so the caller can route it to a reject table; the others carry
     ``fn``'s fields.  Output: ``key_col``, the schema's fields, ``error``.
@@ -92,14 +100,20 @@ def map_batches(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructType,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if batch_fn is not None:
+                try:
+                    whole = batch_fn(pdf)
+                    yield pd.DataFrame({key_col: pdf[key_col].to_numpy(), **{k: whole[k].to_numpy() for k in names}, "error": None})
+                    continue
+                except Exception:  # noqa: BLE001 - find the failing rows one by one
+                    pass
             recs = []
             for row in pdf.to_dict(orient="records"):
                 try:
                     res = fn(row)
                     recs.append({key_col: row[key_col], **{k: res.get(k) for k in names}, "error": None})
                 except Exception as e:  # noqa: BLE001 - captured per row by design
-                    msg = json.dumps({"type": type(e).__name__, "msg": str(e)[:200],
-                                      "where": traceback.format_exc(limit=1)[-200:]})
+                    msg = json.dumps({"type": type(e).__name__, "msg": str(e), "where": traceback.format_exc(limit=1)})
                     recs.append({key_col: row[key_col], **{k: None for k in names}, "error": msg})
             yield pd.DataFrame(recs, columns=[key_col, *names, "error"])
 

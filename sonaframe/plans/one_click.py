@@ -3,48 +3,45 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators.joins import step_done
 from ..operators.signal import peak_blend
 from .quantize import quantize_corpus
 from .text_table import build_text_table
 
 
-def _done(spark: SparkSession, path: str) -> bool:
+def finished_rows(spark: SparkSession, path: str) -> int | None:
+    """Rows of a finished output, from the marker that is written after it; None when there is none."""
     try:
-        return step_done(spark.read.parquet(path), 2)
-    except Exception:  # noqa: BLE001 - no output yet
-        return False
+        row = spark.read.schema("n_rows long").parquet(f"{path}_done").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row["n_rows"] if row else None
+
+
+def run_step(spark: SparkSession, path: str, make: Callable[[], DataFrame], min_rows: int = 2) -> tuple[int, bool]:
+    """(rows, skipped).  An output without its marker is a partial write and is written anew."""
+    n = finished_rows(spark, path)
+    if n is not None and n >= min_rows:
+        return n, True
+    make().write.mode("overwrite").parquet(path)
+    n = spark.read.parquet(path).count()
+    spark.createDataFrame([(n,)], "n_rows long").write.mode("overwrite").parquet(f"{path}_done")
+    return n, False
 
 
 def one_click(spark: SparkSession, out_dir: str, lines: DataFrame, vocab: DataFrame, signals: DataFrame,
               vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 16,
               iters: int = 5) -> DataFrame:
-    """Runs the three steps into ``out_dir``; a step whose output already has
-    two rows is skipped.  Returns one row per step: name, rows, skipped."""
-    report = []
-    p_text = os.path.join(out_dir, "text_table")
-    if _done(spark, p_text):
-        report.append(("text_table", spark.read.parquet(p_text).count(), True))
-    else:
-        table, _rej = build_text_table(lines, vocab)
-        table.write.mode("overwrite").parquet(p_text)
-        report.append(("text_table", spark.read.parquet(p_text).count(), False))
-    p_wav = os.path.join(out_dir, "normalized")
-    if _done(spark, p_wav):
-        report.append(("normalized", spark.read.parquet(p_wav).count(), True))
-    else:
-        peak_blend(signals).write.mode("overwrite").parquet(p_wav)
-        report.append(("normalized", spark.read.parquet(p_wav).count(), False))
-    p_tok = os.path.join(out_dir, "semantic")
-    if _done(spark, p_tok):
-        report.append(("semantic", spark.read.parquet(p_tok).count(), True))
-    else:
-        tokens, _books = quantize_corpus(vectors, id_col, vec_col, k, iters)
-        tokens.write.mode("overwrite").parquet(p_tok)
-        report.append(("semantic", spark.read.parquet(p_tok).count(), False))
-    return spark.createDataFrame(report, "step string, n_rows long, skipped boolean").withColumn(
-        "out_dir", F.lit(out_dir))
+    """Runs the three steps into ``out_dir``; a step whose finished output has
+    two rows or more is skipped.  Returns one row per step: step, n_rows, skipped."""
+    steps = (("text_table", lambda: build_text_table(lines, vocab)[0]),
+             ("normalized", lambda: peak_blend(signals)),
+             ("semantic", lambda: quantize_corpus(vectors, id_col, vec_col, k, iters)[0]))
+    report = [(name, *run_step(spark, os.path.join(out_dir, name), make)) for name, make in steps]
+    return spark.createDataFrame(report, "step string, n_rows long, skipped boolean")

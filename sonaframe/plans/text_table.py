@@ -9,37 +9,36 @@ from ..functions import text as T
 from ..functions.predicates import basename, clean_path
 from ..operators.filters import accepted, map_language, rejected
 from ..operators.joins import vocab_encode
-from ..operators.udf import apply_frontend, register_frontend, registered_languages
+from ..operators.udf import Frontend, apply_frontend, check_word2ph
 from ..sources.labels import parse_label_lines
 from ..sources.tables import tsv_line
 
 EN_TOKEN_RE = "[a-z']+|[,.?!\\-]"
 
 
-def _default_frontends() -> None:
-    if "en" not in registered_languages():
-        register_frontend("en", T.normalize_en,
-                          lambda c: F.regexp_extract_all(F.lower(c), F.lit(EN_TOKEN_RE), 0))
-    if "zh" not in registered_languages():
-        register_frontend("zh", T.map_chars_zh, lambda c: F.filter(F.split(c, "", -1), lambda x: x != ""))
-    if "ja" not in registered_languages():
-        register_frontend("ja", lambda c: T.fold_width(c), T.split_keep_marks)
+#: Front ends of the languages that a label list may name.
+FRONTENDS = {
+    "en": Frontend(T.normalize_en, lambda c: F.regexp_extract_all(F.lower(c), F.lit(EN_TOKEN_RE), 0)),
+    "zh": Frontend(T.map_chars_zh, lambda c: F.filter(F.split(c, "", -1), lambda x: x != "")),
+    "ja": Frontend(lambda c: T.fold_width(c), T.split_keep_marks),
+}
 
 
 def build_text_table(lines: DataFrame, vocab: DataFrame, line_col: str = "line",
-                     mapping=None) -> tuple[DataFrame, DataFrame]:
+                     mapping=None, frontends=None) -> tuple[DataFrame, DataFrame]:
     """Returns (table with ``tsv`` lines, rejects with their reason).
 
     The symbol vocabulary is the encoder's: an unknown symbol rejects the
     item (``not_in``), as the reference's assertion does.
     """
-    _default_frontends()
     parsed = map_language(parse_label_lines(lines, line_col), "lang", "lang_code", mapping)
     parsed = parsed.withColumn("name", basename(clean_path("path")))
     ok = accepted(parsed).withColumn(
         "text", F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("-")), F.lit("￥"), F.lit(",")))
-    fe = apply_frontend(ok.drop("reject_reason"), "text", "lang_code")
+    fe = apply_frontend(ok.drop("reject_reason"), "text", "lang_code", frontends=frontends or FRONTENDS)
     enc = vocab_encode(fe, "phones", vocab, policy="reject")
+    if "word2ph" in enc.columns:  # a front end that aligns words: the counts must add up to the phones
+        enc = check_word2ph(enc)
     table = accepted(enc).select(
         "name", "phones", "ids", "norm_text",
         tsv_line("name", F.array_join("phones", " "), F.lit("None"), "norm_text").alias("tsv"))

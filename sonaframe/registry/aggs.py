@@ -36,13 +36,13 @@ def q_batch_pad_width(spark, sf):
 
 
 @register("distinct_keys", f"""
-WITH k AS (SELECT source, regexp_extract(lower(text), '{sql.WORD_RE.replace("'", "''")}', 0) AS key FROM documents)
+WITH k AS (SELECT source, unnest(regexp_extract_all(lower(text), '{sql.WORD_RE.replace("'", "''")}', 0)) AS key FROM documents)
 SELECT source, count(key) AS n_keys, count(DISTINCT key) AS n_distinct,
        (SELECT count(DISTINCT key) FROM k) AS total_distinct
 FROM k GROUP BY source""")
 def q_distinct_keys(spark, sf):
     d = table(spark, sf, "documents").select(
-        "source", F.regexp_extract(F.lower("text"), derive.WORD_RE, 0).alias("key"))
+        "source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(derive.WORD_RE), 0)).alias("key"))
     return A.distinct_keys(d, "key", "source")
 
 
@@ -89,13 +89,13 @@ def q_eval_summary(spark, sf):
 # orders ------------------------------------------------------------------------
 
 @register("sort_by_length", """
-SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS pos,
-       CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1 AS BIGINT) AS pos_in_batch
-FROM documents""")
+WITH p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS pos FROM documents)
+SELECT doc_id, pos, CAST(row_number() OVER (PARTITION BY floor((pos - 1) / 64) ORDER BY n_chars DESC, doc_id) - 1 AS BIGINT) AS pos_in_batch
+FROM p""")
 def q_sort_by_length(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars", "source")
-    ranked = global_row_number(d, ["n_chars", "doc_id"], "pos")
-    return O.rank_in_batch(ranked, "source", "n_chars", "doc_id", "pos_in_batch").select("doc_id", "pos", "pos_in_batch")
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    ranked = global_row_number(d, ["n_chars", "doc_id"], "pos").withColumn("batch", F.floor((F.col("pos") - 1) / 64))
+    return O.rank_in_batch(ranked, "batch", "n_chars", "doc_id", "pos_in_batch").select("doc_id", "pos", "pos_in_batch")
 
 
 @register("page", """
@@ -163,13 +163,13 @@ def q_merge_shards(spark, sf):
 
 
 @register("key_diff", """
-SELECT key, 'unused' AS side FROM (SELECT c_custkey AS key FROM customer EXCEPT SELECT o_custkey FROM orders)
+SELECT key, 'unused' AS side FROM (SELECT doc_id AS key FROM documents EXCEPT SELECT vec_id * 3 FROM embeddings)
 UNION ALL
-SELECT key, 'missing' FROM (SELECT o_custkey AS key FROM orders EXCEPT SELECT c_custkey FROM customer)""")
+SELECT key, 'missing' FROM (SELECT vec_id * 3 AS key FROM embeddings EXCEPT SELECT doc_id FROM documents)""")
 def q_key_diff(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
-    return U.key_diff(c, o, "key")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"))
+    v = table(spark, sf, "embeddings").select((F.col("vec_id") * 3).alias("key"))
+    return U.key_diff(d, v, "key")
 
 
 @register("upsample_small", """
@@ -187,7 +187,7 @@ def q_upsample_small_supplier(spark, sf):
 
 
 EDITS_SQL = """
-lab AS (SELECT conv_id * 100 + turn AS key, 'wavs/c' || conv_id || '_' || turn || '.wav' AS path, text,
+lab AS (SELECT conv_id || ':' || turn AS key, 'wavs/c' || conv_id || '_' || turn || '.wav' AS path, text,
                CAST(length(text) * 320 AS BIGINT) AS n_samples, role, turn FROM conversations),
 ed AS (SELECT key, CASE WHEN role = 'system' THEN 'delete' WHEN turn = 0 THEN 'update' WHEN turn = 1 THEN 'split' END AS op,
               '  ' || text || ' !  ' AS new_text, length(text) / 200.0 AS break_sec FROM lab)"""
@@ -205,7 +205,7 @@ UNION ALL
 SELECT key, regexp_replace(path, '\\.[^./]*$', '') || '_00.wav', text, n_samples - frame, 1 FROM k WHERE ok""")
 def q_apply_label_edits(spark, sf):
     c = table(spark, sf, "conversations")
-    lab = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("key"),
+    lab = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
                    F.concat(F.lit("wavs/c"), F.col("conv_id").cast("string"), F.lit("_"),
                             F.col("turn").cast("string"), F.lit(".wav")).alias("path"),
                    "text", (F.length("text") * 320).cast("long").alias("n_samples"), "role", "turn")

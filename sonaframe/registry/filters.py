@@ -74,7 +74,7 @@ g AS (SELECT *, CASE
       FROM j)"""
 
 
-def _gated(spark, sf):
+def _gated(spark, sf, **options):
     from ..plans.training import gate_training_pairs
     docs = table(spark, sf, "documents")
     tokens = docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("item_name"),
@@ -82,7 +82,7 @@ def _gated(spark, sf):
     from ..sources.tables import parse_phoneme_lines
     ph = parse_phoneme_lines(derive.phoneme_lines(docs, table(spark, sf, "labels")))
     return gate_training_pairs(tokens, ph, key="item_name", phon_key="name", known_re=r"^[a-z']+\z",
-                               hz=25, max_sec=54, min_ps=3, max_ps=25)
+                               hz=25, max_sec=54, min_ps=3, max_ps=25, **options)
 
 
 @register("quality_gate", QUALITY_SQL + """
@@ -111,6 +111,27 @@ def q_map_language(spark, sf):
     return FL.map_language(d, "lang", "lang_code").select("doc_id", "lang_code", "reject_reason")
 
 
+@register("map_language_infer", f"""
+SELECT doc_id, CASE lang {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in FL.INFER_LANGUAGES.items())} END AS lang_code,
+  CASE WHEN lang NOT IN ({', '.join(f"'{a}'" for a in FL.INFER_LANGUAGES)}) OR lang IS NULL THEN 'unsupported_language' END AS reject_reason
+FROM documents""")
+def q_map_language_infer(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return FL.map_inference_language(d).select("doc_id", "lang_code", "reject_reason")
+
+
+@register("training_rows", QUALITY_SQL.replace("n_chars AS n_sem FROM documents)", "n_chars AS n_sem FROM documents ORDER BY item_name LIMIT 400)") + """,
+kept AS (SELECT item_name, n_sem, n_phon FROM g WHERE reject_reason IS NULL), n AS (SELECT count(*) AS n FROM kept)
+SELECT item_name, n_sem, n_phon,
+       CAST(unnest(generate_series(1, CASE WHEN n >= 100 THEN 1 ELSE greatest(2, CAST(floor(100 / n) AS INTEGER)) END)) AS INTEGER) AS copy_no
+FROM kept, n""")
+def q_training_rows(spark, sf):
+    """The rows to train on: the first 400 items (O5) that pass the gate (F6), repeated when there are few."""
+    from ..operators.sets import upsample_small
+    from ..operators.filters import accepted
+    return upsample_small(accepted(_gated(spark, sf, max_sample=400))).select("item_name", "n_sem", "n_phon", "copy_no")
+
+
 @register("is_empty_full", """
 SELECT o.o_orderkey,
   (c.c_name IS NULL OR c.c_name = '') AND (c.c_mktsegment IS NULL OR c.c_mktsegment = '')

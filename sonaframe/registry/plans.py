@@ -16,6 +16,7 @@ from ..plans.text_table import build_text_table
 from ..plans.utterances import prepare_utterances
 from ..sources.corpus import explode_lines
 from ..streaming.jobs import scratch_dir
+from . import arrays as A
 from . import derive, sql
 from ..functions.text import PROTECT as T_PROTECT
 from .text import normalize_en_sql
@@ -120,7 +121,16 @@ def q_plan_bounded_batches(spark, sf):
     return p.select("doc_id", "bucket", "padded_pos", "replica", "batch_in_bucket", F.col("width").cast("long"))
 
 
-@register("quantize_corpus")
+QUANTIZE_SQL = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),{A.kmeans_sql('e', 16, 5, 0, 'fit')},
+a1 AS MATERIALIZED (SELECT e.vec_id, arg_min(c.code, ({A.dist_sql('e.v', 'c.vec')}, c.code)) AS k1 FROM e, fit c GROUP BY e.vec_id),
+e2 AS MATERIALIZED (SELECT e.vec_id, list_transform(range(1, len(e.v) + 1), lambda d: e.v[d] - fit.vec[d]) AS v
+       FROM e JOIN a1 USING (vec_id) JOIN fit ON fit.code = a1.k1),{A.kmeans_sql('e2', 16, 5, 1, 'fit2')},
+a2 AS (SELECT e.vec_id, arg_min(c.code, ({A.dist_sql('e.v', 'c.vec')}, c.code)) AS k2 FROM e2 e, fit2 c GROUP BY e.vec_id)
+SELECT CAST(vec_id AS VARCHAR) AS item_name, k1 || ' ' || k2 AS semantic_audio FROM a1 JOIN a2 USING (vec_id)"""
+
+
+@register("quantize_corpus", QUANTIZE_SQL)
 def q_quantize_corpus(spark, sf):
     tokens, _ = quantize_corpus(table(spark, sf, "embeddings"), "vec_id", "embedding", k=16, iters=5, n_q=2)
     return tokens
@@ -199,7 +209,17 @@ def q_prepare_utterances(spark, sf):
     return u.select("doc_id", F.col("piece_no").cast("long"), F.col("seg_no").cast("long"), "seg_text", "seg_lang")
 
 
-@register("one_click")
+ONE_CLICK_SQL = f"""
+SELECT 'text_table' AS step, count(*) AS n_rows, false AS skipped
+FROM ({TEXT_TABLE_SQL.replace("('en', 'fr', 'de', 'es')", "('en')")}) WHERE n_ids IS NOT NULL
+UNION ALL
+SELECT 'normalized', count(*), false FROM events WHERE user_id IN (
+  SELECT user_id FROM events GROUP BY 1 HAVING NOT bool_or(isnan(value)) AND max(abs(value / 100.0)) <= 2.2 AND max(abs(value)) > 0)
+UNION ALL
+SELECT 'semantic', count(*), false FROM embeddings"""
+
+
+@register("one_click", ONE_CLICK_SQL)
 def q_one_click(spark, sf):
     out = scratch_dir(spark, "one-click")
     lines = derive.label_lines(table(spark, sf, "documents"))
@@ -214,6 +234,12 @@ def _count_marks(row: dict) -> dict:
     return {"n_marks": sum(ch in ",.?!" for ch in text)}
 
 
+def _count_marks_batch(pdf):
+    if pdf["text"].str.contains("|", regex=False).any():
+        raise ValueError("field separator inside text")
+    return pdf.assign(n_marks=pdf["text"].str.count("[,.?!]"))
+
+
 @register("map_batches", """
 SELECT doc_id,
        CASE WHEN contains(text, '|') THEN NULL
@@ -222,7 +248,7 @@ SELECT doc_id,
 FROM documents""")
 def q_map_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    out = map_batches(d, _count_marks, T.StructType([T.StructField("n_marks", T.LongType())]), "doc_id")
+    out = map_batches(d, _count_marks, T.StructType([T.StructField("n_marks", T.LongType())]), "doc_id", _count_marks_batch)
     # the error text carries a traceback; the check compares whether the row failed
     return out.select("doc_id", F.col("n_marks").cast("double"), F.col("error").isNotNull().alias("failed"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import basename
 from ..sources import corpus, labels, tables
+from ..streaming.jobs import scratch_dir
 from . import derive, sql
 from .base import r6, register, table
 
@@ -130,3 +131,35 @@ def q_sink_tsv(spark, sf):
     ph = tables.parse_phoneme_lines(lines)
     return ph.select("name", tables.tsv_line("name", tables.join_spaces("phones"), "word2ph_raw",
                                              "norm_text").alias("tsv_line"))
+
+
+# Sinks written, read back, and compared with what was written.
+
+@register("round_trip_label_list", f"""
+WITH {sql.LABEL_LINES},
+p AS (SELECT string_split(line, '|') AS parts FROM label_lines)
+SELECT parts[1] AS path, parts[2] AS speaker, upper(parts[3]) AS lang, {sql.strip_ws('parts[4]')} AS text FROM p WHERE len(parts) = 4""")
+def q_round_trip_label_list(spark, sf):
+    ok = labels.parse_label_lines(derive.label_lines(table(spark, sf, "documents"))).where(F.col("reject_reason").isNull())
+    out = scratch_dir(spark, "labels")
+    labels.write_label_list(ok, out)
+    back = labels.read_label_list(spark, out)
+    return back.select("path", "speaker", "lang", labels.strip_ws(F.col("text")).alias("text"))
+
+
+@register("round_trip_json", "SELECT doc_id, lang, text FROM documents")
+def q_round_trip_json(spark, sf):
+    out = scratch_dir(spark, "json")
+    labels.write_json(table(spark, sf, "documents").select("doc_id", "lang", "text"), out)
+    return spark.read.schema("doc_id long, lang string, text string").json(out)
+
+
+@register("round_trip_tsv", f"""
+WITH {sql.PHONEME_TABLE}
+SELECT name, array_to_string(phones, ' ') AS phones, array_to_string(word2ph, ' ') AS word2ph, norm_text FROM phonemes""")
+def q_round_trip_tsv(spark, sf):
+    lines = derive.phoneme_lines(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    out = scratch_dir(spark, "tsv")
+    tables.write_tsv(tables.parse_phoneme_lines(lines).select("name", "phones", "word2ph", "norm_text"), out)
+    back = tables.read_phoneme_tsv(spark, out)
+    return back.select("name", F.array_join("phones", " ").alias("phones"), F.array_join("word2ph", " ").alias("word2ph"), "norm_text")

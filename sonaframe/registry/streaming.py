@@ -12,6 +12,7 @@ import os
 from pyspark.sql import functions as F
 
 from .. import streaming as X
+from ..operators.filters import quality_gate
 from . import derive, sql
 from .base import table
 from .base import register
@@ -22,26 +23,29 @@ from .filters import EXIT_MARK_SQL
 WITH {sql.LABEL_LINES},
 p AS (SELECT line, string_split(line, '|') AS parts FROM label_lines),
 q AS (SELECT line, CASE WHEN len(parts) = 4 THEN parts[1] END AS path, CASE WHEN len(parts) = 4 THEN parts[3] END AS lang,
-             len(parts) <> 4 AS bad FROM p)
+             len(parts) <> 4 AS bad, length(parts[4]) AS n_sem, len({sql.DOC_WORDS.replace('text', 'parts[4]')}) AS n_phon FROM p)
 SELECT line, path, lang,
        CASE lang WHEN 'ZH' THEN 'zh' WHEN 'zh' THEN 'zh' WHEN 'JP' THEN 'ja' WHEN 'jp' THEN 'ja' WHEN 'JA' THEN 'ja'
                  WHEN 'ja' THEN 'ja' WHEN 'EN' THEN 'en' WHEN 'en' THEN 'en' WHEN 'En' THEN 'en' END AS lang_code,
        CASE WHEN bad THEN 'field_count'
-            WHEN lang NOT IN ('ZH','zh','JP','jp','JA','ja','EN','en','En') OR lang IS NULL THEN 'unsupported_language' END AS reject_reason
+            WHEN lang NOT IN ('ZH','zh','JP','jp','JA','ja','EN','en','En') OR lang IS NULL THEN 'unsupported_language'
+            WHEN n_sem > 54 * 25 THEN 'bigger' WHEN n_phon > 54 * 25 / 2.5 THEN 'ps' WHEN n_sem = 0 THEN 'ps'
+            WHEN n_phon / (n_sem / 25.0) > 25.0 OR n_phon / (n_sem / 25.0) < 3.0 THEN 'ps' END AS reject_reason
 FROM q""")
 def q_stream_ingest_labels(spark, sf):
     base = X.jobs.scratch_dir(spark, "x1")
     inp = os.path.join(base, "in")
     derive.label_lines(table(spark, sf, "documents")).select(F.col("line").alias("value")).write.text(inp)
-    X.stream_ingest_labels(spark, inp, os.path.join(base, "out"))
-    cols = ["line", "path", "lang", "lang_code", "reject_reason"]
-    acc = spark.read.parquet(os.path.join(base, "out", "accepted")).select(*cols)
-    rej_path = os.path.join(base, "out", "rejected")
-    try:
-        rej = spark.read.parquet(rej_path).select(*cols)
-        return acc.unionByName(rej)
-    except Exception:  # noqa: BLE001 - no rejected rows were written
-        return acc
+    X.stream_ingest_labels(spark, inp, os.path.join(base, "out"), gate=_rate_gate)
+    cols = "line string, path string, lang string, lang_code string, reject_reason string"
+    acc, rej = (spark.read.schema(cols).parquet(os.path.join(base, "out", x)).drop("batch_id") for x in ("accepted", "rejected"))
+    return acc.unionByName(rej)
+
+
+def _rate_gate(parsed):
+    """F6 on a label line: characters stand for tokens, words for phones."""
+    sized = parsed.withColumns({"n_sem": F.length("text"), "n_phon": F.size(F.regexp_extract_all(F.lower("text"), F.lit(derive.WORD_RE), 0))})
+    return quality_gate(sized, "n_sem", "n_phon", max_sec=54).drop("n_sem", "n_phon")
 
 
 GAP_S = 6 * 3600
@@ -88,4 +92,4 @@ FROM events GROUP BY 1, 2""")
 def q_stream_reject_counts(spark, sf):
     base = X.jobs.scratch_dir(spark, "x4")
     out = X.stream_reject_counts(spark, sf, base, _gate, glob="events.parquet", window="1 hour")
-    return spark.read.parquet(out).select("window_start_us", "reason", "n")
+    return X.latest_rows(spark.read.parquet(out), ["window_start_us", "reason"]).select("window_start_us", "reason", "n")

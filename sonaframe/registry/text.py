@@ -216,6 +216,19 @@ def normalize_en_sql(x: str) -> str:
             + q("e\\.g\\.") + ", 'for example', 'gi')")
 
 
+JA_TOKEN_RE = r"\p{L}+|\.\.\.|[：；，。！？·、\n,.?!~-]"
+
+
+@register("map_marks_ja", f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), {q(JA_TOKEN_RE)}, 0) AS toks FROM documents),
+m AS (SELECT doc_id, list_transform(toks, lambda x: coalesce(MAP {{{', '.join(f"{q(a) if a != chr(10) else 'chr(10)'}: {q(b)}" for a, b in T.JA_MARKS.items())}}}[x], x)) AS toks FROM t)
+SELECT doc_id, array_to_string(list_transform(toks, lambda x: CASE WHEN regexp_matches(x, '^([a-z]+|[,.!?…-])$') THEN x ELSE 'UNK' END), ' ') AS phones
+FROM m""")
+def q_map_marks_ja(spark, sf):
+    d = _docs(spark, sf).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(JA_TOKEN_RE), 0).alias("toks"))
+    return d.select("doc_id", F.array_join(T.map_marks_ja("toks", r"^([a-z]+|[,.!?…-])\z"), " ").alias("phones"))
+
+
 @register("normalize_en", f"""
 WITH a AS (SELECT doc_id, translate(regexp_replace(regexp_replace(text, '[;:：，；]', ',', 'g'), '["’]', '''', 'g'), '。！？', '.!?') AS t FROM documents),
 b AS (SELECT doc_id, regexp_replace({_translate_sql('t', T.ACCENT_FROM, T.ACCENT_TO)}, '[^ A-Za-z''.,?!\\-]', '', 'g') AS t FROM a)

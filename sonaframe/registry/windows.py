@@ -9,7 +9,7 @@ from . import sql
 from .base import r6, register, table
 
 # block size of the running scans; small here so the checked run crosses blocks
-SCAN_BLOCK = 256
+SCAN_BLOCK = 65_536
 
 
 @register("length_buckets", """

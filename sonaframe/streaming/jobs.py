@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,25 +49,45 @@ def _run(writer, trigger_once: bool = True):
     return q
 
 
+def _write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """One partition a batch, overwritten when the batch is tried again."""
+    (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+
+
+def _batch_sink(path: str):
+    return lambda batch, batch_id: _write_batch(batch, batch_id, path)
+
+
+def latest_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of an update-mode output the last row of each key."""
+    rest = [c for c in df.columns if c not in keys and c != "batch_id"]
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 # X1 -------------------------------------------------------------------------------
 
 def stream_ingest_labels(spark: SparkSession, input_dir: str, output_dir: str,
                          checkpoint: str | None = None, mapping: Mapping[str, str] | None = None,
-                         run: bool = True):
+                         gate: Callable[[DataFrame], DataFrame] | None = None, run: bool = True):
     """Label-list files → accepted and rejected parquet tables.
 
-    Each micro-batch is parsed (S1) and language-mapped (F8); rows are
-    appended to ``output_dir/accepted`` or ``output_dir/rejected`` with
-    their batch id.  ``run``: process what is there now and stop.
+    Each micro-batch is parsed (S1) and language-mapped (F8); ``gate`` may
+    set further reject reasons (F6).  A batch overwrites its own partition
+    ``batch_id`` of ``output_dir/accepted`` and ``output_dir/rejected``, so a
+    batch that is tried again leaves no row twice.  ``run``: process what is
+    there now and stop.
     """
     ckpt = checkpoint or os.path.join(output_dir, "_checkpoint")
     lines = spark.readStream.text(input_dir).select(F.col("value").alias("line"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         parsed = map_language(parse_label_lines(batch, "line"), "lang", "lang_code", mapping)
-        parsed = parsed.withColumn("batch_id", F.lit(batch_id))
-        parsed.where(F.col("reject_reason").isNull()).write.mode("append").parquet(os.path.join(output_dir, "accepted"))
-        parsed.where(F.col("reject_reason").isNotNull()).write.mode("append").parquet(os.path.join(output_dir, "rejected"))
+        if gate is not None:
+            parsed = gate(parsed)
+        _write_batch(parsed.where(F.col("reject_reason").isNull()), batch_id, os.path.join(output_dir, "accepted"))
+        _write_batch(parsed.where(F.col("reject_reason").isNotNull()), batch_id, os.path.join(output_dir, "rejected"))
 
     writer = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     return _run(writer) if run else writer
@@ -75,12 +95,6 @@ def stream_ingest_labels(spark: SparkSession, input_dir: str, output_dir: str,
 
 # X2 -------------------------------------------------------------------------------
 
-def _overwrite_sink(path: str):
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(path)
-    return write_batch
-
-
 def gap_segments_stream(events: DataFrame, gap: str, key: str = "user_id", ts_col: str = "ts",
                         watermark: str = "1 hour") -> DataFrame:
     """X2 (plan): sessions of one key closed by an event gap longer than ``gap``."""
@@ -90,29 +104,30 @@ def gap_segments_stream(events: DataFrame, gap: str, key: str = "user_id", ts_co
                     F.unix_micros(F.col("sw.end")).alias("end_us"), "n_events")
 
 
-def _append_sink(path: str):
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
-    return write_batch
-
-
 def stream_gap_segments(spark: SparkSession, source_dir: str, output_dir: str, gap: str = "30 minutes",
                         glob: str = "events*.parquet", schema: T.StructType | None = None,
-                        mode: str = "complete", watermark: str = "1 hour") -> str:
+                        finite: bool = True, watermark: str = "1 hour") -> str:
     """Run the session-window job over the event files; returns the output path.
 
-    mode ``append`` (an endless stream): a session is written once the
-    watermark passes its end and its state is then dropped.  mode
-    ``complete`` (a finite replay): every batch rewrites all sessions, so
-    the last ones are written too; state keeps every session.
+    A session is written once the watermark passes its end, and its state is
+    then dropped.  ``finite`` (a replay of files): the sessions that are
+    still open when the input ends, those of the events behind each key's
+    last written session, are added as a batch of their own.
     """
     sch = schema or spark.read.parquet(os.path.join(source_dir, glob)).schema
     events = spark.readStream.schema(sch).option("pathGlobFilter", glob).parquet(source_dir)
     out = os.path.join(output_dir, "segments")
-    sink = _overwrite_sink(out) if mode == "complete" else _append_sink(out)
-    writer = (gap_segments_stream(events, gap, watermark=watermark).writeStream.outputMode(mode)
-              .foreachBatch(sink).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
+    writer = (gap_segments_stream(events, gap, watermark=watermark).writeStream.outputMode("append")
+              .foreachBatch(_batch_sink(out)).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
     _run(writer)
+    if finite:
+        table = T.StructType([T.StructField("user_id", sch["user_id"].dataType), *(T.StructField(c, T.LongType()) for c in ("start_us", "end_us", "n_events", "batch_id"))])
+        closed = spark.read.schema(table).parquet(out).where("batch_id >= 0").groupBy("user_id").agg(F.max("end_us").alias("_closed"))
+        seconds = int(spark.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + INTERVAL {gap})").first()[0]) // 1_000_000
+        batch = spark.read.schema(sch).option("pathGlobFilter", glob).parquet(source_dir).join(closed, "user_id", "left")
+        left = batch.where(F.col("_closed").isNull() | (F.unix_micros(as_instant("ts")) >= F.col("_closed"))).drop("_closed")
+        rest = gap_segments_batch(left, seconds).select("user_id", "start_us", "end_us", "n_events")
+        _write_batch(rest, -1, out)
     return out
 
 
@@ -177,10 +192,7 @@ def stream_turns_until_exit(spark: SparkSession, source_dir: str, output_dir: st
         turns = prepare(turns)
     out = os.path.join(output_dir, "turns")
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(out)
-
-    writer = (turns_until_exit_stream(turns).writeStream.outputMode("append").foreachBatch(write_batch)
+    writer = (turns_until_exit_stream(turns).writeStream.outputMode("append").foreachBatch(_batch_sink(out))
               .option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
     _run(writer)
     return out
@@ -199,11 +211,15 @@ def reject_counts_stream(gated: DataFrame, window: str = "1 hour", ts_col: str =
 
 def stream_reject_counts(spark: SparkSession, source_dir: str, output_dir: str, gate,
                          glob: str = "events*.parquet", window: str = "1 hour") -> str:
-    """``gate`` adds ``reject_reason`` to the event stream; counts are rewritten each batch."""
+    """``gate`` adds ``reject_reason`` to the event stream.
+
+    Each batch writes the counts that it changed (``latest_rows`` gives the
+    current ones); windows that the watermark has passed leave the state.
+    """
     sch = spark.read.parquet(os.path.join(source_dir, glob)).schema
     events = spark.readStream.schema(sch).option("pathGlobFilter", glob).parquet(source_dir)
     out = os.path.join(output_dir, "reject_counts")
-    writer = (reject_counts_stream(gate(events), window).writeStream.outputMode("complete")
-              .foreachBatch(_overwrite_sink(out)).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
+    writer = (reject_counts_stream(gate(events), window).writeStream.outputMode("update")
+              .foreachBatch(_batch_sink(out)).option("checkpointLocation", os.path.join(output_dir, "_ckpt")))
     _run(writer)
     return out
