@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, doc_texts, id_map, in_map, mapped, written
+from .shared import cut, doc_texts, id_map, in_map, written
 from .words import WORD, WordHashes, mixed, shingles, words_of
 
 WINDOW = 16
@@ -137,17 +137,14 @@ def repeats(x: np.ndarray, y: np.ndarray, min_words: int, threshold: float, gap:
     return out
 
 
-def _band_rows(texts: DataFrame, repeated: np.ndarray | None = None) -> DataFrame:
-    """(band, doc_id, first, last) of all texts, or only of bands in the map ``repeated``."""
+def _band_rows(texts: DataFrame) -> DataFrame:
+    """(band, doc_id, first, last) of all texts."""
     def run(batches):
         words = WordHashes()
         for b in batches:
             ids, vals, starts, ends = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v, a, e = bands(shingles(words.of(words_of(t))))
-                if repeated is not None:
-                    some = mapped(v, repeated)
-                    v, a, e = v[some], a[some], e[some]
                 ids.append(np.full(len(v), i))
                 vals.append(v)
                 starts.append(a)
@@ -173,13 +170,16 @@ def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: flo
     both = side.join(theirs.select(F.col("doc_id").alias("keeper"), F.col("text").alias("y")), "keeper").select("doc_id", "of", "keeper", "x", "y")
 
     def run(batches):
-        words, last, wy = WordHashes(), None, None
+        words, last, wy, ty = WordHashes(), None, None, None
         for b in batches:
             out: list[tuple[int, int, int, int, int]] = []
             for d, of, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if y is not last:
-                    last, wy = y, words.of(words_of(y))
-                out += [(d, of, k, a, e - 1) for a, e in repeats(words.of(words_of(x)), wy, min_words, threshold)]
+                if k != last:
+                    last, wy, ty = k, words.of(words_of(y)), y
+                elif y != ty:  # the id has another text
+                    wy, ty = words.of(words_of(y)), y
+                wx = wy if x == y else words.of(words_of(x))
+                out += [(d, of, k, a, e - 1) for a, e in repeats(wx, wy, min_words, threshold)]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "of", "keeper", "first", "last"])
 
@@ -213,9 +213,10 @@ def _window_rows(spots: DataFrame, known: DataFrame, min_words: int, step: int =
 def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -> DataFrame:
     """Repeats (doc_id, of, keeper, first, last) that are to go; ``of`` is the hash of the text that they belong to."""
     texts = doc_texts(docs).where("doc_id is not null")
-    low = _keepers(_band_rows(texts))
-    # unrepeated bands do not leave the task; both sides come fresh to the join, so that Spark can split a band of very many documents
-    rows = written(_band_rows(texts, id_map(low, "band")).join(low, "band").select("band", "doc_id", "keeper", "first", "last"))
+    every = written(_band_rows(texts))
+    low = _keepers(every)
+    # unrepeated bands are not shuffled; both sides come fresh to the join, so that Spark can split a band of very many documents
+    rows = written(in_map(every, "band", id_map(low, "band")).join(low, "band").select("band", "doc_id", "keeper", "first", "last"))
     known = written(in_map(texts, "doc_id", id_map(rows, "doc_id")).withColumn("of", F.xxhash64("text")))
     pairs = cut(rows.where("doc_id <> keeper").select("doc_id", "keeper").distinct())
     found = cut(_verified(pairs, known, min_words, threshold))
