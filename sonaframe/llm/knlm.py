@@ -282,7 +282,7 @@ def _summed(df: DataFrame, n: int) -> list[int]:
     return [x or 0 for x in row]
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, chunk_tokens: int = 2_500_000, bucket_tokens: int = 3_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, chunk_tokens: int = 1_600_000, bucket_tokens: int = 2_500_000) -> DataFrame:
     """One row for each row of ``docs``: see ``SCORES``.  Rows in the fold ``fold`` are not learnt from."""
     chunks = written(_chunks(doc_texts(docs), folds, fold, chunk_tokens))
     n_tokens, n_words = (x or 0 for x in chunks.agg(F.sum("n_tokens"), F.sum("n_words")).first())
