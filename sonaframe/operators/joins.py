@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..util.rank import global_row_number
+from ..util.sizing import broadcast_if_small
 
 REASON_NOT_IN = "not_in"
 
@@ -102,15 +103,16 @@ def lookup_arrays(df: DataFrame, arr_col: str, entries: DataFrame, key_col: str,
 
     The result depends on the array alone, so equal arrays are looked up
     once, keyed by a digest of their content; rows need no key of their own
-    and may repeat.  Spark picks the join with ``entries`` by its size.
+    and may repeat.  ``entries`` are broadcast when they measure small, else
+    the elements are shuffled to them; the result is the same.
     """
     digest = F.sha2(F.to_json(F.struct(F.col(arr_col).alias("a"))), 256)
     rows = df.withColumn("_digest", F.when(F.col(arr_col).isNotNull(), digest))
     arrays = rows.where("_digest is not null").select("_digest", F.col(arr_col).alias("_a")).dropDuplicates(["_digest"])
     table = entries.select(F.col(key_col).alias("_key"), F.col(value_col).alias("_value"))
     kind = table.schema["_value"].dataType
-    looked = arrays.select("_digest", F.posexplode("_a").alias("_pos", "_key")).join(table, "_key", "left")
-    values = looked.groupBy("_digest").agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_s")) \
+    looked = arrays.select("_digest", F.posexplode("_a").alias("_pos", "_key")).join(broadcast_if_small(table), "_key", "left")
+    values = looked.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("_pos", "_value"))).alias("_s")) \
         .select("_digest", F.transform("_s", lambda x: x["_value"]).alias("_values"))
     none = F.array().cast(T.ArrayType(kind))
     return rows.join(values, "_digest", "left").withColumn(out_col, F.when(

@@ -109,7 +109,7 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
 def sentence_phones(looked: DataFrame, key_cols: Sequence[str], pos_col: str = "pos") -> DataFrame:
     """Per text: phones of its words in order with a ``' '`` between words, and counts."""
     g = looked.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col("phones").alias("ph")))).alias("_w"),
+        F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col("phones").alias("ph")))).alias("_w"),
         F.count(F.lit(1)).alias("n_words"),
         F.count_if(F.col("phones").isNull()).alias("n_oov"))
     parts = F.transform("_w", lambda s: F.coalesce(s["ph"], F.array().cast("array<string>")))

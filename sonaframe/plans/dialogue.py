@@ -18,7 +18,7 @@ def prepare_dialogue(lines: DataFrame, key_cols: list[str], vocab: DataFrame, li
     cleaned = cleaned.withColumn("_rid", md5_key(*key_cols))
     split = train_val_split(cleaned, "_rid", 0.1, seed, exact=True)
     # only the first ``width`` tokens stay, so only these are looked up
-    toks = split.withColumn("toks", F.slice(whitespace_tokens("text"), 1, width))
+    toks = split.withColumn("toks", whitespace_tokens("text", width))
     enc = vocab_encode(toks, "toks", vocab, policy="unk")
     return enc.withColumn("input_ids", truncate_pad("ids", width, pad)) \
               .withColumn("attention", F.transform("input_ids", lambda x: (x != pad).cast("int"))) \

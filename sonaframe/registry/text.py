@@ -392,7 +392,7 @@ SELECT t.doc_id, CAST(512 AS BIGINT) AS width, CAST(coalesce(i.n, 0) AS BIGINT)
 FROM tok t LEFT JOIN ids i ON t.doc_id = i.doc_id""")
 def q_tokenize_pad(spark, sf):
     from .joins import _vocab
-    d = _docs(spark, sf).select("doc_id", F.slice(T.whitespace_tokens(F.lower("text")), 1, 512).alias("toks"))
+    d = _docs(spark, sf).select("doc_id", T.whitespace_tokens(F.lower("text"), 512).alias("toks"))
     # only the tokens that stay are looked up
     enc = J.vocab_encode(d, "toks", _vocab(spark, sf), policy="unk")
     pad = -1

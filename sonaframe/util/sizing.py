@@ -1,0 +1,19 @@
+"""Broadcast of a side whose size has been measured."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A side of at most this many bytes is broadcast.
+SMALL_BYTES = 8 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its rows measure at most ``max_bytes``, else as it is (a shuffle join).
+
+    The size is summed over all rows, so use it on frames that are cheap to
+    read twice, such as a checkpointed vocabulary.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
