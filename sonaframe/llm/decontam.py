@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, doc_texts, written
+from .shared import cut, doc_texts, parts, written
 from .words import WordHashes, mixed, shingles, words_of
 
 MAP_BITS = 24
@@ -111,7 +111,7 @@ def _marked(v: np.ndarray, marks: np.ndarray) -> np.ndarray:
 def _item_sketches(items: DataFrame, hashes: int, k: int) -> DataFrame:
     def sketch(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             ids, vals, sets, wide = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = np.unique(shingles(words.of(words_of(t)), k))
@@ -142,7 +142,7 @@ def _value_map(sketches: DataFrame) -> np.ndarray:
 def _marked_documents(docs: DataFrame, marks: np.ndarray, windows: list[int], hashes: int, k: int) -> DataFrame:
     def search(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             ids, vals, sets = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(words.of(words_of(t)), k)
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: i
         .select("doc_id", "item_id", "n_item", "items", "shingles")
 
     def verify(batches):
-        for b in batches:
+        for b in parts(batches):
             keep, shared = [], []
             for i, (x, y) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
                 item = np.frombuffer(x, np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import doc_texts
+from .shared import doc_texts, parts
 
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -90,7 +90,7 @@ def gram_hits(texts: DataFrame) -> DataFrame:
 
     def scan(batches):
         number = words.get
-        for b in batches:
+        for b in parts(batches):
             counts, pos, found = [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 w = WORD_BYTES.findall(t.lower())

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import cut, doc_texts, id_map, in_map, written
+from .shared import cut, doc_texts, id_map, in_map, parts, written
 from .words import WordHashes, mixed, shingles, words_of
 
 IDF_SLOTS = 1 << 16
@@ -54,7 +54,7 @@ def word_frequencies(docs: DataFrame, slots: int = IDF_SLOTS) -> np.ndarray:
     """
     def count(batches):
         words, df, n = WordHashes(), np.zeros(slots, np.int64), 0
-        for b in batches:
+        for b in parts(batches):
             for t in b.column(0).to_pylist():
                 h = words.of(words_of(t))
                 df[np.unique((h & np.uint64(slots - 1)).astype(np.int64))] += 1
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, k: int)
     """doc_id, key (equal for equal words), n_words, bands (none without words), of each row of (doc_id, text)."""
     def sign(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             keys, counts, sigs = [], [], []
             for t in b.column(1).to_pylist():
                 h = words.of(words_of(t))
@@ -174,7 +174,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
 
     def verify(batches):
         words, last, wa = WordHashes(), None, None
-        for batch in batches:
+        for batch in parts(batches):
             keep, sims = [], []
             for i, (x, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
                 if x != last:
@@ -194,7 +194,7 @@ def _shared_weights(nodes: DataFrame, known: DataFrame, idf: np.ndarray, k: int)
     """(node, weight, shared): the weight of each text, and of its shingles that another of ``nodes`` has too."""
     def spread(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s, w = weighted_shingles(words.of(words_of(t)), idf, k)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), d)), pa.array(w.astype(np.float64))],

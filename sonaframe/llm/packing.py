@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import doc_texts
+from .shared import doc_texts, parts
 
 SEQUENCE_COST, SENTENCE_COST, WORD_COST = 16, 4, 48
 _SENTENCE_END = (".", "!", "?", "…", "。", "！", "？", "\n")
@@ -171,27 +171,27 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_
 
     def run(batches):
         enc, first = encoder(path), TaskContext.get().partitionId() << 40
-        doc_ids, parts, lengths, total = [], [], [], 0
+        doc_ids, stream, lengths, total = [], [], [], 0
 
         def flush():
             nonlocal first
-            ids = np.concatenate(parts)
+            ids = np.concatenate(stream)
             places, costs = cut_places(ids, np.cumsum(lengths), enc, window)
             cuts = best_cuts(places, costs, window)
             out = pieces(doc_ids, lengths, ids, cuts, first, window)
             first += len(cuts) - 1
             return out
 
-        for b in batches:
+        for b in parts(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = np.append(enc.ids(t), np.uint32(end_id))
                 doc_ids.append(d)
-                parts.append(x)
+                stream.append(x)
                 lengths.append(len(x))
                 total += len(x)
                 if total >= part_tokens:
                     yield flush()
-                    doc_ids, parts, lengths, total = [], [], [], 0
+                    doc_ids, stream, lengths, total = [], [], [], 0
         if doc_ids:
             yield flush()
 

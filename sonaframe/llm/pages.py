@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..util.rank import global_row_number
-from .shared import cut, id_map, in_map
+from .shared import cut, id_map, in_map, parts
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -225,7 +225,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 def _sketches(pages: DataFrame) -> DataFrame:
     """key, host, path and for each line its hash; bits say: in the main article, a label there, furniture."""
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             hosts, paths, hashes, bits = [], [], [], []
             for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 host, path = host_and_path(url) if url is not None else (None, None)
@@ -253,7 +253,7 @@ def url_partners(sketches: DataFrame) -> DataFrame:
         F.when(F.col("after_host") == F.col("host"), F.col("after")).alias("after"), "after_path")
 
     def nearer(batches):
-        for b in batches:
+        for b in parts(batches):
             out = []
             for _, path, p, pp, q, qp in zip(*(c.to_pylist() for c in b.columns)):
                 if p is None or q is None:
@@ -274,7 +274,7 @@ def shared_lines(sketches: DataFrame) -> DataFrame:
         .select("key", "hashes", "bits", "other")
 
     def align(batches):
-        for b in batches:
+        for b in parts(batches):
             keys, gone = [], []
             for key, x, bits, y in zip(*(c.to_pylist() for c in b.columns)):
                 ix = [i for i, v in enumerate(x) if v in set_y] if (set_y := set(y)) else []
@@ -302,7 +302,7 @@ def shared_lines(sketches: DataFrame) -> DataFrame:
 def _texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars from (page_id, url, html, key, gone)."""
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             texts = ["\n".join(kept_lines(page_lines(h), set(g or ()))) for h, g in zip(b.column(2).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])

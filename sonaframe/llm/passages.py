@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .shared import cut, doc_texts, id_map, in_map, written
+from .shared import cut, doc_texts, id_map, in_map, parts, written
 from .words import WORD, WordHashes, mixed, shingles, words_of
 
 WINDOW = 16
@@ -141,7 +141,7 @@ def _band_rows(texts: DataFrame) -> DataFrame:
     """(band, doc_id, first, last) of all texts."""
     def run(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             ids, vals, starts, ends = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v, a, e = bands(shingles(words.of(words_of(t))))
@@ -171,7 +171,7 @@ def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: flo
 
     def run(batches):
         words, last, wy, ty = WordHashes(), None, None, None
-        for b in batches:
+        for b in parts(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for d, of, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 if k != last:
@@ -194,7 +194,7 @@ def _window_rows(spots: DataFrame, known: DataFrame, min_words: int, step: int =
 
     def run(batches):
         words = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             vals, ids = [], []
             for d, t, at in zip(*(b.column(i).to_pylist() for i in range(3))):
                 h = words.of(words_of(t))
@@ -252,7 +252,7 @@ def cut_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8) -
                            T.StructField("partners", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             col = dict(zip(b.schema.names, b.columns))
             texts, gone = [], []
             for t, spans in zip(col["text"].to_pylist(), col["__spans"].to_pylist()):

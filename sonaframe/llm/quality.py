@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import append_columns, doc_texts
+from .shared import append_columns, doc_texts, parts
 
 WORD_SLOTS = 2048
 SHAPE_SLOTS = 512
@@ -138,7 +138,7 @@ def slot_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """
     def count(batches):
         slots, df, n = TokenSlots(), np.zeros(SLOTS, np.int64), 0
-        for b in batches:
+        for b in parts(batches):
             for t in b.column(0).to_pylist():
                 df += slots.counts(t) > 0
                 n += 1
@@ -163,7 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
 
     def features(batches):
         slots = TokenSlots()
-        for b in batches:
+        for b in parts(batches):
             rows = [slots.counts(t).astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 

@@ -33,6 +33,13 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that a task holds few texts as objects at a time, and sends small batches."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def append_columns(df: DataFrame, column: str,
                    make: Callable[[], Callable[[list], list[pa.Array]]],
                    fields: Sequence[T.StructField]) -> DataFrame:
@@ -49,7 +56,7 @@ def append_columns(df: DataFrame, column: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in parts(batches):
             at = {n: i for i, n in enumerate(b.schema.names)}
             new = work(b.column(at[column]).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(at[n]) for n in old] + list(new),
@@ -109,7 +116,7 @@ def mapped(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
 def in_map(df: DataFrame, column: str, words: np.ndarray, found: bool = True) -> DataFrame:
     """Rows of ``df`` whose id is in the map, or with ``found=False`` the others (null ids are not in it)."""
     def keep(batches):
-        for b in batches:
+        for b in parts(batches):
             ids = b.column(b.schema.names.index(column))
             hit = mapped(ids.fill_null(0).to_numpy(zero_copy_only=False), words)
             hit &= ids.is_valid().to_numpy(zero_copy_only=False)

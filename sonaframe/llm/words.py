@@ -17,7 +17,7 @@ _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 class WordHashes(dict):
     """Word -> place in a list of 64-bit hashes, remembered for about ``most`` words of one task."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
         self.hashes = array("Q")
