@@ -9,9 +9,10 @@
    nearly always do.
 2. Bands that stand in several documents tie each document to the smallest
    id among them (grouped minima, summed before the shuffle).
-3. Such pairs meet both whole texts.  Common runs of words, joined over small
-   edits while the shingles of the joined stretch keep an exact Jaccard
-   similarity of ``threshold``, count as a repeat from ``min_words`` words on.
+3. Such pairs meet both whole texts.  Common runs of words are joined over
+   small edits; every maximal stretch of them whose shingles have an exact
+   Jaccard similarity of ``threshold`` counts as a repeat from ``min_words``
+   words on.
 4. Bands that are still outside any repeat may hide one with another partner
    than the smallest id: around them longer windows are compared exactly,
    again by the smallest id, which then holds the whole window.
@@ -106,35 +107,65 @@ def common_runs(x: np.ndarray, y: np.ndarray, k: int = 5) -> list[tuple[int, int
     return runs
 
 
+def _firsts(s: np.ndarray) -> np.ndarray:
+    """Whether each shingle stands there for the first time."""
+    out = np.zeros(len(s), bool)
+    out[np.unique(s, return_index=True)[1]] = True
+    return out
+
+
+def _sums(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(v)])
+
+
+def _stretches(runs: list[tuple[int, int, int]], sx: np.ndarray, sy: np.ndarray, min_words: int, threshold: float, k: int = 5) -> list[tuple[int, int]]:
+    """Every maximal stretch [start, end) from the start of one of the ``runs`` to the end of one, of ``min_words`` or
+    more words, whose shingles have an exact Jaccard similarity of ``threshold`` with those of its counterpart."""
+    if len(runs) == 1:
+        return [(runs[0][0], runs[0][0] + runs[0][2])] if runs[0][2] >= min_words else []
+    r = np.array(runs, np.int64)
+    a, c, e, f = r[:, 0], r[:, 1], r[:, 0] + r[:, 2] - k + 1, r[:, 1] + r[:, 2] - k + 1  # in shingles
+    # no similarity is above what these counts allow: distinct shingles at least, common ones at most
+    x0, y0, x1, y1 = int(a.min()), int(c.min()), int(e.max()), int(f.max())
+    wx, wy = sx[x0:x1], sy[y0:y1]
+    kinds_x, kinds_y = _sums(_firsts(wx)), _sums(_firsts(wy))
+    hits_x, hits_y = _sums(np.isin(wx, wy)), _sums(np.isin(wy, wx))
+    out, done = [], -1
+    for i in range(len(r)):
+        j = np.arange(max(i, done + 1), len(r))
+        j = j[(e[j] - a[i] > min_words - k) & (f[j] > c[i])]
+        same = np.minimum(hits_x[e[j] - x0] - hits_x[a[i] - x0], hits_y[f[j] - y0] - hits_y[c[i] - y0])
+        least = kinds_x[e[j] - x0] - kinds_x[a[i] - x0] + kinds_y[f[j] - y0] - kinds_y[c[i] - y0]
+        j = j[same * (1 + threshold) >= threshold * least - 1e-6]
+        if not len(j):
+            continue
+        ux, px = np.unique(sx[a[i]: int(e[j].max())], return_index=True)
+        uy, py = np.unique(sy[c[i]: int(f[j].max())], return_index=True)
+        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+        cx, cy = px[ix], py[iy]
+        for n in j[::-1].tolist():
+            m, o = e[n] - a[i], f[n] - c[i]
+            both = np.count_nonzero((cx < m) & (cy < o))
+            if both >= threshold * (np.count_nonzero(px < m) + np.count_nonzero(py < o) - both):
+                out.append((int(a[i]), int(e[n]) + k - 1))
+                done = n
+                break
+    return out
+
+
 def repeats(x: np.ndarray, y: np.ndarray, min_words: int, threshold: float, gap: int = 4) -> list[tuple[int, int]]:
     """Stretches [start, end) of the words ``x`` that repeat in ``y``."""
-    out = []
-
-    def close(group):
-        a, e = group[0][0], group[-1][0] + group[-1][2]
-        c, f = group[0][1], group[-1][1] + group[-1][2]
-        if len(group) > 1:
-            sa, sb = np.unique(shingles(x[a:e])), np.unique(shingles(y[c:f]))
-            same = len(np.intersect1d(sa, sb, assume_unique=True))
-            if same < threshold * (len(sa) + len(sb) - same):
-                for r in group:
-                    close([r])
-                return
-        if e - a >= min_words:
-            out.append((a, e))
-
-    group: list[tuple[int, int, int]] = []
+    sx, sy = shingles(x), shingles(y)
+    chains: list[list[tuple[int, int, int]]] = []
     for r in common_runs(x, y):
-        if group:
-            p = group[-1]
+        if chains:
+            p = chains[-1][-1]
             dx, dy = r[0] - p[0] - p[2], r[1] - p[1] - p[2]
-            if not (-8 <= dx <= gap and -8 <= dy <= gap and r[0] + r[2] > p[0] + p[2] and r[1] > p[1]):
-                close(group)
-                group = []
-        group.append(r)
-    if group:
-        close(group)
-    return out
+            if -8 <= dx <= gap and -8 <= dy <= gap and r[0] + r[2] > p[0] + p[2] and r[1] > p[1]:
+                chains[-1].append(r)
+                continue
+        chains.append([r])
+    return [s for chain in chains for s in _stretches(chain, sx, sy, min_words, threshold)]
 
 
 def _band_rows(texts: DataFrame) -> DataFrame:

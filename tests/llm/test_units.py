@@ -86,6 +86,46 @@ def test_repeats_cover_every_long_common_run(seed):
     assert brute_runs(x, y, 20) <= got
 
 
+def brute_near_copies(x, y, least, threshold):
+    """Words of x in some stretch of at least `least` words whose 5-word shingles are similar to a stretch of y; both stretches begin and end alike."""
+    def grams(w):
+        return {tuple(w[i: i + 5]) for i in range(len(w) - 4)}
+
+    gx, gy = [tuple(x[i: i + 5]) for i in range(len(x) - 4)], {tuple(y[i: i + 5]): i for i in range(len(y) - 4)}
+    at = [(i, gy[g]) for i, g in enumerate(gx) if g in gy]  # the words of a text differ
+    mark = set()
+    for i, c in at:
+        for j, f in at:
+            if j + 5 - i >= least and f >= c:
+                a, b = grams(x[i: j + 5]), grams(y[c: f + 5])
+                if len(a & b) >= threshold * len(a | b):
+                    mark.update(range(i, j + 5))
+    return mark
+
+
+def edited(r, words, rate):
+    out = []
+    for w in words:
+        kind = r.random()
+        if kind < rate / 3:
+            out += [w, *(f"n{r.random()}" for _ in range(r.randrange(1, 9)))]
+        elif kind < rate:
+            out += [f"n{r.random()}"] * (kind < rate * 2 / 3)
+        else:
+            out.append(w)
+    return out
+
+
+def test_a_near_copy_next_to_edited_text_is_found():
+    y = [f"w{i}" for i in range(140)]
+    x = list(y)
+    x[30] = "changed"
+    for i in range(60, 140, 8):
+        x[i] = f"edit{i}"
+    assert passages.repeats(hashes(" ".join(x)), hashes(" ".join(y)), 50, 0.8)[0][0] == 0
+    assert passages.repeats(hashes(" ".join(x)), hashes(" ".join(y)), 50, 0.8)[0][1] >= 60
+
+
 def test_bands_are_the_same_wherever_a_passage_stands():
     r = random.Random(5)
     p = [f"p{i}" for i in range(50)]
