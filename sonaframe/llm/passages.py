@@ -9,10 +9,10 @@
    nearly always do.
 2. Bands that stand in several documents tie each document to the smallest
    id among them (grouped minima, summed before the shuffle).
-3. Such pairs meet both whole texts.  Common runs of words are joined over
-   small edits; every maximal stretch of them whose shingles have an exact
+3. Such pairs meet both whole texts.  Every maximal stretch from the start of
+   a common run of words to the end of one whose shingles have an exact
    Jaccard similarity of ``threshold`` counts as a repeat from ``min_words``
-   words on.
+   words on, however long the edits between its runs.
 4. Bands that are still outside any repeat may hide one with another partner
    than the smallest id: around them longer windows are compared exactly,
    again by the smallest id, which then holds the whole window.
@@ -73,76 +73,113 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return v.view(np.int64), a, b + 4
 
 
-def common_runs(x: np.ndarray, y: np.ndarray, k: int = 5) -> list[tuple[int, int, int]]:
-    """Runs of ``k`` or more equal words, from left to right in ``x``: (start in x, start in y, words).
+class Sorted:
+    """Words, their shingles and the sorted shingles, kept for the text that many others meet."""
+
+    def __init__(self, words: np.ndarray, k: int = 5):
+        self.words, self.shingles = words, shingles(words, k)
+        self.order = np.argsort(self.shingles, kind="stable")
+        self.sorted = self.shingles[self.order]
+
+
+def common_runs(x: np.ndarray, sx: np.ndarray, y: Sorted, hits: np.ndarray, k: int = 5) -> list[tuple[int, int, int]]:
+    """Runs of ``k`` or more equal words at the shingles ``hits`` of ``x``, from left to right in ``x``: (start in x, start in y, words).
 
     A run starts at the first shingle not yet in one, goes to the place in
     ``y`` where it is longest, and is drawn out to the left as far as words
     are equal (so that it may overlap the run before it).
     """
-    sx, sy = shingles(x, k), shingles(y, k)
-    if len(x) < k or len(y) < k:
-        return []
-    order = np.argsort(sy, kind="stable")
-    sorted_y = sy[order]
-    lo = np.searchsorted(sorted_y, sx, "left")
-    hi = np.searchsorted(sorted_y, sx, "right")
-    runs, i, n = [], 0, len(sx)
-    hits = np.flatnonzero(hi > lo)
-    h = 0
+    sy = y.shingles
+    lo = np.searchsorted(y.sorted, sx[hits], "left")
+    hi = np.searchsorted(y.sorted, sx[hits], "right")
+    runs, h, n = [], 0, len(sx)
     while h < len(hits):
         i = int(hits[h])
         best = (0, 0)
-        for j in order[lo[i]: hi[i]]:
+        for j in y.order[lo[h]: hi[h]]:
             m = min(n - i, len(sy) - int(j))
             diff = np.flatnonzero(sx[i: i + m] != sy[j: j + m])
             length = int(diff[0]) if len(diff) else m
             if length > best[0]:
                 best = (length, int(j))
         m = min(i, best[1])
-        diff = np.flatnonzero(x[i - m: i][::-1] != y[best[1] - m: best[1]][::-1])
+        diff = np.flatnonzero(x[i - m: i][::-1] != y.words[best[1] - m: best[1]][::-1])
         back = int(diff[0]) if len(diff) else m
         runs.append((i - back, best[1] - back, best[0] + k - 1 + back))
         h = int(np.searchsorted(hits, i + best[0]))
     return runs
 
 
+def _near(sx: np.ndarray, hit: np.ndarray, threshold: float) -> np.ndarray:
+    """Edges (start, end) of the longest parts of ``sx`` in which every shingle may lie in a similar stretch.
+
+    A stretch with c shingles that the other text has and u kinds that it has
+    not is of similarity c / (c + u) at most.
+    """
+    score = np.where(hit, 1 - threshold, 0.0)
+    lone = np.flatnonzero(~hit)
+    score[lone[_firsts(sx[lone])]] = -threshold
+    total = _sums(score)
+    low, high = np.minimum.accumulate(total)[:-1], np.maximum.accumulate(total[::-1])[::-1][1:]
+    may = np.concatenate([[False], high >= low - 1e-6, [False]])
+    return np.flatnonzero(may[1:] != may[:-1]).reshape(-1, 2)
+
+
 def _firsts(s: np.ndarray) -> np.ndarray:
     """Whether each shingle stands there for the first time."""
+    v = np.sort(s)
+    if not (v[1:] == v[:-1]).any():
+        return np.ones(len(s), bool)
     out = np.zeros(len(s), bool)
     out[np.unique(s, return_index=True)[1]] = True
     return out
 
 
+def _kinds(s: np.ndarray) -> np.ndarray:
+    v = np.sort(s)
+    return v[np.append(True, v[1:] != v[:-1])]
+
+
 def _sums(v: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(v)])
 
 
-def _stretches(runs: list[tuple[int, int, int]], sx: np.ndarray, sy: np.ndarray, min_words: int, threshold: float, k: int = 5) -> list[tuple[int, int]]:
+def _stretches(runs: list[tuple[int, int, int]], sx: np.ndarray, hit: np.ndarray, sy: np.ndarray, min_words: int, threshold: float, k: int = 5) -> list[tuple[int, int]]:
     """Every maximal stretch [start, end) from the start of one of the ``runs`` to the end of one, of ``min_words`` or
-    more words, whose shingles have an exact Jaccard similarity of ``threshold`` with those of its counterpart."""
-    if len(runs) == 1:
-        return [(runs[0][0], runs[0][0] + runs[0][2])] if runs[0][2] >= min_words else []
+    more words, whose shingles have an exact Jaccard similarity of ``threshold`` with those of its counterpart.
+    ``hit``: whether a shingle of ``sx`` stands anywhere in ``sy``."""
+    if len(runs) < 2:
+        return [(i, i + n) for i, _, n in runs if n >= min_words]
     r = np.array(runs, np.int64)
     a, c, e, f = r[:, 0], r[:, 1], r[:, 0] + r[:, 2] - k + 1, r[:, 1] + r[:, 2] - k + 1  # in shingles
+    if e[-1] - a[0] > min_words - k and f[-1] > c[0]:  # most often all of it is one
+        ux, uy = _kinds(sx[a[0]: e[-1]]), _kinds(sy[c[0]: f[-1]])
+        both = len(np.intersect1d(ux, uy, assume_unique=True))
+        if both >= threshold * (len(ux) + len(uy) - both):
+            return [(int(a[0]), int(e[-1]) + k - 1)]
     # no similarity is above what these counts allow: distinct shingles at least, common ones at most
     x0, y0, x1, y1 = int(a.min()), int(c.min()), int(e.max()), int(f.max())
     wx, wy = sx[x0:x1], sy[y0:y1]
     kinds_x, kinds_y = _sums(_firsts(wx)), _sums(_firsts(wy))
-    hits_x, hits_y = _sums(np.isin(wx, wy)), _sums(np.isin(wy, wx))
+    hits_x, hits_y = _sums(hit[x0:x1]), _sums(np.isin(wy, wx))
+    kx, ky, hx, hy = kinds_x[e - x0], kinds_y[f - y0], hits_x[e - x0], hits_y[f - y0]
+    gx, gy, ix, iy = (v[:, None] for v in (kinds_x[a - x0], kinds_y[c - y0], hits_x[a - x0], hits_y[c - y0]))
     out, done = [], -1
     for i in range(len(r)):
-        j = np.arange(max(i, done + 1), len(r))
-        j = j[(e[j] - a[i] > min_words - k) & (f[j] > c[i])]
-        same = np.minimum(hits_x[e[j] - x0] - hits_x[a[i] - x0], hits_y[f[j] - y0] - hits_y[c[i] - y0])
-        least = kinds_x[e[j] - x0] - kinds_x[a[i] - x0] + kinds_y[f[j] - y0] - kinds_y[c[i] - y0]
-        j = j[same * (1 + threshold) >= threshold * least - 1e-6]
+        if i % 64 == 0:
+            t = slice(i, i + 64)
+            may = np.minimum(hx - ix[t], hy - iy[t]) * (1 + threshold) >= threshold * (kx - gx[t] + ky - gy[t]) - 1e-6
+            may &= (e - a[t, None] > min_words - k) & (f > c[t, None])
+            some = may.any(axis=1)
+        if not some[i % 64]:
+            continue
+        j = max(i, done + 1) + np.flatnonzero(may[i % 64, max(i, done + 1):])
         if not len(j):
             continue
         ux, px = np.unique(sx[a[i]: int(e[j].max())], return_index=True)
         uy, py = np.unique(sy[c[i]: int(f[j].max())], return_index=True)
-        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-        cx, cy = px[ix], py[iy]
+        _, at, to = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
+        cx, cy = px[at], py[to]
         for n in j[::-1].tolist():
             m, o = e[n] - a[i], f[n] - c[i]
             both = np.count_nonzero((cx < m) & (cy < o))
@@ -153,19 +190,22 @@ def _stretches(runs: list[tuple[int, int, int]], sx: np.ndarray, sy: np.ndarray,
     return out
 
 
-def repeats(x: np.ndarray, y: np.ndarray, min_words: int, threshold: float, gap: int = 4) -> list[tuple[int, int]]:
+def repeats(x: np.ndarray, y: np.ndarray | Sorted, min_words: int, threshold: float, k: int = 5) -> list[tuple[int, int]]:
     """Stretches [start, end) of the words ``x`` that repeat in ``y``."""
-    sx, sy = shingles(x), shingles(y)
-    chains: list[list[tuple[int, int, int]]] = []
-    for r in common_runs(x, y):
-        if chains:
-            p = chains[-1][-1]
-            dx, dy = r[0] - p[0] - p[2], r[1] - p[1] - p[2]
-            if -8 <= dx <= gap and -8 <= dy <= gap and r[0] + r[2] > p[0] + p[2] and r[1] > p[1]:
-                chains[-1].append(r)
-                continue
-        chains.append([r])
-    return [s for chain in chains for s in _stretches(chain, sx, sy, min_words, threshold)]
+    y = y if isinstance(y, Sorted) else Sorted(y, k)
+    if len(x) < max(k, min_words) or len(y.words) < k:
+        return []
+    sx = shingles(x, k)
+    hit = y.sorted[np.minimum(np.searchsorted(y.sorted, sx), len(y.sorted) - 1)] == sx
+    if not hit.any():
+        return []
+    edges = _near(sx, hit, threshold)
+    edges = edges[edges[:, 1] - edges[:, 0] > min_words - k]
+    out = []
+    for start, end in edges.tolist():
+        runs = common_runs(x, sx, y, start + np.flatnonzero(hit[start:end]), k)
+        out += _stretches(runs, sx, hit, y.shingles, min_words, threshold, k)
+    return out
 
 
 def _band_rows(texts: DataFrame) -> DataFrame:
@@ -201,15 +241,15 @@ def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: flo
     both = side.join(theirs.select(F.col("doc_id").alias("keeper"), F.col("text").alias("y")), "keeper").select("doc_id", "of", "keeper", "x", "y")
 
     def run(batches):
-        words, last, wy, ty = WordHashes(), None, None, None
+        words, last, wy, ty = WordHashes(), None, None, None  # the other text comes many times in a row
         for b in parts(batches):
             out: list[tuple[int, int, int, int, int]] = []
             for d, of, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 if k != last:
-                    last, wy, ty = k, words.of(words_of(y)), y
+                    last, wy, ty = k, Sorted(words.of(words_of(y))), y
                 elif y != ty:  # the id has another text
-                    wy, ty = words.of(words_of(y)), y
-                wx = wy if x == y else words.of(words_of(x))
+                    wy, ty = Sorted(words.of(words_of(y))), y
+                wx = wy.words if x == y else words.of(words_of(x))
                 out += [(d, of, k, a, e - 1) for a, e in repeats(wx, wy, min_words, threshold)]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "of", "keeper", "first", "last"])

@@ -108,9 +108,9 @@ def edited(r, words, rate):
     for w in words:
         kind = r.random()
         if kind < rate / 3:
-            out += [w, *(f"n{r.random()}" for _ in range(r.randrange(1, 9)))]
+            out += [w, *(f"n{r.randrange(10 ** 12)}" for _ in range(r.randrange(1, 9)))]
         elif kind < rate:
-            out += [f"n{r.random()}"] * (kind < rate * 2 / 3)
+            out += [f"n{r.randrange(10 ** 12)}"] * (kind < rate * 2 / 3)
         else:
             out.append(w)
     return out
@@ -126,6 +126,29 @@ def test_a_near_copy_next_to_edited_text_is_found():
     assert passages.repeats(hashes(" ".join(x)), hashes(" ".join(y)), 50, 0.8)[0][1] >= 60
 
 
+def test_an_insertion_in_a_near_copy_is_bridged():
+    y = [f"w{i}" for i in range(90)]
+    x = y[:45] + [f"new{i}" for i in range(6)] + y[45:]
+    assert passages.repeats(hashes(" ".join(x)), hashes(" ".join(y)), 50, 0.8) == [(0, 96)]
+    assert passages.repeats(hashes(" ".join(y)), hashes(" ".join(x)), 50, 0.8) == [(0, 90)]
+    # a part that repeats words which the other text has not
+    assert passages.repeats(hashes("a b c d e " + "z " * 100), hashes("a b c d e f"), 50, 0.8) == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000))
+def test_repeats_are_all_near_copies(seed):
+    r = random.Random(seed)
+    y = [f"w{i}" for i in range(r.randrange(20, 110))]
+    x = [f"a{i}" for i in range(r.randrange(30))]
+    for i in range(0, len(y), 37):
+        x += edited(r, y[i: i + 37], r.choice([0.01, 0.03, 0.1]))
+    got = set()
+    for a, e in passages.repeats(hashes(" ".join(x)), hashes(" ".join(y)), 20, 0.8):
+        got.update(range(a, e))
+    assert got == brute_near_copies(x, y, 20, 0.8)
+
+
 def test_bands_are_the_same_wherever_a_passage_stands():
     r = random.Random(5)
     p = [f"p{i}" for i in range(50)]
