@@ -89,6 +89,18 @@ class TokenSlots(dict):
         return out.astype(np.float32)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The slots that are not zero, and their counts."""
+    some = np.flatnonzero(counts)
+    return some.astype(np.uint16).tobytes() + counts[some].astype(np.uint32).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n, out = len(blob) // 6, np.zeros(SLOTS, np.float32)
+    out[np.frombuffer(blob, np.uint16, n)] = np.frombuffer(blob, np.uint32, n, 2 * n)
+    return out
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of TF-IDF weights; the three blocks of a row have length one each."""
     x = np.log1p(counts) * idf
@@ -164,16 +176,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     def features(batches):
         slots = TokenSlots()
         for b in parts(batches):
-            rows = [slots.counts(t).astype(np.float16).tobytes() for t in b.column(2).to_pylist()]
+            rows = [_packed(slots.counts(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
 
     # the labelled side has max_labelled rows at most
     found = docs.join(F.broadcast(lab), "doc_id").select("doc_id", "y", "text").mapInArrow(features, "doc_id long, y int, x binary")
-    # max_labelled * SLOTS half floats at most for distinct ids; ids that repeat in the table are cut back to the bound
+    # max_labelled * SLOTS places and counts at most for distinct ids; ids that repeat in the table are cut back to the bound
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(max_labelled).collect()
     if not rows:
         return QualityModel(idf, np.zeros((SLOTS, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0), k, power, 1.0)
-    x = weighted(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), idf)
+    x = weighted(np.stack([_unpacked(r["x"]) for r in rows]), idf)
     y = np.array([r["y"] for r in rows], np.float64)
     model = QualityModel(idf, _axes(x, rank, seed), np.zeros((0, rank), np.float32), y, k, power, float(y.mean()))
     z = x @ model.axes

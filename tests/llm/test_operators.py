@@ -248,6 +248,19 @@ def test_quality(spark, docs, rows):
     assert {g["score"] for g in quality.score_quality(docs, none).collect()} == {1.0}
 
 
+def test_quality_learns_from_a_very_long_text(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, 100)) for i in range(12)] + [(12, "word and other " * 33_334)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels)
+    assert len(model.labels) == 13 and all(abs(x) < 2 for x in model.vectors.ravel())
+    # the text itself is its own nearest neighbour, so that its vector is the one that is scored
+    z = model.latent(quality.TokenSlots().counts(rows[12][1])[None])
+    assert max((model.vectors @ z[0]).tolist()) > 0.9999
+    assert all(0 <= g["score"] <= 1 for g in quality.score_quality(docs, model).collect())
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = Q.QUERIES["op10_quality_votes"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
