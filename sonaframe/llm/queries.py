@@ -12,6 +12,7 @@ from .decontam import contaminated
 from .hardneg import hard_negatives
 from .kdshards import kd_shards
 from .knlm import score_texts
+from .lexical import ranked_documents
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack
@@ -126,3 +127,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five hard negatives for each of the five positives of every vector whose id is divisible by 100."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+@_query("op12_ranked_documents", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS tokens FROM d WHERE len(terms) > 0),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * (SELECT docs FROM s) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS weight FROM t GROUP BY term),
+i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // tokens)) AS impact FROM t, s),
+r AS (SELECT item_id, doc_id, CAST(sum(weight * impact) AS BIGINT) AS score FROM b JOIN i USING (term) JOIN w USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY rank <= 10
+""")
+def op12_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
