@@ -42,7 +42,9 @@ from .shared import parts, written
 
 #: Terms of a text whose A-Z are in lower case, as UTF-8 bytes: every byte of a letter beyond ASCII is 0x80 or more.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: The same as a Java pattern over characters, without folding.
+#: Bytes of terms, before and after folding.
+_IN_TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+#: The same as a Java pattern over characters, without folding (for the short texts of items).
 TERM_JAVA = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK = 64
 #: Documents of a shard that are searched at once.
@@ -55,6 +57,24 @@ def terms_of(text: str | None) -> list[bytes]:
     return TERM.findall(text.encode().lower()) if text else []
 
 
+def count_terms(text: bytes) -> int:
+    """The number of terms: places where a byte of a term follows none."""
+    inside = _IN_TERM[np.frombuffer(text, np.uint8)]
+    return int(inside[:1].sum()) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
+
+
+def _totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all their terms."""
+    def count(batches):
+        for b in parts(batches):
+            sizes = np.array([count_terms(t) for t in b.column(0).cast(pa.binary()).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int((sizes > 0).sum())]), pa.array([int(sizes.sum())])], names=["docs", "tokens"])
+
+    got = docs.select("text").mapInArrow(count, "docs long, tokens long").agg(
+        F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    return got["docs"], got["tokens"]
+
+
 def impacts(tf: np.ndarray, n: np.ndarray, docs: int, tokens: int) -> np.ndarray:
     m = 10 + (90 * n.astype(np.int64) * docs) // tokens
     tf = tf.astype(np.int64)
@@ -262,9 +282,7 @@ def ranked_documents(documents: DataFrame, items: DataFrame, k: int = 10, id_col
     """item_id, rank (from 1), doc_id, score: the k best documents of every item, of those with a score above 0."""
     docs = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    total = docs.select(F.regexp_count("text", F.lit(TERM_JAVA)).cast("long").alias("n")).where("n > 0").agg(
-        F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
-    n_docs, n_tokens = total["docs"], total["tokens"]
+    n_docs, n_tokens = _totals(docs)
     lower = F.translate(F.col(item_text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     asked = written(items.select(F.col(item_id).alias("item_id"), F.array_distinct(F.regexp_extract_all(lower, F.lit(TERM_JAVA), F.lit(0))).alias("terms"))
                     .where(F.size("terms") > 0).withColumn("item", F.monotonically_increasing_id()))

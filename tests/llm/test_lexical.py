@@ -37,6 +37,7 @@ def brute(docs, items, k):
 def test_terms_are_the_same_in_bytes_and_characters():
     for text in ("Ab1 ÀÉ x_y-z", "tab\tÀb\x7f\x80c", "漢字 ﬁ 𝒳y", "", None, "İ K ſ"):
         assert [t.decode() for t in lexical.terms_of(text)] == terms(text)
+        assert lexical.count_terms((text or "").encode()) == len(terms(text))
 
 
 def test_lists_round_trip():
