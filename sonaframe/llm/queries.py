@@ -20,6 +20,7 @@ from .pages import extract_pages
 from .passages import cut_passages
 from .quality import fit_quality, score_quality
 from .shared import doc_texts, table
+from .suffixes import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +146,9 @@ QUALIFY rank <= 10
 def op12_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@_query("op13_suffix_dedup")
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100, with_kept=False)
