@@ -258,11 +258,12 @@ def top_k_keep_ties(df: DataFrame, group_cols: Sequence[str], score_col: str, k:
 def latest_n_per_group(df: DataFrame, group_col: str, order_col: str, name_col: str, n: int = 2,
                        protect_suffix: str = "_0.pth") -> DataFrame:
     """Keep the newest ``n`` of each group; names ending in the protected
-    suffix are never deleted.  Adds ``keep`` (bool)."""
+    suffix are never deleted.  Adds ``keep`` (bool).  Rows that repeat group,
+    order and name are one file: they count once and share its fate."""
     prot = F.coalesce(F.col(name_col).endswith(protect_suffix), F.lit(False))
     newest = Window.partitionBy(group_col).orderBy(F.col(order_col).desc(), F.col(name_col).desc())
     # the limit is applied in every partition before the exchange; n rows a group are left
-    top = df.where(~prot).select(group_col, order_col, name_col).withColumn("_n", F.row_number().over(newest)) \
+    top = df.where(~prot).select(group_col, order_col, name_col).distinct().withColumn("_n", F.row_number().over(newest)) \
         .where(F.col("_n") <= F.lit(n)).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate((group_col, order_col, name_col))])
     same = F.lit(True)
     for i, c in enumerate((group_col, order_col, name_col)):

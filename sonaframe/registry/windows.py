@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
+from ..operators.filters import shard_of, train_val_split
 from . import sql
 from .base import r6, register, table
 
@@ -171,3 +172,46 @@ def q_latest_n_per_group(spark, sf):
         "o_custkey", "o_orderkey", F.concat(F.lit("G_"), F.col("o_orderkey").cast("string"), F.lit(".pth")).alias("name"),
         "o_orderdate")
     return W.latest_n_per_group(o, "o_custkey", "o_orderdate", "name", 2).select("o_orderkey", "keep")
+
+
+# rows that repeat: no column tells them apart, and each gets a number of its own ----------------
+
+REPEATED_SQL = """
+p AS (SELECT source, lang, n_chars % 40 AS n, md5(source || lang) AS tag FROM documents)"""
+
+
+def _repeated(spark, sf):
+    return table(spark, sf, "documents").select("source", "lang", (F.col("n_chars") % 40).alias("n"), F.md5(F.concat("source", "lang")).alias("tag"))
+
+
+@register("shard_repeated_rows", f"""
+WITH {REPEATED_SQL}
+SELECT source, lang, n, tag, CAST((row_number() OVER (ORDER BY n, source, lang) - 1) % 7 AS BIGINT) AS shard FROM p""")
+def q_shard_repeated_rows(spark, sf):
+    return shard_of(_repeated(spark, sf), ["n", "source", "lang"], 7)
+
+
+@register("split_repeated_rows", f"""
+WITH {REPEATED_SQL},
+r AS (SELECT *, row_number() OVER (ORDER BY {sql.md5_key('tag', 42)}, tag) AS rn FROM p)
+SELECT tag, CASE WHEN rn <= ceil((SELECT count(*) FROM p) * 0.1) THEN 'val' ELSE 'train' END AS split FROM r""")
+def q_split_repeated_rows(spark, sf):
+    return train_val_split(_repeated(spark, sf), "tag", 0.1).select("tag", "split")
+
+
+@register("length_buckets_repeated_rows", f"""
+WITH {REPEATED_SQL},
+r AS (SELECT *, CAST(floor(n / 0.5) AS BIGINT) AS f, row_number() OVER (ORDER BY n * 1.0, tag) AS rn FROM p)
+SELECT n, tag, CAST(rn + least(0, min(f - rn) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS BIGINT) AS bucket FROM r""")
+def q_length_buckets_repeated_rows(spark, sf):
+    d = _repeated(spark, sf).withColumn("sec", F.col("n") * F.lit(1.0))
+    return W.length_buckets(d, "sec", "tag", 0.5, "exact", block_rows=SCAN_BLOCK).select("n", "tag", "bucket")
+
+
+@register("batches_repeated_rows", f"""
+WITH {REPEATED_SQL},
+r AS (SELECT n, tag, row_number() OVER (ORDER BY n, {sql.md5_key('tag', 0)}, tag) AS rn FROM p),
+g AS (SELECT n, tag, rn, CAST(floor((rn - 1) / 16) AS BIGINT) AS grp FROM r)
+SELECT n, tag, grp AS "group", CAST(row_number() OVER (ORDER BY {sql.md5_key('grp', 0)}, grp, rn) - 1 AS BIGINT) AS order_pos FROM g""")
+def q_batches_repeated_rows(spark, sf):
+    return W.grouped_batches(_repeated(spark, sf), "n", "tag", batch_size=8, replicas=2).select("n", "tag", "group", "order_pos")

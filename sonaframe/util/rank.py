@@ -101,13 +101,69 @@ def _has_direction(c: Column | str) -> bool:
     return not isinstance(c, str) and bool(_DIRECTION.search(str(c)))
 
 
+#: Copies of one row that a task makes at a time.
+COPY_ROWS = 100_000
+
+
+def _equal(df: DataFrame, columns: Sequence[str], other: DataFrame) -> Column:
+    """``columns`` equal to ``_k0, _k1, ...`` of the other frame, nulls too."""
+    same = F.lit(True)
+    for i, n in enumerate(columns):
+        same = same & df[n].eqNullSafe(other[f"_k{i}"])
+    return same
+
+
+def _keyed(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """First number and count of each key, key columns as ``_k0, _k1, ...``."""
+    return df.groupBy(*by).agg(F.min(name).alias(name), F.count(F.lit(1)).alias("_m")) \
+        .select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(by)], name, "_m")
+
+
+def _hashable(df: DataFrame, column: str) -> Column:
+    c = F.col(column)
+    return F.to_json(F.struct(c)) if "map<" in df.schema[column].dataType.simpleString() else c
+
+
+def _numbered_copies(wide: DataFrame, by: Sequence[str], starts: DataFrame, columns: Sequence[str], name: str,
+                     most: int) -> DataFrame:
+    """Rows whose key repeats, numbered from their key's first number on.
+
+    Inside a key rows are ordered by a hash of all their columns.  Rows with
+    the same hash are the same row: one of them is kept and written as many
+    times as it stood, so no key is gathered in a task, whatever its count.
+    """
+    all_columns = [_hashable(wide, c) for c in columns]
+    rows = wide.join(starts, _equal(wide, by, starts), "left_semi") \
+        .withColumns({"_h1": F.xxhash64(*all_columns), "_h2": F.xxhash64(F.lit(1), *all_columns)})
+    kind = [*by, "_h1", "_h2"]
+    copies = _keyed(number_rows(rows.select(*kind), kind, "_r"), kind, "_r").withColumnRenamed("_m", "_n")
+    base = copies.groupBy(*[f"_k{i}" for i in range(len(by))]).agg(F.min("_r").alias("_base")) \
+        .select(*[F.col(f"_k{i}").alias(f"_b{i}") for i in range(len(by))], "_base")
+    one = rows.dropDuplicates(kind)
+    out = one.join(copies, _equal(one, kind, copies)).drop(*[f"_k{i}" for i in range(len(kind))])
+    out = out.join(starts, _equal(out, by, starts)).drop(*[f"_k{i}" for i in range(len(by))])
+    same = F.lit(True)
+    for i, n in enumerate(by):
+        same = same & out[n].eqNullSafe(base[f"_b{i}"])
+    out = out.join(base, same).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPY_ROWS))))
+    if most > COPY_ROWS:
+        out = out.repartition("_h1", "_block")
+    first = F.col("_block") * COPY_ROWS
+    last = F.least(first + (COPY_ROWS - 1), F.col("_n") - 1)
+    return out.withColumn("_j", F.explode(F.sequence(first, last))) \
+        .select(*columns, (F.col(name) + F.col("_r") - F.col("_base") + F.col("_j")).cast("long").alias(name))
+
+
 def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], name: str = "rn",
                       num_partitions: int | None = None, key: Sequence[str] | None = None) -> DataFrame:
-    """Add ``name`` = 1..n following ``order_cols`` (which must be a total order).
+    """Add ``name`` = 1..n following ``order_cols``; one row out for each row in.
 
     Only the order columns (and ``key``, columns that identify a row, where
     they are fewer) are numbered, see ``number_rows``; the numbers are joined
-    back to the rows on the key, or else on the order columns.
+    back to the rows on the key, or else on the order columns.  Rows that are
+    equal in all of these get consecutive numbers, in an order that depends
+    on their other columns only (``_numbered_copies``); whether there are any
+    is found on the narrow keys, so tables without such rows pay one count.
     Columns with a sort direction cannot serve as a key: then, and when the
     frame has no other columns, the whole frame is numbered.
     """
@@ -115,16 +171,18 @@ def global_row_number(df: DataFrame, order_cols: Sequence[Column | str], name: s
         return number_rows(df, order_cols, name, num_partitions)
     names = [c if isinstance(c, str) else f"_o{i}" for i, c in enumerate(order_cols)]
     wide = df.withColumns({n: c for n, c in zip(names, order_cols) if not isinstance(c, str)})
-    by = list(key or names)
-    if set(df.columns) <= {*by, *names}:
+    full = list(dict.fromkeys([*(key or []), *names]))
+    if set(df.columns) <= set(full):
         return number_rows(wide, names, name, num_partitions).select(*df.columns, name)
-    numbers = number_rows(wide.select(*dict.fromkeys([*by, *names])), names, name, num_partitions) \
-        .select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(by)], name)
-    same = None
-    for i, n in enumerate(by):
-        part = wide[n].eqNullSafe(numbers[f"_k{i}"])
-        same = part if same is None else same & part
-    return wide.join(numbers, same).select(*df.columns, name)
+    numbered = number_rows(wide.select(*full), names, name, num_partitions)
+    for by in ([list(key)] if key else []) + [full]:
+        starts = _keyed(numbered, by, name)
+        most = starts.agg(F.max("_m")).first()[0] or 0
+        if most <= 1:
+            return wide.join(starts, _equal(wide, by, starts)).select(*df.columns, name)
+    single, repeated = starts.where("_m = 1"), starts.where("_m > 1")
+    return wide.join(single, _equal(wide, full, single)).select(*df.columns, name).unionByName(
+        _numbered_copies(wide, full, repeated, df.columns, name, most))
 
 
 DEFAULT_BLOCK_ROWS = 1_000_000
@@ -177,6 +235,6 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[C
     is on the group key, whose skew AQE splits.
     """
     ranked = global_row_number(df, [*group_cols, *order_cols], rn_col)
-    starts = ranked.groupBy(*group_cols).agg(F.min(rn_col).alias("_start"), F.count(F.lit(1)).alias("_gsize"))
-    out = ranked.join(starts, list(group_cols), "inner")
+    starts = _keyed(ranked, group_cols, rn_col).withColumnsRenamed({rn_col: "_start", "_m": "_gsize"})
+    out = ranked.join(starts, _equal(ranked, group_cols, starts)).drop(*[f"_k{i}" for i in range(len(group_cols))])
     return out.withColumn(name, (F.col(rn_col) - F.col("_start") + 1).cast("long")).drop("_start")
