@@ -506,9 +506,10 @@ def normalize_spacing(c: Column | str) -> Column:
 
 def whitespace_tokens(c: Column | str, limit: int | None = None) -> Column:
     """Words between blanks; with ``limit`` only the first ones (the rest of the text is not split)."""
-    x = F.btrim(c_(c), F.lit(WS))
-    words = F.split(x, f"[{WS}]+", -1) if limit is None else F.slice(F.split(x, f"[{WS}]+", limit + 1), 1, limit)
-    return F.filter(words, lambda t: t != "")
+    x = F.translate(c_(c), WS, " " * len(WS))
+    if limit is None:
+        return F.filter(F.split(x, " ", -1), lambda t: t != "")
+    return F.filter(F.slice(F.split(F.btrim(x), " +", limit + 1), 1, limit), lambda t: t != "")
 
 
 def truncate_pad(arr: Column | str, width: int = 512, pad: int | str = 0) -> Column:

@@ -49,14 +49,18 @@ def rejected(df: DataFrame, name: str = "reject_reason") -> DataFrame:
 # F1 ---------------------------------------------------------------------------
 
 def clean_words(c: Column | str) -> Column:
-    """Trim, lower, split on whitespace, keep all-letter words, join by one space."""
-    words = F.split(F.lower(F.btrim(c_(c), F.lit(BLANKS))), f"[{BLANKS}]+", -1)
-    return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}+\z")), " ")
+    """Trim, lower, split on whitespace, keep all-letter words, join by one space.
+
+    Every blank becomes a space, so the split needs no pattern; empty words
+    hold no letter and go with the others.
+    """
+    words = F.split(F.translate(F.lower(c_(c)), BLANKS, " " * len(BLANKS)), " ", -1)
+    return F.array_join(F.filter(words, lambda w: w.rlike(r"^\p{L}++\z")), " ")
 
 
 def clean_lines(df: DataFrame, line_col: str = "line", out_col: str = "text") -> DataFrame:
     """drop blank lines, then clean; a line that cleans to '' is kept."""
-    return df.where(F.btrim(F.col(line_col), F.lit(BLANKS)) != "").withColumn(out_col, clean_words(line_col))
+    return df.where(F.col(line_col).rlike(f"[^{BLANKS}]")).withColumn(out_col, clean_words(line_col))
 
 
 # F2 ---------------------------------------------------------------------------

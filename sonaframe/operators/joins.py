@@ -7,15 +7,19 @@ broadcast only after a bounded size check.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
 from ..util.rank import global_row_number
-from ..util.sizing import broadcast_if_small
 
 REASON_NOT_IN = "not_in"
 
@@ -98,41 +102,104 @@ def optional_feature(items: DataFrame, features: DataFrame, key: str, length_col
 
 # J7 ---------------------------------------------------------------------------
 
-def lookup_arrays(df: DataFrame, arr_col: str, entries: DataFrame, key_col: str, value_col: str, out_col: str) -> DataFrame:
+#: A lookup table of at most this many bytes goes to the tasks; larger ones meet the symbols in a join.
+IN_PLACE_BYTES = 32 << 20
+#: Rows whose symbols are looked up together when the table is larger.
+CHUNK_ROWS = 4096
+
+
+def _replace(arrays: pa.Array, keys: pa.Array, values: pa.Array) -> pa.Array:
+    """Arrays with every element replaced by the value of its key (null when it has none)."""
+    flat = arrays.flatten()
+    if flat.type != keys.type:
+        keys = keys.cast(flat.type)
+    found = values.take(pc.index_in(flat, value_set=keys))
+    sizes = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, found, mask=arrays.is_null() if arrays.null_count else None)
+
+
+def lookup_arrays(df: DataFrame, arr_col: str, entries: DataFrame, key_col: str, value_col: str, out_col: str,
+                  in_place_bytes: int = IN_PLACE_BYTES) -> DataFrame:
     """``arr_col`` with every element replaced by its value in ``entries`` (null when it has none), for tables of any size.
 
-    The result depends on the array alone, so equal arrays are looked up
-    once, keyed by a digest of their content; rows need no key of their own
-    and may repeat.  ``entries`` are broadcast when they measure small, else
-    the elements are shuffled to them; the result is the same.
+    ``entries`` are measured.  A table of up to ``in_place_bytes`` goes to
+    the tasks as one sorted dictionary, and every Arrow batch of arrays is
+    replaced where it lies: no row moves and only this column reaches Python.
+    For a larger table the rows are packed into chunks, only a chunk's
+    distinct elements go to the join, and its own dictionary comes back to it.
+    Both give the same result.  Null arrays give null; a key that stands
+    twice takes its smallest value; rows may repeat.
     """
-    digest = F.sha2(F.to_json(F.struct(F.col(arr_col).alias("a"))), 256)
-    rows = df.withColumn("_digest", F.when(F.col(arr_col).isNotNull(), digest))
-    arrays = rows.where("_digest is not null").select("_digest", F.col(arr_col).alias("_a")).dropDuplicates(["_digest"])
-    table = entries.select(F.col(key_col).alias("_key"), F.col(value_col).alias("_value"))
-    kind = table.schema["_value"].dataType
-    looked = arrays.select("_digest", F.posexplode("_a").alias("_pos", "_key")).join(broadcast_if_small(table), "_key", "left")
-    values = looked.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct("_pos", "_value"))).alias("_s")) \
-        .select("_digest", F.transform("_s", lambda x: x["_value"]).alias("_values"))
-    none = F.array().cast(T.ArrayType(kind))
-    return rows.join(values, "_digest", "left").withColumn(out_col, F.when(
-        F.col("_digest").isNotNull(), F.coalesce("_values", none))).drop("_digest", "_values")
-
-
-def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Sequence[str] | None = None,
+    element = df.schema[arr_col].dataType.elementType
+    table = entries.select(F.col(key_col).cast(element).alias("key"), F.col(value_col).alias("value")) \
+        .where("key is not null").groupBy("key").agg(F.min("value").alias("value"))
+    kind = T.ArrayType(table.schema["value"].dataType)
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("key", "value"))) + 16)).first()[0] or 0
+    if size > in_place_bytes:
+        return _lookup_in_chunks(df, arr_col, table, kind, out_col)
+    got = table.toArrow().sort_by("key").combine_chunks()
+    keys, values = (pa.concat_arrays(got.column(c).chunks) if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("key", "value"))
+
+    @F.arrow_udf(returnType=kind)
+    def replaced(arrays: pa.Array) -> pa.Array:
+        return _replace(arrays, keys, values)
+
+    return df.withColumn(out_col, replaced(F.col(arr_col)))
+
+
+def _lookup_in_chunks(df: DataFrame, arr_col: str, table: DataFrame, kind: T.ArrayType, out_col: str) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    element = T.ArrayType(df.schema[arr_col].dataType.elementType)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+        for b in batches:
+            for lo in range(0, b.num_rows, CHUNK_ROWS):
+                part = pa.Table.from_batches([b.slice(lo, CHUNK_ROWS)]).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(part)
+                symbols = pc.unique(pa.concat_arrays([c.flatten() for c in part.column(arr_col).chunks] or [pa.array([], part.schema.field(arr_col).type.value_type)]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([(TaskContext.get().partitionId() << 32) + seq]),
+                    pa.ListArray.from_arrays(pa.array([0, len(symbols)], pa.int32()), symbols), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    names=["chunk", "symbols", "rows"])
+                seq += 1
+
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("symbols", element), T.StructField("rows", T.BinaryType())])
+    chunks = df.mapInArrow(pack, schema).checkpoint()  # pins the chunk numbers
+    found = chunks.select("chunk", F.explode("symbols").alias("key")).join(table, "key").groupBy("chunk").agg(
+        F.collect_list("key").alias("keys"), F.collect_list(F.struct("value")).alias("values"))
+    names = [*[c for c in df.columns if c != out_col], out_col]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                keys, values = b.column(1), b.column(2)
+                keys = pa.concat_arrays([keys.slice(i, 1).flatten()])
+                values = pc.struct_field(pa.concat_arrays([values.slice(i, 1).flatten()]), 0)
+                for part in pa.ipc.open_stream(b.column(0)[i].as_buffer()):
+                    old = {n: part.column(n) for n in part.schema.names}
+                    yield pa.RecordBatch.from_arrays([*[old[n] for n in names[:-1]], _replace(old[arr_col], keys, values)], names=names)
+
+    out = T.StructType([*[f for f in df.schema.fields if f.name != out_col], T.StructField(out_col, kind)])
+    return chunks.join(found, "chunk", "left").select("rows", "keys", "values").mapInArrow(unpack, out)
+
+
+def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame,
                  symbol_col: str = "symbol", id_col: str = "id", policy: str = "reject",
-                 unk_symbol: str = "UNK", out_col: str = "ids", literal_rows: int | None = None) -> DataFrame:
+                 unk_symbol: str = "UNK", out_col: str = "ids", in_place_bytes: int = IN_PLACE_BYTES) -> DataFrame:
     """Symbols → ids.
 
     policy ``reject``: an unknown symbol rejects the row (``reject_reason``
     = 'not_in', ids null); ``unk``: unknown → id of ``unk_symbol``; ``drop``:
-    unknown symbols are removed.  Vocabularies of every size take the same
-    way (``lookup_arrays``); null token arrays give null ids.  ``key_cols``
-    and ``literal_rows`` are kept for callers and have no effect.
+    unknown symbols are removed.  Null token arrays give null ids;
+    vocabularies of every size give the same (``lookup_arrays``).
     """
     if policy not in ("reject", "unk", "drop"):
         raise ValueError(policy)
-    out = lookup_arrays(df, tokens_col, vocab, symbol_col, id_col, "_ids")
+    out = lookup_arrays(df, tokens_col, vocab, symbol_col, id_col, "_ids", in_place_bytes)
     ids = F.col("_ids")
     if policy == "reject":
         unknown = F.exists(ids, lambda x: x.isNull())
@@ -148,9 +215,9 @@ def vocab_encode(df: DataFrame, tokens_col: str, vocab: DataFrame, key_cols: Seq
 
 
 def vocab_decode(df: DataFrame, ids_col: str, vocab: DataFrame, symbol_col: str = "symbol",
-                 id_col: str = "id", out_col: str = "symbols") -> DataFrame:
+                 id_col: str = "id", out_col: str = "symbols", in_place_bytes: int = IN_PLACE_BYTES) -> DataFrame:
     """J7 inverse: ids → symbols (unknown id → null)."""
-    return lookup_arrays(df, ids_col, vocab, id_col, symbol_col, out_col)
+    return lookup_arrays(df, ids_col, vocab, id_col, symbol_col, out_col, in_place_bytes)
 
 
 def symbol_vocabulary(symbols: DataFrame, symbol_col: str = "symbol") -> DataFrame:

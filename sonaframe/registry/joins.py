@@ -104,7 +104,7 @@ SELECT cw.conv_id, cw.turn,
        CASE WHEN coalesce(a.n_known, 0) <> coalesce(a.n, 0) THEN 'not_in' END AS reject_reason
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode(spark, sf):
-    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"], policy="reject")
+    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), policy="reject")
     # rejected rows have no ids: counts are returned as double so both sides share one dtype
     return out.select("conv_id", "turn", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("double").alias("n_ids"),
                       _text_of("ids").alias("ids"), "reject_reason")
@@ -116,7 +116,7 @@ SELECT cw.conv_id, cw.turn, CAST(coalesce(a.n, 0) AS BIGINT) AS n_ids,
        coalesce(a.all_ids, '') AS ids
 FROM cw LEFT JOIN agg a ON cw.conv_id = a.conv_id AND cw.turn = a.turn""")
 def q_vocab_encode_unk(spark, sf):
-    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), ["conv_id", "turn"], policy="unk")
+    out = J.vocab_encode(_conv_words(spark, sf), "words", _vocab(spark, sf), policy="unk")
     return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_ids"), _text_of("ids").alias("ids"))
 
 
@@ -136,7 +136,7 @@ SELECT cw.conv_id, cw.turn, coalesce(dec.s, '') AS symbols
 FROM cw LEFT JOIN dec ON cw.conv_id = dec.conv_id AND cw.turn = dec.turn""")
 def q_vocab_decode(spark, sf):
     v = _vocab(spark, sf)
-    enc = J.vocab_encode(_conv_words(spark, sf), "words", v, ["conv_id", "turn"], policy="drop")
+    enc = J.vocab_encode(_conv_words(spark, sf), "words", v, policy="drop")
     dec = J.vocab_decode(enc, "ids", v, out_col="symbols")
     return dec.select("conv_id", "turn", F.array_join("symbols", " ").alias("symbols"))
 

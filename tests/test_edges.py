@@ -180,9 +180,9 @@ def test_vocab_paths_agree(spark, policy):
                                  "k long, t array<string>")
     vocab = symbol_vocabulary(spark.createDataFrame([("a",), ("b",), ("UNK",)], "symbol string"))
     lit = {r["k"]: (r["ids"], r["reject_reason"] if policy == "reject" else None)
-           for r in vocab_encode(toks, "t", vocab, ["k"], policy=policy).collect()}
+           for r in vocab_encode(toks, "t", vocab, policy=policy).collect()}
     joined = {r["k"]: (r["ids"], r["reject_reason"] if policy == "reject" else None)
-              for r in vocab_encode(toks, "t", vocab, ["k"], policy=policy, literal_rows=0).collect()}
+              for r in vocab_encode(toks, "t", vocab, policy=policy, in_place_bytes=0).collect()}
     assert set(lit) == set(joined) == {1, 2, 3, 4, 5}
     for k in (1, 2, 3, 4, 5):
         assert lit[k] == joined[k], (k, lit[k], joined[k])
