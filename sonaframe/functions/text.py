@@ -183,31 +183,67 @@ def cut_four(c: Column | str) -> Column:
     return let(strip_newlines(c), body)
 
 
+#: Pieces that the inner fold takes at a time.
+_FOLD = 512
+
+
+def _piece_ends(sizes: Column, full) -> Column:
+    """Fold over the sizes of pieces: ``ends`` (the places, from 0, at which the sum since the last end is ``full``)
+    and ``rest`` (the sum after the last end).
+
+    ``aggregate`` copies its state at every step.  So an inner fold takes
+    ``_FOLD`` sizes and holds their ends only, and the outer one, a step for
+    each inner fold, gathers them: no step of the long way copies all ends.
+    """
+    none = F.array().cast("array<int>")
+
+    def one(acc, n):
+        total = acc["rest"] + n
+        hit = full(total)
+        return F.struct(F.when(hit, F.concat(acc["ends"], F.array(acc["i"]))).otherwise(acc["ends"]).alias("ends"),
+                        F.when(hit, F.lit(0)).otherwise(total).alias("rest"), (acc["i"] + 1).alias("i"))
+
+    def many(sizes):
+        def block(acc, b):
+            start = b * _FOLD
+            part = F.aggregate(F.slice(sizes, start + 1, _FOLD), F.struct(none.alias("ends"), acc["rest"].alias("rest"), start.alias("i")), one)
+            return let(part, lambda x: F.struct(F.concat(acc["ends"], x["ends"]).alias("ends"), x["rest"].alias("rest")))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(sizes) - 1) / _FOLD), F.lit(0)).cast("int"))
+        return F.aggregate(blocks, F.struct(none.alias("ends"), F.lit(0).alias("rest")), block)
+
+    return let(sizes, many)
+
+
+def _pieces(s: Column, ends: Column) -> Column:
+    """Array items joined up to each end."""
+    def cut(e, i):
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get(ends, i - 1))
+        return F.array_join(F.slice(s, before + 2, e - before), "")
+
+    return F.transform(ends, cut)
+
+
 def cut_fifty(c: Column | str, limit: int = 50) -> Column:
     """T5: add sentences until the piece passes ``limit`` characters; a short
     last piece joins the one before.  One sentence or none → the raw text."""
     raw = strip_newlines(c)
     s = split_sentences(raw)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, x):
-        cur = F.concat(acc["cur"], x)
-        full = F.length(cur) > limit
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(cur))).otherwise(acc["out"]).alias("out"),
-                        F.when(full, F.lit("")).otherwise(cur).alias("cur"))
 
-    def finish(acc):
-        out = F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-        k = F.size(out)
-        merged = F.concat(F.slice(out, 1, k - 2),
-                          F.array(F.concat(F.element_at(out, -2), F.element_at(out, -1))))
-        return F.when((k > 1) & (F.length(F.element_at(out, -1)) < limit), merged).otherwise(out)
+    def body(x):
+        k, n, ends = F.size(x["f"]["ends"]), F.size(x["s"]), x["f"]["ends"]
+        last = F.array(n - 1)
+        joined = F.when(F.get(ends, k - 1) == n - 1, ends) \
+            .when((k > 0) & (x["f"]["rest"] < limit), F.concat(F.slice(ends, 1, F.greatest(k - 1, F.lit(0))), last)) \
+            .otherwise(F.concat(ends, last))
+        pieces = let(F.struct(x["s"].alias("s"), joined.alias("e")), lambda y: _pieces(y["s"], y["e"]))
+        return F.when(n < 2, F.array(x["raw"])).otherwise(not_punct_only(pieces))
 
-    def body(pair):
-        raw, s = pair["raw"], pair["s"]
-        return F.when(F.size(s) < 2, F.array(raw)).otherwise(not_punct_only(F.aggregate(s, init, step, finish)))
+    def folded(pair):
+        f = _piece_ends(F.transform(pair["s"], F.length), lambda total: total > limit)
+        return let(F.struct(pair["raw"].alias("raw"), pair["s"].alias("s"), f.alias("f")), body)
 
-    return let(F.struct(raw.alias("raw"), s.alias("s")), body)
+    return let(F.struct(raw.alias("raw"), s.alias("s")), folded)
 
 
 def cut_on_stop(c: Column | str, mark: str = "。") -> Column:
@@ -247,24 +283,18 @@ def cut_custom(c: Column | str, punc: str) -> Column:
 def merge_short(arr: Column | str, threshold: int = 5) -> Column:
     """Join pieces until the length reaches ``threshold``; a leftover joins
     the last piece; fewer than two pieces are returned unchanged."""
-    a = c_(arr)
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, x):
-        cur = F.concat(acc["cur"], x)
-        full = F.length(cur) >= threshold
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(cur))).otherwise(acc["out"]).alias("out"),
-                        F.when(full, F.lit("")).otherwise(cur).alias("cur"))
-
-    def finish(acc):
-        out, cur = acc["out"], acc["cur"]
-        k = F.size(out)
-        appended = F.concat(F.slice(out, 1, k - 1), F.array(F.concat(F.element_at(out, -1), cur)))
-        return (F.when(F.length(cur) == 0, out)
-                 .when(k == 0, F.array(cur))
-                 .otherwise(appended))
-
-    return let(a, lambda v: F.when(F.size(v) < 2, v).otherwise(F.aggregate(v, init, step, finish)))
+    def body(x):
+        k, n, ends = F.size(x["f"]["ends"]), F.size(x["v"]), x["f"]["ends"]
+        last = F.array(n - 1)
+        joined = F.when(x["f"]["rest"] == 0, ends).when(k == 0, last).otherwise(F.concat(F.slice(ends, 1, F.greatest(k - 1, F.lit(0))), last))
+        pieces = let(F.struct(x["v"].alias("v"), joined.alias("e")), lambda y: _pieces(y["v"], y["e"]))
+        return F.when(n < 2, x["v"]).otherwise(pieces)
+
+    def folded(v):
+        f = _piece_ends(F.transform(v, F.length), lambda total: total >= threshold)
+        return let(F.struct(v.alias("v"), f.alias("f")), body)
+
+    return let(c_(arr), folded)
 
 
 # T10-T14 -----------------------------------------------------------------------------

@@ -60,17 +60,22 @@ def keyset_page(df: DataFrame, order_col: str, after: object | None, batch: int)
 
 # O3 ---------------------------------------------------------------------------
 
+def number_key(digits: Column) -> Column:
+    """A sort key of a digit string of any length: count of digits without leading zeros, then those digits; null stays null."""
+    own = F.ltrim(digits, F.lit("0"))
+    return F.when(digits.isNotNull(), F.struct(F.length(own).alias("size"), own.alias("digits")))
+
+
 def natural_key(c: Column | str) -> Column:
-    """O3: digits compare as numbers ("e2" < "e10").
+    """O3: digits compare as numbers of any length ("e2" < "e10").
 
-    ``array<struct<t: text part, n: following number>>``; arrays of structs
-    compare element-wise like the reference's mixed lists.
+    ``array<struct<t: text part, n: key of the following number>>``; arrays
+    of structs compare element-wise like the reference's mixed lists.
     """
     x = F.col(c) if isinstance(c, str) else c
     texts = F.split(x, r"\d+", -1)
     nums = F.regexp_extract_all(x, F.lit(r"\d+"), 0)
-    return F.transform(texts, lambda t, i: F.struct(
-        t.alias("t"), F.get(nums, i).try_cast("decimal(38,0)").alias("n")))
+    return F.transform(texts, lambda t, i: F.struct(t.alias("t"), number_key(F.get(nums, i)).alias("n")))
 
 
 def natural_sort(df: DataFrame, col: str, id_col: str, out_col: str = "rank") -> DataFrame:
@@ -87,25 +92,24 @@ def newest_by_epoch_step(df: DataFrame, name_col: str, group_cols: Sequence[str]
     """The name with the largest (epoch, step); names not matching are ignored."""
     e = F.regexp_extract(F.col(name_col), CKPT_RE, 1)
     s = F.regexp_extract(F.col(name_col), CKPT_RE, 2)
-    m = df.where(F.col(name_col).rlike(CKPT_RE)).select(
-        *group_cols, name_col, e.cast("decimal(38,0)").alias("_e"), s.cast("decimal(38,0)").alias("_s"))
-    g = m.groupBy(*group_cols) if group_cols else m.groupBy()
     # ties: the smallest name (the reference keeps input order)
-    return g.agg(F.min_by(F.col(name_col), F.struct(-F.col("_e"), -F.col("_s"),
-                                                     F.col(name_col))).alias("newest"))
+    m = df.where(F.col(name_col).rlike(CKPT_RE)).groupBy(*group_cols, F.struct(number_key(e), number_key(s)).alias("_at")) \
+        .agg(F.min(name_col).alias("_name"))
+    g = m.groupBy(*group_cols) if group_cols else m.groupBy()
+    return g.agg(F.max_by("_name", "_at").alias("newest"))
 
 
-def digits_number(c: Column | str) -> Column:
-    """All digits of the name joined, as a number (null when there are none; the reference fails)."""
+def digits_key(c: Column | str) -> Column:
+    """Sort key of the number that all digits of the name make (null when there are none; the reference fails)."""
     x = F.col(c) if isinstance(c, str) else c
     d = F.regexp_replace(x, r"\D", "")
-    return F.when(d == "", F.lit(None)).otherwise(d.try_cast("decimal(38,0)"))
+    return number_key(F.when(d != "", d))
 
 
 def newest_by_digits(df: DataFrame, name_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Last name when sorted by the number made of all its digits."""
     g = df.groupBy(*group_cols) if group_cols else df.groupBy()
-    return g.agg(F.max_by(F.col(name_col), F.struct(digits_number(name_col), F.col(name_col))).alias("newest"))
+    return g.agg(F.max_by(F.col(name_col), F.struct(digits_key(name_col), F.col(name_col))).alias("newest"))
 
 
 # O5 ---------------------------------------------------------------------------

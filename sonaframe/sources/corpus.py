@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labels import read_lines
+from .labels import file_path, read_lines
 
 # Fixed layout of a run-state file: metadata plus a history whose rows carry
 # either training fields or evaluation fields.
@@ -55,13 +55,19 @@ def read_item_listing(spark: SparkSession, path: str, glob: str = "*",
                       sampling_rate: int = 32000, hop_length: int = 640) -> DataFrame:
     """List files with their byte size; the content column is never read.
 
-    Spark's file source skips zero-byte files, so an empty file is not
-    listed (a real 16-bit WAV file always holds its header bytes).
+    The file source gives no task to a file without bytes, so the names come
+    from the file index that Spark builds for every read (listed in parallel,
+    kept on the driver as always) and the sizes from the tasks; a name that no
+    task reported is an empty file, with length 0.
     """
-    df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", "true").load(path)
-          .select(F.col("path"), F.col("length")))
-    return item_durations(df, "length", sampling_rate, hop_length) \
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(path))
+    named = spark.createDataFrame([(f,) for f in files.inputFiles()], "file string")
+    key = file_path(F.col("file"))
+    sized = files.select("path", F.col("length"), F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/").alias("_key"))
+    listed = named.withColumn("_key", key).join(sized, "_key", "left").select(
+        F.coalesce("path", "_key").alias("path"), F.coalesce("length", F.lit(0).cast("long")).alias("length"))
+    return item_durations(listed, "length", sampling_rate, hop_length) \
         .withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 

@@ -8,6 +8,7 @@ fields are counted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,38 @@ LABEL_FIELDS = ("path", "speaker", "lang", "text")
 REASON_FIELD_COUNT = "field_count"
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
+_GLOB = {"*": "[^/]*", "?": "[^/]", "{": "(", "}": ")", ",": "|"}
+
+
+def path_pattern(path: str) -> str:
+    """A Java pattern of the files that one given path names: the path itself or what lies below it.
+
+    Scheme and host are left out; a relative path may follow any folder;
+    ``* ? [] {}`` are globs.
+    """
+    bare = re.sub(_SCHEME, "/", path).rstrip("/")
+    out, braces, i = [], 0, 0
+    while i < len(bare):
+        c = bare[i]
+        if c == "[" and "]" in bare[i:]:
+            end = bare.index("]", i)
+            out.append(bare[i: end + 1])
+            i = end
+        elif c in "{}" or c == "," and braces or c in "*?":
+            braces += {"{": 1, "}": -1}.get(c, 0)
+            out.append(_GLOB[c])
+        else:
+            out.append(re.escape(c))
+        i += 1
+    return ("^" if bare.startswith("/") or not bare else "^(.*/)?") + "".join(out) + r"(/|\z)"
+
+
+def file_path(c: Column) -> Column:
+    """The path of a file as given to the reader: percent escapes decoded, without scheme and host."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), _SCHEME, "/")
+
+
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Text files as ``(source_file, line_no, line)``.
 
@@ -24,17 +57,20 @@ def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     by the place of the path in ``paths``, the file's name, the start of the
     split in the file, and the row of the split.  (Spark packs files into
     partitions by size, so that a row number alone is not in file order.)
+    A file belongs to the longest given path that is the file itself or a
+    folder above it (whole names, globs allowed).
     It orders duplicates for "last line wins" rules and is not dense.
     """
     given = [paths] if isinstance(paths, str) else list(paths)
     df = spark.read.text(given)
     file = F.col("_metadata.file_path")
-    place = F.lit(len(given))
-    for i, p in reversed(list(enumerate(given))):
-        place = F.when(F.contains(file, F.lit(p.rstrip("/"))), F.lit(i)).otherwise(place)
+    path, place = file_path(file), F.lit(len(given))
+    # the shortest path is tested last, so it goes innermost
+    for i, p in sorted(enumerate(given), key=lambda x: (len(x[1].rstrip("/")), -x[0])):
+        place = F.when(path.rlike(path_pattern(p)), F.lit(i)).otherwise(place)
     return df.select(
         file.alias("source_file"),
-        F.struct(place.alias("place"), file.alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.struct(place.alias("place"), path.alias("file"), F.col("_metadata.file_block_start").alias("start"),
                  F.monotonically_increasing_id().alias("row")).alias("line_no"),
         F.col("value").alias("line"),
     )
@@ -58,7 +94,6 @@ def parse_label_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
 
 def split_label_fields(df: DataFrame, line_col: str = "line", sep: str = "|") -> DataFrame:
     """S1, lenient loader: every line split into ``fields`` (any count, no check)."""
-    import re
     return df.withColumn("fields", F.split(F.col(line_col), re.escape(sep), -1))
 
 

@@ -150,3 +150,82 @@ def test_map_batches_whole_batch_first(spark):
         got = {r["id"]: r for r in map_batches(frame, one, schema, "id", whole).collect()}
         assert {i for i, r in got.items() if r["error"]} == bad and got[1]["n"] == 2
         assert all("bar" * 100 in got[i]["error"] for i in bad)
+
+
+def test_files_keep_the_order_of_the_given_folders(spark, tmp_path):
+    """The last line wins, whatever the folders are called."""
+    from sonaframe.sources.tables import read_phoneme_tsv
+
+    def put(folder, value, name="part.tsv"):
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        (tmp_path / folder / name).write_text(f"a.wav\tx y\tNone\t{value}\n")
+        return str(tmp_path / folder)
+
+    def winner(paths):
+        return read_phoneme_tsv(spark, paths).first()["norm_text"]
+
+    pairs = [("data", "data-old"), ("data-old", "data"), ("my dir", "a dir"), ("a+b", "a b"), ("z%20z", "z z"), ("über", "aber")]
+    for k, (first, second) in enumerate(pairs):
+        a, b = put(f"{k}/{first}", "first"), put(f"{k}/{second}", "second", "0.tsv")
+        assert winner([a, b]) == "second" and winner([b, a]) == "first", (first, second)
+    base = str(tmp_path / "0")
+    assert winner([f"{base}/data-o*", f"{base}/data"]) == "first"
+    assert winner([f"{base}/{{data,nothing}}", f"{base}/data-old/*.tsv"]) == "second"
+    assert winner([f"file://{base}/data-old/", f"file:{base}/data/part.tsv"]) == "first"
+
+
+def test_empty_files_are_listed_with_length_zero(spark, tmp_path):
+    from sonaframe.operators.filters import duration_gate
+    from sonaframe.sources.corpus import read_item_listing
+    (tmp_path / "in ner").mkdir()
+    for name, size in (("a.wav", 64_000), ("in ner/empty é.wav", 0), ("b.wav", 640_000), ("c.txt", 5), ("z.wav", 0)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {r["name"]: (r["length"], r["duration"], r["frames"]) for r in read_item_listing(spark, str(tmp_path), "*.wav").collect()}
+    assert got == {"a.wav": (64_000, 1.0, 50), "b.wav": (640_000, 10.0, 500), "empty é.wav": (0, 0.0, 0), "z.wav": (0, 0.0, 0)}
+    gated = duration_gate(read_item_listing(spark, str(tmp_path), "*.wav"), "duration")
+    assert sorted(r["length"] for r in gated.where("reject_reason is not null").collect()) == [0, 0]
+
+
+def test_numbers_of_any_length_in_names(spark):
+    from sonaframe.operators import sorts
+    r = random.Random(3)
+    names = [f"e{r.randrange(10 ** k)}x{'0' * (k % 4)}{r.randrange(9)}" for k in (1, 5, 39, 45, 60, 60, 61)] + ["e2", "e10", "e02", "e", "12", "f0"]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = [x["name"] for x in sorted(sorts.natural_sort(df, "name", "id").collect(), key=lambda x: x["rank"])]
+    import re
+    key = lambda n: [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", n)]
+    want = sorted(names, key=lambda n: (key(n), n))
+    assert got == want
+    big = ["9" * 50, "1" + "0" * 50, "007"]
+    files = spark.createDataFrame([(f"G_{b}.pth",) for b in big] + [("none.pth",)], "n string")
+    assert sorts.newest_by_digits(files, "n").first()["newest"] == f"G_{big[1]}.pth"
+    ck = spark.createDataFrame([(f"epoch={b}-step={s}.ckpt",) for b in big for s in ("1", "9" * 41)] + [(f"epoch={big[1]}-step={'0' + '9' * 41}.ckpt",)], "n string")
+    assert sorts.newest_by_epoch_step(ck, "n").first()["newest"] == f"epoch={big[1]}-step=0{'9' * 41}.ckpt"
+
+
+def test_cutters_are_linear_on_very_long_texts(spark):
+    """200,000 sentences in one text."""
+    import time
+
+    from sonaframe.functions import text as TX
+    r = random.Random(6)
+    sentences = ["".join(r.choice("abcd ") for _ in range(r.randrange(1, 30))) + "," for _ in range(200_000)]
+    df = spark.createDataFrame([("".join(sentences), sentences)], "t string, a array<string>")
+
+    def fold(parts, full):
+        out, cur = [], ""
+        for x in parts:
+            cur += x
+            if full(len(cur)):
+                out.append(cur)
+                cur = ""
+        return out, cur
+
+    began = time.time()
+    out, cur = fold(sentences, lambda n: n > 50)
+    want = [*out[:-1], out[-1] + cur] if cur and len(cur) < 50 else out + [cur] * bool(cur)
+    got = df.select(TX.cut_fifty("t").alias("c")).first()["c"]
+    assert got == [x for x in want if x.strip("!?…,.- ")]
+    out, cur = fold(sentences, lambda n: n >= 5)
+    assert df.select(TX.merge_short("a").alias("c")).first()["c"] == [*out[:-1], out[-1] + cur]
+    assert time.time() - began < 60
