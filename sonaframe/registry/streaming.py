@@ -65,6 +65,8 @@ def q_stream_gap_segments(spark, sf):
 
 
 def _mark_exit(turns):
+    """Marks an exit turn, and gives every turn a time: conversations a minute apart, turns a second."""
+    turns = turns.withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 60 + F.col("turn")).cast("timestamp_ntz"))
     mark = (F.col("role") == "user") & (F.col("turn") == F.pmod("conv_id", F.lit(8)))
     return turns.withColumn("text", F.when(mark, F.lit("Exit")).otherwise(F.col("text")))
 
@@ -76,7 +78,10 @@ SELECT c.conv_id, c.turn, c.text FROM c LEFT JOIN e USING (conv_id)
 WHERE (e.exit_at IS NULL OR c.turn < e.exit_at) AND NOT (c.text IS NULL OR c.text = '')""")
 def q_stream_turns_until_exit(spark, sf):
     base = X.jobs.scratch_dir(spark, "x3")
-    out = X.stream_turns_until_exit(spark, sf, base, glob="conversations.parquet", prepare=_mark_exit)
+    # the turns of a conversation lie in several files, and so arrive in any order
+    src = os.path.join(base, "in")
+    table(spark, sf, "conversations").repartition(3, F.xxhash64("conv_id", "turn")).write.parquet(src)
+    out = X.stream_turns_until_exit(spark, src, base, glob="*.parquet", prepare=_mark_exit, watermark="400 days", files_per_batch=1)
     return spark.read.parquet(out).select("conv_id", "turn", "text")
 
 

@@ -115,3 +115,81 @@ def test_peak_gate_nan_and_spectrum_filterbank(spark):
     plain = S.frame_spectrum(_signal_df(spark, {1: y}), n_fft=8, hop=2, win=8).orderBy("frame").collect()
     ref = np.log(np.maximum(np.array([r["mag"] for r in plain]) @ basis.T, 1e-5))
     assert np.allclose(np.array([r["mag"] for r in spec]), ref)
+
+
+def _states(spark, monkeypatch):
+    """Collects, for every run of a query, the rows that its state holds at the end."""
+    from sonaframe.streaming import jobs
+    seen, run = [], jobs._run
+
+    def watched(writer, *a):
+        q = run(writer, *a)
+        seen.append([p["numInputRows"] for p in q.recentProgress] + [sum(s["numRowsTotal"] for s in q.lastProgress["stateOperators"])])
+        return q
+
+    monkeypatch.setattr(jobs, "_run", watched)
+    return seen
+
+
+def test_turns_arrive_in_any_order_over_batches(spark, tmp_path, monkeypatch):
+    """Shuffled batches equal the batch operator; after the input's end nothing is left in state."""
+    import datetime
+    import random
+
+    from sonaframe.operators.filters import turns_until_exit
+    from sonaframe.streaming import jobs
+    r = random.Random(4)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(c, t, "EXIT" if t == c % 9 else r.choice(("hi", "", None, "exit now")), at + datetime.timedelta(minutes=3 * c, seconds=t)) for c in range(30) for t in range(7)]
+    schema = "conv_id long, turn long, text string, ts timestamp_ntz"
+    want = {tuple(x) for x in turns_until_exit(spark.createDataFrame(rows, schema)).select("conv_id", "turn", "text").collect()}
+    r.shuffle(rows)
+    src = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(src)
+    seen = _states(spark, monkeypatch)
+    out = jobs.stream_turns_until_exit(spark, src, str(tmp_path / "out"), glob="*.parquet", watermark="2 days", files_per_batch=1)
+    got = [tuple(x) for x in spark.read.parquet(out).select("conv_id", "turn", "text").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert sum(seen[0][:-1]) == len(rows) and sum(seen[1][:-1]) == 1
+    assert seen[0][-1] > 0 and seen[1][-1] == 0
+    # a rerun finds nothing new
+    jobs.stream_turns_until_exit(spark, src, str(tmp_path / "out"), glob="*.parquet", watermark="2 days")
+    assert spark.read.parquet(out).count() == len(want)
+
+
+def test_turns_later_than_the_watermark_are_dropped(spark, tmp_path):
+    import datetime
+
+    from sonaframe.streaming import jobs
+    at = datetime.datetime(2024, 1, 1)
+    schema = "conv_id long, turn long, text string, ts timestamp_ntz"
+    src = str(tmp_path / "in")
+    for k, rows in enumerate([[(1, 0, "a", at), (2, 0, "x", at + datetime.timedelta(hours=9))],
+                              [(1, 1, "late", at + datetime.timedelta(minutes=1)), (2, 1, "exit", at + datetime.timedelta(hours=10))],
+                              [(2, 2, "after", at + datetime.timedelta(hours=11)), (3, 0, None, at + datetime.timedelta(hours=30))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        out = jobs.stream_turns_until_exit(spark, src, str(tmp_path / "out"), glob="*.parquet", watermark="1 hour", finite=k == 2)
+    assert sorted(tuple(x) for x in spark.read.parquet(out).select("conv_id", "turn", "text").collect()) == [(1, 0, "a"), (2, 0, "x")]
+
+
+def test_sessions_are_closed_by_the_end_of_the_input(spark, tmp_path, monkeypatch):
+    """The events are read once; null keys and out-of-order files are sessions like others."""
+    import datetime
+    import random
+
+    from sonaframe.streaming import gap_segments_batch, jobs
+    r = random.Random(5)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(r.choice((1, 2, 3, None)), at + datetime.timedelta(seconds=r.randrange(240_000)), i) for i in range(300)]
+    schema = "user_id long, ts timestamp_ntz, event_id long"
+    src = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(src)
+    seen = _states(spark, monkeypatch)
+    out = jobs.stream_gap_segments(spark, src, str(tmp_path / "out"), gap="45 minutes", glob="*.parquet", watermark="5 days", files_per_batch=1)
+    cols = ["user_id", "start_us", "end_us", "n_events"]
+    got = sorted((tuple(x) for x in spark.read.parquet(out).select(*cols).collect()), key=str)
+    want = sorted((tuple(x) for x in gap_segments_batch(spark.createDataFrame(rows, schema), 45 * 60).select(*cols).collect()), key=str)
+    assert got == want and len(got) > 20
+    assert sum(seen[0][:-1]) == len(rows) and sum(seen[1][:-1]) == 1 and seen[1][-1] <= 1
