@@ -106,9 +106,57 @@ def test_large_codebooks_meet_vectors_in_blocks(spark, monkeypatch):
     want = {i: None if v is None or len(v) != 4 or None in v else
             min((sum((a - b) ** 2 for a, b in zip(v, w)), c) for c, w in book)[1] for i, v in rows}
     assert {r["id"]: r["code"] for r in V.nearest_code(df, cb).collect()} == want
+    small = {r["id"]: tuple(r) for r in V.rvq_encode(df, [cb, cb.withColumn("code", F.col("code") + 7)]).collect()}
+    books = [cb, cb.withColumn("code", F.col("code") + 7)]
+    back = {r["id"]: r["decoded"] for r in V.rvq_decode(V.rvq_encode(df, books), books).collect()}
     monkeypatch.setattr(V, "MAX_CODEBOOK_BYTES", 0)
     monkeypatch.setattr(V, "BLOCK_CODES", 7)
+    monkeypatch.setattr(V, "BLOCK_VECTORS", 6)
     assert {r["id"]: r["code"] for r in V.nearest_code(df, cb).collect()} == want
+    large = {r["id"]: tuple(r) for r in V.rvq_encode(df, books).collect()}
+    assert large == small and small[41][2:] == (None, None, None)
+    enc = spark.createDataFrame([(i, r[3]) for i, r in small.items()] + [(90, [1]), (91, [1, 99])], "id long, codes array<int>")
+    assert {r["id"]: r["decoded"] for r in V.rvq_decode(enc, books).collect()} == back | {90: None, 91: None}
+
+
+def test_half_a_million_codes_in_bounded_tiles(monkeypatch):
+    import tracemalloc
+    g = np.random.default_rng(2)
+    m = np.round(g.normal(size=(500_000, 6)) * g.uniform(0.2, 5, (500_000, 1)), 1)  # many equal distances
+    x = np.round(g.normal(size=(60, 6)) * 2, 1)
+    codes = g.permutation(500_000).astype(np.int32)
+    book = V.Codes(codes, m)
+    tracemalloc.start()
+    at, dist = V.nearest(x, book)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    for i in range(len(x)):
+        exact = V.exact_distances(np.broadcast_to(x[i], m.shape), m)
+        best = np.flatnonzero(exact == exact.min())
+        assert book.codes[at[i]] == codes[best].min() and dist[i] == exact.min()
+    met = []
+    in_tile = V._in_tile
+    monkeypatch.setattr(V, "_in_tile", lambda x, *a: met.append(len(x)) or in_tile(x, *a))
+    V.nearest(x, book)
+    assert sum(met) < 0.9 * len(x) * len(book.tiles)  # norms rule tiles out
+
+
+def test_code_blocks_are_ruled_out_by_their_norms(spark, monkeypatch):
+    g = np.random.default_rng(3)
+    scale = g.choice((0.1, 1.0, 20.0), 600)[:, None]
+    book = g.normal(size=(600, 5)) * scale
+    vecs = g.normal(size=(300, 5)) * g.choice((0.1, 1.0, 20.0), 300)[:, None]
+    cb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(book)], "code int, vec array<double>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    want = {i: int(((book - v) ** 2).sum(1).argmin()) for i, v in enumerate(vecs)}
+    for name, value in (("MAX_CODEBOOK_BYTES", 0), ("BLOCK_CODES", 32), ("BLOCK_VECTORS", 16)):
+        monkeypatch.setattr(V, name, value)
+    assert {r["id"]: r["code"] for r in V.nearest_code(df, cb).collect()} == want
+    fit = V.kmeans_fit(df, "id", "vec", 5, iters=2)
+    monkeypatch.setattr(V, "MAX_CODEBOOK_BYTES", 1 << 20)
+    plain = V.kmeans_fit(df, "id", "vec", 5, iters=2)
+    assert np.allclose([r["vec"] for r in fit.orderBy("code").collect()], [r["vec"] for r in plain.orderBy("code").collect()])
 
 
 def test_a_partial_output_is_not_done(spark, tmp_path):
