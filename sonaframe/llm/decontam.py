@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, doc_texts, parts, written
-from .words import WordHashes, mixed, shingles, words_of
+from .words import WordHashes, mixed, shingles
 
 MAP_BITS = 24
 STEP = 4
@@ -114,7 +114,7 @@ def _item_sketches(items: DataFrame, hashes: int, k: int) -> DataFrame:
         for b in parts(batches):
             ids, vals, sets, wide = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.unique(shingles(words.of(words_of(t)), k))
+                s = np.unique(shingles(words.text(t), k))
                 if len(s):
                     ids.append(i)
                     vals.append(item_values(s, hashes).view(np.int64))
@@ -145,7 +145,7 @@ def _marked_documents(docs: DataFrame, marks: np.ndarray, windows: list[int], ha
         for b in parts(batches):
             ids, vals, sets = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(words.of(words_of(t)), k)
+                s = shingles(words.text(t), k)
                 if not len(s):
                     continue
                 v = _marked(window_values(s, windows, hashes), marks)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import cut, doc_texts, id_map, in_map, parts, written
-from .words import WordHashes, mixed, shingles, words_of
+from .words import WordHashes, mixed, shingles
 
 IDF_SLOTS = 1 << 16
 _DRAW_BITS = 14
@@ -56,7 +56,7 @@ def word_frequencies(docs: DataFrame, slots: int = IDF_SLOTS) -> np.ndarray:
         words, df, n = WordHashes(), np.zeros(slots, np.int64), 0
         for b in parts(batches):
             for t in b.column(0).to_pylist():
-                h = words.of(words_of(t))
+                h = words.text(t)
                 df[np.unique((h & np.uint64(slots - 1)).astype(np.int64))] += 1
                 n += 1
         some = np.flatnonzero(df)
@@ -147,7 +147,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, k: int)
         for b in parts(batches):
             keys, counts, sigs = [], [], []
             for t in b.column(1).to_pylist():
-                h = words.of(words_of(t))
+                h = words.text(t)
                 counts.append(len(h))
                 if len(h):
                     keys.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -178,8 +178,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshol
             keep, sims = [], []
             for i, (x, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
                 if x != last:
-                    last, wa = x, weighted_shingles(words.of(words_of(ta)), idf, k)
-                s = weighted_jaccard(wa, weighted_shingles(words.of(words_of(tb)), idf, k))
+                    last, wa = x, weighted_shingles(words.text(ta), idf, k)
+                s = weighted_jaccard(wa, weighted_shingles(words.text(tb), idf, k))
                 if s >= threshold:
                     keep.append(i)
                     sims.append(s)
@@ -196,7 +196,7 @@ def _shared_weights(nodes: DataFrame, known: DataFrame, idf: np.ndarray, k: int)
         words = WordHashes()
         for b in parts(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s, w = weighted_shingles(words.of(words_of(t)), idf, k)
+                s, w = weighted_shingles(words.text(t), idf, k)
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), d)), pa.array(w.astype(np.float64))],
                                                  names=["shingle", "node", "w"])
 
@@ -288,7 +288,7 @@ def _block_links(rows: DataFrame, known: DataFrame, idf: np.ndarray, threshold:
         side = np.array([2 if x == y else int(m == y) for m in group.column("mine").to_pylist()])
         sets = []
         for t in group.column("text").to_pylist():
-            h = words.of(words_of(t))
+            h = words.text(t)
             sets.append((*weighted_shingles(h, idf, k), np.unique(shingles(h, k), return_counts=True)[1]))
         links = similar_stars(group.column("node").to_pylist(), side, sets, threshold)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})

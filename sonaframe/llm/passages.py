@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import cut, doc_texts, id_map, in_map, parts, written
-from .words import WORD, WordHashes, mixed, shingles, words_of
+from .words import WORD, WordHashes, mixed, shingles
 
 WINDOW = 16
 _FOLD, _FOLD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -215,7 +215,7 @@ def _band_rows(texts: DataFrame) -> DataFrame:
         for b in parts(batches):
             ids, vals, starts, ends = [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v, a, e = bands(shingles(words.of(words_of(t))))
+                v, a, e = bands(shingles(words.text(t)))
                 ids.append(np.full(len(v), i))
                 vals.append(v)
                 starts.append(a)
@@ -246,10 +246,10 @@ def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: flo
             out: list[tuple[int, int, int, int, int]] = []
             for d, of, k, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 if k != last:
-                    last, wy, ty = k, Sorted(words.of(words_of(y))), y
+                    last, wy, ty = k, Sorted(words.text(y)), y
                 elif y != ty:  # the id has another text
-                    wy, ty = Sorted(words.of(words_of(y))), y
-                wx = wy.words if x == y else words.of(words_of(x))
+                    wy, ty = Sorted(words.text(y)), y
+                wx = wy.words if x == y else words.text(x)
                 out += [(d, of, k, a, e - 1) for a, e in repeats(wx, wy, min_words, threshold)]
             cols = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "of", "keeper", "first", "last"])
@@ -268,7 +268,7 @@ def _window_rows(spots: DataFrame, known: DataFrame, min_words: int, step: int =
         for b in parts(batches):
             vals, ids = [], []
             for d, t, at in zip(*(b.column(i).to_pylist() for i in range(3))):
-                h = words.of(words_of(t))
+                h = words.text(t)
                 if len(h) < size:
                     continue
                 p = (np.array(at)[:, None] - np.arange(0, min_words, step)[None, :]).ravel()

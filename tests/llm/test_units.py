@@ -339,3 +339,17 @@ def test_held_out_is_the_checksum_of_the_id():
     assert knlm.held_out(None, 7, 2) is False
     assert [knlm.held_out(i, 7, 2) for i in range(50)] == [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(50)]
     assert re.fullmatch(r"[^\x20\x09-\x0D]+", "x")
+
+
+def test_hashes_of_a_text_are_those_of_its_words():
+    r = random.Random(9)
+    w = WordHashes()
+    pools = ["abcXYZ 019_ .-", "éÀÿßµª²¼ AB,\xa0\x85", "漢字кирΣς 𝒳‍_é́ x", "İı ſK1"]
+    for n in (0, 1, 2, 7, 300, 70_000):
+        for pool in pools:
+            t = "".join(r.choice(pool) for _ in range(n))
+            assert (w.text(t) == w.of(words_of(t))).all() and len(w.text(t)) == len(words_of(t))
+    long = "x" * 100_000 + " y " + "é" * 40_000 + "z漢" * 50_000
+    assert (w.text(long) == w.of(words_of(long))).all() and (w.text(long[:140_003]) == w.of(words_of(long[:140_003]))).all()
+    many = [f"w{i}" for i in range(200_000)]
+    assert len(np.unique(w.text(" ".join(many)))) == len(many) and w.text(None).tolist() == []
