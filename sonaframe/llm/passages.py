@@ -14,8 +14,11 @@
    Jaccard similarity of ``threshold`` counts as a repeat from ``min_words``
    words on, however long the edits between its runs.
 4. Bands that are still outside any repeat may hide one with another partner
-   than the smallest id: around them longer windows are compared exactly,
-   again by the smallest id, which then holds the whole window.
+   than the smallest id: every window of ``min_words`` words around them is
+   compared exactly, again by the smallest id, which then holds all of it.  So
+   no run of ``min_words`` words that a smaller id holds stays whole.  (What a
+   near copy without such a run shares only with a larger id than the smallest
+   of its bands may stay; the tests measure how much is caught.)
 5. Repeats are clustered by connected components of their documents.  Of a
    passage the copy in the smallest doc_id stays; it is cut from the others.
 
@@ -82,6 +85,44 @@ class Sorted:
         self.sorted = self.shingles[self.order]
 
 
+#: Shingles that are compared at a time where a shingle stands often.
+_AHEAD = 64
+
+
+def _longest(sx: np.ndarray, sy: np.ndarray, at: np.ndarray) -> tuple[int, int]:
+    """Of the places ``at`` in ``sy`` (ascending) that at which ``sx`` runs longest from its start, and how long.
+
+    Many places go on together, some shingles at a time, and drop out where
+    they differ, so that a line that repeats is not compared to the end of
+    the text from each of its places.
+    """
+    if len(at) <= 4:
+        best = (0, 0)
+        for j in at.tolist():
+            m = min(len(sx), len(sy) - j)
+            diff = np.flatnonzero(sx[:m] != sy[j: j + m])
+            length = int(diff[0]) if len(diff) else m
+            if length > best[0]:
+                best = (length, j)
+        return best
+    length = 0
+    while True:
+        step = min(_AHEAD, len(sx) - length)
+        place = at[:, None] + length + np.arange(step)
+        same = (sy[np.minimum(place, len(sy) - 1)] == sx[length: length + step]) & (place < len(sy))
+        run = np.where(same.all(axis=1), step, same.argmin(axis=1)) if step else np.zeros(len(at), np.int64)
+        most = int(run.max())
+        at = at[run == most]
+        length += most
+        if most < step or step < _AHEAD:
+            return length, int(at[0])
+        if len(at) == 1:
+            j = int(at[0])
+            m = min(len(sx), len(sy) - j)
+            diff = np.flatnonzero(sx[length:m] != sy[j + length: j + m])
+            return length + (int(diff[0]) if len(diff) else m - length), j
+
+
 def common_runs(x: np.ndarray, sx: np.ndarray, y: Sorted, hits: np.ndarray, k: int = 5) -> list[tuple[int, int, int]]:
     """Runs of ``k`` or more equal words at the shingles ``hits`` of ``x``, from left to right in ``x``: (start in x, start in y, words).
 
@@ -95,13 +136,7 @@ def common_runs(x: np.ndarray, sx: np.ndarray, y: Sorted, hits: np.ndarray, k: i
     runs, h, n = [], 0, len(sx)
     while h < len(hits):
         i = int(hits[h])
-        best = (0, 0)
-        for j in y.order[lo[h]: hi[h]]:
-            m = min(n - i, len(sy) - int(j))
-            diff = np.flatnonzero(sx[i: i + m] != sy[j: j + m])
-            length = int(diff[0]) if len(diff) else m
-            if length > best[0]:
-                best = (length, int(j))
+        best = _longest(sx[i:], sy, y.order[lo[h]: hi[h]])
         m = min(i, best[1])
         diff = np.flatnonzero(x[i - m: i][::-1] != y.words[best[1] - m: best[1]][::-1])
         back = int(diff[0]) if len(diff) else m
@@ -195,6 +230,8 @@ def repeats(x: np.ndarray, y: np.ndarray | Sorted, min_words: int, threshold: fl
     y = y if isinstance(y, Sorted) else Sorted(y, k)
     if len(x) < max(k, min_words) or len(y.words) < k:
         return []
+    if len(x) == len(y.words) and (x == y.words).all():
+        return [(0, len(x))]
     sx = shingles(x, k)
     hit = y.sorted[np.minimum(np.searchsorted(y.sorted, sx), len(y.sorted) - 1)] == sx
     if not hit.any():
@@ -257,23 +294,26 @@ def _verified(pairs: DataFrame, known: DataFrame, min_words: int, threshold: flo
     return both.mapInArrow(run, "doc_id long, of long, keeper long, first long, last long")
 
 
-def _window_rows(spots: DataFrame, known: DataFrame, min_words: int, step: int = 10) -> DataFrame:
-    """(band, doc_id): hashes of windows of ``min_words - step`` words that start at a band, or up to ``min_words``
-    before it in steps of ``step``.  A run of ``min_words`` words around the band holds one of them whole."""
-    at = spots.groupBy("doc_id").agg(F.collect_set("first").alias("at"))  # of one text, so bounded by it
-    size = min_words - step
+def _window_rows(spots: DataFrame, known: DataFrame, min_words: int) -> DataFrame:
+    """(band, doc_id): hashes of all windows of ``min_words`` words that hold one of the bands (first, last)."""
+    at = spots.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("at"))  # of one text, so bounded by it
 
     def run(batches):
         words = WordHashes()
         for b in parts(batches):
             vals, ids = [], []
-            for d, t, at in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for d, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 h = words.text(t)
-                if len(h) < size:
+                if len(h) < min_words:
                     continue
-                p = (np.array(at)[:, None] - np.arange(0, min_words, step)[None, :]).ravel()
-                p = np.unique(p[(p >= 0) & (p + size <= len(h))])
-                vals.append(shingles(h, size)[p].view(np.int64))
+                first, last = (np.asarray(at.values.field(i), np.int64) for i in (0, 1))
+                low = np.maximum(last + 1 - min_words, 0)
+                some = low <= first
+                mark = np.zeros(len(h) + 2, np.int64)
+                np.add.at(mark, low[some], 1)
+                np.add.at(mark, first[some] + 1, -1)
+                p = np.flatnonzero(np.cumsum(mark)[: len(h) - min_words + 1] > 0)
+                vals.append(shingles(h, min_words)[p].view(np.int64))
                 ids.append(np.full(len(p), d, np.int64))
             if vals:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(vals)), pa.array(np.concatenate(ids))], names=["band", "doc_id"])
@@ -295,7 +335,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
     spans = found.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("first").alias("f"), F.col("last").alias("l"))).alias("spans"))  # of one text
     inside = F.exists("spans", lambda s: (s["f"] <= F.col("first")) & (F.col("last") <= s["l"]))
     open_ = cut(rows.where("doc_id <> keeper").join(spans, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("band").distinct())
-    spots = rows.select("band", "doc_id", "first").join(open_, "band", "left_semi")
+    spots = rows.select("band", "doc_id", "first", "last").join(open_, "band", "left_semi")
     windows = written(_window_rows(spots, in_map(known, "doc_id", id_map(spots, "doc_id")), min_words))
     more = cut(windows.join(_keepers(windows), "band").where("doc_id <> keeper").select("doc_id", "keeper").distinct()
                .join(pairs, ["doc_id", "keeper"], "left_anti"))
