@@ -23,8 +23,9 @@
 
 Edge cases: null texts are read as empty.  Texts without a word are grouped
 only with equal texts; texts of under five words are one shingle.  Rows that
-repeat a doc_id are one document.  Rows with a null doc_id take no part and
-have a null class.  An empty table gives an empty result.
+repeat a doc_id are one document: each of its texts looks for copies, and all
+that it finds is one class.  Rows with a null doc_id take no part and have a
+null class.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def band_hashes(sample: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, k: int) -> DataFrame:
-    """doc_id, key (equal for equal words), n_words, bands (none without words), of each row of (doc_id, text)."""
+    """doc_id, of (hash of the text), key (equal for equal words), n_words, bands (none without words), of each row of (doc_id, text)."""
     def sign(batches):
         words = WordHashes()
         for b in parts(batches):
@@ -157,10 +158,10 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int, rows: int, k: int)
                     sigs.append(np.zeros(0, np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs or [np.zeros(0, np.int64)]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists],
-                                             names=["doc_id", "key", "n_words", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists],
+                                             names=["doc_id", "of", "key", "n_words", "bands"])
 
-    return docs.mapInArrow(sign, "doc_id long, key binary, n_words long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("of")).mapInArrow(sign, "doc_id long, of long, key binary, n_words long, bands array<long>")
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, k: int) -> DataFrame:
@@ -297,6 +298,22 @@ def _block_links(rows: DataFrame, known: DataFrame, idf: np.ndarray, threshold:
         .groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long")
 
 
+#: Numbers of the second and further texts of one id; ids lie below.
+_FURTHER = 1 << 62
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``node`` for each distinct text: the smallest id that has it, or where that id stands for another text already,
+    a number above all ids made of the text's key."""
+    nodes = cut(nodes.withColumn("node", F.col("from.doc_id")))
+    clash = cut(nodes.groupBy("node").agg(F.min("key").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if clash.isEmpty():
+        return nodes
+    own = F.lit(_FURTHER) + F.shiftrightunsigned(F.xxhash64("key"), 3)
+    return nodes.join(clash, "node", "left").withColumn(
+        "node", F.when(F.col("_keep").isNull() | (F.col("_keep") == F.col("key")), F.col("node")).otherwise(own)).drop("_keep")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands: int = 9, rows: int = 3,
                     small: int = 24, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest id of its class), n_words.
@@ -307,16 +324,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 5, bands:
     texts = doc_texts(docs, id_col, text_col)
     idf = word_frequencies(texts)
     sig = cut(signatures(texts, idf, bands, rows, k))
-    nodes = sig.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
-    nodes = cut(nodes)
+    nodes = cut(_numbered(sig.where("doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "of")).alias("from"), F.first("bands").alias("bands"))))
     # ids that repeat with other words tie their nodes together
     same = sig.where("doc_id is not null").join(nodes.select("key", "node"), "key").select("doc_id", "node")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     first = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     found = cut(members.join(first, "bucket"))
     pairs = cut(found.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = found.select(F.col("node").alias("doc_id")).distinct()
-    known = written(in_map(texts, "doc_id", id_map(wanted, "doc_id")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    wanted = cut(found.select("node").distinct().join(nodes, "node").select(F.col("from.doc_id").alias("doc_id"), F.col("from.of").alias("of"), "node"))
+    known = written(in_map(texts, "doc_id", id_map(wanted, "doc_id")).withColumn("of", F.xxhash64("text")).join(wanted, ["doc_id", "of"])
+                    .groupBy("node").agg(F.min("text").alias("text")).select(F.col("node").alias("doc_id"), "text"))
     links = cut(verified_links(pairs, known, idf, threshold, k).select("a", "b"))
     comp = connected_components(links)
     rest = found.where("n > 2 and node <> centre").select("bucket", "node").join(comp, F.col("id") == F.col("node"), "left") \

@@ -315,3 +315,94 @@ def test_empty_tables(spark, empty, docs):
     assert quality.score_quality(empty, quality.fit_quality(empty, labels)).count() == 0
     assert covertree.top_inner_products(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_near_copies_of_every_text_of_one_id(spark):
+    """An id that stands with two texts has the near copies of both; all are one class."""
+    r = random.Random(21)
+    one, two = prose(r, 120), prose(r, 120, "z")
+
+    def edited(t):
+        w = t.split()
+        w[60] = "changed"
+        return " ".join(w)
+
+    rows = [(9, one), (9, two), (5, edited(one)), (7, edited(two)), (8, prose(r, 120, "k")), (11, two), (9, one)]
+    for order in (rows, rows[::-1]):
+        got = {g["doc_id"]: g["class_id"] for g in neardup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()}
+        assert got == {9: 5, 5: 5, 7: 5, 8: 8, 11: 5}
+
+
+def test_no_window_of_a_smaller_id_stays(spark):
+    """Brute force over the whole operator: of what stays together, no 50 words stand in a document with a smaller id."""
+    r = random.Random(31)
+    rows, at = [], 0
+    for held in (45, 47, 49, 50, 55):
+        for _ in range(8):
+            passage = prose(r, r.choice((50, 51, 60)), f"p{at}x").split()
+            first = r.randrange(0, len(passage) - min(held, len(passage)) + 1)
+            part = passage[first: first + held]
+            for words in (part, passage, passage):
+                rows.append((at, " ".join([prose(r, r.randrange(0, 40), f"a{at}x"), *words, prose(r, r.randrange(0, 40), f"b{at}x")])))
+                at += 1
+    line = prose(r, 12, "line")
+    rows += [(at, (line + "\n") * 30), (at + 1, prose(r, 30) + "\n" + (line + "\n") * 20), (at + 2, (line + " x\n") * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = {}
+    for x in passages.repeated_passages(docs).collect():
+        spans.setdefault(x["doc_id"], []).append((x["first"], x["last"]))
+    seen, cut = set(), 0
+    for i, t in rows:
+        w = words_of(t)
+        gone = [any(a <= p <= z for a, z in spans.get(i, ())) for p in range(len(w))]
+        own = [tuple(w[p: p + 50]) for p in range(len(w) - 49)]
+        assert not any(x in seen for p, x in enumerate(own) if not any(gone[p: p + 50])), i
+        assert not any(gone) or any(x in seen for x in own) or len(spans[i])
+        cut += sum(gone)
+        seen |= set(own)
+    assert cut > 40 * 50
+
+
+def test_edited_passages_are_caught(spark):
+    """Near copies whose shingles keep a similarity of 0.8: at least nine in ten are cut."""
+    r = random.Random(41)
+    rows, planted = [], []
+    for n in range(60):
+        passage = prose(r, r.randrange(60, 160), f"e{n}x").split()
+        copy = list(passage)
+        for _ in range(max(1, len(copy) // 60)):
+            copy[r.randrange(5, len(copy) - 5)] = f"edit{n}"
+        a, b = ({tuple(w[p: p + 5]) for p in range(len(w) - 4)} for w in (passage, copy))
+        if len(a & b) < 0.8 * len(a | b):
+            continue
+        rows += [(2 * n, " ".join([prose(r, 30, f"u{n}x"), *passage, prose(r, 30, f"v{n}x")])), (2 * n + 1, " ".join([prose(r, 50, f"w{n}x"), *copy, prose(r, 20, f"q{n}x")]))]
+        planted.append((2 * n + 1, len(copy)))
+    got = {g["doc_id"]: g["n_removed"] for g in passages.cut_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(got[i] >= 0.9 * n for i, n in planted) / len(planted)
+    assert len(planted) > 40 and caught >= 0.9, caught
+
+
+def test_repeated_lines_do_not_stall():
+    """A line over and over, with an edit here and there, against itself without."""
+    import time
+    r = random.Random(51)
+    line = [f"l{i}" for i in range(12)]
+    y = line * 4000
+    x = list(y)
+    for p in range(20, len(x), 40):
+        x[p] = f"e{p}"
+    w = passages.WordHashes()
+    began = time.time()
+    assert passages.repeats(w.of(x), w.of(y), 50, 0.8) is not None
+    assert time.time() - began < 20
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    """Many rounds: a chain of 3,000 links in a scattered order, and a hub with 2,000 leaves."""
+    from sonaframe.llm.components import connected_components
+    r = random.Random(61)
+    ids = r.sample(range(10_000, 50_000), 3001)
+    links = list(zip(ids, ids[1:])) + [(5, 60_000 + i) for i in range(2000)] + [(7, None), (8, 8)]
+    r.shuffle(links)
+    got = {x["id"]: x["component"] for x in connected_components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()}
+    assert {got[i] for i in ids} == {min(ids)} and {got[60_000 + i] for i in range(2000)} == {5} and 8 not in got and 7 not in got
