@@ -83,6 +83,9 @@ def _furniture(name: str, attrs: str, in_article: bool) -> str:
 Line = tuple[str, int, bool, bool]
 
 
+_END_OF = {n: re.compile(f"</{n}", re.ASCII | re.IGNORECASE) for n in _RAW}
+
+
 def page_lines(html: str | None) -> list[Line]:
     """The lines of a page: (text, number of its article element or 0, whether it is furniture, whether it is a heading)."""
     out: list[Line] = []
@@ -100,7 +103,6 @@ def page_lines(html: str | None) -> list[Line]:
             if text:
                 out.append((text, article, furniture > 0, heading))
 
-    for_end = html.lower()
     while True:
         m = _TAG.search(html, pos)
         if m is None:
@@ -136,8 +138,9 @@ def page_lines(html: str | None) -> list[Line]:
         if name in _VOID or attrs.endswith("/") and name not in _BLOCK:
             continue
         if name in _RAW:
-            end = for_end.find(f"</{name}", pos)
-            pos = len(html) if end < 0 else end
+            # in the page itself: lower case can be longer than the letter
+            end = _END_OF[name].search(html, pos)
+            pos = end.start() if end else len(html)
             continue
         if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends where the next begins
             _, kind, _ = stack.pop()

@@ -353,3 +353,8 @@ def test_hashes_of_a_text_are_those_of_its_words():
     assert (w.text(long) == w.of(words_of(long))).all() and (w.text(long[:140_003]) == w.of(words_of(long[:140_003]))).all()
     many = [f"w{i}" for i in range(200_000)]
     assert len(np.unique(w.text(" ".join(many)))) == len(many) and w.text(None).tolist() == []
+
+
+def test_letters_whose_lower_case_is_longer_shift_nothing():
+    html = "<p>İstanbul İzmir İİİİ</p><SCRIPT>var x = '<p>no</p>';</Script><p>End İ</p><style>p { }</STYLE><p>Last</p>"
+    assert [x[0] for x in pages.page_lines(html)] == ["İstanbul İzmir İİİİ", "End İ", "Last"]
