@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..util.rank import global_row_number, md5_unit
 
@@ -35,7 +36,7 @@ def page(df: DataFrame, order_cols: Sequence[str], index: int, batch: int) -> Da
     """O2: rows ``[index, index + batch)`` of the order (0-based).
 
     A sort with an offset and a limit; only the page's own rows are numbered.
-    For deep pages use ``keyset_page``.
+    For deep pages use ``keyset_page``, or write a ``PagedTable`` once.
     """
     rows = df.orderBy(*order_cols).offset(index).limit(batch)
     w = Window.orderBy(*order_cols)  # at most ``batch`` rows
@@ -58,6 +59,78 @@ def keyset_page(df: DataFrame, order_col: str, after: object | None, batch: int)
     return d.orderBy(order_col).limit(batch)
 
 
+class PagedTable:
+    """O2 for any page of a large table: a copy in range order with a directory of its parts.
+
+    ``write`` range partitions the rows by ``order_cols`` (a total order, but
+    for rows that are equal), sorts every part and stores it as a folder of
+    its own; each row carries its part and its place there.  The directory, one
+    row a part, is counted from the written rows, so that it and they come
+    from the same assignment.  ``page`` looks up which parts hold the wanted
+    rows and reads those only, whatever the page's depth: the work follows the
+    page and the part size, not the table.
+
+    An empty table has no parts and gives empty pages; an index past the end
+    gives an empty page, one below 0 is an error.  Nulls sort first, as in
+    ``orderBy``.  Rows that repeat each have a place.  Columns of the table
+    must not be called ``_part``, ``_place`` or ``row_index``.
+    """
+
+    _OWN = ("_part", "_place", "row_index")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def write(cls, df: DataFrame, order_cols: Sequence[str], path: str, part_rows: int = 1_000_000) -> "PagedTable":
+        clash = [c for c in df.columns if c.lower() in cls._OWN]
+        if clash:
+            raise ValueError(f"columns {clash} are the paged table's own")
+        table = cls(df.sparkSession, path)
+        parts = max(1, -(-df.count() // part_rows))
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        df.repartitionByRange(parts, *order_cols).sortWithinPartitions(*order_cols) \
+            .withColumns({"_part": F.spark_partition_id(), "_place": place}) \
+            .write.mode("overwrite").partitionBy("_part").parquet(f"{table.path}/rows")
+        df.limit(0).write.mode("overwrite").parquet(f"{table.path}/columns")
+        counts = table._rows().groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+        # one row a part: a window over all of them is bounded by their number
+        before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        counts.select("_part", "n", F.coalesce(before, F.lit(0)).cast("long").alias("first")) \
+            .coalesce(1).write.mode("overwrite").parquet(f"{table.path}/directory")
+        return table
+
+    def _rows(self) -> DataFrame:
+        own = StructType([StructField("_place", LongType()), StructField("_part", IntegerType())])
+        fields = self.spark.read.parquet(f"{self.path}/columns").schema.fields + own.fields
+        return self.spark.read.schema(StructType(fields)).parquet(f"{self.path}/rows")
+
+    def directory(self) -> DataFrame:
+        """``_part, n, first``: rows of a part, and rows before it."""
+        return self.spark.read.parquet(f"{self.path}/directory")
+
+    def count(self) -> int:
+        """Rows of the table, from the directory."""
+        return self.directory().agg(F.sum("n")).first()[0] or 0
+
+    def parts_of(self, index: int, batch: int) -> dict[int, int]:
+        """The parts that hold rows ``[index, index + batch)``, each with the rows before it."""
+        if index < 0 or batch < 0:
+            raise ValueError("index and batch must not be negative")
+        hit = self.directory().where((F.col("first") < index + batch) & (F.col("first") + F.col("n") > index))
+        return {r["_part"]: r["first"] for r in hit.collect()}  # at most batch / part_rows + 2, but for parts of few rows
+
+    def page(self, index: int, batch: int) -> DataFrame:
+        """O2: rows ``[index, index + batch)`` in order, with ``row_index`` (0-based)."""
+        parts = self.parts_of(index, batch)
+        rows = self._rows().where(F.col("_part").isin(*parts) if parts else F.lit(False))
+        row = F.col("_place")
+        for part, first in parts.items():
+            row = F.when(F.col("_part") == part, F.col("_place") + F.lit(first)).otherwise(row)
+        rows = rows.withColumn("row_index", row.cast("long")).where((F.col("row_index") >= index) & (F.col("row_index") < index + batch))
+        return rows.drop("_part", "_place").orderBy("row_index")
+
+
 # O3 ---------------------------------------------------------------------------
 
 def number_key(digits: Column) -> Column:

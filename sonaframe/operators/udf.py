@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import traceback
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -23,16 +23,43 @@ ColFn = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Frontend:
+    """``normalize``: text -> text; ``tokenize``: normalised text -> phones.
+
+    ``align``: normalised text -> for each of its characters the number of
+    phones that it gave, in order; without it the language has no alignment.
+    """
+
     normalize: ColFn
     tokenize: ColFn
+    align: ColFn | None = None
+
+
+def unit_frontend(normalize: ColFn, units: ColFn) -> Frontend:
+    """An aligned front end from ``units``: normalised text -> the phones of each character (array of arrays)."""
+    return Frontend(normalize, lambda c: F.flatten(units(c)), lambda c: F.transform(units(c), lambda u: F.size(u)))
+
+
+def characters(c: Column) -> Column:
+    """The characters (code points) of a text; none for an empty one."""
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, "", -1))
+
+
+def table_units(phones: Mapping[str, Sequence[str]]) -> ColFn:
+    """Phones of each character by a table of up to an alphabet's size; a character outside it stands for itself."""
+    def units(c: Column) -> Column:
+        pairs = [x for ch, ph in phones.items() for x in (F.lit(ch), F.array(*[F.lit(p) for p in ph]).cast("array<string>"))]
+        known = F.create_map(*pairs).cast("map<string,array<string>>")
+        return F.transform(characters(c), lambda ch: F.coalesce(F.try_element_at(known, ch), F.array(ch)))
+
+    return units
 
 
 _FRONTENDS: dict[str, Frontend] = {}
 
 
-def register_frontend(lang: str, normalize: ColFn, tokenize: ColFn) -> None:
+def register_frontend(lang: str, normalize: ColFn, tokenize: ColFn, align: ColFn | None = None) -> None:
     """Register column functions for one language code."""
-    _FRONTENDS[lang] = Frontend(normalize, tokenize)
+    _FRONTENDS[lang] = Frontend(normalize, tokenize, align)
 
 
 def registered_languages() -> list[str]:
@@ -41,7 +68,9 @@ def registered_languages() -> list[str]:
 
 def apply_frontend(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
                    fallback: str = "en", frontends: Mapping[str, Frontend] | None = None) -> DataFrame:
-    """``norm_text`` and ``phones`` by language.
+    """``norm_text``, ``phones`` and ``word2ph`` by language.
+
+    ``word2ph`` is null where the language's front end has no alignment.
 
     ``frontends``: language code -> front end; without it the registered ones
     are used.
@@ -66,14 +95,23 @@ def apply_frontend(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
         branch = fe.tokenize(F.col("norm_text"))
         phones = F.when(F.col("front_lang") == code, branch) if phones is None else \
             phones.when(F.col("front_lang") == code, branch)
-    return out.withColumn("phones", phones)
+    word2ph = F.lit(None).cast("array<int>")
+    for code, fe in use.items():
+        if fe.align is not None:
+            word2ph = F.when(F.col("front_lang") == code, fe.align(F.col("norm_text")).cast("array<int>")).otherwise(word2ph)
+    return out.withColumn("phones", phones).withColumn("word2ph", word2ph)
 
 
-def check_word2ph(df: DataFrame, phones_col: str = "phones", word2ph_col: str = "word2ph") -> DataFrame:
-    """D1 invariant: when ``word2ph`` is present its sum equals the phone count."""
+def check_word2ph(df: DataFrame, phones_col: str = "phones", word2ph_col: str = "word2ph",
+                  text_col: str | None = None) -> DataFrame:
+    """D1 invariants where ``word2ph`` is present: its sum is the phone count ('word2ph_sum'),
+    and with ``text_col`` it has one entry for each character ('word2ph_length')."""
     total = F.aggregate(F.col(word2ph_col), F.lit(0).cast("long"), lambda a, x: a + x)
-    bad = F.col(word2ph_col).isNotNull() & (total != F.size(phones_col))
-    reason = F.when(bad, F.lit("word2ph_sum"))
+    there = F.col(word2ph_col).isNotNull()
+    # a null entry makes the sum null: that is no sum either
+    reason = F.when(there & F.coalesce(total != F.size(phones_col), F.lit(True)), F.lit("word2ph_sum"))
+    if text_col is not None:
+        reason = reason.when(there & (F.size(word2ph_col) != F.length(text_col)), F.lit("word2ph_length"))
     if "reject_reason" in df.columns:
         return df.withColumn("reject_reason", F.coalesce(F.col("reject_reason"), reason))
     return df.withColumn("reject_reason", reason)

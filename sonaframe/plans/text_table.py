@@ -9,9 +9,9 @@ from ..functions import text as T
 from ..functions.predicates import basename, clean_path
 from ..operators.filters import accepted, map_language, rejected
 from ..operators.joins import vocab_encode
-from ..operators.udf import Frontend, apply_frontend, check_word2ph
+from ..operators.udf import Frontend, apply_frontend, check_word2ph, table_units, unit_frontend
 from ..sources.labels import parse_label_lines
-from ..sources.tables import tsv_line
+from ..sources.tables import print_list, tsv_line
 
 EN_TOKEN_RE = "[a-z']+|[,.?!\\-]"
 
@@ -19,7 +19,7 @@ EN_TOKEN_RE = "[a-z']+|[,.?!\\-]"
 #: Front ends of the languages that a label list may name.
 FRONTENDS = {
     "en": Frontend(T.normalize_en, lambda c: F.regexp_extract_all(F.lower(c), F.lit(EN_TOKEN_RE), 0)),
-    "zh": Frontend(T.map_chars_zh, lambda c: F.filter(F.split(c, "", -1), lambda x: x != "")),
+    "zh": unit_frontend(T.map_chars_zh, table_units({})),
     "ja": Frontend(lambda c: T.fold_width(c), T.split_keep_marks),
 }
 
@@ -29,19 +29,24 @@ def build_text_table(lines: DataFrame, vocab: DataFrame, line_col: str = "line",
     """Returns (table with ``tsv`` lines, rejects with their reason).
 
     The symbol vocabulary is the encoder's: an unknown symbol rejects the
-    item (``not_in``), as the reference's assertion does.
+    item (``not_in``), as the reference's assertion does.  A front end with an
+    alignment gives ``word2ph``, printed as a list in the third field of the
+    line (``None`` without one); an item whose counts do not add up to its
+    phones, or are not one for each character, is rejected (``word2ph_sum``,
+    ``word2ph_length``).
     """
     parsed = map_language(parse_label_lines(lines, line_col), "lang", "lang_code", mapping)
     parsed = parsed.withColumn("name", basename(clean_path("path")))
     ok = accepted(parsed).withColumn(
         "text", F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("-")), F.lit("￥"), F.lit(",")))
     fe = apply_frontend(ok.drop("reject_reason"), "text", "lang_code", frontends=frontends or FRONTENDS)
-    enc = vocab_encode(fe, "phones", vocab, policy="reject")
-    if "word2ph" in enc.columns:  # a front end that aligns words: the counts must add up to the phones
-        enc = check_word2ph(enc)
+    # the alignment is checked first, then the symbols
+    aligned = check_word2ph(fe, text_col="norm_text").withColumnRenamed("reject_reason", "_misaligned")
+    enc = vocab_encode(aligned, "phones", vocab, policy="reject")
+    enc = enc.withColumn("reject_reason", F.coalesce("_misaligned", "reject_reason"))
     table = accepted(enc).select(
-        "name", "phones", "ids", "norm_text",
-        tsv_line("name", F.array_join("phones", " "), F.lit("None"), "norm_text").alias("tsv"))
+        "name", "phones", "ids", "word2ph", "norm_text",
+        tsv_line("name", F.array_join("phones", " "), print_list("word2ph"), "norm_text").alias("tsv"))
     rejects = rejected(parsed).select(F.col(line_col).alias("line"), "reject_reason").unionByName(
         rejected(enc).select(F.col("name").alias("line"), "reject_reason"))
     return table, rejects

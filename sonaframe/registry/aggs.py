@@ -8,6 +8,7 @@ from ..operators import aggs as A
 from ..operators import sets as U
 from ..operators import sorts as O
 from ..sources import corpus
+from ..streaming.jobs import scratch_dir
 from ..util.rank import global_row_number
 from . import derive, sql
 from .base import r6, register, table
@@ -105,6 +106,17 @@ def q_page(spark, sf):
     return O.page(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 100, 50)
 
 
+@register("page_deep", """
+SELECT doc_id, source, n_chars, CAST(rn - 1 AS BIGINT) AS row_index
+FROM (SELECT *, row_number() OVER (ORDER BY n_chars, doc_id) AS rn, count(*) OVER () AS n FROM documents)
+WHERE rn > (n * 99) // 100 - 25 AND rn <= (n * 99) // 100 + 25""")
+def q_page_deep(spark, sf):
+    """The 50 rows around 99 % of the documents in order of length, from a paged copy."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    paged = O.PagedTable.write(docs, ["n_chars", "doc_id"], scratch_dir(spark, "paged"))
+    return paged.page(paged.count() * 99 // 100 - 25, 50)
+
+
 @register("natural_sort", """
 WITH p AS (SELECT p_partkey, p_name || ' ' || p_size AS name FROM part),
 k AS (SELECT p_partkey, name, regexp_split_to_array(name, '\\d+') AS texts, regexp_extract_all(name, '\\d+') AS nums FROM p)

@@ -12,6 +12,7 @@ from ..plans.batching import plan_batches, plan_bounded_batches
 from ..plans.dialogue import prepare_dialogue
 from ..plans.one_click import one_click
 from ..plans.quantize import quantize_corpus
+from ..operators.udf import Frontend, characters, table_units, unit_frontend
 from ..plans.text_table import build_text_table
 from ..plans.utterances import prepare_utterances
 from ..sources.corpus import explode_lines
@@ -68,6 +69,51 @@ def q_build_text_table(spark, sf):
                    F.col("reject_reason").alias("tsv")))
 
 
+#: Phones of the vowels in the aligned front end; other characters stand for themselves.
+VOWELS = {v: [v, f"{v}1"] for v in "aeiou"}
+LETTER_RE = "[a-z]|[,.?!]| "
+ALIGNED_SQL = f"""
+WITH {sql.LABEL_LINES},
+q AS (SELECT line, string_split(line, '|') AS parts FROM label_lines),
+acc AS (SELECT string_split(parts[1], '/')[-1] AS name, parts[3] AS lang,
+               lower(replace(replace(parts[4], '%', '-'), '￥', ',')) AS norm
+        FROM q WHERE len(parts) = 4 AND parts[3] IN ('fr', 'de')),
+ch AS (SELECT name, lang, norm, list_filter(string_split(norm, ''), lambda c: c <> '') AS cs FROM acc),
+un AS (SELECT name, lang, norm, CASE WHEN lang = 'fr' THEN list_transform(cs, lambda c: CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') THEN [c, c || '1'] ELSE [c] END)
+              ELSE list_transform(regexp_extract_all(norm, '{LETTER_RE}', 0), lambda c: [c]) END AS units,
+              CASE WHEN lang = 'fr' THEN list_transform(cs, lambda c: CASE WHEN c IN ('a', 'e', 'i', 'o', 'u') THEN 2 ELSE 1 END)
+              ELSE list_transform(cs, lambda c: 1) END AS word2ph FROM ch),
+ph AS (SELECT name, norm, flatten(units) AS phones, word2ph FROM un),
+vocab AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS symbol FROM benchmark UNION SELECT unnest(['a1', 'e1', 'i1', 'o1', 'u1'])),
+voc AS (SELECT list(symbol) AS symbols FROM vocab),
+chk AS (SELECT *, CASE WHEN coalesce(list_sum(word2ph), 0) <> len(phones) THEN 'word2ph_sum'
+                       WHEN len(list_filter(list_distinct(phones), lambda p: NOT list_contains(symbols, p))) > 0 THEN 'not_in' END AS reason FROM ph, voc)
+SELECT name, CASE WHEN reason IS NULL THEN CAST(len(phones) AS DOUBLE) END AS n_ids,
+       coalesce(reason, concat_ws(chr(9), name, array_to_string(phones, ' '), '[' || array_to_string(word2ph, ', ') || ']', norm)) AS tsv
+FROM chk
+UNION ALL
+SELECT line, NULL, CASE WHEN len(parts) <> 4 THEN 'field_count' ELSE 'unsupported_language' END
+FROM q WHERE len(parts) <> 4 OR parts[3] NOT IN ('fr', 'de') OR parts[3] IS NULL"""
+
+
+@register("build_text_table_aligned", ALIGNED_SQL)
+def q_build_text_table_aligned(spark, sf):
+    """Lines in fr by an aligned front end; lines in de by one that counts one phone a character but reads letters and marks only."""
+    from ..operators.joins import symbol_vocabulary
+    frontends = {
+        "fr": unit_frontend(F.lower, table_units(VOWELS)),
+        "de": Frontend(F.lower, lambda c: F.regexp_extract_all(c, F.lit(LETTER_RE), 0),
+                       lambda c: F.transform(characters(c), lambda _: F.lit(1))),
+        "en": Frontend(F.lower, characters),  # the fallback, which no line takes
+    }
+    seen = table(spark, sf, "benchmark").select(F.explode(F.concat(
+        F.split(F.lower("text"), "", -1), F.array(*[F.lit(p) for ps in VOWELS.values() for p in ps]))).alias("symbol")).distinct()
+    lines = derive.label_lines(table(spark, sf, "documents"))
+    tbl, rej = build_text_table(lines, symbol_vocabulary(seen), mapping={"fr": "fr", "de": "de"}, frontends=frontends)
+    return tbl.select("name", F.size("ids").cast("double").alias("n_ids"), "tsv").unionByName(
+        rej.select(F.col("line").alias("name"), F.lit(None).cast("double").alias("n_ids"), F.col("reject_reason").alias("tsv")))
+
+
 PLAN_SQL = f"""
 WITH r0 AS (SELECT doc_id, CAST(floor(n_chars / 1000.0 / 2.0) AS BIGINT) AS f,
                    row_number() OVER (ORDER BY n_chars / 1000.0, doc_id) AS rn, len({sql.DOC_WORDS}) AS seq_len

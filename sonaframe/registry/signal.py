@@ -169,3 +169,40 @@ def q_frame_spectrum(spark, sf):
     spec = S.frame_spectrum(signals(spark, sf), n_fft=8, hop=2, win=8)
     return spec.select("signal_id", "frame", F.posexplode("mag").alias("bin", "mag")).select(
         "signal_id", "frame", F.col("bin").cast("long").alias("bin"), r6("mag").alias("mag"))
+
+
+MEL = S.MelBands(rate=8000.0, n_fft=16, bands=5, low=50.0, high=3800.0)
+MEL_HOP = 8
+
+
+def _mel_sql(mel: S.MelBands, hop: int) -> str:
+    """The filterbank from the rate and the limits, then the spectrum's product with it."""
+    def to_mel(hz: float) -> str:
+        return f"(CASE WHEN {hz} < 1000.0 THEN {hz} * 3 / 200.0 ELSE 15 + ln({hz} / 1000.0) * 27 / ln(6.4) END)"
+
+    bands = mel.bands
+    spectrum = _spectrum_sql(mel.n_fft, hop).rsplit("SELECT signal_id, frame, CAST", 1)[0].rstrip()
+    return f"""{spectrum},
+em AS (SELECT e, {to_mel(mel.low)} + ({to_mel(mel.high)} - {to_mel(mel.low)}) * e / {bands + 1}.0 AS m FROM range({bands + 2}) t(e)),
+ed AS (SELECT e, CASE WHEN m < 15 THEN m * 200 / 3.0 ELSE 1000.0 * exp((m - 15) * ln(6.4) / 27) END AS hz FROM em),
+bd AS (SELECT a.e AS band, a.hz AS l, b.hz AS c, d.hz AS r FROM ed a JOIN ed b ON b.e = a.e + 1 JOIN ed d ON d.e = a.e + 2),
+wt AS (SELECT band, k, greatest(least((k * {mel.rate} / {mel.n_fft} - l) / (c - l), (r - k * {mel.rate} / {mel.n_fft}) / (r - c)), 0) * 2 / (r - l) AS w
+       FROM bd, range({mel.n_fft // 2 + 1}) t(k))
+SELECT signal_id, frame, CAST(band AS BIGINT) AS band, {sql.r6('ln(greatest(sum(w * sqrt(re * re + im * im + 1e-6)), 1e-5))')} AS mel
+FROM ft JOIN wt USING (k) GROUP BY signal_id, frame, band"""
+
+
+def _bands(spec, column):
+    return spec.select("signal_id", "frame", F.posexplode(column).alias("band", "mel")).select(
+        "signal_id", "frame", F.col("band").cast("long").alias("band"), r6("mel").alias("mel"))
+
+
+@register("mel_spectrum", _mel_sql(MEL, MEL_HOP))
+def q_mel_spectrum(spark, sf):
+    return _bands(S.mel_spectrum(signals(spark, sf), MEL, hop=MEL_HOP), "mag")
+
+
+@register("mel_from_spectrum", _mel_sql(MEL, MEL_HOP))
+def q_mel_from_spectrum(spark, sf):
+    spec = S.frame_spectrum(signals(spark, sf), n_fft=MEL.n_fft, hop=MEL_HOP, win=MEL.n_fft)
+    return _bands(spec, S.mel_from_spectrum("mag", MEL))
