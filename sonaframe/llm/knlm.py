@@ -1,9 +1,10 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model counted in Spark.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model counted in Spark.
 
 Tokens are the words of a text (A-Z in lower case) and one end; a token's
-context is the token before it, or the start of the text.  The lower model
-holds continuation counts (in how many kinds of contexts a word stands), and
-below it all words and one unknown word are equally likely.
+context are the ``order - 1`` tokens before it, starts of the text where it has
+fewer.  Below the highest order a count is a continuation count (how many
+kinds of words an n-gram stands behind), and below single words all words and
+one unknown word are equally likely.
 
 The model grows with the corpus, so that no worker could hold it whole.  It
 is stored as sorted hash arrays in buckets by hash, and a lookup goes to the
@@ -11,18 +12,20 @@ bucket in place of the bucket coming to the text:
 
 1. One pass over the texts writes chunks: the distinct words of a bounded
    number of tokens, the stream of word numbers, and the documents' places.
-2. Every chunk sends its distinct pairs, sorted, with their training counts,
-   to pair buckets.  A bucket adds up the counts, keeps the sorted keys and
-   totals memory-mapped in an unnamed file, answers each chunk with the totals
-   of the pairs that it asked for, and sends on what its pairs say about
-   their words: continuations, and contexts with one, two or more kinds.
-3. Word buckets do the same for words: they add up training counts and what
-   the pair buckets sent, and answer each chunk.
+2. Every chunk sends its distinct n-grams of the highest order, sorted, with
+   their training counts, to buckets.  A bucket adds up the counts, keeps
+   keys and totals memory-mapped in unnamed files, and answers each chunk with
+   the totals of what it asked for.  Each learnt n-gram is owned by one of the
+   chunks that hold it.
+3. The same for each lower order down to single words: a chunk sends what the
+   n-grams that it owns say about their first and last n - 1 words (kinds
+   before; counts, and contexts with one, two or more kinds behind).
 4. Chunks meet their answers, score their tokens and add up documents.
 
-Keys of pairs are two 32-bit word hashes: a share of about V / 2**32 of V
-words share the statistics of their pairs with another word.  Counts of words
-(base score, known words) are by 64-bit hashes.
+Keys of all orders are 64-bit hashes mixed from the 64-bit hashes of the words:
+two of m distinct n-grams share one with a chance of about m**2 / 2**65.  A
+chunk sends at most as many pieces as it has n-grams, whatever the number of
+buckets.
 
 Edge cases: a null or empty text is the end token alone; rows with a null id
 are learnt from and scored; rows that repeat count as often as they stand; an
@@ -49,7 +52,6 @@ from .words import mixed
 #: The end of a text, and what stands before its first token; no word holds these bytes.
 END, START = b"\n", b"\t"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-_KINDS = 4
 
 
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -128,144 +130,148 @@ def _chunks(docs: DataFrame, folds: int, fold: int, chunk_tokens: int) -> DataFr
                                 "ids array<long>, held array<boolean>, lengths array<long>")
 
 
+class _Level:
+    """The distinct n-grams of a chunk that end at its tokens, and at the start of a text."""
+
+    def __init__(self, keys: np.ndarray, first: np.ndarray, inverse: np.ndarray, heads: np.ndarray, tails: np.ndarray):
+        self.keys, self.first, self.inverse, self.heads, self.tails = keys, first, inverse, heads, tails
+
+
 class _Chunk:
-    """A chunk's tokens, word hashes and pairs, the same in every step."""
+    """A chunk's tokens and n-grams, the same in every step.
+
+    One more place stands behind the tokens: the start of a text, in whose
+    context first tokens stand.  ``levels[n]`` holds the n-grams that end at
+    each place; ``heads`` and ``tails`` number, for each of them, its first and
+    its last n - 1 words among those of the level below.
+    """
 
-    def __init__(self, words: bytes, stream: bytes, held: list[bool], lengths: list[int]):
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in zstandard.decompress(words).split(b" ")), np.uint64)
-        self.stream = _opened(stream, np.uint32)
+    def __init__(self, words: bytes, stream: bytes, held: list[bool], lengths: list[int], levels: int):
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in zstandard.decompress(words).split(b" ")), np.uint64)
+        stream = np.append(_opened(stream, np.uint32), 1)
         self.lengths = np.array(lengths, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.train = np.repeat(~np.array(held, bool), self.lengths)
+        self.tokens = len(stream) - 1
+        self.train = np.append(np.repeat(~np.array(held, bool), self.lengths), False)
+        before = np.arange(-1, self.tokens)
+        before[self.first] = before[-1] = self.tokens
+        keys, at, number = np.unique(hashes, return_index=True, return_inverse=True)
+        where = np.zeros(len(hashes), np.int64)
+        where[stream[::-1]] = np.arange(self.tokens, -1, -1)
+        none = np.zeros(len(keys), np.int64)
+        self.levels = {1: _Level(keys, where[at], number[stream], none, none)}
+        here, last = hashes[stream], hashes[stream]
+        for n in range(2, levels + 1):
+            here = mixed(mixed(here[before]) + last)
+            keys, at, number = np.unique(here, return_index=True, return_inverse=True)
+            below = self.levels[n - 1].inverse
+            self.levels[n] = _Level(keys, at, number, below[before[at]], below[at])
+
+    def counted(self, n: int) -> np.ndarray:
+        """How often each n-gram stands in texts to learn from."""
+        level = self.levels[n]
+        return np.bincount(level.inverse[self.train], minlength=len(level.keys))
+
+    def said(self, n: int, counts: np.ndarray, owned: np.ndarray) -> list[np.ndarray]:
+        """What the (n + 1)-grams of this chunk's own say about its n-grams: kinds before, and behind it the sum of
+        the counts and the kinds with a count of 1, 2, and 3 or more."""
+        above, size = self.levels[n + 1], len(self.levels[n].keys)
+        counts, heads, tails = counts[owned], above.heads[owned], above.tails[owned]
+        kinds = [np.bincount(heads[x], minlength=size) for x in (counts == 1, counts == 2, counts >= 3)]
+        return [np.bincount(tails, minlength=size), np.bincount(heads, weights=counts, minlength=size).astype(np.int64), *kinds]
+
+
+def _parts(keys: np.ndarray, buckets: int):
+    """(bucket, places) of the buckets that some key goes to; places keep their order."""
+    to = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    edges = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for at in np.split(order, edges[1:]) if len(order) else ():
+        yield int(to[at[0]]), at
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the distinct pairs, where each stands first, and each token's pair."""
-        number = self.hashes & np.uint64(0xFFFFFFFF)
-        before = np.empty_like(self.stream)
-        before[1:] = self.stream[:-1]
-        before[self.first] = 1
-        self.before = before
-        return np.unique((number[before] << np.uint64(32)) | number[self.stream], return_index=True, return_inverse=True)
 
+def _columns(columns: list[np.ndarray]) -> tuple[list[bytes], list[str]]:
+    small = [_small(x) for x in columns]
+    return [_pressed(x) for x in small], [x.dtype.str for x in small]
 
-def _parts(to: np.ndarray, buckets: int):
-    """(bucket, places) of the buckets that some place goes to; places keep their order."""
-    order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k]: edges[k + 1]]
 
+def _answers(rows: list[dict], keys: np.ndarray, buckets: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the answers for a chunk's sorted keys, and which of them this chunk owns."""
+    facts, owned = np.zeros((columns, len(keys)), np.int64), np.zeros(len(keys), bool)
+    by = {x["bucket"]: x for x in rows}
+    for k, at in _parts(keys, buckets):
+        for j in range(columns):
+            facts[j, at] = _opened(by[k]["data"][j], by[k]["types"][j])
+        owned[at] = np.unpackbits(_opened(by[k]["owned"], np.uint8), count=len(at)).astype(bool)
+    return facts, owned
 
-def _pair_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
+def _width(n: int, order: int) -> int:
+    """Columns of a level: its count first; below the top what stands behind; words also have their tokens, last."""
+    return 1 if n == order else 5 + (n == 1)
 
-def _word_bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
-    return ((numbers & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
 
+def _asked(chunks: DataFrame, above: DataFrame | None, n: int, order: int, buckets: dict[int, int]) -> DataFrame:
+    """Each chunk's n-grams by bucket, sorted, with what the chunk adds to their columns."""
+    rows = chunks.select("chunk", "words", "stream", "held", "lengths")
+    highest = above is None
+    if not highest:
+        rows = rows.join(_by_chunk(above, "above"), "chunk")
 
-def _pair_tables(chunks: DataFrame, pair_buckets: int, word_buckets: int) -> DataFrame:
-    """Rows of three kinds: answers to a chunk (chunk, bucket, data), statistics for a word bucket (word_bucket, data,
-    more), and how many pairs of a bucket have each small count (sums)."""
-    def ask(batches):
-        for b in batches:
-            for c, *rest in zip(*(x.to_pylist() for x in b.columns)):
-                chunk = _Chunk(*rest)
-                keys, _, inverse = chunk.pairs()
-                counts = np.bincount(inverse[chunk.train], minlength=len(keys))
-                for k, at in _parts(_pair_bucket(keys, pair_buckets), pair_buckets):
-                    n = _small(counts[at])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([c], pa.int64()), pa.array([_sorted_pressed(keys[at])], pa.binary()),
-                                                      pa.array([_pressed(n)], pa.binary()), pa.array([n.dtype.str], pa.string())],
-                                                     names=["bucket", "chunk", "keys", "counts", "type"])
-
-    def answer(asked: pa.Table) -> pa.Table:
-        requests = asked.column("keys").to_pylist()
-        every = np.concatenate([_sorted_opened(x) for x in requests])
-        counts = np.concatenate([_opened(x, t).astype(np.int64) for x, t in zip(asked.column("counts").to_pylist(), asked.column("type").to_pylist())])
-        trained = counts > 0
-        by = np.argsort(every[trained], kind="stable")
-        every, counts = every[trained][by], counts[trained][by]
-        starts = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-        keys, totals = _mapped(every[starts]), _mapped(np.add.reduceat(counts, starts) if len(starts) else counts)
-        bucket, rows = asked.column("bucket")[0].as_py(), []
-        for c, x in zip(asked.column("chunk").to_pylist(), requests):
-            want = _sorted_opened(x)
-            got = np.zeros(len(want), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                got = np.where(keys[at] == want, totals[at], 0)
-            got = _small(got)
-            rows.append((c, bucket, None, _pressed(got), got.dtype.str, None, None))
-        # what the pairs say about the first word (tokens and kinds behind it), and about the second (kinds before it)
-        kinds = np.stack([totals, totals == 1, totals == 2, totals >= 3], axis=1).astype(np.int64) if len(keys) else np.zeros((0, _KINDS), np.int64)
-        heads, tails = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-        words, inverse = np.unique(np.concatenate([heads, tails]), return_inverse=True)
-        table = np.zeros((len(words), _KINDS + 1), np.int64)
-        for j in range(_KINDS):
-            table[:, j] = np.bincount(inverse[: len(keys)], weights=kinds[:, j], minlength=len(words))
-        table[:, _KINDS] = np.bincount(inverse[len(keys):], minlength=len(words))
-        for k, at in _parts(_word_bucket(words, word_buckets), word_buckets):
-            rows.append((None, None, k, _sorted_pressed(words[at]), None, [_pressed(_small(table[at, j])) for j in range(_KINDS + 1)],
-                         [_small(table[at, j]).dtype.str for j in range(_KINDS + 1)]))
-        out = {n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(
-            (("chunk", pa.int64()), ("bucket", pa.int64()), ("word_bucket", pa.int64()), ("data", pa.binary()), ("type", pa.string()),
-             ("more", pa.list_(pa.binary())), ("types", pa.list_(pa.string()))))}
-        sums = [int((totals == i).sum()) for i in (1, 2, 3, 4)]
-        return pa.table(out | {"sums": pa.array([sums] + [None] * (len(rows) - 1), pa.list_(pa.int64()))})
-
-    asked = chunks.select("chunk", "words", "stream", "held", "lengths").mapInArrow(ask, "bucket long, chunk long, keys binary, counts binary, type string")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, word_bucket long, data binary, type string, more array<binary>, "
-                                                        "types array<string>, sums array<long>")
-
-
-def _word_tables(chunks: DataFrame, pairs: DataFrame, word_buckets: int) -> DataFrame:
-    """Answers to a chunk: for its words in a bucket their tokens, the tokens and kinds behind them, the kinds before them;
-    and the sums of a bucket: tokens, words, and words with 1 to 4 kinds before them, all kinds."""
     def ask(batches):
         for b in batches:
-            for c, *rest in zip(*(x.to_pylist() for x in b.columns)):
-                chunk = _Chunk(*rest)
-                n = np.bincount(chunk.stream[chunk.train], minlength=len(chunk.hashes))
-                for k, at in _parts(_word_bucket(chunk.hashes, word_buckets), word_buckets):
-                    m = _small(n[at])
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([c], pa.int64()), pa.array([chunk.hashes[at].tobytes()], pa.binary()),
-                                                      pa.array([[_pressed(m)]], pa.list_(pa.binary())), pa.array([[m.dtype.str]], pa.list_(pa.string()))],
-                                                     names=["bucket", "chunk", "data", "more", "types"])
-
-    def answer(asked: pa.Table) -> pa.Table:
-        rows = list(zip(*(asked.column(c).to_pylist() for c in ("chunk", "data", "more", "types"))))
-        asks, says = [r for r in rows if r[0] is not None], [r for r in rows if r[0] is None]
-        hashes = [np.frombuffer(r[1], np.uint64) for r in asks]
-        every, inverse = np.unique(np.concatenate(hashes or [np.zeros(0, np.uint64)]), return_inverse=True)
-        tokens = np.bincount(inverse, weights=np.concatenate([_opened(r[2][0], r[3][0]) for r in asks] or [np.zeros(0)]), minlength=len(every)).astype(np.int64)
-        numbers, at = np.unique(np.concatenate([_sorted_opened(r[1]) for r in says] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        facts = np.zeros((len(numbers), _KINDS + 1), np.int64)
-        for j in range(_KINDS + 1):
-            facts[:, j] = np.bincount(at, weights=np.concatenate([_opened(r[2][j], r[3][j]) for r in says] or [np.zeros(0)]), minlength=len(numbers))
-        numbers, facts, p, out = _mapped(numbers), _mapped(facts), 0, []
-        for r, h in zip(asks, hashes):
-            n = h & np.uint64(0xFFFFFFFF)
-            found = np.zeros((len(h), _KINDS + 1), np.int64)
-            if len(numbers):
-                i = np.minimum(np.searchsorted(numbers, n), len(numbers) - 1)
-                found = np.where((numbers[i] == n)[:, None], facts[i], 0)
-            cols = [_small(tokens[inverse[p: p + len(h)]]), *(_small(found[:, j]) for j in range(_KINDS + 1))]
-            p += len(h)
-            out.append((r[0], [_pressed(x) for x in cols], [x.dtype.str for x in cols]))
-        before = facts[:, _KINDS]
-        sums = [int(tokens.sum()), int((tokens > 0).sum()), *(int((before == i).sum()) for i in (1, 2, 3, 4)), int((before > 0).sum()), int(before.sum())]
-        bucket = asked.column("bucket")[0].as_py()
-        out.append((None, None, None))
-        return pa.table({"chunk": pa.array([r[0] for r in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()),
-                         "data": pa.array([r[1] for r in out], pa.list_(pa.binary())), "types": pa.array([r[2] for r in out], pa.list_(pa.string())),
-                         "sums": pa.array([None] * (len(out) - 1) + [sums], pa.list_(pa.int64()))})
-
-    asked = chunks.select("chunk", "words", "stream", "held", "lengths").mapInArrow(
-        ask, "bucket long, chunk long, data binary, more array<binary>, types array<string>")
-    says = pairs.where("word_bucket is not null").select(F.col("word_bucket").alias("bucket"), F.lit(None).cast("long").alias("chunk"), "data", "more", "types")
-    return asked.unionByName(says).groupBy("bucket").applyInArrow(answer, "chunk long, bucket long, data array<binary>, types array<string>, sums array<long>")
+            for row in range(b.num_rows):
+                c, words, stream, held, lengths, *answers = (x[row].as_py() for x in b.columns)
+                chunk = _Chunk(words, stream, held, lengths, min(n + 1, order))
+                if highest:
+                    columns = [chunk.counted(n)]
+                else:
+                    facts, owned = _answers(answers[0], chunk.levels[n + 1].keys, buckets[n + 1], _width(n + 1, order))
+                    columns = chunk.said(n, facts[0], owned) + ([chunk.counted(1)] if n == 1 else [])
+                keys = chunk.levels[n].keys
+                for k, at in _parts(keys, buckets[n]):
+                    data, types = _columns([x[at] for x in columns])
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([k], pa.int64()), pa.array([c], pa.int64()), pa.array([_sorted_pressed(keys[at])], pa.binary()),
+                        pa.array([data], pa.list_(pa.binary())), pa.array([types], pa.list_(pa.string()))],
+                        names=["bucket", "chunk", "keys", "data", "types"])
+
+    return rows.mapInArrow(ask, "bucket long, chunk long, keys binary, data array<binary>, types array<string>")
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """A bucket: columns added up by key, kept as sorted arrays that are memory-mapped, and looked up for each chunk.
+
+    An n-gram that was learnt is owned by one of the chunks that asked for it;
+    that chunk, which knows its words, counts it as a kind.
+    """
+    requests = [_sorted_opened(x) for x in asked.column("keys").to_pylist()]
+    data, types = asked.column("data").to_pylist(), asked.column("types").to_pylist()
+    keys, first, inverse = np.unique(np.concatenate(requests), return_index=True, return_inverse=True)
+    totals = [np.bincount(inverse, weights=np.concatenate([_opened(d[j], t[j]) for d, t in zip(data, types)]), minlength=len(keys)).astype(np.int64)
+              for j in range(len(data[0]))]
+    learnt = np.any(totals, axis=0)
+    owners = np.zeros(len(inverse), bool)
+    owners[first[totals[0] > 0]] = True
+    keys, totals = _mapped(keys[learnt]), [_mapped(x[learnt]) for x in totals]
+    rows, start = [], 0
+    for c, want in zip(asked.column("chunk").to_pylist(), requests):
+        got = [np.zeros(len(want), np.int64) for _ in totals]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            got = [np.where(keys[at] == want, x[at], 0) for x in totals]
+        rows.append((c, *_columns(got), _pressed(np.packbits(owners[start: start + len(want)]))))
+        start += len(want)
+    count, last = totals[0], totals[-1]
+    sums = [*(int((count == i).sum()) for i in (1, 2, 3, 4)), int((count > 0).sum()), int(count.sum()), int((last > 0).sum()), int(last.sum())]
+    return pa.table({
+        "chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": asked.column("bucket"),
+        "data": pa.array([r[1] for r in rows], pa.list_(pa.binary())), "types": pa.array([r[2] for r in rows], pa.list_(pa.string())),
+        "owned": pa.array([r[3] for r in rows], pa.binary()), "sums": pa.array([sums] + [None] * (len(rows) - 1), pa.list_(pa.int64()))})
+
+
+def _by_chunk(answers: DataFrame, name: str) -> DataFrame:
+    return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data", "types", "owned")).alias(name))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -277,59 +283,60 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), i + 0.95) for i, x in enumerate(d))])
 
 
-def _summed(df: DataFrame, n: int) -> list[int]:
-    row = df.where("sums is not null").agg(*[F.sum(F.element_at("sums", i + 1)) for i in range(n)]).first()
+def _summed(df: DataFrame) -> list[int]:
+    row = df.where("sums is not null").agg(*[F.sum(F.element_at("sums", i + 1)) for i in range(8)]).first()
     return [x or 0 for x in row]
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, chunk_tokens: int = 1_600_000, bucket_tokens: int = 2_500_000) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, chunk_tokens: int = 1_600_000, bucket_tokens: int = 2_500_000,
+                order: int = 3) -> DataFrame:
     """One row for each row of ``docs``: see ``SCORES``.  Rows in the fold ``fold`` are not learnt from."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     chunks = written(_chunks(doc_texts(docs), folds, fold, chunk_tokens))
     n_tokens, n_words = (x or 0 for x in chunks.agg(F.sum("n_tokens"), F.sum("n_words")).first())
-    pair_buckets = max(1, -(-n_tokens // bucket_tokens))
-    word_buckets = max(1, -(-n_words // (bucket_tokens // 4)))
-    pairs = written(_pair_tables(chunks, pair_buckets, word_buckets))
-    words = written(_word_tables(chunks, pairs, word_buckets))
-    d2 = discounts(*_summed(pairs, 4))
-    n, v, *m, kinds, total = _summed(words, 8)
-    d1 = discounts(*m)
-    rest = d1[1] * m[0] + d1[2] * m[1] + d1[3] * (kinds - m[0] - m[1])
+    buckets = {n: max(1, -(-n_tokens // bucket_tokens)) for n in range(2, order + 1)} | {1: max(1, -(-n_words // (bucket_tokens // 4)))}
+    tables: dict[int, DataFrame] = {}
+    for n in range(order, 0, -1):
+        tables[n] = written(_asked(chunks, tables.get(n + 1), n, order, buckets).groupBy("bucket").applyInArrow(
+            _answer, "chunk long, bucket long, data array<binary>, types array<string>, owned binary, sums array<long>"))
+    sums = {n: _summed(t) for n, t in tables.items()}
+    d = {n: discounts(*x[:4]) for n, x in sums.items()}
+    n1, n2, n3, _, kinds, total, v, n = sums[1]
+    rest = d[1][1] * n1 + d[1][2] * n2 + d[1][3] * (kinds - n1 - n2)
     rest, total = (rest, total) if total else (1.0, 1)
 
     # the answers to one chunk
-    a = pairs.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data", "type")).alias("pairs"))
-    b = words.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data", "types")).alias("words_"))
-    both = a.join(b, "chunk").join(chunks.select("chunk", "words", "stream", "held", "lengths", "ids"), "chunk") \
-        .select("words", "stream", "held", "lengths", "ids", "pairs", "words_")
+    both = chunks.select("chunk", "words", "stream", "held", "lengths", "ids")
+    for k in range(1, order + 1):
+        both = both.join(_by_chunk(tables[k], f"answers{k}"), "chunk")
+    both = both.select("words", "stream", "held", "lengths", "ids", *[f"answers{k}" for k in range(1, order + 1)])
 
     def score(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                blob, stream, held, lengths, ids, pairs_, words_ = (batch.column(i)[row].as_py() for i in range(7))
-                chunk = _Chunk(blob, stream, held, lengths)
-                keys, first, inverse = chunk.pairs()
-                # answers come in the order in which the chunk asked
-                count = np.zeros(len(keys), np.int64)
-                answers = {x["bucket"]: _opened(x["data"], x["type"]) for x in pairs_}
-                for k, at in _parts(_pair_bucket(keys, pair_buckets), pair_buckets):
-                    count[at] = answers[k]
-                facts = np.zeros((_KINDS + 2, len(chunk.hashes)), np.int64)
-                answers = {x["bucket"]: [_opened(y, t) for y, t in zip(x["data"], x["types"])] for x in words_}
-                for k, at in _parts(_word_bucket(chunk.hashes, word_buckets), word_buckets):
-                    for j, x in enumerate(answers[k]):
-                        facts[j, at] = x
-                tokens, behind, k1, k2, k3, before = facts
-                low = (before - d1[np.minimum(before, 3)]) / total + rest / total / (v + 1)
-                head, tail = chunk.before[first], chunk.stream[first]
-                size = np.maximum(behind[head], 1)
-                back = np.where(behind[head] > 0, (d2[1] * k1[head] + d2[2] * k2[head] + d2[3] * k3[head]) / size, 1.0)
-                p = np.maximum(count - d2[np.minimum(count, 3)], 0) / size + back * low[tail]
+                blob, stream, held, lengths, ids, *answers = (x[row].as_py() for x in batch.columns)
+                chunk = _Chunk(blob, stream, held, lengths, order)
+                p, below, known, base = None, None, None, None
+                for k, given in enumerate(answers, 1):
+                    level = chunk.levels[k]
+                    facts, _ = _answers(given, level.keys, buckets[k], _width(k, order))
+                    count = facts[0]
+                    if k == 1:
+                        p = (count - d[1][np.minimum(count, 3)]) / total + rest / total / (v + 1)
+                        known, base = facts[5] > 0, np.log10((facts[5] + 1) / (n + v + 1))
+                    else:
+                        _, behind, k1, k2, k3 = below[:5, level.heads]
+                        size = np.maximum(behind, 1)
+                        back = np.where(behind > 0, (d[k][1] * k1 + d[k][2] * k2 + d[k][3] * k3) / size, 1.0)
+                        p = np.maximum(count - d[k][np.minimum(count, 3)], 0) / size + back * p[level.tails]
+                    below = facts
+                words, top = chunk.levels[1].inverse[:-1], chunk.levels[order].inverse[:-1]
                 add = lambda x: np.add.reduceat(x, chunk.first)
-                scores = add(np.log10(p)[inverse])
-                known = add((tokens > 0)[chunk.stream].astype(np.int64))
-                base = add(np.log10((tokens + 1) / (n + v + 1))[chunk.stream])
+                scores = add(np.log10(p)[top])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(chunk.lengths), pa.array(known), pa.array(np.full(len(ids), n)),
-                    pa.array(base), pa.array(scores), pa.array(10.0 ** np.minimum(-scores / chunk.lengths, 300.0))], names=[x.split()[0] for x in SCORES.split(", ")])
+                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(chunk.lengths), pa.array(add(known[words].astype(np.int64))),
+                    pa.array(np.full(len(ids), n)), pa.array(add(base[words])), pa.array(scores),
+                    pa.array(10.0 ** np.minimum(-scores / chunk.lengths, 300.0))], names=[x.split()[0] for x in SCORES.split(", ")])
 
     return both.mapInArrow(score, SCORES)

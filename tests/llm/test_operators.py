@@ -199,43 +199,66 @@ def test_kd_shards(docs, rows, spark):
     assert by_bytes.groupBy("shard").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] <= 21_500
 
 
-def test_language_model(docs, rows):
-    got = sorted(knlm.score_texts(docs, chunk_tokens=500, bucket_tokens=700).collect(), key=repr)
+def kneser_ney(train, order):
+    """p(context, word) of an interpolated modified Kneser-Ney model, by dictionaries of tuples."""
+    counts = {order: collections.Counter()}
+    for t in train:
+        padded = ["^"] * (order - 1) + t
+        counts[order].update(tuple(padded[i: i + order]) for i in range(len(t)))
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    discount = {n: knlm.discounts(*([sum(y == i for y in x.values()) for i in (1, 2, 3, 4)])) for n, x in counts.items()}
+    behind = {n: collections.Counter() for n in counts}
+    kept = {n: collections.Counter() for n in counts}
+    for n, x in counts.items():
+        for g, m in x.items():
+            behind[n][g[:-1]] += m
+            kept[n][g[:-1]] += discount[n][min(m, 3)]
+    v = len({g[-1] for g in counts[1]})
+
+    def p(gram):
+        n = len(gram)
+        if not n:
+            return 1 / (v + 1)
+        below = p(gram[1:])
+        total = behind[n][gram[:-1]]
+        if not total:
+            return below
+        m = counts[n][gram]
+        return max(m - discount[n][min(m, 3)], 0) / total + kept[n][gram[:-1]] / total * below
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, rows, order):
+    got = sorted(knlm.score_texts(docs, chunk_tokens=500, bucket_tokens=700, order=order).collect(), key=repr)
     assert len(got) == len(rows)
-    once = sorted(knlm.score_texts(docs).collect(), key=repr)  # one chunk a partition, one bucket
+    once = sorted(knlm.score_texts(docs, order=order).collect(), key=repr)  # one chunk a partition, one bucket
     assert [(g["doc_id"], g["n_known"], round(g["base_score"], 6), round(g["score"], 6)) for g in got] == \
         [(g["doc_id"], g["n_known"], round(g["base_score"], 6), round(g["score"], 6)) for g in once]
     tokens = [(i, [*re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split(), None]) for i, t, *_ in rows]
     train = [t for i, t in tokens if not knlm.held_out(i, 7, 2)]
     c = collections.Counter(x for t in train for x in t)
     n, v = sum(c.values()), len(c)
-    pair = collections.Counter(p for t in train for p in zip(["^", *t], t))
-    before = collections.Counter(b for _, b in pair)
-    heads = collections.Counter()
-    kinds = collections.defaultdict(collections.Counter)
-    for (a, _), m in pair.items():
-        heads[a] += m
-        kinds[a][min(m, 3)] += 1
-    count = lambda x: [sum(y == i for y in x.values()) for i in (1, 2, 3, 4)]
-    d1, d2 = knlm.discounts(*count(before)), knlm.discounts(*count(pair))
-    total = sum(before.values())
-    rest = sum(d1[min(x, 3)] for x in before.values()) / total
-    low = lambda w: (before[w] - d1[min(before[w], 3)]) / total + rest / (v + 1)
-
-    def p(a, w):
-        if not heads[a]:
-            return low(w)
-        back = sum(d2[k] * m for k, m in kinds[a].items()) / heads[a]
-        return max(pair[a, w] - d2[min(pair[a, w], 3)], 0) / heads[a] + back * low(w)
-
-    assert sum(low(w) for w in c) + low("never seen") == pytest.approx(1)
-    assert sum(p("^", w) for w in c) + p("^", "never seen") == pytest.approx(1)
+    p = kneser_ney(train, order)
+    start = ("^",) * (order - 1)
+    for context in (start, tuple(train[0][: order - 1]) if len(train[0]) >= order else start):
+        assert sum(p((*context, w)) for w in c) + p((*context, "never seen")) == pytest.approx(1)
     want = sorted((str(i), len(t), sum(c[x] > 0 for x in t), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), 6),
-                   round(sum(math.log10(p(a, w)) for a, w in zip(["^", *t], t)), 6)) for i, t in tokens)
+                   round(sum(math.log10(p((*start, *t)[j: j + order])) for j in range(len(t))), 6)) for i, t in tokens)
     assert sorted((str(g["doc_id"]), g["n_tokens"], g["n_known"], round(g["base_score"], 6), round(g["score"], 6)) for g in got) == want
     assert all(g["train_tokens"] == n and g["held_out"] == knlm.held_out(g["doc_id"], 7, 2) for g in got)
 
 
+def test_language_model_without_training_rows_and_of_order_one(docs, spark):
+    held = next(i for i in range(100) if knlm.held_out(i, 7, 2))
+    alone = spark.createDataFrame([(held, "a b a")], "doc_id long, text string")
+    assert [(g["score"], g["n_known"]) for g in knlm.score_texts(alone).collect()] == [(0.0, 0)]
+    with pytest.raises(ValueError):
+        knlm.score_texts(docs, order=1)
+
+
 def test_quality(spark, docs, rows):
     labels = spark.createDataFrame([(i, i % 2, None) for i in (5, 6, 7, 9, 10, 11, 12)] + [(8, None, 1), (None, 1, 1), (5, 1, 0)],
                                    "doc_id long, quality int, toxic int")
