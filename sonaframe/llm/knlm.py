@@ -133,8 +133,8 @@ def _chunks(docs: DataFrame, folds: int, fold: int, chunk_tokens: int) -> DataFr
 class _Level:
     """The distinct n-grams of a chunk that end at its tokens, and at the start of a text."""
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, inverse: np.ndarray, heads: np.ndarray, tails: np.ndarray):
-        self.keys, self.first, self.inverse, self.heads, self.tails = keys, first, inverse, heads, tails
+    def __init__(self, keys: np.ndarray, inverse: np.ndarray, heads: np.ndarray, tails: np.ndarray):
+        self.keys, self.inverse, self.heads, self.tails = keys, inverse, heads, tails
 
 
 class _Chunk:
@@ -153,19 +153,17 @@ class _Chunk:
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.tokens = len(stream) - 1
         self.train = np.append(np.repeat(~np.array(held, bool), self.lengths), False)
-        before = np.arange(-1, self.tokens)
+        before = np.arange(-1, self.tokens, dtype=np.int32)
         before[self.first] = before[-1] = self.tokens
-        keys, at, number = np.unique(hashes, return_index=True, return_inverse=True)
-        where = np.zeros(len(hashes), np.int64)
-        where[stream[::-1]] = np.arange(self.tokens, -1, -1)
-        none = np.zeros(len(keys), np.int64)
-        self.levels = {1: _Level(keys, where[at], number[stream], none, none)}
+        keys, number = np.unique(hashes, return_inverse=True)
+        none = np.zeros(len(keys), np.int32)
+        self.levels = {1: _Level(keys, number.astype(np.int32)[stream], none, none)}
         here, last = hashes[stream], hashes[stream]
         for n in range(2, levels + 1):
             here = mixed(mixed(here[before]) + last)
             keys, at, number = np.unique(here, return_index=True, return_inverse=True)
             below = self.levels[n - 1].inverse
-            self.levels[n] = _Level(keys, at, number, below[before[at]], below[at])
+            self.levels[n] = _Level(keys, number.astype(np.int32), below[before[at]], below[at])
 
     def counted(self, n: int) -> np.ndarray:
         """How often each n-gram stands in texts to learn from."""
@@ -289,7 +287,7 @@ def _summed(df: DataFrame) -> list[int]:
 
 
 def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, chunk_tokens: int = 1_600_000, bucket_tokens: int = 2_500_000,
-                order: int = 3) -> DataFrame:
+                order: int = 2) -> DataFrame:
     """One row for each row of ``docs``: see ``SCORES``.  Rows in the fold ``fold`` are not learnt from."""
     if order < 2:
         raise ValueError("the order must be 2 or more")
