@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 from ..util.rank import global_row_number
+from .udf import computed_once
 
 REASON_NOT_IN = "not_in"
 
@@ -145,7 +146,8 @@ def lookup_arrays(df: DataFrame, arr_col: str, entries: DataFrame, key_col: str,
     def replaced(arrays: pa.Array) -> pa.Array:
         return _replace(arrays, keys, values)
 
-    return df.withColumn(out_col, replaced(F.col(arr_col)))
+    # a filter on the result would have the function run once more
+    return computed_once(df.withColumn(out_col, replaced(F.col(arr_col))), out_col)
 
 
 def _lookup_in_chunks(df: DataFrame, arr_col: str, table: DataFrame, kind: T.ArrayType, out_col: str) -> DataFrame:

@@ -27,16 +27,19 @@ class Frontend:
 
     ``align``: normalised text -> for each of its characters the number of
     phones that it gave, in order; without it the language has no alignment.
+    ``units``: both in one, the phones of each character; they are then found
+    once for phones and alignment.
     """
 
     normalize: ColFn
     tokenize: ColFn
     align: ColFn | None = None
+    units: ColFn | None = None
 
 
 def unit_frontend(normalize: ColFn, units: ColFn) -> Frontend:
     """An aligned front end from ``units``: normalised text -> the phones of each character (array of arrays)."""
-    return Frontend(normalize, lambda c: F.flatten(units(c)), lambda c: F.transform(units(c), lambda u: F.size(u)))
+    return Frontend(normalize, lambda c: F.flatten(units(c)), lambda c: F.transform(units(c), lambda u: F.size(u)), units)
 
 
 def characters(c: Column) -> Column:
@@ -54,6 +57,18 @@ def table_units(phones: Mapping[str, Sequence[str]]) -> ColFn:
     return units
 
 
+def computed_once(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns ``names`` computed where they stand.
+
+    Spark moves a filter below the projection it reads and writes the
+    projection's expressions out inside it, once for each mention; a chain of
+    text functions is then run many times over on every row.  No filter
+    moves below a generator, and this one gives one row for each row.
+    """
+    once = F.inline(F.array(F.struct(*names)))
+    return df.select(*[c for c in df.columns if c not in names], once).select(*df.columns)
+
+
 _FRONTENDS: dict[str, Frontend] = {}
 
 
@@ -89,17 +104,20 @@ def apply_frontend(df: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for code, fe in use.items():
         branch = fe.normalize(text)
         norm = F.when(eff_lang == code, branch) if norm is None else norm.when(eff_lang == code, branch)
-    out = df.withColumn("front_lang", eff_lang).withColumn("norm_text", norm)
-    phones = None
+    out = computed_once(df.withColumn("front_lang", eff_lang).withColumn("norm_text", norm), "norm_text")
+    here = F.col("front_lang")
+    units, phones, word2ph = F.lit(None).cast("array<array<string>>"), F.lit(None), F.lit(None).cast("array<int>")
     for code, fe in use.items():
-        branch = fe.tokenize(F.col("norm_text"))
-        phones = F.when(F.col("front_lang") == code, branch) if phones is None else \
-            phones.when(F.col("front_lang") == code, branch)
-    word2ph = F.lit(None).cast("array<int>")
+        if fe.units is not None:
+            units = F.when(here == code, fe.units(F.col("norm_text"))).otherwise(units)
+    out = computed_once(out.withColumn("_units", units), "_units")
     for code, fe in use.items():
-        if fe.align is not None:
-            word2ph = F.when(F.col("front_lang") == code, fe.align(F.col("norm_text")).cast("array<int>")).otherwise(word2ph)
-    return out.withColumn("phones", phones).withColumn("word2ph", word2ph)
+        tokens, counts = (fe.tokenize(F.col("norm_text")), fe.align and fe.align(F.col("norm_text"))) if fe.units is None else \
+            (F.flatten("_units"), F.transform("_units", lambda u: F.size(u)))
+        phones = F.when(here == code, tokens).otherwise(phones)
+        if counts is not None:
+            word2ph = F.when(here == code, counts.cast("array<int>")).otherwise(word2ph)
+    return computed_once(out.withColumn("phones", phones).withColumn("word2ph", word2ph), "phones", "word2ph").drop("_units")
 
 
 def check_word2ph(df: DataFrame, phones_col: str = "phones", word2ph_col: str = "word2ph",

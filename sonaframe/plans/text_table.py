@@ -9,8 +9,8 @@ from ..functions import text as T
 from ..functions.predicates import basename, clean_path
 from ..operators.filters import accepted, map_language, rejected
 from ..operators.joins import vocab_encode
-from ..operators.udf import Frontend, apply_frontend, check_word2ph, table_units, unit_frontend
-from ..sources.labels import parse_label_lines
+from ..operators.udf import Frontend, apply_frontend, check_word2ph, computed_once, table_units, unit_frontend
+from ..sources.labels import LABEL_FIELDS, parse_label_lines
 from ..sources.tables import print_list, tsv_line
 
 EN_TOKEN_RE = "[a-z']+|[,.?!\\-]"
@@ -25,7 +25,7 @@ FRONTENDS = {
 
 
 def build_text_table(lines: DataFrame, vocab: DataFrame, line_col: str = "line",
-                     mapping=None, frontends=None) -> tuple[DataFrame, DataFrame]:
+                     mapping=None, frontends=None, together: bool = False):
     """Returns (table with ``tsv`` lines, rejects with their reason).
 
     The symbol vocabulary is the encoder's: an unknown symbol rejects the
@@ -34,19 +34,27 @@ def build_text_table(lines: DataFrame, vocab: DataFrame, line_col: str = "line",
     line (``None`` without one); an item whose counts do not add up to its
     phones, or are not one for each character, is rejected (``word2ph_sum``,
     ``word2ph_length``).
+
+    With ``together`` one frame holds both: ``reject_reason`` is null for the
+    table's rows, and ``line`` is what the rejects give.  Who wants every row
+    then runs the front ends once and not once for each frame.
     """
-    parsed = map_language(parse_label_lines(lines, line_col), "lang", "lang_code", mapping)
-    parsed = parsed.withColumn("name", basename(clean_path("path")))
-    ok = accepted(parsed).withColumn(
+    fields = computed_once(parse_label_lines(lines, line_col), *LABEL_FIELDS, "n_fields", "reject_reason")
+    parsed = map_language(fields, "lang", "lang_code", mapping).withColumnRenamed("reject_reason", "_refused")
+    parsed = parsed.withColumn("name", basename(clean_path("path"))).withColumn(
         "text", F.replace(F.replace(F.col("text"), F.lit("%"), F.lit("-")), F.lit("￥"), F.lit(",")))
-    fe = apply_frontend(ok.drop("reject_reason"), "text", "lang_code", frontends=frontends or FRONTENDS)
+    # lines refused here have no language: the front ends read a blank for them
+    taken = F.col("_refused").isNull()
+    parsed = parsed.withColumn("lang_code", F.when(taken, F.col("lang_code")))
+    fe = apply_frontend(parsed, "text", "lang_code", frontends=frontends or FRONTENDS)
     # the alignment is checked first, then the symbols
     aligned = check_word2ph(fe, text_col="norm_text").withColumnRenamed("reject_reason", "_misaligned")
     enc = vocab_encode(aligned, "phones", vocab, policy="reject")
-    enc = enc.withColumn("reject_reason", F.coalesce("_misaligned", "reject_reason"))
-    table = accepted(enc).select(
-        "name", "phones", "ids", "word2ph", "norm_text",
-        tsv_line("name", F.array_join("phones", " "), print_list("word2ph"), "norm_text").alias("tsv"))
-    rejects = rejected(parsed).select(F.col(line_col).alias("line"), "reject_reason").unionByName(
-        rejected(enc).select(F.col("name").alias("line"), "reject_reason"))
-    return table, rejects
+    enc = enc.withColumn("reject_reason", F.coalesce("_refused", "_misaligned", "reject_reason"))
+    tsv = tsv_line("name", F.array_join("phones", " "), print_list("word2ph"), "norm_text")
+    rows = enc.select(
+        "name", "phones", "ids", "word2ph", "norm_text", F.when(F.col("reject_reason").isNull(), tsv).alias("tsv"),
+        F.when(taken, F.col("name")).otherwise(F.col(line_col)).alias("line"), "reject_reason")
+    if together:
+        return rows
+    return accepted(rows).drop("line", "reject_reason"), rejected(rows).select("line", "reject_reason")

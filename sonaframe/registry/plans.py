@@ -62,11 +62,17 @@ SELECT name, NULL, reason FROM rej1"""
 @register("build_text_table", TEXT_TABLE_SQL)
 def q_build_text_table(spark, sf):
     lines = derive.label_lines(table(spark, sf, "documents"))
-    tbl, rej = build_text_table(lines, _symbol_vocab(spark, sf),
-                                mapping={"en": "en", "fr": "en", "de": "en", "es": "en"})
-    return tbl.select("name", F.size("ids").cast("double").alias("n_ids"), "tsv").unionByName(
-        rej.select(F.col("line").alias("name"), F.lit(None).cast("double").alias("n_ids"),
-                   F.col("reject_reason").alias("tsv")))
+    rows = build_text_table(lines, _symbol_vocab(spark, sf), mapping={"en": "en", "fr": "en", "de": "en", "es": "en"},
+                            together=True)
+    return _table_and_rejects(rows)
+
+
+def _table_and_rejects(rows):
+    """The table's lines, and the rejects with their reason in the place of a line."""
+    ok = F.col("reject_reason").isNull()
+    return rows.select(F.when(ok, F.col("name")).otherwise(F.col("line")).alias("name"),
+                       F.when(ok, F.size("ids")).cast("double").alias("n_ids"),
+                       F.when(ok, F.col("tsv")).otherwise(F.col("reject_reason")).alias("tsv"))
 
 
 #: Phones of the vowels in the aligned front end; other characters stand for themselves.
@@ -109,9 +115,8 @@ def q_build_text_table_aligned(spark, sf):
     seen = table(spark, sf, "benchmark").select(F.explode(F.concat(
         F.split(F.lower("text"), "", -1), F.array(*[F.lit(p) for ps in VOWELS.values() for p in ps]))).alias("symbol")).distinct()
     lines = derive.label_lines(table(spark, sf, "documents"))
-    tbl, rej = build_text_table(lines, symbol_vocabulary(seen), mapping={"fr": "fr", "de": "de"}, frontends=frontends)
-    return tbl.select("name", F.size("ids").cast("double").alias("n_ids"), "tsv").unionByName(
-        rej.select(F.col("line").alias("name"), F.lit(None).cast("double").alias("n_ids"), F.col("reject_reason").alias("tsv")))
+    rows = build_text_table(lines, symbol_vocabulary(seen), mapping={"fr": "fr", "de": "de"}, frontends=frontends, together=True)
+    return _table_and_rejects(rows)
 
 
 PLAN_SQL = f"""
