@@ -199,8 +199,10 @@ def global_scan(df: DataFrame, order_cols: Sequence[Column | str], value: Column
     ``block_rows`` consecutive positions.  Each block runs its own window
     (blocks are equal-sized, so no task is larger than one block); block
     totals (n / block_rows rows) are scanned once and carried in by a
-    broadcast whose size is bounded by that count.  With no ``order_cols``
-    the frame must already carry its numbering in ``rn_col``.
+    broadcast whose size is bounded by that count.  Only positions and values
+    are scanned, whatever else a row holds; the results are joined back on
+    the position.  With no ``order_cols`` the frame must already carry its
+    numbering in ``rn_col``.
     """
     agg = _SCAN_OPS[op]
     v = _as_col(value)
@@ -208,8 +210,9 @@ def global_scan(df: DataFrame, order_cols: Sequence[Column | str], value: Column
         ranked = global_row_number(df.withColumn("_v", v), order_cols, rn_col)
     else:
         ranked = df.withColumn("_v", v)
-    ranked = ranked.withColumn("_blk", F.floor((F.col(rn_col) - 1) / F.lit(block_rows)).cast("long"))
-    w_in = Window.partitionBy("_blk").orderBy(rn_col).rowsBetween(Window.unboundedPreceding, 0)
+    wide, ranked = ranked.drop("_v"), ranked.select(F.col(rn_col).alias("_k0"), "_v")
+    ranked = ranked.withColumn("_blk", F.floor((F.col("_k0") - 1) / F.lit(block_rows)).cast("long"))
+    w_in = Window.partitionBy("_blk").orderBy("_k0").rowsBetween(Window.unboundedPreceding, 0)
     running = ranked.withColumn("_run", agg("_v").over(w_in))
     totals = ranked.groupBy("_blk").agg(agg("_v").alias("_tot"))
     # n / block_rows rows: one ordered task over them is bounded
@@ -222,7 +225,8 @@ def global_scan(df: DataFrame, order_cols: Sequence[Column | str], value: Column
         combined = F.least(F.col("_carry"), F.col("_run"))
     else:
         combined = F.greatest(F.col("_carry"), F.col("_run"))
-    return out.withColumn(name, combined).drop("_v", "_blk", "_run", "_carry")
+    out = out.select("_k0", combined.alias(name))
+    return wide.join(out, wide[rn_col] == out["_k0"]).drop("_k0")
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sonaframe.plans.text_table import EN_TOKEN_RE, build_text_table
+from sonaframe.util.rank import global_scan
 
 
 def _plan(df):
@@ -38,3 +39,14 @@ def test_front_ends_and_symbols_are_computed_once(spark):
     want = {("b.wav", "not_in"), ("w/c.wav|s|xx|hi", "unsupported_language"), ("w/d.wav|en|hi", "field_count")}
     got = {(r["line"], r["reject_reason"]) for r in rejects.collect()}
     assert got >= want and got == {(r["line"], r["reject_reason"]) for r in rows.where("reject_reason is not null").collect()}
+
+
+def test_scan_leaves_wide_columns_out(spark):
+    df = spark.range(100).select(F.col("id"), ((F.col("id") * 7) % 31).alias("v"), F.array_repeat(F.col("id"), 5).alias("payload"))
+    out = global_scan(df, ["id"], F.col("v"), "min", "m", block_rows=9)
+    windows = [n for n in _nodes(_plan(out)) if n.nodeName() == "Window"]
+    assert windows and all("payload" not in _names(n) for n in windows)
+    low = None
+    for r in out.orderBy("id").collect():
+        low = r["v"] if low is None else min(low, r["v"])
+        assert r["m"] == low and r["payload"] == [r["id"]] * 5
