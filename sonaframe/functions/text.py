@@ -328,7 +328,7 @@ def normalize_en(c: Column | str) -> Column:
     # one-to-one marks: translate (a hash lookup per character, no regex)
     x = F.translate(c_(c), ";:：，；\"’。！？", ",,,,,''.!?")
     x = F.translate(x, ACCENT_FROM, ACCENT_TO)
-    x = F.regexp_replace(x, r"[^ A-Za-z'.,?!\-]", "")
+    x = F.regexp_replace(x, r"[^ A-Za-z'.,?!\-]++", "")
     x = F.regexp_replace(x, r"(?i)i\.e\.", "that is")
     return F.regexp_replace(x, r"(?i)e\.g\.", "for example")
 
