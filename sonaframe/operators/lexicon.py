@@ -6,7 +6,8 @@ list that overrides both (its later line wins).  A few words are deleted
 from the merged lexicon.  The distinct words of a corpus are joined
 with the merged lexicon, and once more for the stem of a possessive; the
 result is then joined to the words' occurrences.  Spark picks each join by
-the tables' sizes.  Short unknown words are spelled from a map of the
+the tables' sizes.  ``lookup_sentences`` leaves the words in their texts and
+replaces them there (``joins.lookup_arrays``).  Short unknown words are spelled from a map of the
 lexicon's single letters.
 """
 
@@ -17,6 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .joins import lookup_arrays
+from .udf import computed_once
+
 # Words removed from the merged lexicon.
 DELETED_WORDS = ("ae", "ai", "ar", "ios", "hud", "os")
 # Phone classes that decide the possessive ending.
@@ -68,10 +73,16 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
     ('spelled'); ``stem's`` → the stem's phones plus S / AH0 Z / Z
     ('possessive'); anything else 'oov' with null phones.
     """
+    # a corpus has far fewer words than tokens: look up each spelling once
+    found = _lookup_spellings(tokens.select(F.col(word_col).alias("_o")).distinct(), lexicon, names)
+    return tokens.join(found, F.col(word_col).eqNullSafe(F.col("_o")), "left").drop("_o")
+
+
+def _lookup_spellings(spellings: DataFrame, lexicon: DataFrame, names: DataFrame | None) -> DataFrame:
+    """``phones`` and ``source`` of each spelling ``_o``."""
     lexicon = lexicon.select("word", "phones")
     o = F.col("_o")
-    # a corpus has far fewer words than tokens: look up each spelling once
-    t = tokens.select(F.col(word_col).alias("_o")).distinct().withColumn("_w", F.lower("_o"))
+    t = spellings.withColumn("_w", F.lower("_o"))
     t = t.withColumn("_stem", F.when(F.col("_w").rlike("^[a-z]+'s\\z"),
                                      F.expr("substring(_w, 1, length(_w) - 2)")))
     t = t.join(lexicon.select(F.col("word").alias("_w"), F.col("phones").alias("_lex")), "_w", "left")
@@ -102,8 +113,7 @@ def lookup_words(tokens: DataFrame, lexicon: DataFrame, names: DataFrame | None
                .when(stem.isNotNull(), "possessive"))
     out = t.withColumn("phones", phones).withColumn(
         "source", F.when(F.col("phones").isNull(), F.lit("oov")).otherwise(source))
-    found = out.select("_o", "phones", "source")
-    return tokens.join(found, F.col(word_col).eqNullSafe(F.col("_o")), "left").drop("_o")
+    return out.select("_o", "phones", "source")
 
 
 def sentence_phones(looked: DataFrame, key_cols: Sequence[str], pos_col: str = "pos") -> DataFrame:
@@ -115,3 +125,40 @@ def sentence_phones(looked: DataFrame, key_cols: Sequence[str], pos_col: str = "
     parts = F.transform("_w", lambda s: F.coalesce(s["ph"], F.array().cast("array<string>")))
     joined = F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.array(F.lit(" ")), p))))
     return g.select(*key_cols, "n_words", "n_oov", joined.alias("phones"))
+
+
+def lookup_sentences(texts: DataFrame, lexicon: DataFrame, names: DataFrame | None, key_cols: Sequence[str],
+                     words_col: str = "words") -> DataFrame:
+    """``lookup_words`` and ``sentence_phones`` for texts that hold their words as an array; phones joined by blanks.
+
+    Each spelling of the corpus is looked up once; its phones then replace it
+    inside the arrays, so tokens are neither shuffled to their word nor back
+    to their text.  Texts without words give no row.  Rows of one key are one
+    text, as in ``sentence_phones``: keys are counted, and only those that
+    repeat are grouped.
+    """
+    keys = texts.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_m"))
+    most = keys.agg(F.max("_m")).first()[0] or 0
+    texts = computed_once(texts.select(*key_cols, words_col), words_col).where(F.size(words_col) > 0)
+    ensure_checkpoint_dir(texts.sparkSession)
+    spelled = _lookup_spellings(texts.select(F.explode(words_col).alias("_o")).distinct(), lexicon, names)
+    spelled = spelled.where(F.col("phones").isNotNull()).select("_o", "phones").checkpoint()
+    # what a word adds behind the words before it: a blank, and its phones if there are any
+    added = spelled.select("_o", F.when(F.size("phones") == 0, " ").otherwise(
+        F.concat(F.lit("  "), F.array_join("phones", " "))).alias("_added"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        rows = lookup_arrays(rows, words_col, added, "_o", "_added", "_ph")
+        parts = F.transform("_ph", lambda a, i: F.when(i == 0, F.when(a != " ", F.substr(a, F.lit(3)))).otherwise(F.coalesce(a, F.lit(" "))))
+        return rows.select(*key_cols, F.size("_ph").cast("long").alias("n_words"),
+                           F.size(F.filter("_ph", lambda a: a.isNull())).cast("long").alias("n_oov"), F.array_join(parts, " ").alias("phones"))
+
+    if most <= 1:
+        return joined(texts)
+    twice = keys.where("_m > 1").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key_cols)])
+    same = F.lit(True)
+    for i, c in enumerate(key_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    tokens = lookup_arrays(texts.join(twice, same, "left_semi"), words_col, spelled, "_o", "phones", "_ph")
+    grouped = sentence_phones(tokens.select(*key_cols, F.posexplode("_ph").alias("pos", "phones")), key_cols)
+    return joined(texts.join(twice, same, "left_anti")).unionByName(grouped.withColumn("phones", F.array_join("phones", " ")))

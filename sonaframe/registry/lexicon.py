@@ -88,8 +88,6 @@ SELECT doc_id, n_words, n_oov,
 FROM agg""")
 def q_lexicon_lookup(spark, sf):
     lex, names = _layers(spark, sf)
-    tokens = table(spark, sf, "documents").select(
-        "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("pos", "word"))
-    looked = L.lookup_words(tokens, lex, names, "word")
-    per_doc = L.sentence_phones(looked, ["doc_id"], "pos")
-    return per_doc.select("doc_id", "n_words", "n_oov", F.array_join("phones", " ").alias("phones"))
+    texts = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN_RE), 0).alias("words"))
+    per_doc = L.lookup_sentences(texts, lex, names, ["doc_id"])
+    return per_doc.select("doc_id", "n_words", "n_oov", "phones")

@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sonaframe.operators import lexicon as L
 from sonaframe.plans.text_table import EN_TOKEN_RE, build_text_table
 from sonaframe.util.rank import global_scan
 
@@ -50,3 +51,19 @@ def test_scan_leaves_wide_columns_out(spark):
     for r in out.orderBy("id").collect():
         low = r["v"] if low is None else min(low, r["v"])
         assert r["m"] == low and r["payload"] == [r["id"]] * 5
+
+
+def test_words_are_replaced_in_their_texts(spark):
+    lex = spark.createDataFrame([(c, [c.upper()]) for c in "bcst"] + [("cat", ["K", "AE", "T"]), ("the", ["DH", "AH"]), ("mute", [])],
+                                "word string, phones array<string>")
+    names = spark.createDataFrame([("rome", ["R", "OW", "M"])], "word string, phones array<string>")
+    texts = [(1, ["The", "cat's", "zzzz", ",", "Rome"]), (2, ["zzzz", "cat"]), (3, []), (4, None), (5, ["mute", "the", "mute", "zzzz", "A"]),
+             (6, ["mute"]), (7, ["the", "cat"]), (7, ["cat", "zzzz", "rome"]), (7, None), (None, ["bc"]), (None, ["cat"])]
+    df = spark.createDataFrame(texts, "id int, words array<string>")
+    tokens = df.select("id", F.posexplode("words").alias("pos", "word"))
+    want = L.sentence_phones(L.lookup_words(tokens, lex, names), ["id"]).withColumn("phones", F.array_join("phones", " "))
+    for rows in (df, df.where("id < 7")):
+        got = L.lookup_sentences(rows, lex, names, ["id"])
+        assert sorted(map(str, got.collect())) == sorted(str(r) for r in want.join(rows.select("id").distinct(), want["id"].eqNullSafe(rows["id"]), "left_semi").collect())
+    plan = _plan(L.lookup_sentences(df.where("id < 7"), lex, names, ["id"]))
+    assert not [n for n in _nodes(plan) if n.nodeName() in ("Join", "Generate") and "pos" in _names(n)]
