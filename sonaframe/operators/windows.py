@@ -150,8 +150,22 @@ def even_shards(df: DataFrame, index_col: str, replicas: int, drop_last: bool =
 
 # W9 / W10 -----------------------------------------------------------------------
 
-def _softmax_parts(df: DataFrame, group_cols: Sequence[str], x: str, name: str) -> DataFrame:
-    """Adds ``name`` = exp(x - max) / sum(exp(x - max)) per group (grouped aggregates, joined back)."""
+def _softmax_parts(df: DataFrame, group_cols: Sequence[str], x: str, name: str, order: Sequence[Column] | None = None) -> DataFrame:
+    """Adds ``name`` = exp(x - max) / sum(exp(x - max)) per group (null in a group whose key holds a null).
+
+    Groups of any size: grouped aggregates, joined back.  With ``order`` a
+    group is bounded by a cut before, and both come from windows along it,
+    which share one sort: a chain of joins in one stage would hold each
+    side's sorted rows at once.
+    """
+    if order is not None:
+        w = Window.partitionBy(*group_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        known = F.lit(True)
+        for c in group_cols:
+            known = known & F.col(c).isNotNull()
+        e = F.when(F.col(x).isNull(), F.lit(0.0)).otherwise(F.exp(F.col(x) - F.col("_mx")))
+        j = df.withColumn("_mx", F.max(x).over(w)).withColumn("_e", e)
+        return j.withColumn(name, F.when(known, F.col("_e") / F.sum("_e").over(w))).drop("_mx", "_e")
     mx = df.where(F.col(x).isNotNull()).groupBy(*group_cols).agg(F.max(x).alias("_mx"))
     j = df.join(mx, list(group_cols), "left")
     e = F.when(F.col(x).isNull(), F.lit(0.0)).otherwise(F.exp(F.col(x) - F.col("_mx")))
@@ -206,15 +220,14 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
     g = list(group_cols)
     x = "_x"
     d = df.withColumn(x, F.col(logit_col).cast("double"))
-    order = [F.col(x).desc(), F.col(item_col)]
+    down = [F.col(x).desc_nulls_last(), F.col(item_col)]
 
     def topk(frame: DataFrame, k: int) -> DataFrame:
         kk = k if inclusive else max(k, min_tokens_to_keep)
         return _at_most(frame.where(F.col(x).isNotNull()), g, x, kk)
 
     def topp(frame: DataFrame, shifted: bool, cut: bool) -> DataFrame:
-        sm = _softmax_parts(frame, g, x, "_p")
-        down = [F.col(x).desc_nulls_last(), F.col(item_col)]
+        sm = _softmax_parts(frame, g, x, "_p", down if cut else None)
         if cut:  # a group is bounded by the top-k cut: one window
             w = Window.partitionBy(*g).orderBy(*down)
             cum = sm.withColumn("_cum", F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
@@ -244,7 +257,7 @@ def nucleus_filter(df: DataFrame, group_cols: Sequence[str], item_col: str, logi
         if top_k:
             d = topk(d, top_k)
     kept = d.where(F.col(x).isNotNull())
-    return _softmax_parts(kept, g, x, "prob").drop(x)
+    return _softmax_parts(kept, g, x, "prob", down if top_k else None).drop(x)
 
 
 def top_k_keep_ties(df: DataFrame, group_cols: Sequence[str], score_col: str, k: int,

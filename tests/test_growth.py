@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from sonaframe.operators import lexicon as L
+from sonaframe.operators import windows as W
 from sonaframe.plans.text_table import EN_TOKEN_RE, build_text_table
 from sonaframe.util.rank import global_scan
 
@@ -53,6 +54,17 @@ def test_scan_leaves_wide_columns_out(spark):
         assert r["m"] == low and r["payload"] == [r["id"]] * 5
 
 
+def test_cut_groups_are_normalised_without_joins(spark):
+    rows = [("a", i, float(x)) for i, x in enumerate([3, 3, 2, 1, 0])] + [(None, 9, 1.0), (None, 10, 0.0), ("b", 11, None), ("b", 12, 1.0)]
+    df = spark.createDataFrame(rows, "g string, item int, x double")
+    out = W.nucleus_filter(df, ["g"], "item", "x", top_k=3, top_p=0.6)
+    assert not [n for n in _nodes(_plan(out)) if n.nodeName() == "Join"]
+    got = {(r["g"], r["item"]): r["prob"] for r in out.collect()}
+    # a null key has no probabilities: its first row stays, as before
+    assert set(got) == {("a", 0), ("a", 1), ("b", 12), (None, 9)} and got[None, 9] is None
+    assert got["a", 0] == got["a", 1] == 0.5 and got["b", 12] == 1.0
+
+
 def test_words_are_replaced_in_their_texts(spark):
     lex = spark.createDataFrame([(c, [c.upper()]) for c in "bcst"] + [("cat", ["K", "AE", "T"]), ("the", ["DH", "AH"]), ("mute", [])],
                                 "word string, phones array<string>")
